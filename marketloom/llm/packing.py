@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 from marketloom.llm.storage import staged
 
 #: Words that a worker remembers with their ids; then it forgets them all.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 #: A length with more than 1/GROUPS of all pieces is dealt over several groups.
 GROUPS = 16_384
+#: Characters of texts that are split and encoded together.
+STEP = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _loaded: dict[str, WordEncoder] = {}
 
@@ -50,17 +53,18 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        split = text.replace("\n", " ").split(" ")
-        new = [w for w in set(split) if w not in self.known]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.known)
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known = {"": b""}
-                new = list(set(split) - {""})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, split))
+                new = set().union(*split) - {""}
+            words = list(new)
+            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -77,11 +81,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
         encoder = _encoder(tokenizer_path)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for at, text in enumerate(batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                for k, i in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[i : i + 4 * capacity]
-                    rows.append((at, k, k * capacity, len(part) // 4, zlib.crc32(part)))
+            texts: list[str] = []
+            size = done = 0
+            for at in range(batch.num_rows):
+                texts.append(batch.column(1)[at].as_py() or "")
+                size += len(texts[-1])
+                if size < STEP and at + 1 < batch.num_rows:
+                    continue
+                for ids in encoder.encode(texts):
+                    ids += end
+                    for k, i in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[i : i + 4 * capacity]
+                        rows.append((done, k, k * capacity, len(part) // 4, zlib.crc32(part)))
+                    done += 1
+                texts, size = [], 0
             row = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row[0])), pa.array(row[1].astype(np.int32)), *(pa.array(x) for x in row[2:])],

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 NO_RANK = np.iinfo(np.int64).max
 #: Characters of texts that are split and encoded together.
 STEP = 1_000_000
@@ -128,19 +128,23 @@ class PieceModel:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         return symbols, np.repeat(np.arange(len(words)), sizes), codes
 
+    def _pairs(self, symbol: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of the pairs that start at the given places."""
+        after = np.minimum(at + 1, max(len(symbol) - 1, 0))
+        key = symbol[at] * self.width + symbol[after]
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        fits = (self.keys[k] == key) & (word[at] == word[after]) & (after > at)
+        return np.where(fits, self.ranks[k], NO_RANK), self.merged[k]
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and the number of each word's ids; words are not empty."""
         symbol, word, codes = self._symbols(words)
         where = np.arange(len(symbol))  # first character of each symbol
+        rank, into = self._pairs(symbol, word, where)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbol):
-            key = symbol[:-1] * self.width + symbol[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            fits = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank = np.append(np.where(fits, self.ranks[at], NO_RANK), NO_RANK)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            sizes = np.diff(np.r_[starts, len(word)])
-            least = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(word)]))
             over = least == NO_RANK
             if over.any():
                 done.append((where[over], symbol[over]))
@@ -155,10 +159,17 @@ class PieceModel:
                 first = np.r_[True, word[hit][1:] != word[hit][:-1]]
                 take[hit[~first]] = False
             i = np.flatnonzero(take)
-            symbol[i] = self.merged[at[i]]
+            symbol[i] = into[i]
             keep = ~over
             keep[i + 1] = False
-            symbol, word, where = symbol[keep], word[keep], where[keep]
+            to = np.cumsum(keep) - 1
+            symbol, word, where, rank, into = (x[keep] for x in (symbol, word, where, rank, into))
+            # Only pairs beside a merge have changed.
+            now = to[i]
+            changed = np.zeros(len(symbol), bool)
+            changed[now] = changed[now[now > 0] - 1] = True
+            now = np.flatnonzero(changed)
+            rank[now], into[now] = self._pairs(symbol, word, now)
         where, symbol = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (where, symbol)
         order = np.argsort(where, kind="stable")
         where, symbol = where[order], symbol[order]
@@ -210,11 +221,11 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
         split = [self.split(t) for t in texts]
-        new = {w for s in split for w in s if w not in self.known}
+        new = set().union(*split).difference(self.known)
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known = {"": b""}
-                new = {w for s in split for w in s if w}
+                new = set().union(*split) - {""}
             words = list(new)
             ids, sizes = self.merge(words)
             data, ends = ids.astype("<i4").tobytes(), (np.cumsum(sizes) * 4).tolist()
