@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import chat, packing, sentencepiece_bpe, url_filter
+from marketloom.llm import chat, packing, quality, sentencepiece_bpe, toxicity, url_filter
+from marketloom.llm.labelled import fold
 from marketloom.llm.storage import table
 
 QUERIES: dict = {}
@@ -80,3 +81,24 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _held_out_scores(docs: DataFrame, threshold: float) -> DataFrame:
+    return docs.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _held_out_scores(toxicity.detect(docs, table(spark, sf_dir, "labels")), 0.5)
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _held_out_scores(quality.classify(docs, table(spark, sf_dir, "labels")), 0.3)
