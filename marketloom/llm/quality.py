@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.llm.labelled import training_rows
 from marketloom.llm.textops import LOWER, Hasher, flat, segments, words
@@ -143,7 +143,7 @@ def score(docs: DataFrame, table: np.ndarray, bias: float, name: str = "score")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, name])
 
     docs = docs.drop(name)
-    return docs.mapInArrow(run, docs.schema.add(name, "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: int = 2500) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.llm.labelled import training_rows
 from marketloom.llm.textops import LOWER, Hasher, flat, segments, words
@@ -30,7 +30,7 @@ BEGINNINGS = (3, 4, 5, 6)
 #: A sentence ends after these bytes at a word's end, at a newline, or after LONGEST words.
 LONGEST = 32
 STEP = 1_000_000
-SPANS = "array<struct<start:long,end:long,score:double>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 #: ASCII punctuation parts words; bytes of letters beyond ASCII don't.
@@ -72,11 +72,12 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate: float = 0.1, lasso: float = 0.7, rare: int = 3, settle: int = 80) -> tuple[np.ndarray, float]:
+def train(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate: float = 0.1, lasso: float = 0.3, rare: int = 3, settle: int = 80) -> tuple[np.ndarray, float]:
     """Bucket weights and bias from (features by word, sentence of each word, label) of documents.
 
     Features in fewer than ``rare`` documents keep weight 0; so do, by an L1
-    penalty of ``lasso`` documents' pull, those that explain few labels. After
+    penalty of ``lasso`` documents' pull, those that explain few labels. Weights
+    aren't negative: no harmless word excuses an offending one beside it. After
     ``settle`` steps features of weight 0 are left out.
     """
     weights, bias = np.zeros(BUCKETS), -6.0
@@ -107,13 +108,12 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate
         pull = np.where(label > 0, -1.0 / np.expm1(np.minimum(total, 50)), 1.0)
         back = p * pull[doc] / len(docs)
         grad = np.bincount(index, back[sentence], len(used))
-        toward = np.where(w != 0, np.sign(w), -np.sign(grad)) * np.where(w != 0, penalty, np.minimum(penalty, np.abs(grad)))
-        grad = np.append(grad + toward, back.sum())
+        grad = np.append(grad + penalty, back.sum())
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
         step = rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-7)
         after = w - step[:-1]
-        w, b = np.where(w * after < 0, 0.0, after), b - step[-1]
+        w, b = np.maximum(after, 0.0), b - step[-1]
         if t == settle:
             live = w != 0
             index, left = (np.cumsum(live, dtype=np.int32) - 1)[index], live[index]
@@ -178,7 +178,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, name: str = "score"
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores), pa.array(rows, kind)], names=[*kept, name, located])
 
     docs = docs.drop(name, located)
-    return docs.mapInArrow(run, docs.schema.add(name, "double").add(located, SPANS))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(located, SPANS)]))
 
 
 def detect(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = 4000) -> DataFrame:
