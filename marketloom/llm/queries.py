@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import chat, packing, quality, sentencepiece_bpe, toxicity, url_filter
+from marketloom.llm import chat, jaccard, packing, quality, sentencepiece_bpe, toxicity, url_filter
 from marketloom.llm.labelled import fold
 from marketloom.llm.storage import table
 
@@ -102,3 +102,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _held_out_scores(quality.classify(docs, table(spark, sf_dir, "labels")), 0.3)
+
+
+@query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
