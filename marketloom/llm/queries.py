@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import chat, interpolation, jaccard, packing, quality, sentencepiece_bpe, toxicity, url_filter
+from marketloom.llm import chat, interpolation, jaccard, neardup, packing, quality, sentencepiece_bpe, toxicity, url_filter
 from marketloom.llm.labelled import fold
 from marketloom.llm.storage import table
 
@@ -112,3 +112,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.93)
