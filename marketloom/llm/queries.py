@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import chat, interpolation, jaccard, neardup, packing, quality, sentencepiece_bpe, toxicity, url_filter
+from marketloom.llm import ann, chat, interpolation, jaccard, neardup, packing, quality, sentencepiece_bpe, toxicity, url_filter
 from marketloom.llm.labelled import fold
 from marketloom.llm.storage import table
 
@@ -117,3 +117,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+@query
+def op4_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, 20)
