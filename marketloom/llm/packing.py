@@ -24,17 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.storage import staged
+from marketloom.llm.textops import flat, segments
 
 #: Words that a worker remembers with their ids; then it forgets them all.
 CACHE_WORDS = 600_000
 #: A length with more than 1/GROUPS of all pieces is dealt over several groups.
 GROUPS = 16_384
-#: Characters of texts that are split and encoded together.
-STEP = 1_000_000
+#: Bytes of texts that are split and encoded together; a longer text is taken alone.
+STEP = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _loaded: dict[str, WordEncoder] = {}
 
@@ -51,20 +53,29 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {"": b""}
-                new = set().union(*split) - {""}
-            words = list(new)
-            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and the n + 1 offsets of the texts in it.
+
+        Words become codes of the texts' own dictionary, so only distinct words are
+        looked up one by one.
+        """
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, new = {}, words
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[w] = array("I", e.ids).tobytes()
+        found = [self.known[w] for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table, code = np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy()
+        n = size[code]
+        end = np.append(0, np.cumsum(n))
+        place = np.repeat((np.cumsum(size) - size)[code] - end[:-1], n) + np.arange(end[-1])
+        return table[place], end[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -75,31 +86,25 @@ def _encoder(path: str) -> WordEncoder:
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pieces of every document's ids: doc_id, piece, start, length, ids_crc32."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for batch in batches:
-            rows: list[tuple[int, int, int, int, int]] = []
-            texts: list[str] = []
-            size = done = 0
-            for at in range(batch.num_rows):
-                texts.append(batch.column(1)[at].as_py() or "")
-                size += len(texts[-1])
-                if size < STEP and at + 1 < batch.num_rows:
-                    continue
-                for ids in encoder.encode(texts):
-                    ids += end
-                    for k, i in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[i : i + 4 * capacity]
-                        rows.append((done, k, k * capacity, len(part) // 4, zlib.crc32(part)))
-                    done += 1
-                texts, size = [], 0
-            row = np.array(rows, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row[0])), pa.array(row[1].astype(np.int32)), *(pa.array(x) for x in row[2:])],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            _, offsets = flat(batch.column(1))
+            for i, j in segments(offsets, STEP):
+                ids, at = encoder.encode(batch.column(1).slice(i, j - i))
+                ids = np.insert(ids, at[1:], end_id).astype("<u4")
+                length = np.diff(at) + 1
+                count = -(-length // capacity)
+                doc = np.repeat(np.arange(j - i), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                size = np.minimum(length[doc] - start, capacity)
+                first = (np.cumsum(length) - length)[doc] + start
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(i + doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
