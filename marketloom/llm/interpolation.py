@@ -39,7 +39,7 @@ from marketloom.llm.textops import LOWER, Hasher, flat, mix, segments, words
 CHUNK = 2_000_000
 #: Tokens for each range of the hash space.
 RANGE_TOKENS = 1_500_000
-STEP = 4_000_000
+STEP = 1_000_000
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 END = np.uint64(0x5BD1E995C0FFEE11)
 #: Steps of the logarithmic grid per doubling; buckets of contexts are doublings.
