@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -32,7 +31,9 @@ from marketloom.llm.storage import staged
 from marketloom.llm.textops import flat, segments
 
 #: Words that a worker remembers with their ids; then it forgets them all.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+#: Words that are encoded in one call, with a mark before each.
+JOINT, MARK = 64, "\x01"
 #: A length with more than 1/GROUPS of all pieces is dealt over several groups.
 GROUPS = 16_384
 #: Bytes of texts that are split and encoded together; a longer text is taken alone.
@@ -53,7 +54,29 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        # A mark that is one token by itself lets many words share one call.
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Appends the ids of new words to the store."""
+        joint = [w for w in words if self.mark is not None and MARK not in w]
+        alone = [w for w in words if self.mark is None or MARK in w]
+        texts = [f" {MARK} ".join(["", *joint[i : i + JOINT]]) for i in range(0, len(joint), JOINT)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *ids])
+        at = np.flatnonzero(ids == self.mark) if joint else np.zeros(0, np.int64)
+        size = np.diff(np.append(at, len(ids))) - 1
+        more = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        self.size = np.concatenate([self.size, size, np.array([len(m) for m in more], np.int64)])
+        self.ids = np.concatenate([self.ids, np.delete(ids, at), *more])
+        self.first = np.cumsum(self.size) - self.size
+        self.known.update(zip(joint + alone, range(len(self.known), len(self.size)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the n + 1 offsets of the texts in it.
@@ -66,16 +89,15 @@ class WordEncoder:
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, words
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
-        found = [self.known[w] for w in words]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        table, code = np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy()
-        n = size[code]
+            self._forget()
+            new = words
+        if new:
+            self._learn(new)
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        n = self.size[place]
         end = np.append(0, np.cumsum(n))
-        place = np.repeat((np.cumsum(size) - size)[code] - end[:-1], n) + np.arange(end[-1])
-        return table[place], end[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        at = np.repeat(self.first[place] - end[:-1], n) + np.arange(end[-1])
+        return self.ids[at], end[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 def _encoder(path: str) -> WordEncoder:

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from marketloom.llm import chat, packing, queries, sentencepiece_bpe
@@ -136,6 +137,23 @@ def test_packing_plan_is_best_fit_decreasing(seed):
     assert whole_packing([{"sequence_id": s, "offset": o, "length": n} for s, o, n in places], 64) == fitted(lengths, 64)
 
 
+def test_word_encoder_on_odd_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    parts = [" ", "\n", "\x01", "\t", "\xa0", "\u0301", "e\u0301", "It's", "don't!!", "<|endoftext|>", "\u3000", "漢字", "😀", "ABC", "12345", "\x00", "İ", "ß", "word", "x", "\u200b", "\ufeff"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(2000)] + ["", None, "\x01", " \x01 "]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 900)
+    encoder, tokenizer = packing.WordEncoder(path), Tokenizer.from_file(path)
+    for i in range(0, len(texts), 250):
+        part = texts[i : i + 250]
+        ids, at = encoder.encode(pa.array(part, pa.string()))
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+        bad = [t for k, t in enumerate(part) if ids[at[k] : at[k + 1]].tolist() != want[k]]
+        assert not bad, bad[:3]
+
+
 def test_packing_edge_rows(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.createDataFrame([(1, None, 9, "x", 1, 1), (1, "", 9, "x", 1, 1), (None, "one two", 9, "x", 1, 1), (3, "word " * 50, 9, "x", 1, 1)] + [(4, "same text", 0, "", 0, 0)] * 40, DOCS)
