@@ -147,12 +147,12 @@ def on_balance_volume(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stochastic_channels", f"""{BARS}, x AS (SELECT *, {guarded('min(low)', 14, 'low')} AS lo, {guarded('max(high)', 14, 'high')} AS hi, (high + low + close) / 3 AS tp FROM bars),
 y AS (SELECT *, 100 * (close - lo) / nullif(hi - lo, 0) AS k FROM x)
-SELECT symbol, date, round(k, 6) AS stoch_k, round({guarded('avg(k)', 3, 'k')}, 6) AS stoch_d, round(-100 * (hi - close) / nullif(hi - lo, 0), 6) AS williams_r, round(hi, 6) AS upper, round(lo, 6) AS lower FROM y""", dates=("date",))
+SELECT symbol, date, round(k, 6) AS stoch_k, round({guarded('avg(k)', 3, 'k')}, 6) AS stoch_d, round(100 * (close - hi) / nullif(hi - lo, 0), 6) AS williams_r, round(hi, 6) AS upper, round(lo, 6) AS lower FROM y""", dates=("date",))
 def stochastic_channels(spark: SparkSession, d: str) -> DataFrame:
     b = bars(spark, d).withColumns({"lo": rolling(F.min, F.col("low"), W(), 14), "hi": rolling(F.max, F.col("high"), W(), 14)})
     wide = F.col("hi") - F.col("lo")
     b = b.withColumn("k", F.try_divide(100 * (F.col("close") - F.col("lo")), wide))
-    return out(b, stoch_k=F.col("k"), stoch_d=rolling(F.avg, F.col("k"), W(), 3), williams_r=F.try_divide(-100 * (F.col("hi") - F.col("close")), wide), upper=F.col("hi"), lower=F.col("lo"))
+    return out(b, stoch_k=F.col("k"), stoch_d=rolling(F.avg, F.col("k"), W(), 3), williams_r=F.try_divide(100 * (F.col("close") - F.col("hi")), wide), upper=F.col("hi"), lower=F.col("lo"))
 
 
 @query("volatility_momentum", f"""{BARS}, x AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars)

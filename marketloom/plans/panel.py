@@ -49,7 +49,7 @@ def winsorized(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("qcut_relevance", SQL_PANEL + """, q AS (SELECT date, quantile_cont(forward, [0.2, 0.4, 0.6, 0.8]) AS c FROM panel GROUP BY 1)
-SELECT symbol, date, CAST(CASE WHEN forward IS NOT NULL THEN len(list_filter(c, x -> forward > x)) END AS BIGINT) AS label FROM panel JOIN q USING (date)""", dates=("date",))
+SELECT symbol, date, CAST(CASE WHEN forward IS NOT NULL THEN CAST(forward > c[1] AS INT) + CAST(forward > c[2] AS INT) + CAST(forward > c[3] AS INT) + CAST(forward > c[4] AS INT) END AS BIGINT) AS label FROM panel JOIN q USING (date)""", dates=("date",))
 def qcut_relevance(spark: SparkSession, d: str) -> DataFrame:
     return quantile_bucket(panel(spark, d), "forward", "date", 5, "label").select("symbol", "date", F.col("label").cast("long").alias("label"))
 
@@ -121,8 +121,8 @@ def ic_summary(spark: SparkSession, d: str) -> DataFrame:
     return information(spark, d).agg(F.count(F.lit(1)).alias("dates"), F.round(F.avg("ic"), 6).alias("mean"), F.round(r, 6).alias("ratio"), F.round(r * F.sqrt(F.count(F.lit(1))), 6).alias("t"), F.round(hit, 6).alias("hit"))
 
 
-@query("walk_forward", _IC + """, o AS (SELECT *, row_number() OVER (ORDER BY date) / CAST(count(*) OVER () AS DOUBLE) AS at FROM ic), s(split) AS (VALUES (0), (1), (2), (3))
-SELECT CAST(split AS BIGINT) AS split, round(avg(ic) FILTER (at <= 0.35 + 0.1 * split), 6) AS train, round(avg(ic) FILTER (at > 0.35 + 0.1 * split AND at <= 0.6 + 0.1 * split), 6) AS test FROM o, s GROUP BY split""")
+@query("walk_forward", _IC + """, o AS (SELECT *, row_number() OVER (ORDER BY date) / CAST(count(*) OVER () AS DOUBLE) AS place FROM ic), s(split) AS (VALUES (0), (1), (2), (3))
+SELECT CAST(split AS BIGINT) AS split, round(avg(ic) FILTER (place <= 0.35 + 0.1 * split), 6) AS train, round(avg(ic) FILTER (place > 0.35 + 0.1 * split AND place <= 0.6 + 0.1 * split), 6) AS test FROM o, s GROUP BY split""")
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
     """Growing training spans and the quarter after each. Dates are few, one row each."""
     o = information(spark, d).withColumn("at", F.row_number().over(Window.orderBy("date")) / F.count(F.lit(1)).over(Window.partitionBy()).cast("double"))
