@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 
 from marketloom.llm.labelled import training_rows
@@ -30,6 +30,8 @@ BEGINNINGS = (3, 4, 5, 6)
 #: A sentence ends after these bytes at a word's end, at a newline, or after LONGEST words.
 LONGEST = 32
 STEP = 1_000_000
+#: Features that training adds up at once; bounds the driver's scratch arrays.
+BLOCK = 1 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -90,24 +92,31 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate
         count[np.unique(f)] += 1
     keep = count >= rare
     keep[0] = False
-    index, sentence, first = [], [], 0
     doc = np.repeat(np.arange(len(docs)), [d[1][-1] + 1 for d in docs])
+    used = np.flatnonzero(keep)
+    renamed = np.cumsum(keep, dtype=np.int32) - 1
+    total = sum(int(np.count_nonzero(keep[f])) for f, _, _ in docs)
+    index, sentence, at, n = np.empty(total, np.int32), np.empty(total, np.int32), 0, 0
     for f, s, _ in docs:
         rows, columns = np.nonzero(keep[f])
-        index.append(f[rows, columns])
-        sentence.append((s[rows] + first).astype(np.int32))
-        first += int(s[-1]) + 1
-    used = np.flatnonzero(keep)
-    index, sentence, n = (np.cumsum(keep, dtype=np.int32) - 1)[np.concatenate(index)], np.concatenate(sentence), first
-    w, b, penalty = np.zeros(len(used)), bias, lasso / len(docs)
+        here = slice(at, at + len(rows))
+        index[here], sentence[here] = renamed[f[rows, columns]], s[rows] + n
+        at, n = at + len(rows), n + int(s[-1]) + 1
+    size = len(docs)
+    del docs
+    w, b, penalty = np.zeros(len(used)), bias, lasso / size
     mean, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(sentence, w[index], n) + b
+        z = np.full(n, b)
+        for i in range(0, len(index), BLOCK):
+            z += np.bincount(sentence[i : i + BLOCK], w[index[i : i + BLOCK]], n)
         p = 1 / (1 + np.exp(-z))
-        total = np.maximum(np.bincount(doc, _softplus(z), len(docs)), 1e-9)
+        total = np.maximum(np.bincount(doc, _softplus(z), size), 1e-9)
         pull = np.where(label > 0, -1.0 / np.expm1(np.minimum(total, 50)), 1.0)
-        back = p * pull[doc] / len(docs)
-        grad = np.bincount(index, back[sentence], len(used))
+        back = p * pull[doc] / size
+        grad = np.zeros(len(used))
+        for i in range(0, len(index), BLOCK):
+            grad += np.bincount(index[i : i + BLOCK], back[sentence[i : i + BLOCK]], len(used))
         grad = np.append(grad + penalty, back.sum())
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
@@ -159,9 +168,13 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int =
             )
 
     rows = training_rows(docs, labels, target, bound).mapInArrow(bags, "doc_id long, label int, features binary, sentence binary")
-    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
     width = 1 + len(BEGINNINGS)
-    return train([(np.frombuffer(r["features"], np.int32).reshape(-1, width), np.frombuffer(r["sentence"], np.int32), r["label"]) for r in rows])
+
+    def bag(row: Row) -> tuple[np.ndarray, np.ndarray, int]:
+        return np.frombuffer(row["features"], np.int32).reshape(-1, width), np.frombuffer(row["sentence"], np.int32), row["label"]
+
+    # Only ``train`` holds the bags, so it can let go of them.
+    return train([bag(r) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])])
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, name: str = "score", located: str = "offending") -> DataFrame:
