@@ -314,8 +314,9 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
     """``docs`` less all but one document of each class; of rows with one id, one stays."""
     classes = staged(near_duplicates(docs, threshold, width), "near")
-    gone = classes.filter("NOT kept").select("doc_id").distinct()
-    twice = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    one = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
+    told = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("_stays"), F.count(F.lit(1)).alias("_times"))
+    # Documents are shuffled once, at every size: the merge hint keeps small inputs from another plan.
+    left = docs.filter("doc_id IS NOT NULL").join(told.hint("merge"), "doc_id").filter("_stays")
+    once = left.filter("_times = 1").select(*docs.columns)
+    one = left.filter("_times > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return once.unionByName(one).unionByName(docs.filter("doc_id IS NULL"))
