@@ -5,7 +5,8 @@
    round a node meets its neighbours' neighbours: the vectors of its forward and
    reverse neighbours come together, and each of them is offered its best partners
    there. A node keeps its best ``k``; a list in which all are near the threshold
-   is saturated and doubles, up to ``LONGEST``.
+   is saturated and doubles, up to ``LONGEST``. Of the edges near the threshold that
+   a full list gives up, a spanning forest is kept, so that no group falls apart.
 3. Edges near the threshold form candidate groups (connected components). Within a
    group all pairs are compared in double precision, in blocks, so a dense group's
    links are counted whole without lists as long as the group.
@@ -38,13 +39,13 @@ from marketloom.llm.vectors import matrix, usable
 
 TABLES, WINDOW = 24, 4
 SHORTEST, LONGEST = 16, 64
-#: Neighbours that meet at a node, and partners each is offered there.
+#: Neighbours that meet at once at a node, and partners each is offered there.
 MEETING, OFFERED = 48, 6
 SLACK = 0.02
 BLOCK = 512
 #: Nodes that an audit compares with all others.
 AUDIT = 256
-NODES = "id long, label long, code binary, k int, near array<long>, sim array<float>"
+NODES = "id long, label long, code binary, k int, near array<long>, sim array<float>, joins array<long>"
 OFFERS = "id long, near array<long>, sim array<float>"
 
 
@@ -134,16 +135,27 @@ def _take(nodes: DataFrame, offers: DataFrame, least: float) -> DataFrame:
             for _ in range(3):
                 k = np.where((near_ones >= k) & (k < LONGEST), k * 2, k)
             keep = place < k[own]
+            # What a list gives up near the threshold stays where nothing else joins the two.
+            lost = ~keep & (s >= least)
+            old = t["joins"].combine_chunks()
+            a = np.r_[own[keep & (s >= least)], np.repeat(owner, np.diff(old.offsets.to_numpy())), own[lost]]
+            b = np.r_[v[keep & (s >= least)], old.flatten().to_numpy(), v[lost]]
+            n_lists = int((keep & (s >= least)).sum())
+            names, number = np.unique(np.r_[ids[at[:-1]][a], b], return_inverse=True)
+            stay = forest(number[: len(a)], number[len(a) :], len(names)) if len(a) > n_lists else np.zeros(0, np.int64)
+            stay = stay[stay >= n_lists]
+            stay = stay[np.argsort(a[stay], kind="stable")]
+            joined = pa.ListArray.from_arrays(pa.array(np.searchsorted(a[stay], np.arange(len(k) + 1)).astype(np.int32)), pa.array(b[stay]))
             own, v, s = own[keep], v[keep], s[keep]
             ends = pa.array(np.searchsorted(own, np.arange(len(k) + 1)).astype(np.int32))
             head = pa.array(at[:-1])
             yield pa.RecordBatch.from_arrays(
-                [t["id"].take(head).combine_chunks(), t["label"].take(head).combine_chunks(), t["code"].take(head).combine_chunks(), pa.array(k.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(v)), pa.ListArray.from_arrays(ends, pa.array(s))],
-                names=["id", "label", "code", "k", "near", "sim"],
+                [t["id"].take(head).combine_chunks(), t["label"].take(head).combine_chunks(), t["code"].take(head).combine_chunks(), pa.array(k.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(v)), pa.ListArray.from_arrays(ends, pa.array(s)), joined],
+                names=["id", "label", "code", "k", "near", "sim", "joins"],
             )
 
     rows = nodes.withColumn("kind", F.lit(0)).unionByName(offers.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    rows = rows.select("id", "kind", "label", "code", "k", "near", "sim").repartition("id").sortWithinPartitions("id", "kind")
+    rows = rows.select("id", "kind", "label", "code", "k", "near", "sim", F.coalesce("joins", F.array().cast("array<long>")).alias("joins")).repartition("id").sortWithinPartitions("id", "kind")
     return rows.mapInArrow(best, NODES)
 
 
@@ -154,14 +166,15 @@ def _meet(nodes: DataFrame) -> DataFrame:
         for t in runs(batches, ["at"]):
             at = borders(t, ["at"])
             ids, sim, floor = t["id"].to_numpy(), t["sim"].to_numpy(), t["floor"].to_numpy()
-            # The best of each meeting, in a padded square.
+            # Meetings in padded squares; a hub's are as many as its neighbours need, nearest first.
             owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            order = np.lexsort((ids, -sim, owner))
-            place = np.arange(len(order)) - at[owner]
-            keep = order[place < MEETING]
-            owner, place = owner[place < MEETING], place[place < MEETING]
-            x = decoded([t["code"][int(i)].as_py() for i in keep])
-            for g in range(0, len(at) - 1, 256):
+            keep = np.lexsort((ids, -sim, owner))
+            place = np.arange(len(keep)) - at[owner]
+            first = np.r_[0, np.cumsum(-(-np.diff(at) // MEETING))]
+            owner, place = first[owner] + place // MEETING, place % MEETING
+            codes_ = t["code"].combine_chunks().take(pa.array(keep)).to_pylist()
+            x = decoded(codes_)
+            for g in range(0, int(first[-1]), 256):
                 some = slice(*np.searchsorted(owner, [g, g + 256]))
                 o, p, k = owner[some] - g, place[some], keep[some]
                 if not len(o):
@@ -263,7 +276,7 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.93, recall: flo
                 n = batch.num_rows
                 none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int64()))
                 zero = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made, pa.array(np.full(n, SHORTEST, np.int32)), none, zero], names=["id", "label", "code", "k", "near", "sim"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made, pa.array(np.full(n, SHORTEST, np.int32)), none, zero, none], names=["id", "label", "code", "k", "near", "sim", "joins"])
 
     least = threshold - SLACK
     nodes = staged(vectors.select(F.col("rep").alias("id"), "label", "x").mapInArrow(coded, NODES), "nodes")
@@ -279,8 +292,9 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.93, recall: flo
             after = nodes.agg(F.sum(F.aggregate("sim", F.lit(0.0), lambda a, s: a + s))).first()[0] or 0.0
             if after - before <= 0.001 * abs(after):
                 break
-        edges = nodes.select("id", F.explode(F.arrays_zip("near", "sim")).alias("e")).filter(F.col("e.sim") >= least)
-        groups = staged(components(edges.select(F.col("id").alias("u"), F.col("e.near").alias("v"))).withColumnsRenamed({"node": "rep", "component": "key"}), "groups")
+        near = F.transform(F.filter(F.arrays_zip("near", "sim"), lambda e: e["sim"] >= least), lambda e: e["near"])
+        edges = nodes.select(F.col("id").alias("u"), F.explode(F.concat(near, "joins")).alias("v"))
+        groups = staged(components(edges).withColumnsRenamed({"node": "rep", "component": "key"}), "groups")
         sized = groups.join(groups.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").join(vectors, "rep")
         counted = staged(_counted(_blocked(sized.select("key", "size", "rep", "copies", "x"), "key", "size", "rep", BLOCK), threshold), "counted")
         if attempt + 1 == attempts or _audit(vectors, counted, threshold) >= recall:

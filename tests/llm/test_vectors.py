@@ -117,3 +117,30 @@ def test_near_dedup_edge_rows(spark):
     assert all(r[1] == 0 and r[2] == r[0] and r[3] for r in got[40:] if r[0] is not None)
     assert len(got) == frame.count() and got[-1][0] is None
     assert neardup.near_duplicate_vectors(frame.limit(0), 0.93).collect() == []
+
+
+def listed(spark, rows):
+    """Nodes as near-dedup holds them: (id, vector, near, sim) of one label."""
+    x = neardup.codes(np.array([r[1] for r in rows], float))
+    held = [(r[0], 1, bytearray(c.tobytes()), neardup.SHORTEST, r[2], r[3], []) for r, c in zip(rows, x, strict=True)]
+    return spark.createDataFrame([h[: len(neardup.NODES.split(", "))] for h in held], neardup.NODES)
+
+
+def test_near_dedup_keeps_the_only_link_of_two_saturated_groups(spark):
+    # Lists are full of a node's own group; the two links to the other group are the farthest.
+    nodes = listed(spark, [(g * 1000 + i, [1.0, 0.0], [], []) for g in (0, 1) for i in range(100)])
+    offers = [(g * 1000 + i, [g * 1000 + j for j in range(100) if j != i], [0.99] * 99) for g in (0, 1) for i in range(100)]
+    offers = spark.createDataFrame([*offers, (5, [1007], [0.94]), (1007, [5], [0.94])], neardup.OFFERS)
+    got = neardup._take(neardup._take(nodes, offers, 0.91), offers.limit(0), 0.91).collect()
+    assert len(got) == 200 and max(len(r["near"]) for r in got) == neardup.LONGEST
+    joined = {(r["id"], v) for r in got for v in [*r["near"], *(r.asDict().get("joins") or [])]}
+    assert (5, 1007) in joined or (1007, 5) in joined
+
+
+def test_near_dedup_meets_all_neighbours_of_a_hub(spark):
+    rng = np.random.default_rng(8)
+    # The hub is in the lists of 200 nodes; 100 pairs of them are close, far from the hub.
+    x = np.repeat(rng.standard_normal((100, 32)), 2, 0) + rng.standard_normal((200, 32)) * 0.05
+    rows = [(0, np.ones(32), [], [])] + [(i + 1, v, [0], [0.001 * (i // 2)]) for i, v in enumerate(x)]
+    offers = {(r["id"], v) for r in neardup._meet(listed(spark, rows)).collect() for v in r["near"]}
+    assert all((i, i + 1) in offers for i in range(1, 200, 2))
