@@ -1,7 +1,9 @@
 """Near-duplicate vectors by NN-descent.
 
 1. Equal vectors of a label are one node with a number of copies.
-2. The neighbour graph starts from windows in random-hyperplane buckets. In each
+2. The neighbour graph starts from all pairs of random-hyperplane buckets, in as many
+   tables as a pair at the threshold needs to meet; a large bucket is ordered by
+   further signs and compared in overlapping windows. In each
    round a node meets its neighbours' neighbours: the vectors of its forward and
    reverse neighbours come together, and each of them is offered its best partners
    there. A node keeps its best ``k``; a list in which all are near the threshold
@@ -37,7 +39,10 @@ from marketloom.llm.jaccard import _blocked, _sides, one_sided
 from marketloom.llm.storage import discard, staged
 from marketloom.llm.vectors import matrix, usable
 
-TABLES, WINDOW = 24, 4
+#: Rows of a bucket on average, and rows of a bucket that are all compared at once.
+BUCKET, WINDOW = 64, 256
+#: Further signs by which the rows of a bucket are ordered.
+REST = 16
 SHORTEST, LONGEST = 16, 64
 #: Neighbours that meet at once at a node, and partners each is offered there.
 MEETING, OFFERED = 48, 6
@@ -62,37 +67,72 @@ def decoded(codes_: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _start(nodes: DataFrame, tables: int, seed: int, bits: int) -> DataFrame:
-    """Offers between near places of buckets of equal random-hyperplane signs."""
+def tables_for(bits: int, threshold: float, recall: float) -> int:
+    """Tables of ``bits`` signs in which a pair at the threshold shares a bucket at least once, with the chance ``recall``."""
+    together = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return 1 if together >= recall else int(np.ceil(np.log(1 - recall) / np.log(1 - together)))
+
+
+def _start(nodes: DataFrame, tables: int, seed: int, bits: int, least: float) -> DataFrame:
+    """Offers between the members of buckets of equal random-hyperplane signs."""
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = decoded(batch.column(2).to_pylist())
-            planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits)).astype(np.float32)
-            sign = (x @ planes > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits))
-            key = (sign + (np.arange(tables) << bits)).ravel()
-            at = pa.array(np.repeat(np.arange(len(x)), tables))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(key)], names=["id", "label", "code", "key"])
+            rng = np.random.default_rng(seed)
+            for table in range(tables):
+                planes = rng.standard_normal((x.shape[1], bits + REST)).astype(np.float32)
+                sign = x @ planes > 0
+                key = sign[:, :bits] @ (1 << np.arange(bits)) + (table << bits)
+                rest = sign[:, bits:] @ (1 << np.arange(REST))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(key.astype(np.int64)), pa.array(rest.astype(np.int64))], names=["id", "label", "code", "key", "rest"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["label", "key"]):
             at = borders(t, ["label", "key"])
             ids, x = t["id"].to_numpy(), decoded(t["code"].to_pylist())
-            group = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            a, b = [], []
-            for d in range(1, WINDOW + 1):
-                i = np.flatnonzero(group[d:] == group[:-d])
-                a += [i, i + d]
-                b += [i + d, i]
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield from _offers(ids[a], ids[b], (x[a] * x[b]).sum(1))
-
-    spread = nodes.select("id", "label", "code").mapInArrow(signs, "id long, label long, code binary, key long")
-    # A window over a bucket needs no more than its neighbours, so a hot bucket is dealt by a salt.
-    spread = spread.repartition("label", "key", F.pmod(F.xxhash64("id"), F.lit(8)))
-    return spread.sortWithinPartitions("label", "key", "id").mapInArrow(meet, OFFERS)
+            us, vs, ss = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for a in range(i, max(j - WINDOW // 2, i + 1), WINDOW // 2):
+                    m = min(a + WINDOW, j) - a
+                    if m < 2:
+                        continue
+                    sim = x[a : a + m] @ x[a : a + m].T
+                    sim[np.arange(m), np.arange(m)] = -2
+                    best = min(OFFERED, m - 1)
+                    top = np.argpartition(-sim, best - 1, axis=1)[:, :best]
+                    u, v = np.repeat(np.arange(m), best), top.ravel()
+                    # More than a row's share are near: what joins them is offered as well.
+                    many = np.flatnonzero((sim >= least).sum(1) > best)
+                    if len(many):
+                        p, q = tree(sim[np.ix_(many, many)] >= least)
+                        u, v = np.r_[u, many[p], many[q]], np.r_[v, many[q], many[p]]
+                    us.append(ids[a + u])
+                    vs.append(ids[a + v])
+                    ss.append(sim[u, v])
+            yield from _offers(np.concatenate(us), np.concatenate(vs), np.concatenate(ss))
+
+    spread = nodes.select("id", "label", "code").mapInArrow(signs, "id long, label long, code binary, key long, rest long")
+    # Ranges leave usual buckets whole and cut only one that is larger than a partition, by its further signs.
+    return spread.repartitionByRange("label", "key", "rest", "id").sortWithinPartitions("label", "key", "rest", "id").mapInArrow(meet, OFFERS)
+
+
+def tree(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    unseen, us, vs = np.ones(len(linked), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while unseen.any():
+        front = np.array([int(unseen.argmax())])
+        unseen[front] = False
+        while len(front):
+            reach = linked[front] & unseen
+            new = np.flatnonzero(reach.any(0))
+            us.append(front[reach[:, new].argmax(0)])
+            vs.append(new)
+            unseen[new] = False
+            front = new
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def _offers(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -266,8 +306,9 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.93, recall: flo
     given = rows.select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     good = usable(given.filter("label IS NOT NULL"), ["vec_id", "label"], "embedding")
     vectors = staged(good.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
-    total = vectors.count()
-    bits = int(np.clip(np.log2(max(total, 2)) - 2, 6, 20))
+    largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    bits = max(0, int(np.ceil(np.log2(largest / BUCKET))))
+    tables = tables_for(bits, threshold, recall)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +322,7 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.93, recall: flo
     least = threshold - SLACK
     nodes = staged(vectors.select(F.col("rep").alias("id"), "label", "x").mapInArrow(coded, NODES), "nodes")
     for attempt in range(attempts):
-        new = staged(_take(nodes, _start(nodes, TABLES, attempt + 1, bits), least), "nodes")
+        new = staged(_take(nodes, _start(nodes, tables, attempt + 1, bits, least), least), "nodes")
         discard(nodes)
         nodes = new
         for _ in range(rounds):

@@ -144,3 +144,20 @@ def test_near_dedup_meets_all_neighbours_of_a_hub(spark):
     rows = [(0, np.ones(32), [], [])] + [(i + 1, v, [0], [0.001 * (i // 2)]) for i, v in enumerate(x)]
     offers = {(r["id"], v) for r in neardup._meet(listed(spark, rows)).collect() for v in r["near"]}
     assert all((i, i + 1) in offers for i in range(1, 200, 2))
+
+
+def test_near_dedup_pairs_meet_at_the_start(spark):
+    rng = np.random.default_rng(9)
+    # 2000 isolated pairs at the threshold; windows and tables must bring nearly all of them together.
+    a = rng.standard_normal((2000, 64))
+    a /= np.sqrt((a * a).sum(1))[:, None]
+    b = rng.standard_normal((2000, 64))
+    b -= (b * a).sum(1)[:, None] * a
+    b /= np.sqrt((b * b).sum(1))[:, None]
+    x = np.stack([a, 0.935 * a + np.sqrt(1 - 0.935**2) * b], 1).reshape(-1, 64)
+    nodes = listed(spark, [(i, v, [], []) for i, v in enumerate(x)]).repartition(8)
+    bits = 12
+    tables = neardup.tables_for(bits, 0.93, 0.999)
+    assert tables > neardup.tables_for(6, 0.93, 0.999) and 1 - (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables >= 0.999
+    met = {(r["id"], v) for r in neardup._start(nodes, tables, 1, bits, 0.91).collect() for v in r["near"]}
+    assert np.mean([(i, i + 1) in met for i in range(0, 4000, 2)]) >= 0.995
