@@ -12,8 +12,10 @@
 3. Edges near the threshold form candidate groups (connected components). Within a
    group all pairs are compared in double precision, in blocks, so a dense group's
    links are counted whole without lists as long as the group.
-4. Recall is audited: a bounded sample of nodes is compared with all nodes. Below
-   the target, the search goes on with new buckets and longer lists.
+4. Recall is audited after each attempt: random nodes, and those whose best neighbour
+   is nearest to the threshold, are compared with all nodes. Below the target, the
+   search goes on with new buckets and longer lists; after the last attempt all pairs
+   of each label are compared instead, in blocks.
 
 Nodes are spread by id, so a label that holds many rows is spread as well. Rounds
 use one-byte codes; their error is within ``SLACK``.
@@ -48,8 +50,10 @@ SHORTEST, LONGEST = 16, 64
 MEETING, OFFERED = 48, 6
 SLACK = 0.02
 BLOCK = 512
-#: Nodes that an audit compares with all others.
-AUDIT = 256
+#: Nodes of each kind that an audit compares with all others; random ones are a share of all, from AUDIT up to MOST.
+AUDIT, SHARE, MOST = 512, 256, 4096
+#: Members of a block where all pairs of a label are compared.
+LABEL_BLOCK = 2048
 NODES = "id long, label long, code binary, k int, near array<long>, sim array<float>, joins array<long>"
 OFFERS = "id long, near array<long>, sim array<float>"
 
@@ -276,9 +280,13 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
     return members.mapInArrow(run, "u long, v long, n long")
 
 
-def _audit(vectors: DataFrame, counted: DataFrame, threshold: float) -> float:
-    """Share of the links of a bounded sample of nodes, found by comparing them with all nodes, that were counted."""
-    sample = vectors.orderBy(F.xxhash64("rep", F.lit("audit")), "rep").limit(AUDIT).select("rep", "label", "x").collect()
+def _audit(vectors: DataFrame, nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
+    """Share of a sampled node's links that were counted, on average over the sampled nodes that have links."""
+    number = min(MOST, max(AUDIT, vectors.count() // SHARE))
+    random = vectors.select("rep").orderBy(F.xxhash64("rep", F.lit("audit")), "rep").limit(number)
+    off = F.abs(F.array_max("sim") - F.lit(threshold))
+    close = nodes.select(F.col("id").alias("rep"), off.alias("off")).filter("off IS NOT NULL").orderBy("off", "rep").limit(AUDIT).select("rep")
+    sample = vectors.join(F.broadcast(random.unionByName(close).distinct()), "rep").select("rep", "label", "x").collect()
     if not sample:
         return 1.0
     rep, label = np.array([r["rep"] for r in sample]), np.array([r["label"] for r in sample])
@@ -292,13 +300,22 @@ def _audit(vectors: DataFrame, counted: DataFrame, threshold: float) -> float:
                 x = matrix(batch.column(2))
                 x /= np.sqrt((x * x).sum(1))[:, None]
                 own, lab, copies = (batch.column(k).to_numpy() for k in (0, 1, 3))
-                total += ((q @ x.T >= threshold) & (label[:, None] == lab) & (rep[:, None] != own)) @ copies
+                for i in range(0, len(x), 1024):
+                    some = slice(i, i + 1024)
+                    total += ((q @ x[some].T >= threshold) & (label[:, None] == lab[some]) & (rep[:, None] != own[some])) @ copies[some]
         yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(total)], names=["rep", "n"])
 
     true = vectors.select("rep", "label", "x", "copies").mapInArrow(compare, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     found = counted.filter("v = -1").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("found"))
-    got = true.join(found, "rep", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("found", F.lit(0))))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    share = F.least(F.lit(1.0), F.coalesce("found", F.lit(0)) / F.col("n"))
+    got = true.filter("n > 0").join(found, "rep", "left").agg(F.avg(share)).first()[0]
+    return 1.0 if got is None else got
+
+
+def _all_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """What ``_counted`` gives where each label is one group."""
+    sized = vectors.join(vectors.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
+    return _counted(_blocked(sized.select(F.col("label").alias("key"), "size", "rep", "copies", "x"), "key", "size", "rep", LABEL_BLOCK), threshold)
 
 
 def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.93, recall: float = 0.999, rounds: int = 4, attempts: int = 3) -> DataFrame:
@@ -338,9 +355,11 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.93, recall: flo
         groups = staged(components(edges).withColumnsRenamed({"node": "rep", "component": "key"}), "groups")
         sized = groups.join(groups.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").join(vectors, "rep")
         counted = staged(_counted(_blocked(sized.select("key", "size", "rep", "copies", "x"), "key", "size", "rep", BLOCK), threshold), "counted")
-        if attempt + 1 == attempts or _audit(vectors, counted, threshold) >= recall:
+        if _audit(vectors, nodes, counted, threshold) >= recall:
             break
         nodes = nodes.withColumn("k", F.least(F.col("k") * 2, F.lit(LONGEST)).cast("int"))
+    else:
+        counted = staged(_all_pairs(vectors, threshold), "counted")
     links = counted.filter("v = -1").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("other"))
     joined = components(counted.filter("v <> -1").select("u", "v")).withColumnRenamed("node", "rep")
     told = vectors.join(links, "rep", "left").join(joined, "rep", "left")

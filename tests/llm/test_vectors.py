@@ -161,3 +161,15 @@ def test_near_dedup_pairs_meet_at_the_start(spark):
     assert tables > neardup.tables_for(6, 0.93, 0.999) and 1 - (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables >= 0.999
     met = {(r["id"], v) for r in neardup._start(nodes, tables, 1, bits, 0.91).collect() for v in r["near"]}
     assert np.mean([(i, i + 1) in met for i in range(0, 4000, 2)]) >= 0.995
+
+
+def test_near_dedup_compares_all_pairs_when_the_search_fails(spark, monkeypatch):
+    # A search that finds nothing must not be returned.
+    monkeypatch.setattr(neardup, "_start", lambda nodes, *_: nodes.select("id", "near", "sim").limit(0))
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.standard_normal((40, 16)), 3, 0) + rng.standard_normal((120, 16)) * 0.2
+    rows = [(i, np.float32(v).tolist(), i % 2) for i, v in enumerate(x)]
+    frame = spark.createDataFrame([(*r, 0, 0, 0, 0, 0) for r in rows], VECTORS)
+    want = linked(rows, rows, 0.93)
+    assert sum(w[1] for w in want) > 20
+    assert {tuple(r) for r in neardup.near_duplicate_vectors(frame, 0.93, attempts=1).collect()} == want
