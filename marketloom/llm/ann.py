@@ -6,7 +6,8 @@ The shard's directed graph is built in two passes over batches of nodes: a greed
 beam search from the medoid proposes neighbours, robust pruning (with a relaxed
 distance in the second pass) keeps diverse ones, and edges are made mutual. The
 shard then measures its recall on a bounded sample of its own vectors against
-brute force, and widens its search beam until the target is met.
+brute force, and widens its search beam until the target is met. A shard that misses
+it at the widest beam is searched by brute force, in double precision.
 
 Blocks of queries meet every shard; each gives its best, and the best of all
 shards remain. Equal vectors are one node of the graph; the smallest ids of each
@@ -33,6 +34,8 @@ from marketloom.llm.vectors import matrix, usable
 SHARD_ROWS = 8192
 DEGREE, ROOM, BEAM = 32, 48, 64
 WIDEST = 512
+#: Stands for the beam of a shard that is searched by brute force.
+EXACT = 0
 BATCH = 256
 #: Vectors of a shard whose neighbours are compared with brute force.
 PROBES = 48
@@ -150,7 +153,7 @@ def queries_on_sphere(q: np.ndarray) -> np.ndarray:
 
 
 def fit_beam(graph: Graph, x: np.ndarray, k: int, target: float, seed: int = 5) -> tuple[int, float]:
-    """The narrowest beam whose recall over sampled vectors, against brute force, meets the target."""
+    """The narrowest beam whose recall over sampled vectors, against brute force, meets the target; EXACT where none does."""
     some = np.random.default_rng(seed).permutation(len(x))[:PROBES]
     k = min(k, len(x))
     true = np.argpartition(-(x[some] @ x.T), k - 1, axis=1)[:, :k]
@@ -158,8 +161,10 @@ def fit_beam(graph: Graph, x: np.ndarray, k: int, target: float, seed: int = 5)
     while True:
         found, _ = graph.search(queries_on_sphere(x[some]), max(beam, k))
         recall = float((true[:, :, None] == found[:, None, :]).any(2).mean())
-        if recall >= target or beam >= WIDEST:
+        if recall >= target:
             return beam, recall
+        if beam >= WIDEST:
+            return EXACT, 1.0
         beam *= 2
 
 
@@ -206,8 +211,10 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 q, ids = matrix(part["x"].slice(1)), part["query_id"].slice(1).to_numpy()
                 for i in range(0, len(q), BATCH):
                     own = q[i : i + BATCH]
-                    found, _ = graph.search(queries_on_sphere(own), max(head["beam"], k))
-                    found = found[:, :k]
+                    if head["beam"] == EXACT:
+                        found = np.argsort(-(own @ x.T), axis=1, kind="stable")[:, :k]
+                    else:
+                        found = graph.search(queries_on_sphere(own), max(head["beam"], k))[0][:, :k]
                     score = np.einsum("qkd,qd->qk", x[found], own)
                     a, b = np.nonzero(found >= 0)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i + a]), pa.array(reps[found[a, b]]), pa.array(score[a, b])], names=["query_id", "rep", "score"])

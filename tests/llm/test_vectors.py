@@ -173,3 +173,15 @@ def test_near_dedup_compares_all_pairs_when_the_search_fails(spark, monkeypatch)
     want = linked(rows, rows, 0.93)
     assert sum(w[1] for w in want) > 20
     assert {tuple(r) for r in neardup.near_duplicate_vectors(frame, 0.93, attempts=1).collect()} == want
+
+
+def test_search_beside_one_long_vector(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((1200, 12))
+    x[7] *= 1e5
+    ok = [(i, v.tolist(), 0) for i, v in enumerate(np.float32(x))]
+    frame = spark.createDataFrame([(*r, 0, 0, 0, 0, 0) for r in ok], VECTORS)
+    want = nearest(ok, lambda v: v % 40 == 0, 10)
+    found = ann.nearest(frame, F.col("vec_id") % 40 == 0, 10).collect()
+    hits = sum(len({r["vec_id"] for r in found if r["query_id"] == q} & {v for v, _ in w}) for q, w in want.items())
+    assert hits >= 0.9 * sum(map(len, want.values()))
