@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.storage import discard, staged
 
+#: A key with more than 1/HOT of the rows is joined by broadcast; there are fewer than HOT such keys.
+HOT, LEAST_HOT = 1024, 256
 
-def _large_star(e: DataFrame) -> DataFrame:
+
+def attach(rows: DataFrame, key: str, total: int, *aggregates: Column, least: int = 1) -> DataFrame:
+    """``rows`` with aggregates of their key's group, where a group has at least ``least`` rows.
+
+    ``total`` is the number of rows. The groups of hot keys, fewer than ``HOT``, are
+    broadcast, so their rows stay where they are; the rest meet in a shuffle.
+    ``rows`` is read several times.
+    """
+    most = max(LEAST_HOT, total // HOT)
+    told = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
+    hot = told.filter(F.col("_rows") > most).drop("_rows")
+    rest = told.filter(F.col("_rows").between(least, most)).drop("_rows")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
+
+
+def _large_star(e: DataFrame, total: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    at = attach(both, "u", 2 * total, F.min("v").alias("m"))
+    return at.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, total: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    at = attach(down, "u", total, F.min("v").alias("m"))
+    # A node's own edge to the least replaces that of the least with itself.
+    return at.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -28,15 +46,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     folder, until the edges no longer change; loops and repeats don't matter.
     """
     e = staged(edges.filter("u <> v").select("u", "v").distinct(), "edges")
-    before = None
+    total, before = e.count(), None
     for _ in range(rounds):
-        new = staged(_small_star(_large_star(e)).filter("u <> v").distinct(), "edges")
-        discard(e)
+        large = staged(_large_star(e, total).filter("u <> v").distinct(), "edges")
+        new = staged(_small_star(large, total).filter("u <> v").distinct(), "edges")
+        discard(e, large)
         e = new
         seen = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == before:
             break
-        before = seen
+        total, before = seen[0], seen
     else:
         raise RuntimeError("the components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

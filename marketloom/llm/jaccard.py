@@ -2,23 +2,28 @@
 
 1. Texts become sets of hashed shingles of five lower-cased words (a shorter text
    is one shingle of all its words). Texts with equal sets are one class with a
-   number of copies; classes go on.
-2. A class's MinHash signature is dealt over ``TREES`` tries of ``DEEPEST`` levels.
-   Prefixes are shortened from the deepest level until two sets at the threshold
-   meet under an equal prefix of some trie with at least the target recall.
-3. Classes under equal prefixes are compared by whole signatures. Pairs clearly
+   number of copies; classes, told apart by 128 bits of their set, go on.
+2. A class's MinHash values are dealt over ``TREES`` prefix tries of ``DEEPEST``
+   levels. A path through a trie is one long integer, the first level in its highest
+   bits: sorted paths are the trie, and a shorter prefix is a shift to the right.
+3. The prefix by which classes are matched starts at the deepest level and is
+   shortened level by level until the recall of an audit meets the target. The audit
+   compares a bounded number of classes exactly with all texts and finds, for each
+   of their links, at which levels the two meet (see ``matching_depth``).
+4. Classes under equal prefixes are compared by whole signatures. Pairs clearly
    below the threshold (by 4.5 deviations) are put off; a spanning forest of the
    rest is enough to find candidate groups, as connected components.
-4. Within a candidate group all pairs are verified on their whole shingle sets.
+5. Within a candidate group all pairs are verified on their whole shingle sets.
 
 Prefix groups and candidate groups with many members are dealt over blocks, and
 each pair of blocks is a task's unit; only counts and spanning forests leave it,
 never the pairs of a group.
 
 Null texts and texts without a word have no shingles and link with nothing; very
-long texts are taken whole; repeated rows are copies of each other; an empty
-table gives no rows. Only doc_id and text are read. Shingles are 64-bit and sets
-128-bit hashes.
+long texts are taken whole; repeated rows are copies of each other; rows of one id
+with different texts are different documents; rows with a null id link like others
+and come back with null. An empty table gives no rows. Only doc_id and text are
+read. Shingles are 64-bit and sets 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,29 +35,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.graph import components
+from marketloom.llm.graph import attach, components
 from marketloom.llm.groups import binaries, borders, forest, runs
-from marketloom.llm.storage import staged
+from marketloom.llm.storage import discard, staged
 from marketloom.llm.textops import LOWER, Hasher, flat, mix, segments, words
 
 TREES, DEEPEST = 24, 6
+#: Bits of a trie's level.
+LEVEL = 9
 SLACK = 0.15
 #: Members of a prefix group, and of a candidate group, in one block.
 PREFIX_BLOCK, SET_BLOCK = 512, 256
+#: Classes that the audit compares with all texts: those that meet another at AUDIT_DEPTH in one of AUDIT_TREES, and any others.
+AUDIT_LIKELY, AUDIT_ANY, AUDIT_DEPTH, AUDIT_TREES = 192, 64, 4, 8
+#: Shingles of all audited classes together.
+AUDIT_SHINGLES = 2_000_000
 STEP = 1_000_000
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**63, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, TREES * DEEPEST, dtype=np.uint64)
 
 
-def matching_depth(threshold: float, recall: float, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """The longest prefix by which pairs at the threshold still meet with the target recall."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, flat, and the n + 1 offsets."""
     n = len(offsets) - 1
@@ -92,35 +95,161 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prefixes(signature: np.ndarray, depth: int) -> np.ndarray:
-    s = signature.reshape(len(signature), TREES, DEEPEST).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), s.shape[:2]).copy()
-    for k in range(depth):
-        key = mix(key * np.uint64(0x100000001B3) + s[:, :, k])
-    return key.view(np.int64)
+def tries(signature: np.ndarray) -> np.ndarray:
+    """A row per set: its path through each trie, as a sortable integer (trie, first level, second level ...)."""
+    s = signature.reshape(len(signature), TREES, DEEPEST).astype(np.int64) >> 8 & (1 << LEVEL) - 1
+    key = np.broadcast_to(np.arange(TREES, dtype=np.int64), s.shape[:2])
+    for k in range(DEEPEST):
+        key = key << LEVEL | s[:, :, k]
+    return key
+
+
+def common_levels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The longest prefix that two rows of paths share in some trie."""
+    apart = a ^ b
+    return sum((apart >> LEVEL * (DEEPEST - d) == 0).any(1).astype(np.int64) for d in range(1, DEEPEST + 1))
 
 
-def _signed(docs: DataFrame, width: int, depth: int) -> DataFrame:
+SIGNED = "doc_id long, h1 long, h2 long, n int, signature binary, tries array<long>"
+
+
+def _signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(1))
             sets, at = shingle_sets(data, offsets, width)
             some = np.flatnonzero(np.diff(at))
             first = at[some]
-            h1 = np.add.reduceat(mix(sets), first) if len(some) else np.zeros(0, np.uint64)
-            h2 = np.add.reduceat(mix(sets * np.uint64(3) + np.uint64(1)), first) if len(some) else h1
+            h1, h2 = _names(sets, first)
             sig = signatures(sets, np.append(first, len(sets))) if len(some) else np.zeros((0, TREES * DEEPEST), np.uint32)
-            keys = pa.array(_prefixes(sig, depth).ravel())
+            paths = pa.array(tries(sig).ravel())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(some)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                    pa.array([r.tobytes() for r in sig], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * TREES), keys),
+                    batch.column(0).take(pa.array(some)), pa.array(h1), pa.array(h2), pa.array(np.diff(at)[some].astype(np.int32)),
+                    pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * TREES), paths),
                 ],
-                names=["doc_id", "h1", "h2", "signature", "prefixes"],
+                names=[c.split()[0] for c in SIGNED.split(", ")],
             )
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, signature binary, prefixes array<long>")
+    return docs.mapInArrow(run, SIGNED)
+
+
+def _names(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set that begins at ``first``, as two columns."""
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.add.reduceat(mix(sets), first).view(np.int64), np.add.reduceat(mix(sets * np.uint64(3) + np.uint64(1)), first).view(np.int64)
+
+
+def _likely(sets: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest shingles of each set, of which two sets at the threshold share one, and their owners."""
+    size = np.diff(at)
+    most = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    place = np.arange(len(sets)) - np.repeat(at[:-1], size)
+    keep = place < np.repeat(most, size)
+    return sets[keep], np.repeat(np.arange(len(size)), size)[keep]
+
+
+def expected(j: np.ndarray, depth: int) -> np.ndarray:
+    """The chance that sets of similarity ``j`` share a prefix of ``depth`` levels in some trie."""
+    return 1 - (1 - j**depth) ** TREES
+
+
+def _audited(docs: DataFrame, reps: DataFrame, threshold: float, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per audited class with links: the share of links that meet at each level, and the share expected of their similarities.
+
+    The classes' shingle sets, bounded together by AUDIT_SHINGLES, are compared exactly
+    with every text, whose smallest shingles lead to the few that can link.
+    """
+    path = F.explode(F.slice("tries", 1, AUDIT_TREES))
+    short = reps.select("node", path.alias("key")).withColumn("key", F.shiftright("key", LEVEL * (DEEPEST - AUDIT_DEPTH)))
+    order = F.xxhash64("node", F.lit("audit"))
+    # One of each prefix group, so that a large group doesn't take all places.
+    met = short.groupBy("key").agg(F.min_by("node", order).alias("node"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = met.select("node").distinct().orderBy(order).limit(AUDIT_LIKELY)
+    other = reps.select("node").orderBy(order).limit(AUDIT_ANY)
+    chosen = reps.join(F.broadcast(met.unionByName(other).distinct()), "node").filter("rep IS NOT NULL").select("rep", "h1", "h2", "n")
+    rows, total = [], 0
+    for r in sorted(chosen.collect()):
+        total += r["n"]
+        if not rows or total <= AUDIT_SHINGLES:
+            rows.append(r)
+    if not rows:
+        return []
+    wanted = docs.sparkSession.createDataFrame([(r["rep"], r["h1"], r["h2"]) for r in rows], "doc_id long, h1 long, h2 long")
+    texts = docs.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id")
+    held = {(r["h1"], r["h2"]): r["shingles"] for r in _sets(texts, width).join(F.broadcast(wanted.select("h1", "h2")), ["h1", "h2"]).dropDuplicates(["h1", "h2"]).collect()}
+    own = [np.frombuffer(b, "<u8") for _, b in sorted(held.items())]
+    names = np.array(sorted(held), np.int64).reshape(-1, 2)
+    if not own:
+        return []
+    own_sets, own_at = np.concatenate(own), np.append(0, np.cumsum([len(x) for x in own]))
+    own_paths = tries(signatures(own_sets, own_at))
+    small, holder = _likely(own_sets, own_at, threshold)
+    by = np.argsort(small, kind="stable")
+    small, holder = small[by], holder[by]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            sets, at = shingle_sets(data, offsets, width)
+            least, owner = _likely(sets, at, threshold)
+            lo, hi = np.searchsorted(small, least), np.searchsorted(small, least, "right")
+            hit = np.flatnonzero(hi > lo)
+            n, found, chance = (np.zeros((len(own_at) - 1, DEEPEST)) for _ in range(3))
+            times = hi[hit] - lo[hit]
+            place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            pairs = np.unique(np.stack([np.repeat(owner[hit], times), holder[np.repeat(lo[hit], times) + place]], 1), axis=0)
+            docs_met = np.unique(pairs[:, 0])
+            for i in range(0, len(docs_met), 512):
+                a = docs_met[i : i + 512]
+                b = np.unique(pairs[np.isin(pairs[:, 0], a), 1])
+                part = np.concatenate([sets[at[k] : at[k + 1]] for k in a] + [own[k] for k in b])
+                sizes = np.r_[np.diff(at)[a], np.diff(own_at)[b]]
+                ends = np.append(0, np.cumsum(sizes))
+                both = _overlaps(part, ends, np.arange(len(a)), len(a) + np.arange(len(b)))
+                j = both / (sizes[: len(a), None] + sizes[None, len(a) :] - both)
+                h1, h2 = _names(part[: ends[len(a)]], ends[: len(a)])
+                same = (h1[:, None] == names[b, 0]) & (h2[:, None] == names[b, 1])
+                x, y = np.nonzero((j >= threshold - 1e-6) & ~same)
+                if not len(x):
+                    continue
+                rows_, x_ = np.unique(x, return_inverse=True)
+                picked = np.concatenate([part[ends[k] : ends[k + 1]] for k in rows_])
+                paths = tries(signatures(picked, np.append(0, np.cumsum(sizes[rows_]))))
+                level = common_levels(paths[x_], own_paths[b[y]])
+                for d in range(DEEPEST):
+                    np.add.at(n[:, d], b[y], 1)
+                    np.add.at(found[:, d], b[y], level > d)
+                    np.add.at(chance[:, d], b[y], expected(j[x, y], d + 1))
+            some = np.flatnonzero(n[:, 0])
+            lists = [pa.array([r.tolist() for r in m[some]], pa.list_(pa.float64())) for m in (found, chance)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some, 0]), *lists], names=["own", "n", "found", "chance"])
+
+    seen = docs.mapInArrow(compare, "own long, n double, found array<double>, chance array<double>")
+    sums = [F.array(*[F.sum(F.col(c)[d]) for d in range(DEEPEST)]).alias(c) for c in ("found", "chance")]
+    told = seen.groupBy("own").agg(F.sum("n").alias("n"), *sums).collect()
+    return [(np.array(r["found"]) / r["n"], np.array(r["chance"]) / r["n"]) for r in told]
+
+
+def matching_depth(audited: list[tuple[np.ndarray, np.ndarray]], threshold: float, recall: float) -> int:
+    """The longest prefix that meets the target, going up from the deepest level.
+
+    At a level, the links of the audited classes must meet with the target recall, both
+    as measured and as expected of links of their similarities, on average over the
+    classes. Where no audited class has a link, links are taken to be at the threshold.
+    """
+    depth = DEEPEST
+    while depth > 1:
+        if audited:
+            got = min(float(np.mean([a[k][depth - 1] for a in audited])) for k in (0, 1))
+        else:
+            got = float(expected(np.array([threshold]), depth)[0])
+        if got >= recall:
+            break
+        depth -= 1
+    return depth
 
 
 def _blocked(rows: DataFrame, key: str, size: str, member: str, block: int) -> DataFrame:
@@ -154,16 +283,16 @@ def _candidate_edges(members: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, keys):
             at = borders(t, keys)
-            rep, side = t["rep"].to_numpy(), t["side"].to_numpy()
-            sig, _ = binaries(t["signature"], "<u4")
-            sig = sig.reshape(len(rep), -1)
+            node, side = t["node"].to_numpy(), t["side"].to_numpy()
+            sig, _ = binaries(t["signature"], "u1")
+            sig = sig.reshape(len(node), -1)
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             size = np.diff(at)
             two = at[:-1][size == 2]
             two = two[(side[two] == 2)]
             ok = (sig[two] == sig[two + 1]).mean(1) >= least
-            us.append(rep[two[ok]])
-            vs.append(rep[two[ok] + 1])
+            us.append(node[two[ok]])
+            vs.append(node[two[ok] + 1])
             for k in np.flatnonzero((size > 2) | ((size == 2) & (side[at[:-1]] != 2))):
                 a, b = (at[k] + x for x in _sides(side[at[k] : at[k + 1]]))
                 if not len(a) or not len(b):
@@ -172,8 +301,8 @@ def _candidate_edges(members: DataFrame, least: float) -> DataFrame:
                 x, y = a[x], b[y]
                 x, y = x[x != y], y[x != y]
                 keep = forest(x - at[k], y - at[k], int(size[k]))
-                us.append(rep[x[keep]])
-                vs.append(rep[y[keep]])
+                us.append(node[x[keep]])
+                vs.append(node[y[keep]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     return members.mapInArrow(run, "u long, v long")
@@ -210,7 +339,7 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, keys):
             at = borders(t, keys)
-            rep, side, copies = t["rep"].to_numpy(), t["side"].to_numpy(), t["copies"].to_numpy()
+            node, side, copies = t["node"].to_numpy(), t["side"].to_numpy(), t["copies"].to_numpy()
             sets, offsets = binaries(t["shingles"], "<u8")
             us, vs, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(len(at) - 1):
@@ -221,7 +350,7 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
                 both = _overlaps(sets, offsets, a, b)
                 linked = both >= threshold * (size[a][:, None] + size[b][None, :] - both) - 1e-6
                 linked &= a[:, None] != b[None, :]
-                us += [rep[a], rep[b]] if one_sided(side, at[k], at[k + 1]) else [rep[a]]
+                us += [node[a], node[b]] if one_sided(side, at[k], at[k + 1]) else [node[a]]
                 none = np.full(len(a), -1)
                 if one_sided(side, at[k], at[k + 1]):
                     vs += [none, np.full(len(b), -1)]
@@ -232,8 +361,8 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
                 x, y = np.nonzero(linked)
                 x, y = a[x], b[y]
                 keep = forest(x - at[k], y - at[k], int(at[k + 1] - at[k]))
-                us.append(rep[x[keep]])
-                vs.append(rep[y[keep]])
+                us.append(node[x[keep]])
+                vs.append(node[y[keep]])
                 ns.append(np.zeros(len(keep), np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(us)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(ns).astype(np.int64))], names=["u", "v", "n"]
@@ -253,70 +382,125 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     ``class_id`` is the smallest doc_id reachable by links (pairs of documents
     with Jaccard similarity of at least ``threshold``), ``n_links`` counts the other
     documents linked directly, ``kept`` marks the document that stands for its
-    class. A text without shingles is a class of its own, of its doc_id.
+    class. A text without shingles is a class of its own, of its doc_id. A class in
+    which all ids are null has a null class_id, and all its rows are marked.
     """
+    return _told(docs, threshold, width, recall)[0].select("doc_id", "class_id", "n_links", "kept")
+
+
+def _told(docs: DataFrame, threshold: float, width: int, recall: float) -> tuple[DataFrame, list[DataFrame]]:
+    """``near_duplicates`` with the set's name (h1, h2; null without shingles) and component; and the staged frames it reads."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = staged(_signed(docs, width, matching_depth(threshold, recall)), "signed")
-    same = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = staged(same, "classes")
-    reps = signed.join(classes, (signed["doc_id"] == classes["rep"]) & (signed["h1"] == classes["h1"]) & (signed["h2"] == classes["h2"]), "left_semi")
-    reps = reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "signature", "prefixes")
-    reps = staged(reps, "reps")
-    entries = reps.select("rep", F.explode("prefixes").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = entries.join(shared, "key").join(reps.select("rep", "signature"), "rep")
-    edges = _candidate_edges(_blocked(members, "key", "size", "rep", PREFIX_BLOCK), threshold - SLACK)
-    groups = staged(components(edges).withColumnsRenamed({"node": "rep", "component": "key"}), "groups")
-    sized = groups.join(groups.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
-    sized = sized.join(classes, "rep")
-    texts = docs.join(sized, docs["doc_id"] == sized["rep"]).drop("doc_id")
-    sets = _sets(texts, width).dropDuplicates(["rep"])
-    found = staged(_verified(_blocked(sets, "key", "size", "rep", SET_BLOCK), threshold), "verified")
-    links = found.filter("v = -1").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("other"))
-    joined = components(found.filter("v <> -1").select("u", "v")).withColumnRenamed("node", "rep")
-    told = classes.join(links, "rep", "left").join(joined, "rep", "left").select(
-        "h1", "h2",
-        F.coalesce("component", "rep").alias("class_id"),
-        (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"),
+    signed = staged(_signed(docs, width), "signed")
+    whole = signed.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
+        F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("tries").alias("tries"),
     )
-    told = staged(told, "told")
-    with_sets = signed.select("doc_id", "h1", "h2").join(told, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
+    # Equal sets have equal signatures, so any copy's will do.
+    reps = staged(whole.withColumn("node", F.monotonically_increasing_id()), "reps")
+    classes = reps.select("node", "h1", "h2", "rep", "copies")
+    number = reps.count()
+    depth = matching_depth(_audited(docs, reps, threshold, width), threshold, recall)
+    entries = reps.select("node", F.explode("tries").alias("key")).withColumn("key", F.shiftright("key", LEVEL * (DEEPEST - depth)))
+    shared = attach(entries, "key", number * TREES, F.count(F.lit(1)).alias("size"), least=2)
+    members = shared.join(reps.select("node", "signature"), "node")
+    edges = _candidate_edges(_blocked(members, "key", "size", "node", PREFIX_BLOCK), threshold - SLACK)
+    groups = staged(components(edges).withColumnsRenamed({"component": "key"}), "groups")
+    sized = staged(attach(groups, "key", groups.count(), F.count(F.lit(1)).alias("size")).join(classes, "node"), "sized")
+    sets = _sets_of(docs, sized, width)
+    found = staged(_verified(_blocked(sets, "key", "size", "node", SET_BLOCK), threshold), "verified")
+    links = found.filter("v = -1").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("other"))
+    joined = components(found.filter("v <> -1").select("u", "v"))
+    other = F.coalesce("other", F.lit(0))
+    each = classes.join(links, "node", "left").join(joined, "node", "left").select(
+        "node", "h1", "h2", "rep", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + other).alias("n_links")
+    )
+    each = staged(each, "each")
+    told = staged(attach(each, "component", number, F.min("rep").alias("class_id")), "told")
+    discard(reps, groups, sized, found, each)
+    with_sets = signed.select("doc_id", "h1", "h2").join(told, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "h1", "h2", "component")
+    none = [F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "component")]
     without = docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")).select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), *none
     )
-    out = with_sets.unionByName(without)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return with_sets.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))), [signed, told]
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``classes`` (h1, h2, rep and more) with their whole shingle sets, made again from a text of each."""
+    named = docs.join(classes.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    unnamed = docs.filter("doc_id IS NULL")
+    made = _sets(named.unionByName(unnamed), width).dropDuplicates(["h1", "h2"])
+    return made.join(classes, ["h1", "h2"])
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """rep, key, size, copies and the whole shingle set of texts whose set is their class's."""
+    """h1, h2 and the whole shingle set of texts that have shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            data, offsets = flat(t["text"])
+            data, offsets = flat(batch.column(0))
             sets, at = shingle_sets(data, offsets, width)
             some = np.flatnonzero(np.diff(at))
-            h1 = np.zeros(len(offsets) - 1, np.uint64)
-            if len(some):
-                h1[some] = np.add.reduceat(mix(sets), at[some])
-            right = np.flatnonzero((h1.view(np.int64) == t["h1"].to_numpy()) & (np.diff(at) > 0))
-            made = [sets[at[k] : at[k + 1]].tobytes() for k in right]
-            take = pa.array(right)
-            yield pa.RecordBatch.from_arrays(
-                [*(t[c].take(take).combine_chunks() for c in ("rep", "key", "size", "copies")), pa.array(made, pa.binary())],
-                names=["rep", "key", "size", "copies", "shingles"],
-            )
+            h1, h2 = _names(sets, at[some])
+            made = pa.array([sets[at[k] : at[k + 1]].tobytes() for k in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), made], names=["h1", "h2", "shingles"])
 
-    return texts.select("rep", "key", "size", "copies", "h1", "text").mapInArrow(run, "rep long, key long, size long, copies long, shingles binary")
+    return texts.select("text").mapInArrow(run, "h1 long, h2 long, shingles binary")
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """``docs`` less all but one document of each class; of rows with one id, one stays."""
-    classes = staged(near_duplicates(docs, threshold, width), "near")
-    told = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("_stays"), F.count(F.lit(1)).alias("_times"))
+def _named(docs: DataFrame, width: int, h1: str, h2: str) -> DataFrame:
+    """``docs`` with the name of each text's set in two more columns; null without shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column(batch.schema.get_field_index("text")))
+            sets, at = shingle_sets(data, offsets, width)
+            some = np.flatnonzero(np.diff(at))
+            one, two = np.zeros((2, len(offsets) - 1), np.int64)
+            one[some], two[some] = _names(sets, at[some])
+            none = np.diff(at) == 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one, mask=none), pa.array(two, mask=none)], names=[*batch.schema.names, h1, h2])
+
+    return docs.mapInArrow(run, docs.withColumns({h: F.lit(None).cast("long") for h in (h1, h2)}).schema)
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column."""
+    held = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
+    """``docs`` less all but one document of each class, that of the smallest doc_id.
+
+    Of repeated rows (equal id and shingles) one stays; rows of one id with different
+    texts are different documents. A class without any id keeps one row. Texts
+    without shingles stay, one for each id that is not null.
+    """
+    made, needed = _told(docs, threshold, width, recall)
+    told = staged(made, "near")
+    discard(*needed)
+    stays, times, own, h1, h2, key = free_names(docs, "stays", "times", "own", "h1", "h2", "key")
+    ids = told.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(F.bool_and("kept").alias(stays), F.count(F.lit(1)).alias(times))
     # Documents are shuffled once, at every size: the merge hint keeps small inputs from another plan.
-    left = docs.filter("doc_id IS NOT NULL").join(told.hint("merge"), "doc_id").filter("_stays")
-    once = left.filter("_times = 1").select(*docs.columns)
-    one = left.filter("_times > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.unionByName(one).unionByName(docs.filter("doc_id IS NULL"))
+    named = docs.withColumn(key, F.col("doc_id").cast("long"))
+    left = named.join(ids.hint("merge"), key)
+    once = left.filter(F.col(times) == 1).filter(F.col(stays)).select(*docs.columns)
+    # Rows that share their id, or have none, are told apart by their sets.
+    again = left.filter(F.col(times) > 1).select(*docs.columns, key)
+    rows = _named(again.unionByName(named.filter(F.col(key).isNull())), width, h1, h2)
+    empty = rows.filter(F.col(h1).isNull())
+    classes = told.filter("h1 IS NOT NULL").groupBy("component", "h1", "h2").agg(F.min("doc_id").alias("least"), F.max("class_id").alias("class_id"))
+    by = F.struct(F.col("class_id").isNotNull() & ~F.col("least").eqNullSafe(F.col("class_id")), "h1", "h2")
+    best = classes.groupBy("component").agg(F.min_by(F.struct("h1", "h2", "class_id"), by).alias("b"))
+    best = best.select(F.col("b.h1").alias(h1), F.col("b.h2").alias(h2), F.col("b.class_id").alias(own))
+    kept = rows.join(best, [h1, h2]).filter(F.col(key).eqNullSafe(F.col(own)))
+    kept = kept.dropDuplicates([h1, h2]).select(*docs.columns)
+    blank = empty.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(empty.filter(F.col(key).isNull()))
+    return once.unionByName(kept).unionByName(blank.select(*docs.columns))

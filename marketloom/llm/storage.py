@@ -1,8 +1,13 @@
 """Materialised steps in the folder that driver and executors share.
 
 ``spark.checkpoint.dir`` names that folder. A step written there survives the
-loss of executors and cuts lineage. Where it is unset (tests, a laptop), a local
-default is used.
+loss of executors and cuts lineage. Where it is unset, a session in one process
+(tests, a laptop) uses a folder of its own; on a cluster that is an error, as
+executors would not find each other's files.
+
+Steps that only an operator reads are deleted by ``discard`` once the next step is
+written. The last steps, from which a returned frame is read, stay until their
+owner clears the folder.
 """
 
 from __future__ import annotations
@@ -15,7 +20,13 @@ LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = LOCAL_DEFAULT
+    return named.rstrip("/")
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

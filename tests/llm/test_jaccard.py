@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marketloom.llm import jaccard, packing, queries
@@ -88,6 +90,63 @@ def test_join_edge_rows(spark):
     assert len(some) == len(docs) and all(r["doc_id"] is None for r in some)
 
 
+def test_join_with_repeated_and_null_ids(spark):
+    a, b = ([f"{p}{k}" for k in range(60)] for p in "ab")
+    text = lambda words, last: " ".join([*words, last])
+    # One id with two texts, each near another row's; a text whose only row has no id, near two others.
+    rows = [(1, text(a, "x")), (1, text(b, "x")), (2, text(a, "y")), (3, text(b, "y")), (4, text("cdefghijklmnopqrstuvwxyz", "x"))]
+    rows += [(None, text("cdefghijklmnopqrstuvwxyz", "y")), (5, text("cdefghijklmnopqrstuvwxyz", "z")), (None, "no id one two three"), (None, "no id one two three")]
+    frame = spark.createDataFrame([(*d, "", "", 0, 0, 0, 0, 0) for d in rows], DOCS)
+    got = sorted(map(tuple, jaccard.near_duplicates(frame).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 4, 2, True), (None, 4, 2, False), (5, 4, 2, False), (None, None, 1, True), (None, None, 1, True)], key=repr)
+    kept = jaccard.drop_near_duplicates(frame).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([rows[0], rows[1], rows[4], rows[7]], key=repr)
+
+
+def test_clashing_columns_survive(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f", 2, 3, 4, 5), (2, "a b c d e f", 2, 3, 4, 5)], "doc_id long, text string, stays int, times int, H1 int, key int")
+    assert [tuple(r) for r in jaccard.drop_near_duplicates(frame).collect()] == [(1, "a b c d e f", 2, 3, 4, 5)]
+
+
+def test_links_at_the_threshold(spark):
+    # 300 pairs whose similarity is exactly 0.8: 36 common shingles of 45.
+    docs = []
+    for g in range(300):
+        words = [f"{g}w{k}" for k in range(44)]
+        docs += [(2 * g, " ".join(words[:40] + [f"{g}u{k}" for k in range(4)])), (2 * g + 1, " ".join(words[:40] + [f"{g}v{k}" for k in range(5)]))]
+    frame = spark.createDataFrame([(*d, "", "", 0, 0, 0, 0, 0) for d in docs], DOCS)
+    got = sorted(map(tuple, jaccard.near_duplicates(frame).collect()))
+    want = classes(docs)
+    assert sum(w[2] for w in want) == 600 and sum(a == b for a, b in zip(got, want, strict=True)) >= 0.995 * len(want)
+
+
+def test_prefix_is_shortened_until_the_audit_meets_the_target():
+    chance = lambda j: np.array([jaccard.expected(np.array(j), d) for d in range(1, jaccard.DEEPEST + 1)])
+    depths = [jaccard.matching_depth([(np.ones(jaccard.DEEPEST), chance(j))], 0.8, 0.9999) for j in (0.95, 0.8, 0.5)]
+    assert depths[0] == jaccard.DEEPEST and depths[0] > depths[1] > depths[2] >= 1
+    # Measured losses count although none are expected.
+    lost = np.array([1.0, 1.0, 1.0, 0.9, 0.8, 0.7])
+    assert jaccard.matching_depth([(lost, chance(0.95))], 0.8, 0.99) == 3
+    assert jaccard.matching_depth([], 0.8, 0.9999) == 5
+
+
+def test_audit_compares_exactly(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "AUDIT_ANY", 10_000)
+    docs = variants(11, 40)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    signed = staged(jaccard._signed(frame, 5), "signed")
+    reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tries").alias("tries"))
+    reps = staged(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
+    told = jaccard._audited(frame, reps, 0.8, 5)
+    links = [w for w in classes(docs) if w[2]]
+    sets = {i: frozenset(shingles(t)) for i, t in docs}
+    of = {}
+    for i, c, *_ in classes(docs):
+        of.setdefault(c, set()).add(sets[i])
+    assert links and len({s for c in of.values() if len(c) > 1 for s in c}) == len(told)
+    assert all(a[0][0] >= a[0][-1] and 0.9 < a[0][0] <= 1 for a in told)
+
+
 def test_pipeline_stages(spark, small):
     docs = staged(spark.read.parquet(f"{small}/documents.parquet"), "given")
     quality, toxicity, join, pack = (f for _, f in corpus_pipeline.STAGES)
