@@ -62,10 +62,55 @@ URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 @query
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    pages = url_filter.with_outcomes(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    out = url_filter.filter_urls(pages, URL_RULES, F.col("outcome"))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def _level_sql(name: str, key: str, parent: str, above: str) -> str:
+    """One level of the reputation: its nodes' posteriors from their parents'."""
+    return f"""{name}_n AS (
+  SELECT {key}, any_value({parent}) AS {parent}, sum(bad) AS bad, sum(n) AS n FROM sites GROUP BY {key}
+), {name}_m AS (
+  SELECT c.{key}, bad, n, a / (a + b) AS m, a + b AS own FROM {name}_n c JOIN {above} USING ({parent})
+), {name}_f AS (
+  SELECT sum(n * (bad / n - m) ** 2) AS spread, sum(m * (1 - m)) AS sampled, sum((n - 1) * m * (1 - m)) AS weight FROM {name}_m WHERE n > 1
+), {name}_s AS (
+  SELECT least(greatest(1 / greatest(CASE WHEN weight > 0 THEN (spread - sampled) / weight ELSE 1 END, 1e-9) - 1, 1), 100) AS strength FROM {name}_f
+), {name} AS (
+  SELECT {key}, bad + m * s AS a, n - bad + (1 - m) * s AS b
+  FROM (SELECT *, 1 / (1 / (own + 1) + 1 / (strength + 1)) - 1 AS s FROM {name}_m, {name}_s)
+)"""
+
+
+_SUFFIXES = ", ".join(f"'{s}'" for s in url_filter.SUFFIXES)
+_LAST = lambda n: f"array_to_string(list_slice(string_split(site, '.'), -{n}, NULL), '.')"
+_FITS = [
+    (rule, verdict, f"(host = '{rule[: rule.index('/')]}' OR ends_with(host, '.{rule[: rule.index('/')]}')) AND starts_with(path, '{rule[rule.index('/') :]}')")
+    for verdict, rule in sorted(URL_RULES, key=lambda r: -len(r[1]))
+]
+SQL["op5_url_filters"] = rf"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), told AS (
+  SELECT CAST(doc_id AS BIGINT) AS shown, max(greatest(toxic, 1 - quality)) AS outcome FROM labels WHERE doc_id IS NOT NULL GROUP BY ALL
+), p AS (
+  SELECT u.*, outcome, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') AS site
+  FROM u LEFT JOIN told ON shown = try_cast(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1) AS BIGINT)
+), sites AS (
+  SELECT *, 0 AS whole, CASE WHEN address THEN site WHEN {_LAST(2)} IN ({_SUFFIXES}) THEN {_LAST(3)} ELSE {_LAST(2)} END AS domain,
+    CASE WHEN address THEN site WHEN {_LAST(2)} IN ({_SUFFIXES}) THEN {_LAST(2)} ELSE {_LAST(1)} END AS suffix
+  FROM (SELECT site, coalesce(sum(outcome), 0) AS bad, count(outcome) AS n, regexp_matches(site, '{url_filter.ADDRESS}') AS address FROM p WHERE site <> '' GROUP BY site)
+), everything AS (SELECT 0 AS whole, sum(bad) + 1.0 AS a, sum(n) - sum(bad) + 1.0 AS b FROM sites),
+{_level_sql("suffixes", "suffix", "whole", "everything")}, {_level_sql("domains", "domain", "suffix", "suffixes")}, {_level_sql("hosts", "site", "domain", "domains")},
+bounds AS (SELECT site, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower_bound FROM hosts)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {fits} THEN '{rule}'" for rule, _, fits in _FITS)} END AS rule,
+  CASE {" ".join(f"WHEN {fits} THEN '{verdict}'" for _, verdict, fits in _FITS)} WHEN lower_bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN bounds USING (site)
+"""
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
