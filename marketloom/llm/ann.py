@@ -13,9 +13,10 @@ Blocks of queries meet every shard; each gives its best, and the best of all
 shards remain. Equal vectors are one node of the graph; the smallest ids of each
 are put back in at the end.
 
-Vectors that are null, zero or hold null or non-finite components take no part.
-Ties go to the smaller id; repeated ids count as one row (equal vectors) or as
-several. An empty table gives no rows.
+Vectors that are null, zero or hold null or non-finite components take no part, nor
+do those of another length than the commonest. Ties go to the smaller id. Repeated
+rows count once; of an id with several vectors the least counts. An empty table gives
+no rows. Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from marketloom.llm.groups import borders, runs
 from marketloom.llm.storage import staged
 from marketloom.llm.vectors import matrix, usable
 
-SHARD_ROWS = 8192
+SHARD_ROWS = 32_768
 DEGREE, ROOM, BEAM = 32, 48, 64
 WIDEST = 512
 #: Stands for the beam of a shard that is searched by brute force.
@@ -39,7 +40,7 @@ EXACT = 0
 BATCH = 256
 #: Vectors of a shard whose neighbours are compared with brute force.
 PROBES = 48
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16_384
 
 
 class Graph:
@@ -230,8 +231,12 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, target: float = 0.95) -> DataFrame:
-    """query_id, rank, vec_id and score: the ``k`` nearest found of each query among all other rows."""
-    good = staged(usable(rows.select("vec_id", "embedding"), ["vec_id"], "embedding"), "usable")
+    """query_id, rank, vec_id, score and recall: the ``k`` nearest found of each query among all other rows.
+
+    ``recall`` is the least that a shard measured on its own probes.
+    """
+    good = usable(rows.select("vec_id", "embedding"), ["vec_id"], "embedding")
+    good = staged(good.groupBy("vec_id").agg(F.min("x").alias("x")), "usable")
     same = Window.partitionBy("x").orderBy("vec_id")
     # Of equal vectors only the smallest k + 1 ids can be among the nearest.
     ids = good.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1)
@@ -242,5 +247,6 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, target: float = 0.95
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     found = found.dropDuplicates(["query_id", "rep"]).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
     all_ids = found.select("query_id", "rep", "score").join(ids.select("rep", "vec_id"), "rep").filter("vec_id <> query_id")
+    recall = index.agg(F.min("recall")).first()[0]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return all_ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return all_ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(recall).cast("double").alias("recall"))

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.graph import attach, components
 from marketloom.llm.groups import binaries, borders, forest, runs
+from marketloom.llm.names import free_names
 from marketloom.llm.storage import discard, staged
 from marketloom.llm.textops import LOWER, Hasher, flat, mix, segments, words
 
@@ -465,17 +466,6 @@ def _named(docs: DataFrame, width: int, h1: str, h2: str) -> DataFrame:
     return docs.mapInArrow(run, docs.withColumns({h: F.lit(None).cast("long") for h in (h1, h2)}).schema)
 
 
-def free_names(docs: DataFrame, *names: str) -> list[str]:
-    """The names, each with as many underscores before it as it takes to clash with no column."""
-    held = {c.lower() for c in docs.columns}
-    out = []
-    for name in names:
-        while name.lower() in held:
-            name = f"_{name}"
-        out.append(name)
-    return out
-
-
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
     """``docs`` less all but one document of each class, that of the smallest doc_id.
 

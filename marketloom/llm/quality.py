@@ -126,13 +126,13 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: int
                 names=["doc_id", "label", "index", "weight"],
             )
 
-    rows = training_rows(docs, labels, target, bound).mapInArrow(vectors, "doc_id long, label int, index binary, weight binary")
-    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    return train([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["weight"], np.float32), r["label"]) for r in rows])
+    rows = training_rows(docs, labels, target, bound).mapInArrow(vectors, "doc_id long, label int, index binary, weight binary").toArrow().sort_by("doc_id")
+    made = zip(rows["index"], rows["weight"], rows["label"].to_pylist(), strict=True)
+    return train([(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32), y) for i, w, y in made])
 
 
 def score(docs: DataFrame, table: np.ndarray, bias: float, name: str = "score") -> DataFrame:
-    """``docs`` with the probability of class 1 of every whole text, in a column ``name``."""
+    """``docs`` with the probability of class 1 of every whole text, in a column ``name``, which replaces one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,5 +146,5 @@ def score(docs: DataFrame, table: np.ndarray, bias: float, name: str = "score")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: int = 2500) -> DataFrame:
-    return score(docs, *fit(docs, labels, target, bound))
+def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: int = 2500, name: str = "score") -> DataFrame:
+    return score(docs, *fit(docs, labels, target, bound), name)

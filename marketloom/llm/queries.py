@@ -128,19 +128,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _held_out_scores(docs: DataFrame, threshold: float) -> DataFrame:
+def _held_out_scores(docs: DataFrame, threshold: float, *more: str) -> DataFrame:
     return docs.select(
         "doc_id",
         (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *more,
     )
 
 
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _held_out_scores(toxicity.detect(docs, table(spark, sf_dir, "labels")), 0.5)
+    return _held_out_scores(toxicity.detect(docs, table(spark, sf_dir, "labels")), 0.5, "offending")
 
 
 @query

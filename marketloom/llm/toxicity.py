@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from marketloom.llm.labelled import training_rows
@@ -167,18 +167,16 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int =
                 names=["doc_id", "label", "features", "sentence"],
             )
 
-    rows = training_rows(docs, labels, target, bound).mapInArrow(bags, "doc_id long, label int, features binary, sentence binary")
+    rows = training_rows(docs, labels, target, bound).mapInArrow(bags, "doc_id long, label int, features binary, sentence binary").toArrow().sort_by("doc_id")
     width = 1 + len(BEGINNINGS)
-
-    def bag(row: Row) -> tuple[np.ndarray, np.ndarray, int]:
-        return np.frombuffer(row["features"], np.int32).reshape(-1, width), np.frombuffer(row["sentence"], np.int32), row["label"]
-
-    # Only ``train`` holds the bags, so it can let go of them.
-    return train([bag(r) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])])
+    made = zip(rows["features"], rows["sentence"], rows["label"].to_pylist(), strict=True)
+    made = [(np.frombuffer(f.as_buffer(), np.int32).reshape(-1, width), np.frombuffer(s.as_buffer(), np.int32), y) for f, s, y in made]
+    del rows
+    return train(made)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, name: str = "score", located: str = "offending") -> DataFrame:
-    """``docs`` with the probability that a whole text is toxic, and its offending sentences."""
+    """``docs`` with the probability that a whole text is toxic, and its offending sentences; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
@@ -194,5 +192,5 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, name: str = "score"
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(located, SPANS)]))
 
 
-def detect(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = 4000) -> DataFrame:
-    return score(docs, *fit(docs, labels, target, bound))
+def detect(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = 4000, name: str = "score", located: str = "offending") -> DataFrame:
+    return score(docs, *fit(docs, labels, target, bound), name, located)

@@ -72,6 +72,22 @@ def test_search_edge_rows(spark):
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 20 == 0, 20).collect() == []
     few = ann.nearest(frame.filter("vec_id in (0, 43, 44)"), F.col("vec_id") == 0, 20).collect()
     assert [(r["rank"], r["vec_id"]) for r in sorted(few)] == [(1, 44), (2, 43)]
+    # Repeated rows count once; of an id with two vectors the least counts.
+    twice = frame.unionByName(frame).unionByName(frame.filter("vec_id = 43").withColumn("vec_id", F.lit(0).cast("long")))
+    again = ann.nearest(twice.filter("vec_id in (0, 43, 44)"), F.col("vec_id") == 44, 20).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(again)] == [(1, 0, 0.0), (2, 43, 0.0)]
+
+
+def test_search_of_uneven_lengths(spark):
+    rng = np.random.default_rng(2)
+    # Lengths over several orders of magnitude: few long vectors are nearest to nearly all.
+    x = rng.standard_normal((3000, 24)) * np.exp(rng.standard_normal((3000, 1)) * 1.5)
+    ok = [(i, v.tolist(), 0) for i, v in enumerate(np.float32(x))]
+    frame = spark.createDataFrame([(*r, 0, 0, 0, 0, 0) for r in ok], VECTORS)
+    want = nearest(ok, lambda v: v % 20 == 0, 20)
+    found = ann.nearest(frame, F.col("vec_id") % 20 == 0, 20).collect()
+    hits = sum(len({r["vec_id"] for r in found if r["query_id"] == q} & {v for v, _ in w}) for q, w in want.items())
+    assert hits >= 0.9 * sum(map(len, want.values())) and {r["recall"] >= 0.9 for r in found} == {True}
 
 
 def linked(rows, ok, least):
