@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import jaccard, packing, quality, toxicity
-from marketloom.llm.storage import staged, table
+from marketloom.llm.names import free_names
+from marketloom.llm.storage import discard, staged, table
 
 QUALITY_LEAST = 0.3
 TOXIC_FROM = 0.5
@@ -20,14 +21,16 @@ TOXIC_FROM = 0.5
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as good text; labels train the classifier only."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("score") >= QUALITY_LEAST).select(*docs.columns)
+    (score,) = free_names(docs, "score")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"), name=score)
+    return scored.filter(F.col(score) >= QUALITY_LEAST).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an offending sentence, by noisy-or over all of them."""
-    scored = toxicity.detect(docs, table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    score, located = free_names(docs, "score", "offending")
+    scored = toxicity.detect(docs, table(spark, sf_dir, "labels"), name=score, located=located)
+    return scored.filter(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = staged(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        kept = staged(stage(spark, docs, sf_dir), "stage")
+        discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
