@@ -14,16 +14,20 @@ HOT, LEAST_HOT = 1024, 256
 def attach(rows: DataFrame, key: str, total: int, *aggregates: Column, least: int = 1) -> DataFrame:
     """``rows`` with aggregates of their key's group, where a group has at least ``least`` rows.
 
-    ``total`` is the number of rows. The groups of hot keys, fewer than ``HOT``, are
-    broadcast, so their rows stay where they are; the rest meet in a shuffle.
-    ``rows`` is read several times.
+    ``total`` is the number of rows. Hot keys are fewer than ``HOT``: their names go to
+    the driver and their groups are broadcast, so their rows stay where they are; the
+    rest meet in a shuffle. ``rows`` is read several times.
     """
     most = max(LEAST_HOT, total // HOT)
     told = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
-    hot = told.filter(F.col("_rows") > most).drop("_rows")
-    rest = told.filter(F.col("_rows").between(least, most)).drop("_rows")
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
+    hot = [r[0] for r in told.filter(F.col("_rows") > most).select(key).collect()]
+    cold = rows.filter(~F.col(key).isin(hot)) if hot else rows
+    rest = cold.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *aggregates).filter(F.col("_rows") >= least).drop("_rows")
+    out = cold.join(rest, key)
+    if hot:
+        warm = rows.filter(F.col(key).isin(hot))
+        out = out.unionByName(warm.join(F.broadcast(warm.groupBy(key).agg(*aggregates)), key))
+    return out
 
 
 def _large_star(e: DataFrame, total: int) -> DataFrame:

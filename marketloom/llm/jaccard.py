@@ -191,42 +191,51 @@ def _audited(docs: DataFrame, reps: DataFrame, threshold: float, width: int) ->
     by = np.argsort(small, kind="stable")
     small, holder = small[by], holder[by]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column(1))
-            sets, at = shingle_sets(data, offsets, width)
-            least, owner = _likely(sets, at, threshold)
-            lo, hi = np.searchsorted(small, least), np.searchsorted(small, least, "right")
-            hit = np.flatnonzero(hi > lo)
-            n, found, chance = (np.zeros((len(own_at) - 1, DEEPEST)) for _ in range(3))
-            times = hi[hit] - lo[hit]
-            place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            pairs = np.unique(np.stack([np.repeat(owner[hit], times), holder[np.repeat(lo[hit], times) + place]], 1), axis=0)
-            docs_met = np.unique(pairs[:, 0])
-            for i in range(0, len(docs_met), 512):
-                a = docs_met[i : i + 512]
-                b = np.unique(pairs[np.isin(pairs[:, 0], a), 1])
-                part = np.concatenate([sets[at[k] : at[k + 1]] for k in a] + [own[k] for k in b])
-                sizes = np.r_[np.diff(at)[a], np.diff(own_at)[b]]
-                ends = np.append(0, np.cumsum(sizes))
-                both = _overlaps(part, ends, np.arange(len(a)), len(a) + np.arange(len(b)))
-                j = both / (sizes[: len(a), None] + sizes[None, len(a) :] - both)
-                h1, h2 = _names(part[: ends[len(a)]], ends[: len(a)])
-                same = (h1[:, None] == names[b, 0]) & (h2[:, None] == names[b, 1])
-                x, y = np.nonzero((j >= threshold - 1e-6) & ~same)
-                if not len(x):
-                    continue
+    own_size = np.diff(own_at)
+
+    def links(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Audited classes, similarities and common levels of the links that some texts have with them."""
+        sets, at = shingle_sets(data, offsets, width)
+        size = np.diff(at)
+        least, owner = _likely(sets, at, threshold)
+        lo, hi = np.searchsorted(small, least), np.searchsorted(small, least, "right")
+        hit = np.flatnonzero(hi > lo)
+        times = hi[hit] - lo[hit]
+        place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        pairs = np.unique(np.stack([np.repeat(owner[hit], times), holder[np.repeat(lo[hit], times) + place]], 1), axis=0)
+        a, b = size[pairs[:, 0]], own_size[pairs[:, 1]]
+        pairs = pairs[np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-6]
+        met = np.unique(pairs[:, 0])
+        for i in range(0, len(met), 128):
+            a = met[i : i + 128]
+            b = np.unique(pairs[np.isin(pairs[:, 0], a), 1])
+            part = np.concatenate([sets[at[k] : at[k + 1]] for k in a] + [own[k] for k in b])
+            sizes = np.r_[size[a], own_size[b]]
+            ends = np.append(0, np.cumsum(sizes))
+            both = _overlaps(part, ends, np.arange(len(a)), len(a) + np.arange(len(b)))
+            j = both / (sizes[: len(a), None] + sizes[None, len(a) :] - both)
+            h1, h2 = _names(part[: ends[len(a)]], ends[: len(a)])
+            same = (h1[:, None] == names[b, 0]) & (h2[:, None] == names[b, 1])
+            x, y = np.nonzero((j >= threshold - 1e-6) & ~same)
+            if len(x):
                 rows_, x_ = np.unique(x, return_inverse=True)
                 picked = np.concatenate([part[ends[k] : ends[k + 1]] for k in rows_])
                 paths = tries(signatures(picked, np.append(0, np.cumsum(sizes[rows_]))))
-                level = common_levels(paths[x_], own_paths[b[y]])
-                for d in range(DEEPEST):
-                    np.add.at(n[:, d], b[y], 1)
-                    np.add.at(found[:, d], b[y], level > d)
-                    np.add.at(chance[:, d], b[y], expected(j[x, y], d + 1))
-            some = np.flatnonzero(n[:, 0])
-            lists = [pa.array([r.tolist() for r in m[some]], pa.list_(pa.float64())) for m in (found, chance)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some, 0]), *lists], names=["own", "n", "found", "chance"])
+                yield b[y], j[x, y], common_levels(paths[x_], own_paths[b[y]])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, found, chance = (np.zeros((len(own), DEEPEST)) for _ in range(3))
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            for i, j in segments(offsets, STEP):
+                for to, similarity, level in links(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                    for d in range(DEEPEST):
+                        n[:, d] += np.bincount(to, minlength=len(own))
+                        found[:, d] += np.bincount(to, level > d, len(own))
+                        chance[:, d] += np.bincount(to, expected(similarity, d + 1), len(own))
+        some = np.flatnonzero(n[:, 0])
+        lists = [pa.array([r.tolist() for r in m[some]], pa.list_(pa.float64())) for m in (found, chance)]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some, 0]), *lists], names=["own", "n", "found", "chance"])
 
     seen = docs.mapInArrow(compare, "own long, n double, found array<double>, chance array<double>")
     sums = [F.array(*[F.sum(F.col(c)[d]) for d in range(DEEPEST)]).alias(c) for c in ("found", "chance")]
