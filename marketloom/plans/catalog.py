@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
 
 
 def _register() -> None:
-    from marketloom.plans import indicators, panel, relational, risk, trading  # noqa: F401
+    from marketloom.plans import documents, indicators, panel, relational, risk, trading  # noqa: F401
 
 
 _register()

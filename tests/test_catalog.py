@@ -8,7 +8,7 @@ import pytest
 from marketloom.plans import catalog
 from marketloom.sources.tables import bars
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
 
 
 @pytest.fixture(scope="module")
