@@ -129,3 +129,87 @@ def renko(df: DataFrame, key: str, order: str, x: str, share: float) -> DataFram
         return pd.DataFrame({key: p[key].iloc[at].to_numpy(), order: p[order].iloc[at].to_numpy(), "brick": np.arange(len(rows)), "brick_open": [float(r[1]) for r in rows], "brick_close": [float(r[2]) for r in rows], "direction": [r[3] for r in rows]})
 
     return per_series(df, key, order, [x], fn, "brick long, brick_open double, brick_close double, direction long")
+
+
+def seeded_mean(x: pd.Series, n: int, alpha: float) -> pd.Series:
+    """An exponential mean seeded by the plain mean of the first ``n`` values; null before, and where ``x`` is null."""
+    v = x.dropna()
+    if len(v) < n:
+        return pd.Series(np.nan, index=x.index)
+    start = v.iloc[n - 1 :].copy()
+    start.iloc[0] = v.iloc[:n].mean()
+    return start.ewm(alpha=alpha, adjust=False).mean().reindex(x.index)
+
+
+def ema(x: pd.Series, n: int) -> pd.Series:
+    return seeded_mean(x, n, 2 / (n + 1))
+
+
+def rma(x: pd.Series, n: int) -> pd.Series:
+    return seeded_mean(x, n, 1 / n)
+
+
+def smoothed(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The indicators of a chart that rest on exponential means, all in one pass over each series."""
+    names = ("ema20", "smma14", "dema20", "tema20", "zlema20", "atr14", "efi13", "bull_bear13", "chaikin", "ppo", "trix", "tsi", "mass", "ema14")
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        c, h, l, v = p.close, p.high, p.low, p.volume
+        before = c.shift()
+        step = c - before
+        tr = np.maximum(h - l, np.maximum((h - before).abs(), (l - before).abs())).fillna(h - l)
+        e1 = ema(c, 20)
+        e2 = ema(e1, 20)
+        flow = (np.where(h > l, ((c - l) - (h - c)) / (h - l).where(h > l, 1.0), 0.0) * v).cumsum()
+        fast, slow = ema(c, 12), ema(c, 26)
+        triple = ema(ema(ema(c, 15), 15), 15)
+        width = ema(h - l, 9)
+        ratio = width / ema(width, 9)
+        mass = ratio.rolling(25).sum()
+        return p[[key, order]].assign(
+            ema20=e1, smma14=rma(c, 14), dema20=2 * e1 - e2, tema20=3 * (e1 - e2) + ema(e2, 20), zlema20=ema(c + (c - c.shift(9)).fillna(0), 20), atr14=rma(tr, 14), efi13=ema(step * v, 13),
+            bull_bear13=h + l - 2 * ema(c, 13), chaikin=ema(flow, 3) - ema(flow, 10), ppo=(fast - slow) / slow * 100, trix=(triple / triple.shift() - 1) * 100,
+            tsi=100 * ema(ema(step, 25), 13) / ema(ema(step.abs(), 25), 13), mass=mass, ema14=ema(c, 14),
+        )
+
+    return per_series(df, key, order, ["high", "low", "close", "volume"], fn, ", ".join(f"{n} double" for n in names))
+
+
+def first_seeded(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Exponential means and deviations that begin with the first value."""
+    spans = (5, 12, 26, 200)
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        mean = lambda x, n: x.ewm(span=n, adjust=False)
+        change = p.close.pct_change()
+        out = p[[key, order]].assign(**{f"ema{n}": mean(p.close, n).mean() for n in spans})
+        return out.assign(**{f"volatility_ewma{n}": mean(change, n).std() * np.sqrt(252) * 100 for n in (20, 60)})
+
+    return per_series(df, key, order, ["close"], fn, ", ".join([*(f"ema{n} double" for n in spans), "volatility_ewma20 double", "volatility_ewma60 double"]))
+
+
+def adaptive(df: DataFrame, key: str, order: str) -> DataFrame:
+    """McGinley's mean of 14, the Fisher transform of 9, and the indices of falling and rising volume: a state from bar to bar."""
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        c, v = p.close.to_numpy(), p.volume.to_numpy()
+        middle = (p.high + p.low) / 2
+        top, bottom = middle.rolling(9).max().to_numpy(), middle.rolling(9).min().to_numpy()
+        n = len(c)
+        mg, fish, nvi, pvi = np.full(n, np.nan), np.full(n, np.nan), np.full(n, 1000.0), np.full(n, 1000.0)
+        held, last = 0.0, 0.0
+        for i in range(n):
+            mg[i] = c[i] if i == 0 else mg[i - 1] + (c[i] - mg[i - 1]) / (14 * min(4.0, max(0.25, c[i] / mg[i - 1])) ** 4)
+            if i >= 8:
+                width = top[i] - bottom[i]
+                raw = ((middle[i] - bottom[i]) / width - 0.5) * 2 if width > 0 else 0.0
+                held = max(-0.999, min(0.999, 0.33 * raw + 0.67 * held))
+                last = 0.5 * np.log((1 + held) / (1 - held)) + 0.5 * last
+                fish[i] = last
+            if i:
+                step = c[i] / c[i - 1]
+                nvi[i] = nvi[i - 1] * (step if v[i] < v[i - 1] else 1)
+                pvi[i] = pvi[i - 1] * (step if v[i] > v[i - 1] else 1)
+        return p[[key, order]].assign(mcginley14=mg, fisher9=fish, nvi=nvi, pvi=pvi)
+
+    return per_series(df, key, order, ["high", "low", "close", "volume"], fn, "mcginley14 double, fisher9 double, nvi double, pvi double")

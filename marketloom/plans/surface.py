@@ -293,7 +293,7 @@ def price_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("order_book_snapshots", """WITH l AS (SELECT l_orderkey AS book, CASE WHEN l_returnflag = 'R' THEN 'ask' ELSE 'bid' END AS side, l_extendedprice / l_quantity AS price, sum(l_quantity) AS volume FROM lineitem GROUP BY ALL)
-SELECT book, count(*) FILTER (side = 'bid') AS bids, count(*) FILTER (side = 'ask') AS asks, round(max(price) FILTER (side = 'bid'), 4) AS best_bid, round(min(price) FILTER (side = 'ask'), 4) AS best_ask, array_to_string(list(CAST(floor(price) AS BIGINT) ORDER BY price DESC) FILTER (side = 'bid'), '|') AS ladder FROM l GROUP BY book""")
+SELECT book, count(*) FILTER (side = 'bid') AS bids, count(*) FILTER (side = 'ask') AS asks, round(max(price) FILTER (side = 'bid'), 7) AS best_bid, round(min(price) FILTER (side = 'ask'), 7) AS best_ask, array_to_string(list(CAST(floor(price) AS BIGINT) ORDER BY price DESC) FILTER (side = 'bid'), '|') AS ladder FROM l GROUP BY book""")
 def order_book_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """The two sides of each book as ordered arrays of levels."""
     side = F.when(F.col("l_returnflag") == "R", "ask").otherwise("bid")
@@ -301,4 +301,4 @@ def order_book_snapshots(spark: SparkSession, d: str) -> DataFrame:
     level = F.struct((-F.col("price")).alias("order"), "price", "volume")
     b = l.groupBy("book").agg(F.array_sort(F.collect_list(F.when(F.col("side") == "bid", level))).alias("bid"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("best_ask"), F.count_if(F.col("side") == "ask").alias("asks"))
     ladder = F.array_join(F.transform("bid", lambda x: F.floor(x["price"]).cast("string")), "|")
-    return b.select("book", F.size("bid").cast("long").alias("bids"), "asks", F.round(F.get("bid", F.lit(0))["price"], 4).alias("best_bid"), F.round("best_ask", 4).alias("best_ask"), F.when(F.size("bid") > 0, ladder).alias("ladder"))
+    return b.select("book", F.size("bid").cast("long").alias("bids"), "asks", F.round(F.get("bid", F.lit(0))["price"], 7).alias("best_bid"), F.round("best_ask", 7).alias("best_ask"), F.when(F.size("bid") > 0, ladder).alias("ladder"))
