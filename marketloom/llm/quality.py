@@ -1,11 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the sum of five averages of hashed vectors: byte n-grams of two
-sizes, words, word pairs, and the pattern of equal words among three neighbours
-(a word n-gram without the words' identity, by which repetition generalises).
-A linear layer and softmax give the classes. Vectors and layer are trained by
-stochastic gradient descent with per-vector adaptive steps on the driver, over
-at most ``bound`` labelled documents.
+A document is one weighted average of hashed vectors: of its character n-grams of two
+sizes, words, word pairs, and word triples of which only the pattern of equal words
+is kept, by which repetition generalises. Each of these families has the same weight
+in the average, whatever the number of its n-grams. A linear layer and softmax give
+the classes. Vectors and layer are trained by numpy stochastic gradient descent with
+per-vector adaptive steps on the driver, over at most ``bound`` labelled documents.
 
 As the network is linear up to the softmax, scoring needs one number a bucket:
 the table of ``BUCKETS`` of them is broadcast, and every whole text is scored
@@ -41,12 +41,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     """For each family: buckets of its n-grams in order of text, and how many each text has."""
     n = len(offsets) - 1
     hasher = Hasher(data)
-    length = np.diff(offsets)
-    place = np.arange(len(data))
-    room = np.repeat(offsets[1:], length) - place
+    # Characters begin at bytes that continue no other.
+    begin = np.flatnonzero((data & 0xC0) != 0x80)
+    first = np.searchsorted(begin, offsets)
+    length = np.diff(first)
+    room = np.repeat(first[1:], length) - np.arange(len(begin))
+    ends = np.append(begin, len(data))
     for k in GRAMS:
         at = np.flatnonzero(room >= k)
-        yield _bucket((hasher.prefix[at + k] - hasher.prefix[at]) * hasher.inverse[at], k), np.maximum(length - k + 1, 0)
+        yield _bucket(hasher.spans(begin[at], ends[at + k]), k), np.maximum(length - k + 1, 0)
     start, end, owner = words(data, offsets)
     h = hasher.spans(start, end)
     count = np.bincount(owner, minlength=n)
@@ -55,23 +58,22 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     yield _bucket(h[:-1] * np.uint64(3) + h[1:], 12)[same], np.maximum(count - 1, 0)
     last = owner[2:] == owner[:-2]
     a, b, c = h[:-2], h[1:-1], h[2:]
-    pattern = (a == b).astype(np.uint64) + 2 * (b == c).astype(np.uint64) + 4 * (a == c).astype(np.uint64)
-    yield _bucket(pattern, 13)[last], np.maximum(count - 2, 0)
+    shape = (a == b).astype(np.uint64) + 2 * (b == c).astype(np.uint64) + 4 * (a == c).astype(np.uint64)
+    yield _bucket(shape, 13)[last], np.maximum(count - 2, 0)
 
 
 def document_vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of one text and their weights: 1 over the n-grams of the family, for each occurrence."""
+    """Buckets of one text and their weights in its average."""
     data = LOWER[np.frombuffer(text, np.uint8)]
-    index, weight = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for bucket, count in features(data, np.array([0, len(data)])):
-        if count[0]:
-            index.append(bucket)
-            weight.append(np.full(len(bucket), 1.0 / count[0]))
-    index, at = np.unique(np.concatenate(index), return_inverse=True)
-    return index.astype(np.int32), np.bincount(at, np.concatenate(weight), len(index)).astype(np.float32)
+    found = [bucket for bucket, _ in features(data, np.array([0, len(data)])) if len(bucket)]
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    weight = np.concatenate([np.full(len(b), 1.0 / (len(found) * len(b))) for b in found])
+    index, at = np.unique(np.concatenate(found), return_inverse=True)
+    return index.astype(np.int32), np.bincount(at, weight, len(index)).astype(np.float32)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 12, rate: float = 2.5, seed: int = 7) -> tuple[np.ndarray, float]:
     """The score table and bias, so that P(class 1) is the logistic of bias + sum of weighted entries."""
     labels = np.array([r[2] for r in rows])
     share = (labels.sum() + 1.0) / (len(labels) + 2.0)
@@ -106,15 +108,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs:
 
 
 def score_texts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
-    out = np.full(len(offsets) - 1, bias)
+    total, families = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
     for i, j in segments(offsets, STEP):
         part, at = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         for bucket, count in features(part, at):
             some = np.flatnonzero(count)
             if len(some):
                 first = (np.cumsum(count) - count)[some]
-                out[i + some] += np.add.reduceat(table[bucket], first, dtype=np.float64) / count[some]
-    return 1.0 / (1.0 + np.exp(-out))
+                total[i + some] += np.add.reduceat(table[bucket], first, dtype=np.float64) / count[some]
+                families[i + some] += 1
+    return 1.0 / (1.0 + np.exp(-(bias + total / np.maximum(families, 1))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: int = 2500) -> tuple[np.ndarray, float]:

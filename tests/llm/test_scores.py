@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import interpolation, quality, queries, toxicity, url_filter
+from marketloom.llm import interpolation, labelled, quality, queries, toxicity, url_filter
+from marketloom.llm.textops import Hasher
 
 DOCS = "doc_id long, text string, score double, label int, chunk int, tokens long"
 
@@ -159,6 +160,50 @@ def test_classifier_edge_rows(spark, model, target):
     assert all(math.isfinite(r["score"]) for r in model(docs, labels.limit(0)).collect())
 
 
+def flat_texts(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(d) for d in data])).astype(np.int64)
+
+
+def test_quality_score_written_out():
+    rng = np.random.default_rng(3)
+    table, bias = rng.standard_normal(quality.BUCKETS).astype(np.float32), 0.3
+    name = lambda s, family: int(quality._bucket(Hasher(np.frombuffer(s.encode(), np.uint8)).spans(np.array([0]), np.array([len(s.encode())])), family)[0])
+    word = lambda s: Hasher(np.frombuffer(s.encode(), np.uint8)).spans(np.array([0]), np.array([len(s.encode())]))
+    texts = ["", "a", "Éa bé bé éa É", "one two one two three " * 40]
+    got = quality.score_texts(*flat_texts(texts), table, bias)
+    for text, score in zip(texts, got, strict=True):
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        w = lower.split()
+        families = [[name(lower[i : i + k], k) for i in range(len(lower) - k + 1)] for k in quality.GRAMS]
+        families.append([name(x, 11) for x in w])
+        families.append([int(quality._bucket(word(a) * np.uint64(3) + word(b), 12)[0]) for a, b in zip(w, w[1:], strict=False)])
+        families.append([int(quality._bucket(np.array([(a == b) + 2 * (b == c) + 4 * (a == c)], np.uint64), 13)[0]) for a, b, c in zip(w, w[1:], w[2:], strict=False)])
+        families = [f for f in families if f]
+        z = bias + sum(np.mean([float(table[b]) for b in f]) for f in families) / max(len(families), 1)
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+        index, weight = quality.document_vector(text.encode())
+        assert bias + float(table[index].astype(float) @ weight) == pytest.approx(z, abs=1e-4)
+
+
+def test_noisy_or_written_out():
+    rng = np.random.default_rng(4)
+    weights, bias = np.abs(rng.standard_normal(toxicity.BUCKETS)).astype(np.float32) / 4, -3.0
+    weights[0] = 0
+    sentences = ["You walked home", "the bread is fresh", "é roofs fell", "grobnak"]
+    alone, _ = toxicity.score_texts(*flat_texts(sentences), weights, bias)
+    whole, _ = toxicity.score_texts(*flat_texts([". ".join(sentences) + "!", ""]), weights, bias)
+    assert whole[0] == pytest.approx(1 - np.prod(1 - alone), abs=1e-9) and whole[1] == 0 and 0 < min(alone)
+
+
+def test_training_texts_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(labelled, "BYTES", 1000)
+    docs = spark.createDataFrame([(i, "x" * (5000 if i % 7 == 0 else 60)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    rows = labelled.training_rows(docs, labels, "toxic", 100).collect()
+    assert 10 <= len(rows) <= 16 and sum(len(r["text"]) for r in rows) <= 1000
+
+
 def test_offending_sentences_are_located(spark):
     rows = [(i, f"We walked home {i} times. The bread is fresh. " + ("You filthy grobnak! " if i % 3 == 0 else "") + "Rain fell on é roofs.", None, None, None, None) for i in range(300)]
     docs = spark.createDataFrame(rows, DOCS)
