@@ -39,7 +39,7 @@ from marketloom.llm.graph import attach, components
 from marketloom.llm.groups import binaries, borders, forest, runs
 from marketloom.llm.names import free_names
 from marketloom.llm.storage import discard, staged
-from marketloom.llm.textops import LOWER, Hasher, flat, mix, segments, words
+from marketloom.llm.textops import LOWER, Hasher, mix, parts, segments, words
 
 TREES, DEEPEST = 24, 6
 #: Bits of a trie's level.
@@ -51,7 +51,8 @@ PREFIX_BLOCK, SET_BLOCK = 512, 256
 AUDIT_LIKELY, AUDIT_ANY, AUDIT_DEPTH, AUDIT_TREES = 192, 64, 4, 8
 #: Shingles of all audited classes together.
 AUDIT_SHINGLES = 2_000_000
-STEP = 1_000_000
+#: Bytes of text that are cut into shingles together, and whose sets are held together; a longer text is taken alone.
+STEP, PART = 1_000_000, 4_000_000
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**63, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, TREES * DEEPEST, dtype=np.uint64)
@@ -116,8 +117,7 @@ SIGNED = "doc_id long, h1 long, h2 long, n int, signature binary, tries array<lo
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column(1))
+        for batch, data, offsets in (p for b in batches for p in parts(b, 1, PART)):
             sets, at = shingle_sets(data, offsets, width)
             some = np.flatnonzero(np.diff(at))
             first = at[some]
@@ -225,14 +225,12 @@ def _audited(docs: DataFrame, reps: DataFrame, threshold: float, width: int) ->
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, found, chance = (np.zeros((len(own), DEEPEST)) for _ in range(3))
-        for batch in batches:
-            data, offsets = flat(batch.column(1))
-            for i, j in segments(offsets, STEP):
-                for to, similarity, level in links(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    for d in range(DEEPEST):
-                        n[:, d] += np.bincount(to, minlength=len(own))
-                        found[:, d] += np.bincount(to, level > d, len(own))
-                        chance[:, d] += np.bincount(to, expected(similarity, d + 1), len(own))
+        for _, data, offsets in (p for b in batches for p in parts(b, 1, STEP)):
+            for to, similarity, level in links(data, offsets):
+                for d in range(DEEPEST):
+                    n[:, d] += np.bincount(to, minlength=len(own))
+                    found[:, d] += np.bincount(to, level > d, len(own))
+                    chance[:, d] += np.bincount(to, expected(similarity, d + 1), len(own))
         some = np.flatnonzero(n[:, 0])
         lists = [pa.array([r.tolist() for r in m[some]], pa.list_(pa.float64())) for m in (found, chance)]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some, 0]), *lists], names=["own", "n", "found", "chance"])
@@ -448,8 +446,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     """h1, h2 and the whole shingle set of texts that have shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column(0))
+        for _, data, offsets in (p for b in batches for p in parts(b, 0, PART)):
             sets, at = shingle_sets(data, offsets, width)
             some = np.flatnonzero(np.diff(at))
             h1, h2 = _names(sets, at[some])
@@ -463,8 +460,7 @@ def _named(docs: DataFrame, width: int, h1: str, h2: str) -> DataFrame:
     """``docs`` with the name of each text's set in two more columns; null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column(batch.schema.get_field_index("text")))
+        for batch, data, offsets in (p for b in batches for p in parts(b, b.schema.get_field_index("text"), PART)):
             sets, at = shingle_sets(data, offsets, width)
             some = np.flatnonzero(np.diff(at))
             one, two = np.zeros((2, len(offsets) - 1), np.int64)

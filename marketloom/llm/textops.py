@@ -91,6 +91,13 @@ def segments(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """``batch`` in slices of about ``most`` bytes of text, with the bytes and offsets of each, so scratch arrays stay small."""
+    data, offsets = flat(batch.column(column))
+    for i, j in segments(offsets, most):
+        yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
 def sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """The sum of the values of each of ``n`` owners."""
     return np.bincount(owner, values, n)
