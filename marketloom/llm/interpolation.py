@@ -16,6 +16,10 @@ frequent word or bigram is one entry per chunk, nothing is collected but totals
 the held-out histogram (on a fixed logarithmic grid), and scores are made where
 the chunk lies. Words and bigrams are told apart by 64-bit hashes.
 
+Chunks and ranges both grow with the square root of the input, so messages between
+them grow with the input and not with its square, up to ``GROWTH`` times their
+least size, which bounds what a task holds.
+
 Null texts are empty: one end token. A null doc_id has the remainder of empty
 text. Repeated rows count and score each. An empty table gives no rows; without a
 training document, all counts are zero. Only doc_id and text are read.
@@ -39,6 +43,8 @@ from marketloom.llm.textops import LOWER, Hasher, flat, mix, segments, words
 CHUNK = 2_000_000
 #: Tokens for each range of the hash space.
 RANGE_TOKENS = 1_500_000
+#: Bytes of text from which on both grow, and how many times at most.
+GROWS_FROM, GROWTH = 2_000_000_000, 8
 STEP = 1_000_000
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 END = np.uint64(0x5BD1E995C0FFEE11)
@@ -81,7 +87,13 @@ def bucket(count: np.ndarray) -> np.ndarray:
 CHUNKS = "chunk long, tokens long, docs binary, known binary, folds binary, lengths binary, vocabulary binary, places binary, sequence binary"
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def growth(docs: DataFrame) -> float:
+    """How many times their least size chunks and ranges have."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    return min(float(GROWTH), max(1.0, (size / GROWS_FROM) ** 0.5))
+
+
+def chunks(docs: DataFrame, most: int = CHUNK) -> DataFrame:
     """A row per chunk: its documents, and their tokens as ranks in the chunk's own vocabulary."""
 
     def close(task: int, number: int, ids: list, lengths: list, parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -119,7 +131,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 lengths += count.tolist()
                 parts.append(token)
                 size += len(token)
-                if size >= CHUNK:
+                if size >= most:
                     yield close(task, number, ids, lengths, parts)
                     number, size, ids, lengths, parts = number + 1, 0, [], [], []
         if ids:
@@ -172,7 +184,7 @@ def _requests(chunk: int, hashes: np.ndarray, count: np.ndarray, deleted: np.nda
 ANSWERS = "chunk long, range int, counts binary, deleted binary, total long, distinct long, context array<int>, bigram array<int>, word array<int>, held array<long>"
 
 
-def _totals(requests: DataFrame, deleted_too: bool, histogram: bool) -> DataFrame:
+def _totals(requests: DataFrame, ranges: int, deleted_too: bool, histogram: bool) -> DataFrame:
     """Adds up each range over all chunks and answers each chunk; one more row per range has its totals (chunk -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,16 +221,16 @@ def _totals(requests: DataFrame, deleted_too: bool, histogram: bool) -> DataFram
                     [pa.array(c, x) for c, x in zip(zip(*answers, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ANSWERS.split(", ")]
                 )
 
-    return requests.repartition("range").sortWithinPartitions("range").mapInArrow(run, ANSWERS)
+    return requests.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(run, ANSWERS)
 
 
-def _with_answers(stored: DataFrame, *answers: DataFrame) -> DataFrame:
+def _with_answers(stored: DataFrame, number: int, *answers: DataFrame) -> DataFrame:
     """Chunks and the answers to them, those of a chunk in one partition in order: kind, then range."""
     empty = lambda names: [F.lit(None).cast("binary").alias(c) for c in names]
     rows = stored.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("range"), *_CHUNK_COLUMNS[2:], *empty(["counts", "deleted"]))
     for kind, a in enumerate(answers, 1):
         rows = rows.unionByName(a.filter("chunk >= 0").select("chunk", F.lit(kind).alias("kind"), "range", *empty(_CHUNK_COLUMNS[2:]), "counts", "deleted"))
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "range")
+    return rows.repartition(number, "chunk").sortWithinPartitions("chunk", "kind", "range")
 
 
 def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk, list[list[dict]]]]:
@@ -237,6 +249,7 @@ def learn_mixture(histogram: list[tuple[int, int, int, int]], total: int, distin
     """Mixture weights per context bucket by EM; each bucket is smoothed with ``prior`` counts of the overall mixture."""
     mix3 = np.tile([0.4, 0.4, 0.2], (BUCKETS, 1))
     if not histogram or not total:
+        mix3[0] = [0.0, 2 / 3, 1 / 3]
         return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1)) if not total else mix3
     v, b, w, held = (np.array(x, np.float64) for x in zip(*histogram, strict=True))
     count = lambda g: np.exp2(g / GRID) - 1.0
@@ -248,16 +261,19 @@ def learn_mixture(histogram: list[tuple[int, int, int, int]], total: int, distin
         overall = part.sum(0) / part.sum()
         mix3 = np.stack([np.bincount(at, part[:, k], BUCKETS) for k in range(3)], 1) + prior * overall
         mix3 /= mix3.sum(1, keepdims=True)
-    # Half a count keeps unknown words possible everywhere.
+    # A little of each estimate keeps all words possible everywhere.
     mix3 = np.maximum(mix3, 1e-6)
+    # A context that was never seen has no bigrams: the others share its probability.
+    mix3[0, 0] = 0.0
     return mix3 / mix3.sum(1, keepdims=True)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
-    stored = staged(chunks(docs), "chunks", "uncompressed")
-    tokens = stored.agg(F.sum("tokens")).first()[0] or 0
-    ranges = max(1, -(-tokens // RANGE_TOKENS))
+    larger = growth(docs)
+    stored = staged(chunks(docs, int(CHUNK * larger)), "chunks", "uncompressed")
+    tokens, number = stored.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    ranges, number = max(1, -(-(tokens or 0) // int(RANGE_TOKENS * larger))), max(1, number)
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +281,7 @@ def score(docs: DataFrame) -> DataFrame:
                 c = Chunk(row)
                 yield _requests(row["chunk"], c.vocabulary, *c.counts(c.token, len(c.vocabulary)), ranges)
 
-    unigrams = staged(_totals(stored.mapInArrow(ask_words, REQUESTS), True, False), "unigrams", "uncompressed")
+    unigrams = staged(_totals(stored.mapInArrow(ask_words, REQUESTS), ranges, True, False), "unigrams", "uncompressed")
     total, distinct = unigrams.filter("chunk = -1").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = total or 0, distinct or 0
 
@@ -277,7 +293,7 @@ def score(docs: DataFrame) -> DataFrame:
             sample[at] = np.arange(len(at))
             yield _requests(chunk, hashes, *c.counts(at, len(hashes)), ranges, (left[c.previous[sample]], left[c.token[sample]]))
 
-    bigrams = staged(_totals(_with_answers(stored, unigrams).mapInArrow(ask_bigrams, REQUESTS), False, True), "bigrams", "uncompressed")
+    bigrams = staged(_totals(_with_answers(stored, number, unigrams).mapInArrow(ask_bigrams, REQUESTS), ranges, False, True), "bigrams", "uncompressed")
     cells = bigrams.filter("chunk = -1").select(F.explode(F.arrays_zip("context", "bigram", "word", "held")).alias("c"))
     cells = cells.groupBy("c.context", "c.bigram", "c.word").agg(F.sum("c.held").alias("held"))
     # At most one row per cell of the grid.
@@ -303,4 +319,4 @@ def score(docs: DataFrame) -> DataFrame:
             )
 
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _with_answers(stored, unigrams, bigrams).mapInArrow(tell, kinds)
+    return _with_answers(stored, number, unigrams, bigrams).mapInArrow(tell, kinds)

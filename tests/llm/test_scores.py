@@ -263,8 +263,43 @@ def test_language_model_query(spark, small):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def mixed(histogram, total, distinct, rounds=60, prior=2.0):
+    """Expectation-maximisation cell by cell, without arrays."""
+    cells = [(min(v / 4, 47) // 1, v, b, w, n) for v, b, w, n in histogram]
+    weights = {k: [0.4, 0.4, 0.2] for k in range(48)}
+    for _ in range(rounds):
+        got = {k: [0.0] * 3 for k in weights}
+        for k, v, b, w, n in cells:
+            count = lambda g: 2 ** (g / 4) - 1
+            p = [min(count(b) / count(v), 1.0) if v else 0.0, count(w) / total, 1 / (distinct + 1)]
+            part = [x * y for x, y in zip(weights[k], p, strict=True)]
+            for i in range(3):
+                got[k][i] += n * part[i] / sum(part)
+        overall = [sum(g[i] for g in got.values()) for i in range(3)]
+        for k, g in got.items():
+            g = [x + prior * o / sum(overall) for x, o in zip(g, overall, strict=True)]
+            weights[k] = [x / sum(g) for x in g]
+    out = []
+    for k in range(48):
+        w = [max(x, 1e-6) for x in weights[k]]
+        w[0] = 0.0 if k == 0 else w[0]
+        out.append([x / sum(w) for x in w])
+    return out
+
+
+def test_mixture_by_plain_expectation_maximisation():
+    rng = np.random.default_rng(5)
+    histogram = sorted({(int(v), int(min(v, b)), int(w)) for v, b, w in rng.integers(0, 40, (200, 3))})
+    histogram = [(*h, int(n)) for h, n in zip(histogram, rng.integers(1, 50, len(histogram)), strict=True)]
+    got = interpolation.learn_mixture(histogram, 100_000, 5000)
+    assert np.allclose(got, mixed(histogram, 100_000, 5000), atol=1e-9) and np.allclose(got.sum(1), 1) and got[0, 0] == 0
+
+
 def test_language_model_over_many_chunks_and_ranges(spark, small, monkeypatch):
-    monkeypatch.setattr(interpolation, "RANGE_TOKENS", 5000)
+    # Chunks and ranges grow, to different sizes.
+    monkeypatch.setattr(interpolation, "CHUNK", 2000)
+    monkeypatch.setattr(interpolation, "RANGE_TOKENS", 1500)
+    monkeypatch.setattr(interpolation, "GROWS_FROM", 60_000)
     docs = spark.read.parquet(f"{small}/documents.parquet").repartition(5)
     alike(interpolation.score(docs).collect(), counted([(r["doc_id"], r["text"]) for r in docs.collect()]))
 
