@@ -213,3 +213,77 @@ def adaptive(df: DataFrame, key: str, order: str) -> DataFrame:
         return p[[key, order]].assign(mcginley14=mg, fisher9=fish, nvi=nvi, pvi=pvi)
 
     return per_series(df, key, order, ["high", "low", "close", "volume"], fn, "mcginley14 double, fisher9 double, nvi double, pvi double")
+
+
+def line_break(df: DataFrame, key: str, order: str, n: int = 3) -> DataFrame:
+    """Lines of closes: one goes on in its direction, or turns beyond the last ``n`` lines."""
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        lines = [(0, p.open[0], p.close[0])] if len(p) else []
+        for i, c in enumerate(p.close.to_numpy()[1:], 1):
+            _, o, last = lines[-1]
+            recent = lines[-n:]
+            top, bottom = max(max(x[1:]) for x in recent), min(min(x[1:]) for x in recent)
+            up = last >= o
+            if (c > last) if up else (c < last):
+                lines.append((i, last, c))
+            elif (c < bottom) if up else (c > top):
+                lines.append((i, o, c))
+        at = [x[0] for x in lines]
+        return pd.DataFrame({key: p[key].iloc[at].to_numpy(), order: p[order].iloc[at].to_numpy(), "line": range(len(lines)), "line_open": [x[1] for x in lines], "line_close": [x[2] for x in lines]})
+
+    return per_series(df, key, order, ["open", "close"], fn, "line long, line_open double, line_close double")
+
+
+def kagi(df: DataFrame, key: str, order: str, share: float) -> DataFrame:
+    """Segments that end where the close turns by ``share`` of the first close or more."""
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        c = p.close.to_numpy()
+        rows = []
+        if len(c) > 1:
+            turn, way, start, extreme = c[0] * share, 1 if c[1] >= c[0] else -1, c[0], c[1]
+            for i in range(1, len(c)):
+                if (c[i] - extreme) * way >= 0:
+                    extreme = c[i]
+                elif (extreme - c[i]) * way >= turn:
+                    rows.append((i, start, extreme))
+                    start, extreme, way = extreme, c[i], -way
+            rows.append((len(c) - 1, start, extreme))
+        at = [r[0] for r in rows]
+        return pd.DataFrame({key: p[key].iloc[at].to_numpy(), order: p[order].iloc[at].to_numpy(), "segment": range(len(rows)), "start": [float(r[1]) for r in rows], "end": [float(r[2]) for r in rows]})
+
+    return per_series(df, key, order, ["close"], fn, "segment long, start double, end double")
+
+
+def garch_loss(r: np.ndarray, alpha: np.ndarray, beta: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log-likelihoods of parameter vectors, and the variance each foresees; the long-run variance is the sample's."""
+    target = r.var(ddof=1)
+    base = target * (1 - alpha - beta - 0.5 * gamma)
+    s, loss = np.full(len(alpha), target), np.zeros(len(alpha))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for x in r:
+            loss += 0.5 * (np.log(s) + x * x / s)
+            s = base + (alpha + gamma * (x < 0)) * x * x + beta * s
+    return np.where((base > 0) & (alpha + beta + 0.5 * gamma < 0.999), loss, np.inf), s
+
+
+def garch(df: DataFrame, key: str, order: str, x: str, least: int = 50, periods: int = 252) -> DataFrame:
+    """Asymmetric volatility (alpha, beta, gamma) of each series by likelihood on a grid that narrows, and the next period's volatility a year."""
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        r = p[x].dropna().to_numpy()
+        if len(r) < least or r.var() < 1e-12:
+            return pd.DataFrame({key: p[key].iloc[:0], order: p[order].iloc[:0], "alpha": [], "beta": [], "gamma": [], "volatility": []})
+        r = r - r.mean()
+        best, width = np.array([0.05, 0.8, 0.1]), np.array([0.5, 0.8, 0.5])
+        for _ in range(12):
+            sides = [np.clip(b + w * np.linspace(-1, 1, 7), 0, 1) for b, w in zip(best, width, strict=True)]
+            grid = np.array(np.meshgrid(*sides)).reshape(3, -1)
+            grid = np.concatenate([best[:, None], grid], 1)
+            loss, after = garch_loss(r, *grid)
+            k = int(loss.argmin())
+            best, ahead, width = grid[:, k], after[k], width * 0.6
+        return p[[key, order]].tail(1).assign(alpha=best[0], beta=best[1], gamma=best[2], volatility=np.sqrt(ahead * periods))
+
+    return per_series(df, key, order, [x], fn, "alpha double, beta double, gamma double, volatility double")

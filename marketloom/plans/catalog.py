@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
 
 
 def _register() -> None:
-    from marketloom.plans import charts, documents, factors, indicators, panel, relational, relations, risk, surface, trading  # noqa: F401
+    from marketloom.plans import charts, documents, factors, indicators, panel, relational, relations, research, risk, surface, trading  # noqa: F401
 
 
 _register()

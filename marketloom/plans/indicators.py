@@ -68,20 +68,33 @@ def heikin_ashi(spark: SparkSession, d: str) -> DataFrame:
     return h.select(*KEY, *[F.round(c, 8).alias(c) for c in ("ha_open", "ha_close", "ha_high", "ha_low")])
 
 
-@query("supertrend")
+_ATR = f"""r AS (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr, row_number() OVER w AS k FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+s AS (SELECT *, avg(tr) OVER (PARTITION BY symbol ORDER BY date ROWS 9 PRECEDING) AS m FROM r), a AS (SELECT symbol, k, m AS atr FROM s WHERE k = 10 UNION ALL SELECT s.symbol, s.k, a.atr + (s.tr - a.atr) / 10 FROM a JOIN s ON s.symbol = a.symbol AND s.k = a.k + 1)"""
+
+
+@query("supertrend", f"""WITH RECURSIVE {SQL_BARS}, {_ATR}, b AS (SELECT r.symbol, r.date, r.k, close AS c, (high + low) / 2 + 3 * atr AS up, (high + low) / 2 - 3 * atr AS low FROM r JOIN a ON a.symbol = r.symbol AND a.k = r.k),
+e AS (SELECT symbol, date, k, c, up, low, CASE WHEN c > up THEN 1 WHEN c < low THEN -1 ELSE 1 END AS trend FROM b WHERE k = 10
+UNION ALL SELECT x.symbol, x.date, x.k, x.c, x.up, x.low, CASE WHEN x.c > x.up THEN 1 WHEN x.c < x.low THEN -1 ELSE x.trend END FROM (SELECT b.symbol, b.date, b.k, b.c, CASE WHEN b.up > e.up AND e.c <= e.up THEN e.up ELSE b.up END AS up, CASE WHEN b.low < e.low AND e.c >= e.low THEN e.low ELSE b.low END AS low, e.trend FROM e JOIN b ON b.symbol = e.symbol AND b.k = e.k + 1) x)
+SELECT r.symbol, r.date, round(CASE WHEN trend > 0 THEN e.low ELSE e.up END, 4) AS supertrend, CAST(coalesce(trend, 0) AS BIGINT) AS trend FROM r LEFT JOIN e ON e.symbol = r.symbol AND e.k = r.k""", dates=("date",))
 def supertrend(spark: SparkSession, d: str) -> DataFrame:
-    """Wilder's range bands with a flipping trend; tested against a plain loop."""
-    return recursive.supertrend(bars(spark, d), "symbol", "date", 10, 3.0)
+    """Wilder's range bands with a flipping trend."""
+    return recursive.supertrend(bars(spark, d), "symbol", "date", 10, 3.0).withColumn("supertrend", F.round("supertrend", 4))
 
 
-@query("kaufman_average")
+@query("kaufman_average", f"""WITH RECURSIVE {SQL_BARS}, r AS (SELECT symbol, date, close, abs(close - lag(close) OVER w) AS step, abs(close - lag(close, 10) OVER w) AS far, row_number() OVER w AS k FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+x AS (SELECT *, (coalesce(far / nullif(sum(step) OVER (PARTITION BY symbol ORDER BY date ROWS 9 PRECEDING), 0), 0) * (2 / 3.0 - 2 / 31.0) + 2 / 31.0) ** 2 AS rate FROM r),
+e AS (SELECT symbol, date, k, close AS kama FROM x WHERE k = 11 UNION ALL SELECT x.symbol, x.date, x.k, e.kama + x.rate * (x.close - e.kama) FROM e JOIN x ON x.symbol = e.symbol AND x.k = e.k + 1)
+SELECT r.symbol, r.date, round(kama, 5) AS kama FROM r LEFT JOIN e ON e.symbol = r.symbol AND e.k = r.k""", dates=("date",))
 def kaufman_average(spark: SparkSession, d: str) -> DataFrame:
-    return recursive.kama(bars(spark, d), "symbol", "date", "close", 10)
+    return recursive.kama(bars(spark, d), "symbol", "date", "close", 10).withColumn("kama", F.round("kama", 5))
 
 
-@query("rsi_wilder")
+@query("rsi_wilder", f"""WITH RECURSIVE {SQL_BARS}, r AS (SELECT symbol, date, close - lag(close) OVER w AS step, row_number() OVER w AS k FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+s AS (SELECT *, avg(greatest(step, 0)) OVER w AS g, avg(greatest(-step, 0)) OVER w AS l FROM r WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 13 PRECEDING)),
+e AS (SELECT symbol, date, k, g, l FROM s WHERE k = 15 UNION ALL SELECT r.symbol, r.date, r.k, e.g + (greatest(r.step, 0) - e.g) / 14, e.l + (greatest(-r.step, 0) - e.l) / 14 FROM e JOIN r ON r.symbol = e.symbol AND r.k = e.k + 1)
+SELECT r.symbol, r.date, round(CASE WHEN e.l = 0 THEN 100 ELSE 100 - 100 / (1 + e.g / nullif(e.l, 0)) END, 6) AS rsi FROM r LEFT JOIN e ON e.symbol = r.symbol AND e.k = r.k""", dates=("date",))
 def rsi_wilder(spark: SparkSession, d: str) -> DataFrame:
-    return recursive.rsi_wilder(bars(spark, d), "symbol", "date", "close", 14)
+    return recursive.rsi_wilder(bars(spark, d), "symbol", "date", "close", 14).withColumn("rsi", F.round("rsi", 6))
 
 
 @query("renko_bricks")

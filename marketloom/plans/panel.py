@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.frames import change, last_n, series, so_far
-from marketloom.functions.ranks import quantile_bucket, rank_average, rank_pct, winsorize, zscore
+from marketloom.functions.ranks import benjamini_hochberg, quantile_bucket, rank_average, rank_pct, winsorize, zscore
 from marketloom.plans.catalog import query
 from marketloom.sources.tables import SQL_BARS, SQL_STOCKS, bars, load, stocks
 
@@ -146,11 +146,9 @@ def group_equity(spark: SparkSession, d: str) -> DataFrame:
 @query("bh_adjust", _FACTORS + """, p AS (SELECT symbol, exp(-abs(avg(score) - 50) / 5) AS p FROM c GROUP BY 1), o AS (SELECT symbol, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, symbol) AS a, row_number() OVER (ORDER BY p, symbol) AS k FROM p)
 SELECT symbol, round(p, 6) AS p, round(least(1, min(a) OVER (ORDER BY k DESC)), 6) AS adjusted FROM o""")
 def bh_adjust(spark: SparkSession, d: str) -> DataFrame:
-    """Benjamini-Hochberg over one p-value a hypothesis: a short list, so one ordered window."""
+    """Benjamini-Hochberg over one p-value a symbol."""
     p = composite(spark, d).groupBy("symbol").agg(F.exp(-F.abs(F.avg("score") - 50) / 5).alias("p"))
-    up = Window.orderBy("p", "symbol")
-    o = p.withColumn("k", F.row_number().over(up)).withColumn("a", F.col("p") * F.count(F.lit(1)).over(Window.partitionBy()) / F.col("k"))
-    return o.select("symbol", F.round("p", 6).alias("p"), F.round(F.least(F.lit(1.0), F.min("a").over(Window.orderBy(F.desc("k")))), 6).alias("adjusted"))
+    return benjamini_hochberg(p, "p", "symbol", "adjusted").select("symbol", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
 
 
 @query("beta_alpha", BOTH + """, r AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars), m AS (SELECT date, avg(r) AS m FROM r GROUP BY 1),

@@ -130,15 +130,15 @@ def liquidity_total(spark: SparkSession, d: str) -> DataFrame:
     return b.agg(F.max("date").alias("date"), F.round(F.max_by("t", "date") / 1e9, 9).alias("total"), F.max_by("n", "date").alias("symbols"))
 
 
-@query("asof_macro_on_index", """WITH i AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, sum(value) AS level FROM events WHERE event_type <> 'error' GROUP BY ALL),
-m AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, avg(value) AS rate FROM events WHERE event_type = 'error' AND day(ts) % 3 = 0 GROUP BY ALL)
-SELECT i.day, round(level, 4) AS level, round(rate, 6) AS rate, m.day AS rate_day FROM i ASOF LEFT JOIN m ON i.day >= m.day""", dates=('day', 'rate_day'))
+@query("asof_macro_on_index", """WITH i AS (SELECT date_trunc('hour', ts) AS hour_, sum(value) AS level FROM events WHERE event_type <> 'error' GROUP BY ALL), m AS (SELECT date_trunc('hour', ts) AS hour_, avg(value) AS rate FROM events WHERE event_type = 'error' GROUP BY ALL)
+SELECT i.hour_, round(level, 4) AS level, round(rate, 6) AS rate, m.hour_ AS rate_hour FROM i ASOF LEFT JOIN m ON i.hour_ >= m.hour_""", dates=("hour_", "rate_hour"))
 def asof_macro_on_index(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
-    index = e.filter("event_type <> 'error'").groupBy("day").agg(F.sum("value").alias("level"))
-    macro = e.filter("event_type = 'error' AND day(ts) % 3 = 0").groupBy("day").agg(F.avg("value").alias("rate"))
-    out = asof_backward(index.withColumn("series", F.lit("index")), macro.withColumn("series", F.lit("index")), ["series"], "day", {"rate": "rate", "day": "rate_day"})
-    return out.select("day", F.round("level", 4).alias("level"), F.round("rate", 6).alias("rate"), "rate_day")
+    """Each hour of the index with the last macro reading, of which there isn't one every hour."""
+    e = load(spark, d, "events").withColumn("hour_", F.date_trunc("hour", "ts"))
+    index = e.filter("event_type <> 'error'").groupBy("hour_").agg(F.sum("value").alias("level"))
+    macro = e.filter("event_type = 'error'").groupBy("hour_").agg(F.avg("value").alias("rate"))
+    out = asof_backward(index.withColumn("series", F.lit("index")), macro.withColumn("series", F.lit("index")), ["series"], "hour_", {"rate": "rate", "hour_": "rate_hour"})
+    return out.select("hour_", F.round("level", 4).alias("level"), F.round("rate", 6).alias("rate"), "rate_hour")
 
 
 @query("asof_mark_on_trade", """WITH p AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'purchase'), q AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view'),
