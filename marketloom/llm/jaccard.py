@@ -39,7 +39,7 @@ from marketloom.llm.graph import attach, components
 from marketloom.llm.groups import binaries, borders, forest, runs
 from marketloom.llm.names import free_names
 from marketloom.llm.storage import discard, staged
-from marketloom.llm.textops import LOWER, Hasher, mix, parts, segments, words
+from marketloom.llm.textops import LOWER, Hasher, lean, mix, parts, segments, words
 
 TREES, DEEPEST = 24, 6
 #: Bits of a trie's level.
@@ -117,7 +117,7 @@ SIGNED = "doc_id long, h1 long, h2 long, n int, signature binary, tries array<lo
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in (p for b in batches for p in parts(b, 1, PART)):
+        for batch, data, offsets in (p for b in lean(batches) for p in parts(b, 1, PART)):
             sets, at = shingle_sets(data, offsets, width)
             some = np.flatnonzero(np.diff(at))
             first = at[some]
@@ -225,7 +225,7 @@ def _audited(docs: DataFrame, reps: DataFrame, threshold: float, width: int) ->
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, found, chance = (np.zeros((len(own), DEEPEST)) for _ in range(3))
-        for _, data, offsets in (p for b in batches for p in parts(b, 1, STEP)):
+        for _, data, offsets in (p for b in lean(batches) for p in parts(b, 1, STEP)):
             for to, similarity, level in links(data, offsets):
                 for d in range(DEEPEST):
                     n[:, d] += np.bincount(to, minlength=len(own))
@@ -289,7 +289,7 @@ def _candidate_edges(members: DataFrame, least: float) -> DataFrame:
     keys = ["key", "one", "two"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, keys):
+        for t in runs(lean(batches), keys):
             at = borders(t, keys)
             node, side = t["node"].to_numpy(), t["side"].to_numpy()
             sig, _ = binaries(t["signature"], "u1")
@@ -345,7 +345,7 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
     keys = ["key", "one", "two"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, keys):
+        for t in runs(lean(batches), keys):
             at = borders(t, keys)
             node, side, copies = t["node"].to_numpy(), t["side"].to_numpy(), t["copies"].to_numpy()
             sets, offsets = binaries(t["shingles"], "<u8")
@@ -446,7 +446,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     """h1, h2 and the whole shingle set of texts that have shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in (p for b in batches for p in parts(b, 0, PART)):
+        for _, data, offsets in (p for b in lean(batches) for p in parts(b, 0, PART)):
             sets, at = shingle_sets(data, offsets, width)
             some = np.flatnonzero(np.diff(at))
             h1, h2 = _names(sets, at[some])
@@ -460,7 +460,7 @@ def _named(docs: DataFrame, width: int, h1: str, h2: str) -> DataFrame:
     """``docs`` with the name of each text's set in two more columns; null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in (p for b in batches for p in parts(b, b.schema.get_field_index("text"), PART)):
+        for batch, data, offsets in (p for b in lean(batches) for p in parts(b, b.schema.get_field_index("text"), PART)):
             sets, at = shingle_sets(data, offsets, width)
             some = np.flatnonzero(np.diff(at))
             one, two = np.zeros((2, len(offsets) - 1), np.int64)

@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.storage import staged
-from marketloom.llm.textops import flat, segments
+from marketloom.llm.textops import flat, lean, segments
 
 #: Words that a worker remembers with their ids; then it forgets them all.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: Words that are encoded in one call, with a mark before each.
 JOINT, MARK = 64, "\x01"
 #: A length with more than 1/GROUPS of all pieces is dealt over several groups.
@@ -110,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     """Pieces of every document's ids: doc_id, piece, start, length, ids_crc32."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for batch in batches:
+        for batch in lean(batches):
             _, offsets = flat(batch.column(1))
             for i, j in segments(offsets, STEP):
                 ids, at = encoder.encode(batch.column(1).slice(i, j - i))

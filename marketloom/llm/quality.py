@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from marketloom.llm.labelled import training_rows
-from marketloom.llm.textops import LOWER, Hasher, flat, segments, words
+from marketloom.llm.textops import LOWER, Hasher, flat, lean, segments, words
 
 BUCKETS = 1 << 17
 GRAMS = (3, 5)
@@ -139,7 +139,7 @@ def score(docs: DataFrame, table: np.ndarray, bias: float, name: str = "score")
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = flat(batch.column(batch.schema.get_field_index("text")))
             kept = [c for c in batch.schema.names if c != name]
             made = pa.array(score_texts(data, offsets, shared.value, bias))

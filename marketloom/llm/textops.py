@@ -91,6 +91,14 @@ def segments(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; memory that Arrow no longer needs goes back before each, so idle workers don't hold it."""
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        yield batch
+    pa.default_memory_pool().release_unused()
+
+
 def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """``batch`` in slices of about ``most`` bytes of text, with the bytes and offsets of each, so scratch arrays stay small."""
     data, offsets = flat(batch.column(column))

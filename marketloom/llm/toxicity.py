@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from marketloom.llm.labelled import training_rows
-from marketloom.llm.textops import LOWER, Hasher, flat, segments, words
+from marketloom.llm.textops import LOWER, Hasher, flat, lean, segments, words
 
 BUCKETS = 1 << 18
 #: Word beginnings of so many bytes are features, besides the whole word.
@@ -181,7 +181,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, name: str = "score"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = flat(batch.column(batch.schema.get_field_index("text")))
             scores, spans = score_texts(data, offsets, shared.value, bias)
             kept = [c for c in batch.schema.names if c not in (name, located)]
