@@ -48,38 +48,6 @@ def series(spark, small):
     return out
 
 
-def test_wilder_rsi(spark, small):
-    want = {}
-    for symbol, rows in series(spark, small).items():
-        gain = loss = 0.0
-        for i, r in enumerate(rows):
-            value = None
-            if i:
-                step = r["close"] - rows[i - 1]["close"]
-                up, down = max(step, 0), max(-step, 0)
-                gain, loss = (gain + up / 14, loss + down / 14) if i <= 14 else (gain * 13 / 14 + up / 14, loss * 13 / 14 + down / 14)
-                value = None if i < 14 else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
-            want[symbol, r["date"]] = value
-    got = {(r["symbol"], r["date"]): r["rsi"] for r in catalog.QUERIES["rsi_wilder"](spark, small).collect()}
-    assert got.keys() == want.keys()
-    assert all((got[k] is None or got[k] != got[k]) if w is None else got[k] == pytest.approx(w) for k, w in want.items())
-
-
-def test_kaufman_average(spark, small):
-    got = {(r["symbol"], r["date"]): r["kama"] for r in catalog.QUERIES["kaufman_average"](spark, small).collect()}
-    for symbol, rows in series(spark, small).items():
-        c, mean = [r["close"] for r in rows], None
-        for i, r in enumerate(rows):
-            if i == 10:
-                mean = c[i]
-            elif i > 10:
-                way = sum(abs(c[k] - c[k - 1]) for k in range(i - 9, i + 1))
-                rate = ((abs(c[i] - c[i - 10]) / way if way else 0) * (2 / 3 - 2 / 31) + 2 / 31) ** 2
-                mean += rate * (c[i] - mean)
-            value = got[symbol, r["date"]]
-            assert value == pytest.approx(mean) if mean is not None else value is None or value != value
-
-
 def test_supertrend_follows_its_bands(spark, small):
     got = {(r["symbol"], r["date"]): r for r in catalog.QUERIES["supertrend"](spark, small).collect()}
     for symbol, rows in series(spark, small).items():
@@ -95,16 +63,3 @@ def test_supertrend_follows_its_bands(spark, small):
             if before is not None and before["trend"] == g["trend"]:
                 assert (g["supertrend"] - before["supertrend"]) * g["trend"] >= -1e-9
             before = g
-
-
-def test_renko_bricks_are_of_one_size_and_adjoin(spark, small):
-    first = {s: rows[0]["close"] for s, rows in series(spark, small).items()}
-    bricks = {}
-    for r in catalog.QUERIES["renko_bricks"](spark, small).collect():
-        bricks.setdefault(r["symbol"], []).append(r)
-    for symbol, rows in bricks.items():
-        rows.sort(key=lambda r: r["brick"])
-        for r in rows:
-            assert (r["brick_close"] - r["brick_open"]) * r["direction"] == pytest.approx(first[symbol] * 0.25)
-        for a, b in zip(rows, rows[1:], strict=False):
-            assert b["brick_open"] == pytest.approx(a["brick_close"] if a["direction"] == b["direction"] else a["brick_open"])
