@@ -270,7 +270,8 @@ UNION ALL SELECT x.symbol, x.date, x.k, x.close, x.volume, e.mg + (x.close - e.m
   CASE WHEN x.k >= 9 THEN greatest(-0.999, least(0.999, 0.33 * x.raw + 0.67 * e.held)) ELSE 0 END,
   CASE WHEN x.k >= 9 THEN 0.5 * ln((1 + greatest(-0.999, least(0.999, 0.33 * x.raw + 0.67 * e.held))) / (1 - greatest(-0.999, least(0.999, 0.33 * x.raw + 0.67 * e.held)))) + 0.5 * e.fish ELSE 0 END,
   e.nvi * CASE WHEN x.volume < e.volume THEN x.close / e.close ELSE 1 END, e.pvi * CASE WHEN x.volume > e.volume THEN x.close / e.close ELSE 1 END FROM e JOIN x ON x.symbol = e.symbol AND x.k = e.k + 1)
-SELECT symbol, date, round(mg, 4) AS mcginley14, CASE WHEN k >= 9 THEN round(fish, 6) END AS fisher9, round(nvi, 4) AS nvi, round(pvi, 4) AS pvi FROM e""", dates=("date",))
+SELECT symbol, date, CASE WHEN abs(mg) < 1e12 THEN round(mg, 4) END AS mcginley14, CASE WHEN k >= 9 THEN round(fish, 6) END AS fisher9, round(nvi, 4) AS nvi, round(pvi, 4) AS pvi FROM e""", dates=("date",))
 def chart_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    """Means and indices with a state; a mean that ran away from jumps of the series is null."""
     s = recursive.adaptive(bars(spark, d), "symbol", "date")
-    return s.select("symbol", "date", F.round("mcginley14", 4).alias("mcginley14"), r6("fisher9").alias("fisher9"), F.round("nvi", 4).alias("nvi"), F.round("pvi", 4).alias("pvi"))
+    return s.select("symbol", "date", F.when(F.abs("mcginley14") < 1e12, F.round("mcginley14", 4)).alias("mcginley14"), r6("fisher9").alias("fisher9"), F.round("nvi", 4).alias("nvi"), F.round("pvi", 4).alias("pvi"))

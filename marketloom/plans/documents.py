@@ -281,13 +281,13 @@ def number_parse(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select("o_orderkey", raw.alias("raw")).withColumn("value", F.round(T.parse_number(F.col("raw")), 4))
 
 
-@query("statement_table", f"""WITH t AS (SELECT s_suppkey, '| ' || s_name || ' | ' || CAST(CAST(abs(s_acctbal) AS BIGINT) AS VARCHAR) || '.000 | (' || CAST(s_nationkey AS VARCHAR) || ',5) |' AS row, CASE WHEN s_suppkey % 3 = 0 THEN 'Đơn vị: triệu đồng' WHEN s_suppkey % 3 = 1 THEN 'Unit: billion VND' ELSE 'VND' END AS head FROM supplier),
+@query("statement_table", f"""WITH t AS (SELECT s_suppkey, '| ' || s_name || ' | ' || CAST(CAST(floor(abs(s_acctbal)) AS BIGINT) AS VARCHAR) || '.000 | (' || CAST(s_nationkey AS VARCHAR) || ',5) |' AS row, CASE WHEN s_suppkey % 3 = 0 THEN 'Đơn vị: triệu đồng' WHEN s_suppkey % 3 = 1 THEN 'Unit: billion VND' ELSE 'VND' END AS head FROM supplier),
 c AS (SELECT s_suppkey, head, string_split(trim(trim(row, '|')), '|') AS cells FROM t), u AS (SELECT *, {T.sql_fold('head')} AS folded FROM c)
 SELECT s_suppkey, trim(cells[1]) AS item, CASE {" ".join(f"WHEN regexp_matches(folded, '{p}') THEN {s}" for s, p in T.UNITS)} ELSE 1.0 END AS scale, round({T.sql_parse_number('trim(cells[2])')}, 2) AS current, round({T.sql_parse_number('trim(cells[3])')}, 2) AS previous FROM u""")
 def statement_table(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a pipe table with their unit's scale and the numbers of two periods."""
     k = F.col("s_suppkey")
-    row = F.concat(F.lit("| "), "s_name", F.lit(" | "), F.round(F.abs("s_acctbal")).cast("long").cast("string"), F.lit(".000 | ("), F.col("s_nationkey").cast("string"), F.lit(",5) |"))
+    row = F.concat(F.lit("| "), "s_name", F.lit(" | "), F.floor(F.abs("s_acctbal")).cast("long").cast("string"), F.lit(".000 | ("), F.col("s_nationkey").cast("string"), F.lit(",5) |"))
     head = F.when(k % 3 == 0, "Đơn vị: triệu đồng").when(k % 3 == 1, "Unit: billion VND").otherwise("VND")
     t = load(spark, d, "supplier").select("s_suppkey", head.alias("head"), F.split(F.trim(F.regexp_replace(row, r"^\||\|$", "")), r"\|").alias("cells"))
     cell = lambda i: F.trim(F.col("cells")[i])
