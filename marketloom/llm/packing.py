@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.storage import staged
-from marketloom.llm.textops import flat, lean, segments
+from marketloom.llm.textops import flat, lean, resident, segments
 
 #: Words that a worker remembers with their ids; then it forgets them all.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Words that are encoded in one call, with a mark before each.
 JOINT, MARK = 64, "\x01"
 #: A length with more than 1/GROUPS of all pieces is dealt over several groups.
@@ -39,7 +39,6 @@ GROUPS = 16_384
 #: Bytes of texts that are split and encoded together; a longer text is taken alone.
 STEP = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_loaded: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -101,16 +100,14 @@ class WordEncoder:
 
 
 def _encoder(path: str) -> WordEncoder:
-    if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
-    return _loaded[path]
+    return resident(f"words {path}", lambda: WordEncoder(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pieces of every document's ids: doc_id, piece, start, length, ids_crc32."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for batch in lean(batches):
+        for batch in lean(batches, keep=True):
             _, offsets = flat(batch.column(1))
             for i, j in segments(offsets, STEP):
                 ids, at = encoder.encode(batch.column(1).slice(i, j - i))

@@ -7,7 +7,7 @@ number of words in it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,8 +91,22 @@ def segments(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; memory that Arrow no longer needs goes back before each, so idle workers don't hold it."""
+#: The one large object that a worker keeps from task to task, by name.
+_resident: dict[str, object] = {}
+
+
+def resident(name: str, make: Callable[[], object]) -> object:
+    """The worker's object of that name, made if it isn't there; it takes the place of any other."""
+    if name not in _resident:
+        _resident.clear()
+        _resident[name] = make()
+    return _resident[name]
+
+
+def lean(batches: Iterator[pa.RecordBatch], keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same batches; memory that Arrow no longer needs goes back before each, and what another operator kept at once."""
+    if not keep:
+        _resident.clear()
     for batch in batches:
         pa.default_memory_pool().release_unused()
         yield batch
