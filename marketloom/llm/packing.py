@@ -34,6 +34,8 @@ from marketloom.llm.textops import flat, lean, resident, segments
 CACHE_WORDS = 1_000_000
 #: Words that are encoded in one call, with a mark before each.
 JOINT, MARK = 64, "\x01"
+#: Texts on which splitting at blanks must agree with the tokenizer before it is used.
+PROBES = ["", " ", "a b", " a\n\nb ", "Hello wörld,  x\t\ty", "\u3000x\u00a0y", "don't 12 345!", "😀 a\x01b \x01"]
 #: A length with more than 1/GROUPS of all pieces is dealt over several groups.
 GROUPS = 16_384
 #: Bytes of texts that are split and encoded together; a longer text is taken alone.
@@ -57,6 +59,10 @@ class WordEncoder:
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self._forget()
+        ids, at = self.encode(pa.array(PROBES))
+        want = [e.ids for e in self.tokenizer.encode_batch(PROBES, add_special_tokens=False)]
+        if [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] != want:
+            raise ValueError(f"{path} doesn't drop white space before it merges")
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}

@@ -32,6 +32,8 @@ NO_RANK = np.iinfo(np.int64).max
 #: Characters of texts that are split and encoded together.
 STEP = 1_000_000
 ENCODED = "doc_id long, ids array<int>, decoded string"
+#: Texts on which a model must agree with the library before it is used.
+PROBES = ("", " ", "  a  b ", "Hello wörld,\n\n x\t", "ﬁ １２ Å Ａ", "\u3000x\u00a0y \u200bz", "aaaa    bbbb", "\x00\x7f 😀", "don't 1234567")
 _loaded: dict[str, PieceModel] = {}
 
 
@@ -90,6 +92,13 @@ class PieceModel:
         if any(BLANK in p.lstrip(BLANK) for p in normal):
             raise ValueError("a piece reaches over a blank")
         self.known: dict[str, bytes] = {"": b""}
+        self.size = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.table = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        for text, ids in zip(PROBES, self.encode(list(PROBES)), strict=True):
+            ids = np.frombuffer(ids, "<i4")
+            if ids.tolist() != sp.encode(text, add_eos=True) or self.decode(ids) != sp.decode(ids.tolist()):
+                raise ValueError(f"{path} isn't a BPE model without normalisation and with a blank before each text")
 
     def _blanks(self, normal: dict[str, int], rank: dict[str, float]) -> None:
         """Runs of blanks whose pieces all have the worst rank merge last, from the left.
@@ -235,13 +244,23 @@ class PieceModel:
         return [b"".join(map(self.known.__getitem__, s)) + end for s in split]
 
     def decode(self, ids: np.ndarray) -> str:
-        data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        first = next((i for i in ids if self.bytes_of[i]), None)
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            text = self._decode_bytes(ids)
-        return text[1:] if first is not None and self.starts_blank[first] else text
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of many id lists that lie behind one another; their bytes are taken from one table at once."""
+        size = self.size[ids]
+        to = np.append(0, np.cumsum(size))
+        data = self.table[np.repeat(self.first[ids] - to[:-1], size) + np.arange(to[-1])].tobytes()
+        filled = np.append(np.flatnonzero(size), len(ids))
+        head = filled[np.searchsorted(filled, ends[:-1])]
+        out = []
+        for a, b, h in zip(ends[:-1].tolist(), ends[1:].tolist(), head.tolist(), strict=True):
+            try:
+                text = data[to[a] : to[b]].decode("utf-8")
+            except UnicodeDecodeError:
+                text = self._decode_bytes(ids[a:b])
+            out.append(text[1:] if h < b and self.starts_blank[ids[h]] else text)
+        return out
 
     def _decode_bytes(self, ids: np.ndarray) -> str:
         """Bytes that form no character become U+FFFD each."""
@@ -294,7 +313,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
                 ids = m.encode(texts)
                 flat = np.frombuffer(b"".join(ids), "<i4")
                 ends = np.cumsum([0, *(len(b) // 4 for b in ids)])
-                decoded = [m.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                decoded = m.decode_all(flat, ends)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(decoded, pa.string())],
                     names=["doc_id", "ids", "decoded"],
