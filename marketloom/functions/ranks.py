@@ -29,18 +29,18 @@ def zscore(x: Column, *by: str, least: float = 1e-12) -> Column:
 
 
 def winsorize(df: DataFrame, x: str, by: str, low: float, high: float, name: str) -> DataFrame:
-    """Clips to exact interpolated quantiles of each group; one row per group is joined back."""
-    bounds = df.groupBy(by).agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    """Clips to exact interpolated quantiles of each group: a window, so ``df`` is read once."""
+    bounds = F.percentile(x, F.array(F.lit(low), F.lit(high))).over(Window.partitionBy(by))
     clipped = F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("_q")[0]), F.col("_q")[1]))
-    return df.join(bounds, by).withColumn(name, clipped).drop("_q")
+    return df.withColumn("_q", bounds).withColumn(name, clipped).drop("_q")
 
 
 def quantile_bucket(df: DataFrame, x: str, by: str, n: int, name: str) -> DataFrame:
     """Right-closed buckets 0 to n - 1 between interpolated quantiles."""
     cuts = F.array(*[F.lit(k / n) for k in range(1, n)])
-    bounds = df.groupBy(by).agg(F.percentile(x, cuts).alias("_q"))
+    bounds = F.percentile(x, cuts).over(Window.partitionBy(by))
     above = F.aggregate("_q", F.lit(0), lambda a, q: a + F.when(F.col(x) > q, 1).otherwise(0))
-    return df.join(bounds, by).withColumn(name, F.when(F.col(x).isNotNull(), above)).drop("_q")
+    return df.withColumn("_q", bounds).withColumn(name, F.when(F.col(x).isNotNull(), above)).drop("_q")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, tie: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.frames import change, last_n, series
 from marketloom.operators.relational import asof_backward, filing_available, keep_latest, range_or_null
 from marketloom.plans.catalog import query
-from marketloom.sources.tables import SQL_BARS, SQL_STOCKS, bars, load, stocks
+from marketloom.sources.tables import SQL_BARS, SQL_STOCKS, bar_dates, bars, load, stocks
 
 BARS, BOTH = f"WITH {SQL_BARS}", f"WITH {SQL_BARS}, {SQL_STOCKS}"
 
@@ -58,7 +58,7 @@ def sector_heatmap(spark: SparkSession, d: str) -> DataFrame:
     """Capitalisation-weighted sector returns of the last 61 sessions (plain means without weights), with a sparkline."""
     w = series("symbol", "date")
     b = bars(spark, d)
-    recent = b.select("date").distinct().orderBy(F.desc("date")).limit(61)
+    recent = bar_dates(spark, d).orderBy(F.desc("date")).limit(61)
     r = b.withColumn("ret", change(F.col("close"), w)).join(F.broadcast(recent), "date", "left_semi").join(stocks(spark, d), "symbol")
     weighted = F.try_divide(F.sum(F.col("ret") * F.col("market_cap")), F.sum(F.when(F.col("ret").isNotNull(), F.col("market_cap"))))
     s = r.groupBy("sector", "date").agg(F.coalesce(weighted, F.avg("ret")).alias("ret"), F.count(F.lit(1)).alias("symbols"))
@@ -185,7 +185,7 @@ SELECT symbol, count(*) FILTER (date > today - INTERVAL 24 MONTH) AS sessions, r
 FROM bars, m GROUP BY symbol HAVING count(*) FILTER (date > today - INTERVAL 24 MONTH) >= 12 AND avg(close * volume) FILTER (date > today - INTERVAL 12 MONTH) >= 5000""")
 def liquid_universe(spark: SparkSession, d: str) -> DataFrame:
     b = bars(spark, d)
-    today = b.agg(F.max("date").alias("today"))  # one row
+    today = bar_dates(spark, d).agg(F.max("date").alias("today"))  # one row
     b = b.crossJoin(F.broadcast(today))
     within = lambda n: F.col("date") > F.add_months("today", -n)
     out = b.groupBy("symbol").agg(F.count_if(within(24)).alias("sessions"), F.avg(F.when(within(12), F.col("close") * F.col("volume"))).alias("adtv"))

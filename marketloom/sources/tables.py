@@ -41,6 +41,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_trades(t, "symbol", "date")
 
 
+def bar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates that bars have, from one column of the trades."""
+    return load(spark, sf_dir, "lineitem").select(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("date")).distinct()
+
+
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation, region = (load(spark, sf_dir, n) for n in ("supplier", "nation", "region"))
     joined = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
