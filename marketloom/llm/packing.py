@@ -23,15 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.storage import staged
-from marketloom.llm.textops import flat, lean, resident, segments
+from marketloom.llm.textops import Hasher, flat, lean, resident, segments, words
 
 #: Words that a worker remembers with their ids; then it forgets them all.
 CACHE_WORDS = 1_000_000
+#: New words that are kept apart before they are merged with the rest.
+FRESH_WORDS = 30_000
+#: What parts words here.
+_BLANKS = np.zeros(256, bool)
+_BLANKS[[10, 32]] = True
 #: Words that are encoded in one call, with a mark before each.
 JOINT, MARK = 64, "\x01"
 #: Texts on which splitting at blanks must agree with the tokenizer before it is used.
@@ -39,7 +43,7 @@ PROBES = ["", " ", "a b", " a\n\nb ", "Hello wörld,  x\t\ty", "\u3000x\u00a0y",
 #: A length with more than 1/GROUPS of all pieces is dealt over several groups.
 GROUPS = 16_384
 #: Bytes of texts that are split and encoded together; a longer text is taken alone.
-STEP = 4_000_000
+STEP = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -47,7 +51,9 @@ class WordEncoder:
     """Ids of texts by the tokenizers library, remembered per blank-separated word.
 
     Splitting at blanks and newlines first is exact for tokenizers that drop
-    white space before merging, as no token then reaches over it.
+    white space before merging, as no token then reaches over it. Words are known by
+    64-bit hashes in sorted arrays, so only a new word becomes a Python string, and
+    ``CACHE_WORDS`` of them take some 40 MB.
     """
 
     def __init__(self, path: str):
@@ -59,50 +65,67 @@ class WordEncoder:
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self._forget()
-        ids, at = self.encode(pa.array(PROBES))
+        ids, at = self.encode(*flat(pa.array(PROBES)))
         want = [e.ids for e in self.tokenizer.encode_batch(PROBES, add_special_tokens=False)]
         if [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] != want:
             raise ValueError(f"{path} doesn't drop white space before it merges")
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        # Most words, and those that came since they were last merged.
+        self.known, self.fresh = ((np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2))
         self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        """Appends the ids of new words to the store."""
-        joint = [w for w in words if self.mark is not None and MARK not in w]
-        alone = [w for w in words if self.mark is None or MARK in w]
-        texts = [f" {MARK} ".join(["", *joint[i : i + JOINT]]) for i in range(0, len(joint), JOINT)]
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of words in the store, -1 where they aren't in it."""
+        place = np.full(len(hashes), -1, np.int64)
+        for held, places in (self.known, self.fresh):
+            if len(held):
+                at = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
+                place = np.where(held[at] == hashes, places[at], place)
+        return place
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Appends the ids of new words, of sorted hashes, to the store."""
+        joint = [k for k, w in enumerate(words) if self.mark is not None and MARK not in w]
+        alone = [k for k, w in enumerate(words) if self.mark is None or MARK in w]
+        texts = [f" {MARK} ".join(["", *(words[k] for k in joint[i : i + JOINT])]) for i in range(0, len(joint), JOINT)]
         ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.concatenate([np.zeros(0, np.uint32), *ids])
         at = np.flatnonzero(ids == self.mark) if joint else np.zeros(0, np.int64)
         size = np.diff(np.append(at, len(ids))) - 1
-        more = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        more = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([words[k] for k in alone], add_special_tokens=False)]
+        place = np.empty(len(words), np.int64)
+        place[joint + alone] = len(self.size) + np.arange(len(words))
         self.size = np.concatenate([self.size, size, np.array([len(m) for m in more], np.int64)])
         self.ids = np.concatenate([self.ids, np.delete(ids, at), *more])
         self.first = np.cumsum(self.size) - self.size
-        self.known.update(zip(joint + alone, range(len(self.known), len(self.size)), strict=True))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and the n + 1 offsets of the texts in it.
-
-        Words become codes of the texts' own dictionary, so only distinct words are
-        looked up one by one.
-        """
-        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self._forget()
-            new = words
-        if new:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        self.fresh = _merged(self.fresh, (hashes, place))
+        if len(self.fresh[0]) > FRESH_WORDS:
+            self.known, self.fresh = _merged(self.known, self.fresh), (hashes[:0], place[:0])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts that lie in ``data``, in one array, and the n + 1 offsets of the texts in it."""
+        start, end, owner = words(data, offsets, _BLANKS)
+        hashes, example, code = np.unique(Hasher(data).spans(start, end), return_index=True, return_inverse=True)
+        place = self._find(hashes)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if len(self.size) + len(new) > CACHE_WORDS:
+                self._forget()
+                new = np.arange(len(hashes))
+            raw = data.tobytes()
+            self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)])
+            place = self._find(hashes)
+        place = place[code]
         n = self.size[place]
-        end = np.append(0, np.cumsum(n))
-        at = np.repeat(self.first[place] - end[:-1], n) + np.arange(end[-1])
-        return self.ids[at], end[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        to = np.append(0, np.cumsum(n))
+        at = np.repeat(self.first[place] - to[:-1], n) + np.arange(to[-1])
+        return self.ids[at], to[np.searchsorted(owner, np.arange(len(offsets)))]
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(a[0], b[0])
+    return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -114,9 +137,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for batch in lean(batches, keep=True):
-            _, offsets = flat(batch.column(1))
+            data, offsets = flat(batch.column(1))
             for i, j in segments(offsets, STEP):
-                ids, at = encoder.encode(batch.column(1).slice(i, j - i))
+                ids, at = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = np.insert(ids, at[1:], end_id).astype("<u4")
                 length = np.diff(at) + 1
                 count = -(-length // capacity)

@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from marketloom.llm import chat, packing, queries, sentencepiece_bpe
+from marketloom.llm import chat, packing, queries, sentencepiece_bpe, textops
 
 EVENTS = "conv_id long, seq long, event string, turn long, role string, text string"
 DOCS = "doc_id long, text string, length long, ids string, rank int, salt int"
@@ -145,10 +145,11 @@ def test_word_encoder_on_odd_texts(monkeypatch):
     parts = [" ", "\n", "\x01", "\t", "\xa0", "\u0301", "e\u0301", "It's", "don't!!", "<|endoftext|>", "\u3000", "漢字", "😀", "ABC", "12345", "\x00", "İ", "ß", "word", "x", "\u200b", "\ufeff"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(2000)] + ["", None, "\x01", " \x01 "]
     monkeypatch.setattr(packing, "CACHE_WORDS", 900)
+    monkeypatch.setattr(packing, "FRESH_WORDS", 100)
     encoder, tokenizer = packing.WordEncoder(path), Tokenizer.from_file(path)
     for i in range(0, len(texts), 250):
         part = texts[i : i + 250]
-        ids, at = encoder.encode(pa.array(part, pa.string()))
+        ids, at = encoder.encode(*textops.flat(pa.array(part, pa.string())))
         want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
         bad = [t for k, t in enumerate(part) if ids[at[k] : at[k + 1]].tolist() != want[k]]
         assert not bad, bad[:3]
