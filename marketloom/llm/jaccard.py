@@ -260,11 +260,23 @@ def matching_depth(audited: list[tuple[np.ndarray, np.ndarray]], threshold: floa
     return depth
 
 
-def _blocked(rows: DataFrame, key: str, size: str, member: str, block: int) -> DataFrame:
-    """Rows with the pairs of blocks (one, two) of their group that they take part in, and their side (0, 1, or 2 for both)."""
+def _blocked(rows: DataFrame, key: str, size: str, member: str, block: int, core: str | None = None) -> DataFrame:
+    """Rows with the pairs of blocks (one, two) of their group that they take part in, and their side (0, 1, or 2 for both).
+
+    ``core`` marks rows that needn't meet each other, of which ``size`` counts only the
+    rest: these have the first blocks, which all rows meet.
+    """
     n = F.ceil(F.col(size) / block)
-    own = F.pmod(F.xxhash64(member), n)
-    at = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    if core is None:
+        last = n - 1
+        own = F.pmod(F.xxhash64(member), n)
+    else:
+        cores = F.ceil(F.col(f"{core}_size") / block)
+        last = F.when(F.col(core), n - 1).otherwise(n + cores - 1)
+        own = F.when(F.col(core), n + F.pmod(F.xxhash64(member), cores)).otherwise(F.pmod(F.xxhash64(member), n))
+        # A core row without other rows beside it meets none.
+        rows = rows.filter(F.col(size) > 0)
+    at = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     at = at.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other"), "side": side.cast("int")}).drop("own", "other")
     return at.repartition(key, "one", "two").sortWithinPartitions(key, "one", "two")

@@ -9,9 +9,11 @@
    there. A node keeps its best ``k``; a list in which all are near the threshold
    is saturated and doubles, up to ``LONGEST``. Of the edges near the threshold that
    a full list gives up, a spanning forest is kept, so that no group falls apart.
-3. Edges near the threshold form candidate groups (connected components). Within a
-   group all pairs are compared in double precision, in blocks, so a dense group's
-   links are counted whole without lists as long as the group.
+3. Edges near the threshold form candidate groups (connected components). A group's
+   core are the members within half the threshold's angle of its pivot: by the triangle
+   inequality they all link, so they are counted and not compared. The others are
+   compared with all members in double precision, in blocks; a dense group's work
+   therefore grows with its size, and no list is as long as the group.
 4. Recall is audited after each attempt: random nodes, and those whose best neighbour
    is nearest to the threshold, are compared with all nodes. Below the target, the
    search goes on with new buckets and longer lists; after the last attempt all pairs
@@ -32,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.graph import components
+from marketloom.llm.graph import attach, components
 from marketloom.llm.groups import borders, forest, runs
 from marketloom.llm.jaccard import _blocked, _sides, one_sided
 from marketloom.llm.storage import discard, staged
@@ -280,6 +282,27 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
     return members.mapInArrow(run, "u long, v long, n long")
 
 
+def _unit_dot(a: Column, b: Column) -> Column:
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, u: s + u)
+    return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
+
+
+def _in_groups(members: DataFrame, threshold: float) -> DataFrame:
+    """What ``_counted`` gives for the groups of ``members`` (key, rep, copies, x), whose cores are counted without comparing."""
+    total = members.count()
+    # The pivot is the member with most copies, of those the first.
+    pivot = F.max_by("x", F.struct("copies", (-F.col("rep")).alias("low"))).alias("pivot")
+    near = attach(members, "key", total, pivot).withColumn("core", F.acos(F.least(F.lit(1.0), _unit_dot(F.col("x"), F.col("pivot")))) <= float(np.arccos(threshold)) / 2 - 1e-6)
+    near = staged(near.drop("pivot"), "near")
+    sizes = [F.count_if("core").alias("core_size"), F.count_if(~F.col("core")).alias("size"), F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("core_copies"), F.min(F.when(F.col("core"), F.col("rep"))).alias("first")]
+    sized = staged(attach(near, "key", total, *sizes), "sized")
+    none = F.lit(-1).cast("long")
+    inside = sized.filter("core").select(F.col("rep").alias("u"), none.alias("v"), (F.col("core_copies") - F.col("copies")).alias("n"))
+    joined = sized.filter("core AND rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v"), F.lit(0).cast("long").alias("n"))
+    rest = _counted(_blocked(sized.select("key", "size", "core", "core_size", "rep", "copies", "x"), "key", "size", "rep", BLOCK, "core"), threshold)
+    return inside.unionByName(joined).unionByName(rest)
+
+
 def _audit(vectors: DataFrame, nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
     """Share of a sampled node's links that were counted, on average over the sampled nodes that have links."""
     number = min(MOST, max(AUDIT, vectors.count() // SHARE))
@@ -353,8 +376,9 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.93, recall: flo
         near = F.transform(F.filter(F.arrays_zip("near", "sim"), lambda e: e["sim"] >= least), lambda e: e["near"])
         edges = nodes.select(F.col("id").alias("u"), F.explode(F.concat(near, "joins")).alias("v"))
         groups = staged(components(edges).withColumnsRenamed({"node": "rep", "component": "key"}), "groups")
-        sized = groups.join(groups.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").join(vectors, "rep")
-        counted = staged(_counted(_blocked(sized.select("key", "size", "rep", "copies", "x"), "key", "size", "rep", BLOCK), threshold), "counted")
+        members = staged(groups.join(vectors, "rep").select("key", "rep", "copies", "x"), "members")
+        counted = staged(_in_groups(members, threshold), "counted")
+        discard(groups, members)
         if _audit(vectors, nodes, counted, threshold) >= recall:
             break
         nodes = nodes.withColumn("k", F.least(F.col("k") * 2, F.lit(LONGEST)).cast("int"))

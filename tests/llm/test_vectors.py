@@ -126,6 +126,22 @@ def test_near_dedup_of_dense_groups(spark):
     assert np.mean([r["component_id"] == want[i][2] for i, r in got.items()]) >= 0.99
 
 
+def test_near_dedup_counts_cores_without_comparing(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    # Tight groups with rims of several distances, and copies; blocks so small that all kinds of pairs of blocks occur.
+    centres = rng.standard_normal((4, 24))
+    x = np.concatenate([c + rng.standard_normal((60, 24)) * s for c in centres for s in (0.03, 0.15)] + [np.repeat(centres, 3, 0)])
+    rows = [(i, np.float32(v).tolist(), i % 2) for i, v in enumerate(x)]
+    frame = spark.createDataFrame([(*r, 0, 0, 0, 0, 0) for r in rows], VECTORS)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    compared = []
+    whole = neardup._counted
+    monkeypatch.setattr(neardup, "_counted", lambda members, threshold: compared.append(members) or whole(members, threshold))
+    assert {tuple(r) for r in neardup.near_duplicate_vectors(frame, 0.93).collect()} == linked(rows, rows, 0.93)
+    # No pair of blocks holds core members only.
+    assert compared[0].filter("core").count() > 0 and compared[0].filter("one >= ceil(size / 7)").count() == 0
+
+
 def test_near_dedup_edge_rows(spark):
     frame = odd_vectors(spark)
     got = sorted(map(tuple, neardup.near_duplicate_vectors(frame, 0.93).collect()), key=lambda r: (r[0] is None, r[0]))
