@@ -7,13 +7,13 @@ share one shuffle by symbol. What needs a state from bar to bar is in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators import recursive
 from marketloom.plans.catalog import query
 from marketloom.plans.risk import r6
-from marketloom.sources.tables import SQL_BARS, bars
+from marketloom.sources.tables import SQL_BARS, bars, trades
 
 SERIES = "PARTITION BY symbol ORDER BY date"
 
@@ -275,3 +275,28 @@ def chart_adaptive(spark: SparkSession, d: str) -> DataFrame:
     """Means and indices with a state; a mean that ran away from jumps of the series is null."""
     s = recursive.adaptive(bars(spark, d), "symbol", "date")
     return s.select("symbol", "date", F.when(F.abs("mcginley14") < 1e12, F.round("mcginley14", 4)).alias("mcginley14"), r6("fisher9").alias("fisher9"), F.round("nvi", 4).alias("nvi"), F.round("pvi", 4).alias("pvi"))
+
+
+def rank_correlation(x: str, n: int) -> str:
+    """100 times the rank correlation of the last ``n`` values with their order; equal values share the mean of their ranks."""
+    values = [lag(x, k) if k else x for k in range(n)]
+    ranks = [" + ".join(f"CASE WHEN {b} > {a} THEN 1.0 WHEN {b} = {a} THEN 0.5 ELSE 0.0 END" for j, b in enumerate(values) if j != k) for k, a in enumerate(values)]
+    squares = " + ".join(f"power({k} - ({r}), 2)" for k, r in enumerate(ranks))
+    return f"CASE WHEN count({x}) OVER {last(n)} = {n} THEN (1 - 6 * ({squares}) / {n * (n * n - 1)}e0) * 100 END"
+
+
+chart("chart_rank_correlation", ("rci5", "rci9"), {"rci5": rank_correlation("close", 5), "rci9": rank_correlation("close", 9)}, digits=5)
+
+
+@query("value_area", f"""WITH {SQL_BARS}, r AS (SELECT symbol, min(price) AS lo, max(price) AS hi FROM trades GROUP BY symbol), y AS (SELECT symbol, CAST(least(23, floor(24 * (price - lo) / nullif(hi - lo, 0))) AS BIGINT) AS bin, sum(quantity) AS v FROM trades JOIN r USING (symbol) GROUP BY ALL),
+c AS (SELECT *, sum(v) OVER (PARTITION BY symbol ORDER BY v DESC, bin) - v AS before, sum(v) OVER (PARTITION BY symbol) AS total FROM y)
+SELECT symbol, min(bin) AS lowest, max(bin) AS highest, count(*) AS bins, round(sum(v) / max(total), 6) AS share FROM c WHERE before < 0.7 * total GROUP BY symbol""")
+def value_area(spark: SparkSession, d: str) -> DataFrame:
+    """The fullest price bins that hold seven tenths of a symbol's volume."""
+    t = trades(spark, d)
+    r = t.groupBy("symbol").agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
+    b = F.least(F.lit(23), F.floor(F.try_divide(24 * (F.col("price") - F.col("lo")), F.col("hi") - F.col("lo")))).cast("long")
+    y = t.join(r, "symbol").groupBy("symbol", b.alias("bin")).agg(F.sum("quantity").alias("v"))
+    w = Window.partitionBy("symbol")
+    c = y.withColumns({"before": F.sum("v").over(w.orderBy(F.desc("v"), "bin")) - F.col("v"), "total": F.sum("v").over(w)})
+    return c.filter("before < 0.7 * total").groupBy("symbol").agg(F.min("bin").alias("lowest"), F.max("bin").alias("highest"), F.count(F.lit(1)).alias("bins"), r6(F.sum("v") / F.max("total")).alias("share"))

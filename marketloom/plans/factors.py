@@ -335,3 +335,49 @@ def target_price_blend(spark: SparkSession, d: str) -> DataFrame:
     t = t.withColumn("target", F.try_divide(sum(have(c, w * F.col(c)) for c, w in parts), sum(have(c, F.lit(w)) for c, w in parts)))
     up = F.try_divide("target", "c0") - 1
     return t.select("symbol", F.round("target", 4).alias("target"), r6(up).alias("upside"), F.when(up > 0.15, "BUY").when(up < -0.1, "SELL").otherwise("HOLD").alias("view"))
+
+
+_SIGNALS = {"momentum": "r", "size": "ln(market_cap)", "turnover": "ln(1 + volume * close)", "range": "(high - low) / close", "reversal": "-r"}
+
+
+@query("factor_verdicts", f"""{RETURNS}, {SQL_STOCKS}, k AS (SELECT ret.*, market_cap, lead(close, 2) OVER w / nullif(lead(close) OVER w, 0) - 1 AS forward FROM ret JOIN stocks USING (symbol) WINDOW w AS (PARTITION BY ret.symbol ORDER BY date)),
+v AS (SELECT date, forward, unnest([{", ".join(f"'{n}'" for n in _SIGNALS)}]) AS factor, unnest([{", ".join(_SIGNALS.values())}]) AS x FROM k), p AS (SELECT * FROM v WHERE x IS NOT NULL AND forward IS NOT NULL),
+i AS (SELECT factor, date, corr(a, b) AS ic FROM (SELECT factor, date, rank() OVER (PARTITION BY factor, date ORDER BY x) + (count(*) OVER (PARTITION BY factor, date, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY factor, date ORDER BY forward) + (count(*) OVER (PARTITION BY factor, date, forward) - 1) / 2.0 AS b FROM p) GROUP BY ALL HAVING count(*) >= 5),
+s AS (SELECT factor, count(ic) AS n, avg(ic) AS mean, avg(ic) / nullif(stddev_samp(ic), 0) AS ratio, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(ic)) AS t FROM i GROUP BY factor)
+SELECT factor, n, round(mean, 6) AS mean, round(ratio, 6) AS ratio, round(t, 6) AS t, CASE WHEN t >= 2 AND mean > 0.02 THEN 'ALIVE' WHEN t <= -2 AND mean < -0.02 THEN 'REVERSED' WHEN abs(t) >= 1.5 THEN 'MARGINAL' WHEN abs(mean) >= 0.01 THEN 'WEAK' ELSE 'DEAD' END AS verdict FROM s""")
+def factor_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Information coefficients of several signals over all dates, and what they amount to."""
+    w = series("symbol", "date")
+    k = returns(spark, d).join(stocks(spark, d), "symbol").withColumn("forward", F.try_divide(F.lead("close", 2).over(w), F.lead("close").over(w)) - 1)
+    v = k.select("date", "forward", F.explode(F.create_map(*[e for n, x in _SIGNALS.items() for e in (F.lit(n), F.expr(x).cast("double"))])).alias("factor", "x")).filter("x IS NOT NULL AND forward IS NOT NULL")
+    ranked = v.select("factor", "date", rank_average(F.col("x"), "factor", "date").alias("a"), rank_average(F.col("forward"), "factor", "date").alias("b"))
+    i = ranked.groupBy("factor", "date").agg(F.count(F.lit(1)).alias("names"), F.corr("a", "b").alias("ic")).filter("names >= 5")
+    ratio = F.try_divide(F.avg("ic"), F.stddev_samp("ic"))
+    s = i.groupBy("factor").agg(F.count("ic").alias("n"), F.avg("ic").alias("mean"), ratio.alias("ratio"), (ratio * F.sqrt(F.count("ic"))).alias("t"))
+    t, mean = F.col("t"), F.col("mean")
+    verdict = F.when((t >= 2) & (mean > 0.02), "ALIVE").when((t <= -2) & (mean < -0.02), "REVERSED").when(F.abs(t) >= 1.5, "MARGINAL").when(F.abs(mean) >= 0.01, "WEAK").otherwise("DEAD")
+    return s.select("factor", "n", r6("mean").alias("mean"), r6("ratio").alias("ratio"), r6("t").alias("t"), verdict.alias("verdict"))
+
+
+@query("contagion_features", f"""{RETURNS}, {SQL_STOCKS}, l AS (SELECT symbol, sector, row_number() OVER (PARTITION BY sector ORDER BY market_cap DESC NULLS LAST, symbol) = 1 AS leads FROM stocks), x AS (SELECT ret.symbol, date, r, sector, leads FROM ret JOIN l USING (symbol) WHERE r IS NOT NULL),
+d AS (SELECT sector, date, r AS shock, lag(r) OVER w AS shock1, lag(r, 2) OVER w AS shock2 FROM x WHERE leads WINDOW w AS (PARTITION BY sector ORDER BY date)), s AS (SELECT sector, date, avg(r) AS mean, avg(CASE WHEN r > 0.05 THEN 1.0 ELSE 0 END) AS surge FROM x GROUP BY ALL)
+SELECT symbol, date, round(shock1, 6) AS shock1, round(shock2, 6) AS shock2, round(r - mean, 6) AS relative, round(shock1 - r, 6) AS catch_up, round(surge, 6) AS surge, leads FROM x JOIN s USING (sector, date) LEFT JOIN d USING (sector, date)""", dates=("date",))
+def contagion_features(spark: SparkSession, d: str) -> DataFrame:
+    """What a sector's leader did before, how a symbol stands to its sector, and how far it lags behind."""
+    l = stocks(spark, d).withColumn("leads", F.row_number().over(Window.partitionBy("sector").orderBy(F.desc_nulls_last("market_cap"), "symbol")) == 1)
+    x = returns(spark, d).filter("r IS NOT NULL").select("symbol", "date", "r").join(l.select("symbol", "sector", "leads"), "symbol")
+    w = Window.partitionBy("sector").orderBy("date")
+    lead = x.filter("leads").select("sector", "date", F.lag("r").over(w).alias("shock1"), F.lag("r", 2).over(w).alias("shock2"))
+    s = x.groupBy("sector", "date").agg(F.avg("r").alias("mean"), F.avg(F.when(F.col("r") > 0.05, 1.0).otherwise(0.0)).alias("surge"))
+    j = x.join(s, ["sector", "date"]).join(lead, ["sector", "date"], "left")
+    return j.select("symbol", "date", r6("shock1").alias("shock1"), r6("shock2").alias("shock2"), r6(F.col("r") - F.col("mean")).alias("relative"), r6(F.col("shock1") - F.col("r")).alias("catch_up"), r6("surge").alias("surge"), "leads")
+
+
+@query("universe_refresh", f"""WITH {SQL_BARS}, y AS (SELECT symbol, year(date) AS year, avg(volume * close) AS adtv, count(*) AS n FROM bars GROUP BY ALL), m AS (SELECT *, n >= 6 AND adtv >= 4e5 AS member FROM y), c AS (SELECT symbol, year, member, lag(member) OVER (PARTITION BY symbol ORDER BY year) AS before FROM m)
+SELECT symbol, year, CASE WHEN member AND coalesce(before, false) THEN 'KEPT' WHEN member THEN 'ADDED' WHEN before THEN 'REMOVED' ELSE 'OUTSIDE' END AS state FROM c""")
+def universe_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Who enters and leaves the universe of liquid symbols from year to year."""
+    y = bars(spark, d).groupBy("symbol", F.year("date").alias("year")).agg(F.avg(F.col("volume") * F.col("close")).alias("adtv"), F.count(F.lit(1)).alias("n"))
+    m = y.withColumn("member", (F.col("n") >= 6) & (F.col("adtv") >= 4e5)).withColumn("before", F.coalesce(F.lag("member").over(Window.partitionBy("symbol").orderBy("year")), F.lit(False)))
+    state = F.when(F.col("member") & F.col("before"), "KEPT").when(F.col("member"), "ADDED").when(F.col("before"), "REMOVED").otherwise("OUTSIDE")
+    return m.select("symbol", "year", state.alias("state"))
