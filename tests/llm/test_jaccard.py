@@ -173,3 +173,21 @@ def test_pipeline_on_an_empty_table(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, small)
     assert docs.collect() == []
+
+
+def test_pipeline_keeps_clashing_columns_and_odd_rows(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("doc_id < 60")
+    odd = spark.createDataFrame([(900, None, "en", "s", 0), (None, "A text without an id that is long enough to be kept by all stages", "en", "s", 9), (901, "", "en", "s", 0), (901, "", "en", "s", 0)], docs.schema)
+    given = docs.unionByName(odd).unionByName(docs.filter("doc_id < 5"))
+    more = {c: F.lit(7.5) for c in ("score", "offending", "stays", "times", "_times", "own", "h1", "h2", "key", "class_id", "piece")}
+    given = given.withColumns(more)
+    kept = given
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = staged(stage(spark, kept, small), "kept")
+        assert kept.columns == given.columns
+    rows = kept.collect()
+    assert rows and all(r[c] == 7.5 for r in rows for c in more)
+    ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+    assert len(ids) == len(set(ids)) and len(rows) > 30
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, small).collect()
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in rows}
