@@ -52,7 +52,7 @@ AUDIT_LIKELY, AUDIT_ANY, AUDIT_DEPTH, AUDIT_TREES = 192, 64, 4, 8
 #: Shingles of all audited classes together.
 AUDIT_SHINGLES = 2_000_000
 #: Bytes of text that are cut into shingles together, and whose sets are held together; a longer text is taken alone.
-STEP, PART = 1_000_000, 4_000_000
+STEP, PART = 500_000, 2_000_000
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**63, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, TREES * DEEPEST, dtype=np.uint64)

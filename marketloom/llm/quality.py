@@ -29,7 +29,7 @@ from marketloom.llm.textops import LOWER, Hasher, flat, lean, segments, words
 BUCKETS = 1 << 17
 GRAMS = (3, 5)
 #: Bytes of text that are hashed together; a longer text is taken alone.
-STEP = 1_000_000
+STEP = 500_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -29,7 +29,7 @@ BUCKETS = 1 << 18
 BEGINNINGS = (3, 4, 5, 6)
 #: A sentence ends after these bytes at a word's end, at a newline, or after LONGEST words.
 LONGEST = 32
-STEP = 1_000_000
+STEP = 500_000
 #: Features that training adds up at once; bounds the driver's scratch arrays.
 BLOCK = 1 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
