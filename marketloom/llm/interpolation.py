@@ -14,13 +14,14 @@ distinct bigrams, with counts, to the range of the hash space they lie in; a tas
 adds up a range over all chunks and answers each chunk with the totals. So a
 frequent word or bigram is one entry per chunk, nothing is collected but totals and
 the held-out histogram (on a fixed logarithmic grid), and scores are made where
-the chunk lies. Words and bigrams are told apart by 64-bit hashes.
+the chunk lies. Words and bigrams are told apart by 64-bit hashes (of all their bytes).
 
 Chunks and ranges both grow with the square root of the input, so messages between
 them grow with the input and not with its square, up to ``GROWTH`` times their
 least size, which bounds what a task holds.
 
-Null texts are empty: one end token. A null doc_id has the remainder of empty
+Null texts are empty: one end token. A very long text is cut into words part by part;
+its tokens stay in one chunk. A null doc_id has the remainder of empty
 text. Repeated rows count and score each. An empty table gives no rows; without a
 training document, all counts are zero. Only doc_id and text are read.
 """
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.groups import borders, runs
 from marketloom.llm.storage import staged
-from marketloom.llm.textops import LOWER, Hasher, flat, mix, segments, words
+from marketloom.llm.textops import LOWER, Hasher, flat, mix, split, words
 
 CHUNK = 2_000_000
 #: Tokens for each range of the hash space.
@@ -118,20 +119,24 @@ def chunks(docs: DataFrame, most: int = CHUNK) -> DataFrame:
         parts: list[np.ndarray] = []
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            for i, j in segments(offsets, STEP):
-                part = LOWER[data[offsets[i] : offsets[j]]]
-                start, end, owner = words(part, offsets[i : j + 1] - offsets[i])
-                count = np.bincount(owner, minlength=j - i) + 1
+            opens = True
+            for part, at, i, j, ends in split(data, offsets, STEP):
+                part = LOWER[part]
+                start, end, owner = words(part, at)
+                count = np.bincount(owner, minlength=j - i) + ends
                 token = np.full(int(count.sum()), END)
-                last = np.cumsum(count) - 1
                 is_word = np.ones(len(token), bool)
-                is_word[last] = False
+                if ends:
+                    is_word[np.cumsum(count) - 1] = False
                 token[is_word] = Hasher(part).spans(start, end)
-                ids += batch.column(0).slice(i, j - i).to_pylist()
-                lengths += count.tolist()
+                if opens:
+                    ids += batch.column(0).slice(i, j - i).to_pylist()
+                    lengths += count.tolist()
+                else:
+                    lengths[-1] += int(count[0])
                 parts.append(token)
-                size += len(token)
-                if size >= most:
+                size, opens = size + len(token), ends
+                if ends and size >= most:
                     yield close(task, number, ids, lengths, parts)
                     number, size, ids, lengths, parts = number + 1, 0, [], [], []
         if ids:

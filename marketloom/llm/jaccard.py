@@ -39,7 +39,7 @@ from marketloom.llm.graph import attach, components
 from marketloom.llm.groups import binaries, borders, forest, runs
 from marketloom.llm.names import free_names
 from marketloom.llm.storage import discard, staged
-from marketloom.llm.textops import LOWER, Hasher, lean, mix, parts, segments, words
+from marketloom.llm.textops import LOWER, Hasher, lean, mix, parts, segments, spaced, words
 
 TREES, DEEPEST = 24, 6
 #: Bits of a trie's level.
@@ -51,22 +51,31 @@ PREFIX_BLOCK, SET_BLOCK = 512, 256
 AUDIT_LIKELY, AUDIT_ANY, AUDIT_DEPTH, AUDIT_TREES = 192, 64, 4, 8
 #: Shingles of all audited classes together.
 AUDIT_SHINGLES = 2_000_000
-#: Bytes of text that are cut into shingles together, and whose sets are held together; a longer text is taken alone.
+#: Bytes of text that are cut into shingles together, and whose sets are held together; a longer text is taken alone, its words part by part.
 STEP, PART = 500_000, 2_000_000
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**63, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, TREES * DEEPEST, dtype=np.uint64)
 
 
+def _words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of some texts, and the words' text numbers."""
+    data = LOWER[data]
+    start, end, owner = words(data, offsets)
+    return Hasher(data).spans(start, end), owner
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, flat, and the n + 1 offsets."""
     n = len(offsets) - 1
     parts, sizes = [np.zeros(0, np.uint64)], np.zeros(n, np.int64)
     for i, j in segments(offsets, STEP):
-        part = LOWER[data[offsets[i] : offsets[j]]]
-        start, end, owner = words(part, offsets[i : j + 1] - offsets[i])
-        h = Hasher(part).spans(start, end)
-        count = np.bincount(owner, minlength=j - i)
+        if j - i == 1 and offsets[j] - offsets[i] > STEP:
+            h = np.concatenate([_words_of(p, np.array([0, len(p)]))[0] for p in (data[offsets[i] + a : offsets[i] + b] for a, b in spaced(data[offsets[i] : offsets[j]], STEP))])
+            count = np.array([len(h)])
+        else:
+            h, owner = _words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            count = np.bincount(owner, minlength=j - i)
         first = np.cumsum(count) - count
         m = max(len(h) - width + 1, 0)
         rolled = h[:m].copy()
@@ -171,10 +180,11 @@ def _audited(docs: DataFrame, reps: DataFrame, threshold: float, width: int) ->
     met = met.select("node").distinct().orderBy(order).limit(AUDIT_LIKELY)
     other = reps.select("node").orderBy(order).limit(AUDIT_ANY)
     chosen = reps.join(F.broadcast(met.unionByName(other).distinct()), "node").filter("rep IS NOT NULL").select("rep", "h1", "h2", "n")
+    # Only what is kept counts towards the bound: a class too large for it leaves the others' audit whole.
     rows, total = [], 0
-    for r in sorted(chosen.collect()):
-        total += r["n"]
-        if not rows or total <= AUDIT_SHINGLES:
+    for r in sorted(chosen.collect(), key=lambda r: (r["n"] > AUDIT_SHINGLES // 8, r["rep"], r["h1"], r["h2"])):
+        if not rows or total + r["n"] <= AUDIT_SHINGLES:
+            total += r["n"]
             rows.append(r)
     if not rows:
         return []

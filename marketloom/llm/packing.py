@@ -9,7 +9,8 @@
    length that holds many of the pieces is dealt over salted groups; the counts
    of these groups (at most ``GROUPS + capacity``) give each group's first rank.
 
-Null texts are empty; an empty text is its end token. Repeated rows are packed
+Null texts are empty; an empty text is its end token. A very long text is cut at
+blanks and encoded part by part. Repeated rows are packed
 as often as they occur. A null doc_id is carried along. An empty table gives no
 rows. Only doc_id and text are read.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.storage import staged
-from marketloom.llm.textops import Hasher, flat, lean, resident, segments, words
+from marketloom.llm.textops import Hasher, flat, lean, resident, segments, spaced, words
 
 #: Words that a worker remembers with their ids; then it forgets them all.
 CACHE_WORDS = 1_000_000
@@ -42,7 +43,7 @@ JOINT, MARK = 64, "\x01"
 PROBES = ["", " ", "a b", " a\n\nb ", "Hello wörld,  x\t\ty", "\u3000x\u00a0y", "don't 12 345!", "😀 a\x01b \x01"]
 #: A length with more than 1/GROUPS of all pieces is dealt over several groups.
 GROUPS = 16_384
-#: Bytes of texts that are split and encoded together; a longer text is taken alone.
+#: Bytes of texts that are split and encoded together; a longer text is taken in parts of this size.
 STEP = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,7 +54,8 @@ class WordEncoder:
     Splitting at blanks and newlines first is exact for tokenizers that drop
     white space before merging, as no token then reaches over it. Words are known by
     64-bit hashes in sorted arrays, so only a new word becomes a Python string, and
-    ``CACHE_WORDS`` of them take some 40 MB.
+    ``CACHE_WORDS`` of them take some 48 MB. A word whose length or first bytes differ
+    from those of the word known by its hash is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -74,6 +76,7 @@ class WordEncoder:
         # Most words, and those that came since they were last merged.
         self.known, self.fresh = ((np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2))
         self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.looks = np.zeros(0, np.uint64)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of words in the store, -1 where they aren't in it."""
@@ -84,7 +87,7 @@ class WordEncoder:
                 place = np.where(held[at] == hashes, places[at], place)
         return place
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[str], looks: np.ndarray) -> None:
         """Appends the ids of new words, of sorted hashes, to the store."""
         joint = [k for k, w in enumerate(words) if self.mark is not None and MARK not in w]
         alone = [k for k, w in enumerate(words) if self.mark is None or MARK in w]
@@ -99,28 +102,50 @@ class WordEncoder:
         self.size = np.concatenate([self.size, size, np.array([len(m) for m in more], np.int64)])
         self.ids = np.concatenate([self.ids, np.delete(ids, at), *more])
         self.first = np.cumsum(self.size) - self.size
+        self.looks = np.concatenate([self.looks, looks[joint + alone]])
         self.fresh = _merged(self.fresh, (hashes, place))
         if len(self.fresh[0]) > FRESH_WORDS:
             self.known, self.fresh = _merged(self.known, self.fresh), (hashes[:0], place[:0])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts that lie in ``data``, in one array, and the n + 1 offsets of the texts in it."""
+        if len(offsets) == 2 and len(data) > STEP:
+            found = [self._encode(data[a:b], np.array([0, b - a]))[0] for a, b in spaced(data, STEP, _BLANKS)]
+            return np.concatenate(found), np.array([0, sum(map(len, found))])
+        return self._encode(data, offsets)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end, owner = words(data, offsets, _BLANKS)
         hashes, example, code = np.unique(Hasher(data).spans(start, end), return_index=True, return_inverse=True)
+        looks = _looks(data, start, end)
         place = self._find(hashes)
         new = np.flatnonzero(place < 0)
+        raw = data.tobytes() if len(new) else b""
         if len(new):
             if len(self.size) + len(new) > CACHE_WORDS:
                 self._forget()
                 new = np.arange(len(hashes))
-            raw = data.tobytes()
-            self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)])
+            at = example[new]
+            self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], looks[at])
             place = self._find(hashes)
         place = place[code]
-        n = self.size[place]
+        n, first = self.size[place], self.first[place]
+        odd = np.flatnonzero(self.looks[place] != looks)
+        own = [np.array(self.tokenizer.encode(data[start[k] : end[k]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for k in odd]
+        n[odd] = [len(x) for x in own]
+        first[odd] = len(self.ids) + np.cumsum(n[odd]) - n[odd]
+        ids = np.concatenate([self.ids, *own]) if own else self.ids
         to = np.append(0, np.cumsum(n))
-        at = np.repeat(self.first[place] - to[:-1], n) + np.arange(to[-1])
-        return self.ids[at], to[np.searchsorted(owner, np.arange(len(offsets)))]
+        at = np.repeat(first - to[:-1], n) + np.arange(to[-1])
+        return ids[at], to[np.searchsorted(owner, np.arange(len(offsets)))]
+
+
+def _looks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Length and first eight bytes of each word, in one number."""
+    out = (end - start).astype(np.uint64) << np.uint64(32)
+    for k in range(8):
+        out = out * np.uint64(0x100000001B3) ^ np.where(start + k < end, data[np.minimum(start + k, end - 1)], 0).astype(np.uint64)
+    return out
 
 
 def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

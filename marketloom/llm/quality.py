@@ -9,7 +9,7 @@ per-vector adaptive steps on the driver, over at most ``bound`` labelled documen
 
 As the network is linear up to the softmax, scoring needs one number a bucket:
 the table of ``BUCKETS`` of them is broadcast, and every whole text is scored
-where it lies. Null and empty texts score by the bias alone. Repeated rows score
+where it lies, a very long one part by part. Null and empty texts score by the bias alone. Repeated rows score
 alike; an empty table gives no rows; without labels of both classes the score is
 the smoothed share of class 1. Only doc_id and text are read.
 """
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from marketloom.llm.labelled import training_rows
-from marketloom.llm.textops import LOWER, Hasher, flat, lean, segments, words
+from marketloom.llm.textops import LOWER, Hasher, flat, lean, segments, spaced, words
 
 BUCKETS = 1 << 17
 GRAMS = (3, 5)
-#: Bytes of text that are hashed together; a longer text is taken alone.
+#: Bytes of text that are hashed together; a longer text is taken in parts of this size.
 STEP = 500_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,9 +37,8 @@ def _bucket(h: np.ndarray, family: int) -> np.ndarray:
     return (((h + np.uint64(family)) * _K) >> np.uint64(47)).astype(np.int64)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each family: buckets of its n-grams in order of text, and how many each text has."""
-    n = len(offsets) - 1
+def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of character n-grams in order of text, and how many each text has; one size after the other."""
     hasher = Hasher(data)
     # Characters begin at bytes that continue no other.
     begin = np.flatnonzero((data & 0xC0) != 0x80)
@@ -50,8 +49,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     for k in GRAMS:
         at = np.flatnonzero(room >= k)
         yield _bucket(hasher.spans(begin[at], ends[at + k]), k), np.maximum(length - k + 1, 0)
-    start, end, owner = words(data, offsets)
-    h = hasher.spans(start, end)
+
+
+def _word_features(h: np.ndarray, owner: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of words, pairs and the triples' patterns."""
     count = np.bincount(owner, minlength=n)
     yield _bucket(h, 11), count
     same = owner[1:] == owner[:-1]
@@ -62,6 +63,35 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     yield _bucket(shape, 13)[last], np.maximum(count - 2, 0)
 
 
+def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each family: buckets of its n-grams in order of text, and how many each text has."""
+    yield from _grams(data, offsets)
+    start, end, owner = words(data, offsets)
+    yield from _word_features(Hasher(data).spans(start, end), owner, len(offsets) - 1)
+
+
+def _long_features(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Family numbers and buckets of one very long text, part by part; together they are those of ``features``."""
+    for at in range(0, len(data), STEP):
+        # Five characters beyond the part have at most 20 bytes; n-grams that begin in the part count.
+        part = LOWER[data[at : at + STEP + 24]]
+        hasher, begin = Hasher(part), np.flatnonzero((part & 0xC0) != 0x80)
+        ends = np.append(begin, len(part)) if at + len(part) == len(data) else begin
+        for family, k in enumerate(GRAMS):
+            own = np.arange(min(int(np.searchsorted(begin, STEP)), max(len(ends) - k, 0)))
+            yield family, _bucket(hasher.spans(begin[own], ends[own + k]), k)
+    before = np.zeros(0, np.uint64)
+    for a, b in spaced(data, STEP):
+        part = LOWER[data[a:b]]
+        start, end, _ = words(part, np.array([0, b - a]))
+        h = np.append(before, Hasher(part).spans(start, end))
+        # The last two words were counted as words, and as a pair, with the part before.
+        seen = (len(before), max(len(before) - 1, 0), 0)
+        for k, (bucket, _) in enumerate(_word_features(h, np.zeros(len(h), np.int64), 1)):
+            yield len(GRAMS) + k, bucket[seen[k] :]
+        before = h[-2:]
+
+
 def document_vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of one text and their weights in its average."""
     data = LOWER[np.frombuffer(text, np.uint8)]
@@ -110,8 +140,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs:
 def score_texts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
     total, families = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
     for i, j in segments(offsets, STEP):
-        part, at = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-        for bucket, count in features(part, at):
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if len(part) > STEP and j - i == 1:
+            sums, counts = np.zeros(len(GRAMS) + 3), np.zeros(len(GRAMS) + 3)
+            for family, bucket in _long_features(part):
+                sums[family] += table[bucket].sum(dtype=np.float64)
+                counts[family] += len(bucket)
+            total[i], families[i] = (sums[counts > 0] / counts[counts > 0]).sum(), (counts > 0).sum()
+            continue
+        for bucket, count in features(LOWER[part], at):
             some = np.flatnonzero(count)
             if len(some):
                 first = (np.cumsum(count) - count)[some]

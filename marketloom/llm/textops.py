@@ -2,7 +2,8 @@
 
 All functions work on flat numpy arrays over the UTF-8 bytes of many texts at
 once, so one Arrow batch costs a fixed number of numpy passes, whatever the
-number of words in it.
+number of words in it. A very long text is worked on in parts: ``spaced`` cuts it
+at white space, and scratch arrays are as large as a part, not as the text.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Byte classes: ASCII white space (tab to carriage return, and blank).
 SPACE = np.zeros(256, bool)
@@ -35,11 +37,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes whose powers are held at once; spans of more than SHORT bytes are hashed by themselves.
+BLOCK, SHORT = 1 << 20, 256
+
+
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, np.uint64)
+    if have is None:
+        have = np.full(BLOCK + SHORT + 1, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         _powers[base] = have
@@ -47,16 +52,50 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hashes of any byte spans of one flat buffer, in O(1) each."""
+    """64-bit hashes of byte spans of one flat buffer, in order of their starts.
+
+    Spans of at most SHORT bytes get polynomial hashes, in O(1) each. Modulo a power of
+    two those collide on long strings of a regular kind (Thue and Morse's has 1024
+    letters), so a longer span gets a digest of its bytes.
+    """
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=self.prefix[1:])
-        self.inverse = _power(_BASE_INV, n + 1)
+        self.data, self.prefix = data, None
+
+    def _prefix(self, at: int) -> np.ndarray:
+        if self.prefix is None or self.at != at:
+            data = self.data[at : at + BLOCK + SHORT]
+            self.prefix, self.at = np.zeros(len(data) + 1, np.uint64), at
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=self.prefix[1:])
+        return self.prefix
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
+        out = np.empty(len(start), np.uint64)
+        for at in range(0, len(self.data), BLOCK):
+            i, j = np.searchsorted(start, [at, at + BLOCK])
+            if i < j:
+                prefix, s = self._prefix(at), start[i:j] - at
+                e = np.minimum(end[i:j] - at, s + SHORT)
+                out[i:j] = (prefix[e] - prefix[s]) * _power(_BASE_INV, len(prefix))[s]
+        out = mix(out)
+        for k in np.flatnonzero(end - start > SHORT).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(self.data[start[k] : end[k]].tobytes())
+        return out
+
+
+def spaced(data: np.ndarray, most: int, space: np.ndarray = SPACE) -> Iterator[tuple[int, int]]:
+    """Parts of one text of about ``most`` bytes, each ending after white space or with the text; a longer word stays whole."""
+    at, n = 0, len(data)
+    while at < n:
+        to = min(at + most, n)
+        if to < n:
+            blank = np.flatnonzero(space[data[at:to]])
+            while not len(blank) and to < n:
+                back, to = to, min(to + most, n)
+                blank = np.flatnonzero(space[data[back:to]])[:1] + (back - at)
+            to = at + int(blank[-1]) + 1 if len(blank) else n
+        yield at, to
+        at = to
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +123,20 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def split(data: np.ndarray, offsets: np.ndarray, most: int, space: np.ndarray = SPACE) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, bool]]:
+    """The texts in parts of about ``most`` bytes: bytes, offsets, first and last text number, and whether the part ends its last text.
+
+    A part is a run of whole texts, or a piece of one longer text that ends after white space.
+    """
+    for i, j in segments(offsets, most):
+        part = data[offsets[i] : offsets[j]]
+        if j - i > 1 or len(part) <= most:
+            yield part, offsets[i : j + 1] - offsets[i], i, j, True
+        else:
+            for a, b in spaced(part, most, space):
+                yield part[a:b], np.array([0, b - a]), i, j, b == len(part)
+
+
 def segments(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of whole texts with at most ``most`` bytes, or one longer text alone."""
     i, n = 0, len(offsets) - 1

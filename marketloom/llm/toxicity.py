@@ -7,7 +7,8 @@ maximises the likelihood of document labels through the noisy-or, by full-batch
 numpy gradient steps (Adam) on the driver over at most ``bound`` labelled
 documents, so the model learns which sentences offend; they are then located.
 
-Scores of null and empty texts are 0 (no sentence). Repeated rows score alike;
+Scores of null and empty texts are 0 (no sentence). A very long text is scored in
+windows that begin with a sentence. Repeated rows score alike;
 an empty table gives no rows; with no positive label every score is near 0. Only
 doc_id and text are read for scores.
 """
@@ -29,6 +30,7 @@ BUCKETS = 1 << 18
 BEGINNINGS = (3, 4, 5, 6)
 #: A sentence ends after these bytes at a word's end, at a newline, or after LONGEST words.
 LONGEST = 32
+#: Bytes of text that are scored together; a longer text is taken in windows of this size.
 STEP = 500_000
 #: Features that training adds up at once; bounds the driver's scratch arrays.
 BLOCK = 1 << 20
@@ -132,26 +134,63 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate
     return weights.astype(np.float32), float(b)
 
 
+def _located(part: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Per sentence: score before the logistic, text number, and first and last byte; and where the part's last sentence begins.
+
+    Of a part that is cut off, the last sentence is left out.
+    """
+    start, end, sentence, first, owner = sentences(part, offsets)
+    if cut:
+        if len(first) < 2:
+            return np.zeros(0), owner[:0], np.zeros((0, 2), np.int64), 0
+        rest = int(start[first[-1]])
+        start, end, sentence, first, owner = start[: first[-1]], end[: first[-1]], sentence[: first[-1]], first[:-1], owner[:-1]
+    else:
+        rest = len(part)
+    if not len(start):
+        return np.zeros(0), owner, np.zeros((0, 2), np.int64), rest
+    z = np.add.reduceat(weights[buckets(part, start, end, sentence)].sum(1, dtype=np.float64), first) + bias
+    last = np.r_[first[1:], len(start)] - 1
+    return z, owner, np.stack([start[first], end[last]], 1), rest
+
+
+def _windows(data: np.ndarray, weights: np.ndarray, bias: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``_located`` over one very long text, in windows that begin with a sentence."""
+    at, size = 0, STEP
+    while at < len(data):
+        part = LOWER[data[at : at + size]]
+        z, owner, span, rest = _located(part, np.array([0, len(part)]), weights, bias, at + size < len(data))
+        if rest:
+            yield at, part, z, owner, span
+            at, size = at + rest, STEP
+        else:
+            size *= 2
+
+
 def score_texts(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
     """Scores, and the offending sentences (start and end in code points, score) of each text."""
     n = len(offsets) - 1
-    out, spans = np.zeros(n), [[] for _ in range(n)]
+    total, spans = np.zeros(n), [[] for _ in range(n)]
     for i, j in segments(offsets, STEP):
-        part = LOWER[data[offsets[i] : offsets[j]]]
-        start, end, sentence, first, owner = sentences(part, offsets[i : j + 1] - offsets[i])
-        if not len(start):
-            continue
-        z = np.add.reduceat(weights[buckets(part, start, end, sentence)].sum(1, dtype=np.float64), first) + bias
-        out[i:j] = -np.expm1(-np.bincount(owner, _softplus(z), j - i))
-        bad = np.flatnonzero(z >= 0)
-        if len(bad):
-            last = np.r_[first[1:], len(start)] - 1
-            begins = np.cumsum(np.r_[0, (part & 0xC0) != 0x80])
-            base = begins[offsets[i : j + 1] - offsets[i]]
-            for s in bad:
-                at = base[owner[s]]
-                spans[i + owner[s]].append((int(begins[start[first[s]]] - at), int(begins[end[last[s]]] - at), float(1 / (1 + np.exp(-z[s])))))
-    return out, spans
+        whole, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if j - i == 1 and len(whole) > STEP:
+            found, alone = _windows(whole, weights, bias), True
+        else:
+            part = LOWER[whole]
+            found, alone = [(0, part, *_located(part, at, weights, bias, False)[:3])], False
+        gone, points = 0, 0  # bytes of a long text before the window, and code points in them
+        for begin, part, z, owner, span in found:
+            total[i:j] += np.bincount(owner, _softplus(z), j - i)
+            bad = np.flatnonzero(z >= 0)
+            if alone:
+                points, gone = points + int(((whole[gone:begin] & 0xC0) != 0x80).sum()), begin
+            if len(bad):
+                begins = np.cumsum(np.r_[0, (part & 0xC0) != 0x80])
+                base = begins[at] - points if not alone else np.array([-points])
+                for s in bad:
+                    first = base[owner[s]]
+                    spans[i + owner[s]].append((int(begins[span[s, 0]] - first), int(begins[span[s, 1]] - first), float(1 / (1 + np.exp(-z[s])))))
+    return -np.expm1(-total), spans
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = 4000) -> tuple[np.ndarray, float]:
