@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, chat, interpolation, jaccard, neardup, packing, quality, sentencepiece_bpe, toxicity, url_filter
+from marketloom.llm import ann, chat, interpolation, jaccard, neardup, packing, periodic, quality, sentencepiece_bpe, toxicity, url_filter
 from marketloom.llm.labelled import fold
 from marketloom.llm.storage import table
+from marketloom.llm.textops import lean, parts, words
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -168,3 +175,31 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, 20)
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the texts, by crc32 of the id, the words from some word on are said again and again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in (p for b in lean(batches) for p in parts(b, 1, periodic.STEP)):
+            start, end, owner = words(data, offsets)
+            n = np.bincount(owner, minlength=len(offsets) - 1)
+            h = np.array([zlib.crc32(b"" if i is None else str(i).encode()) for i in batch.column(0).to_pylist()], np.int64)
+            chosen, index = (h % 10 == 0) & (n > 0), np.arange(len(start))
+            first = np.cumsum(n) - n
+            for k in np.flatnonzero(chosen).tolist():
+                g = int(h[k]) // 10
+                a = g % int(n[k])
+                p = 1 + (int(n[k]) - a) // (3 + g % 8)
+                index[first[k] + a : first[k] + n[k]] = first[k] + a + np.arange(int(n[k]) - a) % p
+            index = index[chosen[owner]]
+            changed = periodic.joined(data, start[index], end[index], np.repeat(np.arange(int(chosen.sum())), n[chosen]), int(chosen.sum()))
+            text = pc.replace_with_mask(batch.column(1), pa.array(chosen), changed.cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), text], names=["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(repeated_tails(table(spark, sf_dir, "documents")))
