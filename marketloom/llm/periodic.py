@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.textops import Hasher, lean, mix, parts, words
+from marketloom.llm.textops import Hasher, joined, lean, mix, parts, words
 
 LEAST, TIMES = 6, 4
 #: Bytes of text that are probed together; a longer text is taken alone.
@@ -171,22 +171,6 @@ def runs_of(code: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np
     return out[np.lexsort((out[:, 3], out[:, 1], out[:, 0]))], size
 
 
-def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
-    """The texts made of some words of each, in order, with one blank between them."""
-    size = end - start + 1
-    to = np.cumsum(size)
-    out = np.append(data, np.uint8(32))[np.repeat(start - to + size, size) + np.arange(int(to[-1]) if len(to) else 0)]
-    out[to - 1] = 32
-    ends = np.append(0, to)[np.searchsorted(owner, np.arange(n), "right")]
-    begins = np.append(0, ends[:-1])
-    # The blank after a text's last word is left out.
-    lengths = np.maximum(ends - begins - 1, 0)
-    keep = np.ones(len(out), bool)
-    keep[ends[ends > begins] - 1] = False
-    offsets = np.append(0, np.cumsum(lengths))
-    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out[keep].tobytes()))
-
-
 def find_runs(docs: DataFrame, runs: str = "runs", collapsed: str = "collapsed") -> DataFrame:
     """``doc_id``, ``text`` and other columns of ``docs`` with its runs (start, length, period; by start, then period) and collapsed text.
 

@@ -12,10 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, chat, interpolation, jaccard, neardup, packing, periodic, quality, sentencepiece_bpe, toxicity, url_filter
+from marketloom.llm import ann, chat, interpolation, jaccard, licences, neardup, packing, periodic, quality, sentencepiece_bpe, toxicity, url_filter
 from marketloom.llm.labelled import fold
 from marketloom.llm.storage import table
-from marketloom.llm.textops import lean, parts, words
+from marketloom.llm.textops import joined, lean, parts, words
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -193,7 +193,7 @@ def repeated_tails(docs: DataFrame) -> DataFrame:
                 p = 1 + (int(n[k]) - a) // (3 + g % 8)
                 index[first[k] + a : first[k] + n[k]] = first[k] + a + np.arange(int(n[k]) - a) % p
             index = index[chosen[owner]]
-            changed = periodic.joined(data, start[index], end[index], np.repeat(np.arange(int(chosen.sum())), n[chosen]), int(chosen.sum()))
+            changed = joined(data, start[index], end[index], np.repeat(np.arange(int(chosen.sum())), n[chosen]), int(chosen.sum()))
             text = pc.replace_with_mask(batch.column(1), pa.array(chosen), changed.cast(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), text], names=["doc_id", "text"])
 
@@ -203,3 +203,21 @@ def repeated_tails(docs: DataFrame) -> DataFrame:
 @query
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(repeated_tails(table(spark, sf_dir, "documents")))
+
+
+LICENCE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
+
+
+@query
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [(phrase, label, licences.NOTICES.get(phrase, (label, 0.5))[1]) for phrase, label in LICENCE_PHRASES]
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), base)
+    own = F.filter("notices", lambda n: n["phrase"].isin([phrase for phrase, _ in LICENCE_PHRASES]))
+    labels = lambda of: F.array_sort(F.array_distinct(F.transform(of, lambda n: n["label"])))
+    places = F.transform(own, lambda n: n["word"])
+    ids = F.flatten(F.transform("expressions", lambda e: e["ids"]))
+    return found.select(
+        "doc_id", "n_words", F.size(own).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        F.array_join(labels(own), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(labels("notices"), ids)), ",").alias("labels"),
+        "score", "restriction",
+    )

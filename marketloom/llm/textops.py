@@ -175,6 +175,36 @@ def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[pa.Re
         yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
+def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of some words in order, with a blank after each."""
+    size = end - start + 1
+    to = np.append(0, np.cumsum(size))
+    out = np.empty(int(to[-1]), np.uint8)
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(to, to[i] + BLOCK, "right")) - 1)
+        if j == i + 1:
+            out[to[i] : to[j] - 1] = data[start[i] : end[i]]
+        else:
+            at = np.repeat(start[i:j] - (to[i:j] - to[i]), size[i:j]) + np.arange(to[j] - to[i])
+            out[to[i] : to[j]] = data[np.minimum(at, len(data) - 1)]
+        i = j
+    out[to[1:] - 1] = 32
+    return out
+
+
+def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """The texts made of some words of each of ``n``, in order, with one blank between them."""
+    out = gathered(data, start, end)
+    ends = np.append(0, np.cumsum(end - start + 1))[np.searchsorted(owner, np.arange(n), "right")]
+    begins = np.append(0, ends[:-1])
+    # The blank after a text's last word is left out.
+    keep = np.ones(len(out), bool)
+    keep[ends[ends > begins] - 1] = False
+    offsets = np.append(0, np.cumsum(np.maximum(ends - begins - 1, 0)))
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out[keep].tobytes()))
+
+
 def sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """The sum of the values of each of ``n`` owners."""
     return np.bincount(owner, values, n)
