@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, chat, interpolation, jaccard, licences, neardup, packing, periodic, quality, sentencepiece_bpe, toxicity, url_filter
+from marketloom.llm import ann, chat, interpolation, jaccard, licences, neardup, packing, periodic, quality, repair, sentencepiece_bpe, toxicity, url_filter
 from marketloom.llm.labelled import fold
 from marketloom.llm.storage import table
 from marketloom.llm.textops import joined, lean, parts, words
@@ -221,3 +221,81 @@ def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(labels(own), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(labels("notices"), ids)), ",").alias("labels"),
         "score", "restriction",
     )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations' rows with faults planted by crc32 of ``conv_id:turn``; nulls are one blank."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
+    rows = turns.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), kind.alias("kind")).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, rows = repair.repair(damaged(turns))
+    told = report.join(repair.digests(repair.repaired(report, rows)).withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")), "left").drop("id")
+    every = turns.select(F.col("conv_id").alias("own")).distinct()
+    none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return every.join(told, F.col("own").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("own").alias("conv_id"), *(none(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+#: crc32 of the bytes ``b`` (a list), four bits at a time.
+_NIBBLES = "[" + ", ".join(str(_crc) for _crc in (lambda step: [step(step(step(step(i)))) for i in range(16)])(lambda c: c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1)) + "]"
+_FOUR = lambda c: f"xor({c} >> 4, {_NIBBLES}[({c} & 15) + 1])"
+_CRC32 = lambda b: f"xor(list_reduce(list_prepend(4294967295, {b}), lambda c, x: {_FOUR(_FOUR('xor(c, x)'))}), 4294967295)"
+SQL["op13_conversation_repair"] = rf"""
+WITH RECURSIVE dealt AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC32("list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda s: CAST(ascii(s) AS BIGINT))")} % 20 AS kind
+  FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM dealt, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said
+  FROM hurt
+), r AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), edits(src, dst, initial, edit, cost, role) AS (VALUES
+  (0, 1, 's', 'K', 0, NULL), (0, 2, 'u', 'K', 0, NULL), (1, 2, 'u', 'K', 0, NULL), (3, 2, 'u', 'K', 0, NULL), (2, 3, 'a', 'K', 0, NULL),
+  (0, 2, NULL, 'R', 3, 'user'), (1, 2, NULL, 'R', 3, 'user'), (3, 2, NULL, 'R', 3, 'user'), (2, 3, NULL, 'R', 3, 'assistant'),
+  (0, 0, NULL, 'D', 4, NULL), (1, 1, NULL, 'D', 4, NULL), (2, 2, NULL, 'D', 4, NULL), (3, 3, NULL, 'D', 4, NULL)
+), inserts(src, dst, edit, cost, lines) AS (VALUES
+  (0, 0, '', 0, []), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 3, ['user:']), (1, 2, 'I', 3, ['user:']), (3, 2, 'I', 3, ['user:']),
+  (2, 3, 'I', 3, ['assistant:']), (0, 3, 'II', 6, ['user:', 'assistant:']), (1, 3, 'II', 6, ['user:', 'assistant:'])
+), ways AS (
+  SELECT e.src, n.dst, e.initial, e.edit AS edit, e.edit || n.edit AS letters, e.cost + n.cost AS cost, e.role, n.lines FROM edits e JOIN inserts n ON e.dst = n.src
+), walk AS (
+  SELECT c.conv_id, CAST(0 AS BIGINT) AS i, n.dst AS state, struct_pack(cost := CAST(n.cost AS BIGINT), audit := CAST(n.edit AS VARCHAR), lines := CAST(n.lines AS VARCHAR[])) AS best
+  FROM (SELECT DISTINCT conv_id FROM r) c, inserts n WHERE n.src = 0
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, y.dst, min(struct_pack(
+    cost := CAST(w.best.cost + y.cost + CASE WHEN r.fault = 'truncated' AND y.edit <> 'D' THEN 3 ELSE 0 END AS BIGINT), audit := w.best.audit || y.letters,
+    lines := w.best.lines || CASE WHEN y.edit = 'D' THEN [] ELSE [coalesce(y.role, r.role) || ':' || r.text] END || y.lines))
+  FROM walk w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+  JOIN ways y ON y.src = w.state AND (y.initial IS NULL OR y.initial = r.initial) AND (r.fault NOT IN ('blank', 'duplicate') OR y.edit = 'D')
+  GROUP BY w.conv_id, w.i + 1, y.dst
+), told AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id
+), ended AS (
+  SELECT w.conv_id, min(w.best) AS best FROM walk w JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.i WHERE w.state IN (0, 3) GROUP BY w.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(array_to_string(e.best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
