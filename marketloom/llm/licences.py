@@ -37,6 +37,8 @@ from marketloom.llm.textops import LOWER, gathered, lean, parts, words
 
 #: Bytes of text that are searched together; a longer text is taken alone.
 STEP = 1_000_000
+#: Words that the automaton reads in one string.
+WORDS = 200_000
 #: What parts words: all ASCII but digits and small letters.
 _BREAKS = np.zeros(256, bool)
 _BREAKS[:128] = [not (chr(i).isdigit() or "a" <= chr(i) <= "z") for i in range(128)]
@@ -159,23 +161,25 @@ def _automaton(phrases: Sequence[str]) -> ahocorasick.Automaton:
 
 def places(automaton: ahocorasick.Automaton, phrases: Sequence[str], data: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> list[tuple[int, int]]:
     """Places of phrases in some texts of lower-cased bytes: (number of the first word, phrase), in order of words."""
-    if not len(start):
-        return []
-    flat = gathered(data, start, end)
-    size = end - start + 1
-    # Words begin at characters, which have several bytes each.
-    at = np.cumsum(size) - size
-    length = np.add.reduceat((flat & 0xC0) != 0x80, at, dtype=np.int64)
-    at = np.cumsum(length) - length
-    hits = np.array(list(automaton.iter(flat.tobytes().decode())), np.int64).reshape(-1, 2)
     wide, count = np.array([len(p) for p in phrases]), np.array([p.count(" ") + 1 for p in phrases])
-    last, which = hits[:, 0], hits[:, 1]
-    word = np.searchsorted(at, last - wide[which] + 1)
-    upto = word + count[which] - 1
-    ok = upto < len(at)
-    word, upto, last, which = word[ok], upto[ok], last[ok], which[ok]
-    ok = (at[word] == last - wide[which] + 1) & (at[upto] + length[upto] == last + 2) & (owner[word] == owner[upto])
-    return sorted(zip(word[ok].tolist(), which[ok].tolist(), strict=True))
+    out: list[tuple[int, int]] = []
+    for first in range(0, len(start), WORDS):
+        # Phrases that begin in this part may end in the next.
+        some = slice(first, first + WORDS + int(count.max()) - 1)
+        size = end[some] - start[some] + 1
+        flat = gathered(data, start[some], end[some])
+        # Words begin at characters, which have several bytes each.
+        length = np.add.reduceat((flat & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64)
+        at = np.cumsum(length) - length
+        hits = np.array(list(automaton.iter(flat.tobytes().decode())), np.int64).reshape(-1, 2)
+        last, which = hits[:, 0], hits[:, 1]
+        word = np.searchsorted(at, last - wide[which] + 1)
+        upto = word + count[which] - 1
+        ok = (upto < len(at)) & (word < WORDS)
+        word, upto, last, which = word[ok], upto[ok], last[ok], which[ok]
+        ok = (at[word] == last - wide[which] + 1) & (at[upto] + length[upto] == last + 2) & (owner[first + word] == owner[first + upto])
+        out += sorted(zip((first + word[ok]).tolist(), which[ok].tolist(), strict=True))
+    return out
 
 
 def scan(docs: DataFrame, more: Sequence[tuple[str, str, float]] = ()) -> DataFrame:

@@ -49,6 +49,18 @@ def test_query_equals_a_plain_search(spark, medium):
     assert some > 10
 
 
+def test_places_across_parts(monkeypatch):
+    text = ("all rights reserved cc by mit license é general public license version 3 " * 5).encode()
+    data = np.frombuffer(text, np.uint8)
+    start, end, owner = textops.words(data, np.array([0, 200, len(text)]), licences._BREAKS)
+    names = list(licences.NOTICES)
+    whole = licences.places(licences._automaton(names), names, data, start, end, owner)
+    assert len(whole) > 20
+    for words in (1, 2, 7):
+        monkeypatch.setattr(licences, "WORDS", words)
+        assert licences.places(licences._automaton(names), names, data, start, end, owner) == whole
+
+
 def test_phrases_among_any_punctuation_and_letters(spark):
     rng = random.Random(3)
     bits = ["CC", "by", "NC", "all", "rights", "Reserved", "é", "ccby", "mit", "license", "general", "public", "License", "日本", "x9"]
