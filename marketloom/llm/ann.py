@@ -9,12 +9,13 @@ shard then measures its recall on a bounded sample of its own vectors against
 brute force, and widens its search beam until the target is met. A shard that misses
 it at the widest beam is searched by brute force, in double precision.
 
-Blocks of queries meet every shard; each gives its best, and the best of all
-shards remain. Equal vectors are one node of the graph; the smallest ids of each
+Queries are sent to every shard of their vectors' length, each of which is read once
+(where shards are fewer than cores, once for each of a few blocks of queries); each
+gives its best, and the best of all shards remain. Equal vectors are one node of the graph; the smallest ids of each
 are put back in at the end.
 
-Vectors that are null, zero or hold null or non-finite components take no part, nor
-do those of another length than the commonest. Ties go to the smaller id. Repeated
+Vectors that are null, zero or hold null or non-finite components take no part; those
+of another length than a query's are no neighbours of it. Ties go to the smaller id. Repeated
 rows count once; of an id with several vectors the least counts. An empty table gives
 no rows. Only vec_id and embedding are read.
 """
@@ -172,9 +173,14 @@ def fit_beam(graph: Graph, x: np.ndarray, k: int, target: float, seed: int = 5)
 INDEX = "shard int, reps binary, vectors binary, edges binary, start int, beam int, recall double"
 
 
-def build_index(vectors: DataFrame, k: int = 21, target: float = 0.95, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """A row per shard over all of ``vectors`` (rep, x): its ids, vectors, graph, beam and measured recall."""
-    shards = max(1, -(-vectors.count() // shard_rows))
+def build_index(vectors: DataFrame, k: int = 21, target: float = 0.95, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """A row per shard over all of ``vectors`` (rep, x): its ids, vectors, graph, beam and measured recall; and the shards of each length.
+
+    The second table has a row per length of vectors (size): its first shard's number, and how many it has.
+    """
+    sizes = vectors.groupBy(F.size("x").alias("size")).agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+    before = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = staged(sizes.withColumn("first", F.coalesce(F.sum("shards").over(before), F.lit(0)).cast("int")), "sizes")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["shard"]):
@@ -189,44 +195,57 @@ def build_index(vectors: DataFrame, k: int = 21, target: float = 0.95, shard_row
                 kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], c) for v, c in zip(row, kinds, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
 
-    dealt = vectors.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), "rep", "x")
-    return staged(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "rep").mapInArrow(build, INDEX), "index", "uncompressed")
+    total = max(1, sizes.agg(F.sum("shards")).first()[0] or 0)
+    dealt = vectors.join(F.broadcast(sizes), F.size("x") == F.col("size"))
+    dealt = dealt.select((F.col("first") + F.pmod(F.xxhash64("rep"), F.col("shards"))).cast("int").alias("shard"), "rep", "x")
+    return staged(dealt.repartition(total, "shard").sortWithinPartitions("shard", "rep").mapInArrow(build, INDEX), "index", "uncompressed"), sizes
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def search_index(index: DataFrame, sizes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rep and score of the best ``k`` distinct vectors per shard for ``queries`` (query_id, x)."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    names = [r["shard"] for r in index.select("shard").collect()]
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, sizes.agg(F.sum("shards")).first()[0] or 0)
+    # A shard is read once where there are shards enough for all cores.
+    blocks = min(max(1, cores // shards), max(1, queries.count() // BATCH))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["shard", "block"]):
-            at = borders(t, ["shard", "block"])
+        held = None  # the shard whose queries come
+        for t in runs(batches, ["shard", "block", "part"]):
+            at = borders(t, ["shard", "block", "part"])
             for g in range(len(at) - 1):
                 part = t.slice(at[g], at[g + 1] - at[g])
-                head = part.slice(0, 1).to_pylist()[0]
-                if head["reps"] is None or part.num_rows == 1:
+                if part["kind"][0].as_py() == 0:
+                    head = part.slice(0, 1).to_pylist()[0]
+                    reps = np.frombuffer(head["reps"], "<i8")
+                    x = np.frombuffer(head["vectors"], "<f8").reshape(len(reps), -1)
+                    held, graph, beam = head["shard"], Graph(on_sphere(x), np.frombuffer(head["edges"], np.int32).reshape(len(reps), -1), head["start"]), head["beam"]
+                    part = part.slice(1)
+                if not part.num_rows or held != part["shard"][0].as_py():
                     continue
-                reps = np.frombuffer(head["reps"], "<i8")
-                x = np.frombuffer(head["vectors"], "<f8").reshape(len(reps), -1)
-                graph = Graph(on_sphere(x), np.frombuffer(head["edges"], np.int32).reshape(len(reps), -1), head["start"])
-                q, ids = matrix(part["x"].slice(1)), part["query_id"].slice(1).to_numpy()
+                q, ids = matrix(part["x"]), part["query_id"].to_numpy()
                 for i in range(0, len(q), BATCH):
                     own = q[i : i + BATCH]
-                    if head["beam"] == EXACT:
+                    if beam == EXACT:
                         found = np.argsort(-(own @ x.T), axis=1, kind="stable")[:, :k]
+                        score = np.einsum("qkd,qd->qk", x[found], own)
                     else:
-                        found = graph.search(queries_on_sphere(own), max(head["beam"], k))[0][:, :k]
-                    score = np.einsum("qkd,qd->qk", x[found], own)
+                        # The whole beam is scored in double precision before it is cut.
+                        found = graph.search(queries_on_sphere(own), max(beam, k))[0]
+                        score = np.where(found >= 0, np.einsum("qkd,qd->qk", x[found], own), -np.inf)
+                        order = np.lexsort((reps[found], -score))[:, :k]
+                        found, score = np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)
                     a, b = np.nonzero(found >= 0)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i + a]), pa.array(reps[found[a, b]]), pa.array(score[a, b])], names=["query_id", "rep", "score"])
 
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    asked = queries.select("query_id", "x", block, F.explode(F.array(*[F.lit(s) for s in names])).alias("shard"), *[none(c, "binary") for c in ("reps", "vectors", "edges")], none("start", "int"), none("beam", "int"), F.lit(1).alias("kind")) if names else None
-    if asked is None:
-        return queries.select("query_id", none("rep", "long"), none("score", "double")).limit(0)
-    held = index.select(none("query_id", "long"), none("x", "array<double>"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", "reps", "vectors", "edges", "start", "beam", F.lit(0).alias("kind"))
-    rows = held.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", "query_id")
+    asked = queries.join(F.broadcast(sizes), F.size("x") == F.col("size"))
+    shard = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)).alias("shard")
+    # A task holds one part of a block's queries at a time.
+    part = F.pmod(F.xxhash64("query_id", F.lit("part")), F.lit(max(1, queries.count() // (blocks * QUERY_BLOCK)))).cast("int").alias("part")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    asked = asked.select("query_id", "x", block, part, shard, *[none(c, "binary") for c in ("reps", "vectors", "edges")], none("start", "int"), none("beam", "int"), F.lit(1).alias("kind"))
+    held = index.select(none("query_id", "long"), none("x", "array<double>"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(-1).alias("part"), "shard", "reps", "vectors", "edges", "start", "beam", F.lit(0).alias("kind"))
+    rows = held.unionByName(asked).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block", "part", "kind", "query_id")
     return rows.mapInArrow(look, "query_id long, rep long, score double")
 
 
@@ -241,9 +260,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, target: float = 0.95
     # Of equal vectors only the smallest k + 1 ids can be among the nearest.
     ids = good.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1)
     ids = staged(ids.select("x", "vec_id", "n", F.min("vec_id").over(Window.partitionBy("x")).alias("rep")), "ids")
-    index = build_index(ids.filter("n = 1").select("rep", "x"), k + 1, target)
+    index, sizes = build_index(ids.filter("n = 1").select("rep", "x"), k + 1, target)
     queries = good.filter(is_query).select(F.col("vec_id").alias("query_id"), "x")
-    found = search_index(index, queries, k + 1)
+    found = search_index(index, sizes, queries, k + 1)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     found = found.dropDuplicates(["query_id", "rep"]).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
     all_ids = found.select("query_id", "rep", "score").join(ids.select("rep", "vec_id"), "rep").filter("vec_id <> query_id")

@@ -22,6 +22,10 @@
 Nodes are spread by id, so a label that holds many rows is spread as well. Rounds
 use one-byte codes; their error is within ``SLACK``.
 
+Vectors of different lengths link with nothing of each other. The commonest length, and
+each other with more than ``FEW`` distinct vectors, is searched by itself; all pairs
+of equal length and label among the rest are compared at once.
+
 Vectors that are null, zero or hold null or non-finite components, and rows with a
 null label, link with nothing and stand for themselves; rows with a null id are
 returned with null. Repeated rows are copies of each other. An empty table gives
@@ -56,6 +60,8 @@ BLOCK = 512
 AUDIT, SHARE, MOST = 512, 256, 4096
 #: Members of a block where all pairs of a label are compared.
 LABEL_BLOCK = 2048
+#: Distinct vectors of a length up to which all pairs are compared, unless it's the commonest.
+FEW = 4096
 NODES = "id long, label long, code binary, k int, near array<long>, sim array<float>, joins array<long>"
 OFFERS = "id long, near array<long>, sim array<float>"
 
@@ -258,14 +264,15 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
         for t in runs(batches, keys):
             at = borders(t, keys)
             rep, side, copies = t["rep"].to_numpy(), t["side"].to_numpy(), t["copies"].to_numpy()
-            x = matrix(t["x"])
-            x /= np.sqrt((x * x).sum(1))[:, None]
             us, vs, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(len(at) - 1):
                 a, b = (at[k] + y for y in _sides(side[at[k] : at[k + 1]]))
                 if not len(a) or not len(b):
                     continue
-                linked = (x[a] @ x[b].T >= threshold) & (a[:, None] != b[None, :])
+                # Vectors of a group have one length, those of another may have another.
+                x = matrix(t["x"].slice(at[k], at[k + 1] - at[k]))
+                x /= np.sqrt((x * x).sum(1))[:, None]
+                linked = (x[a - at[k]] @ x[b - at[k]].T >= threshold) & (a[:, None] != b[None, :])
                 us.append(rep[a])
                 ns.append(linked @ copies[b])
                 if one_sided(side, at[k], at[k + 1]):
@@ -336,16 +343,14 @@ def _audit(vectors: DataFrame, nodes: DataFrame, counted: DataFrame, threshold:
 
 
 def _all_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """What ``_counted`` gives where each label is one group."""
-    sized = vectors.join(vectors.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
-    return _counted(_blocked(sized.select(F.col("label").alias("key"), "size", "rep", "copies", "x"), "key", "size", "rep", LABEL_BLOCK), threshold)
+    """What ``_counted`` gives where the vectors of each label and length are one group."""
+    keyed = vectors.withColumn("key", F.xxhash64("label", F.size("x")))
+    sized = keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
+    return _counted(_blocked(sized.select("key", "size", "rep", "copies", "x"), "key", "size", "rep", LABEL_BLOCK), threshold)
 
 
-def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.93, recall: float = 0.999, rounds: int = 4, attempts: int = 3) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of vec_id, embedding, label."""
-    given = rows.select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
-    good = usable(given.filter("label IS NOT NULL"), ["vec_id", "label"], "embedding")
-    vectors = staged(good.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+def _searched(vectors: DataFrame, threshold: float, recall: float, rounds: int, attempts: int) -> DataFrame:
+    """What ``_counted`` gives for the links that NN-descent finds among vectors of one length; written to the shared folder."""
     largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits = max(0, int(np.ceil(np.log2(largest / BUCKET))))
     tables = tables_for(bits, threshold, recall)
@@ -380,10 +385,28 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.93, recall: flo
         counted = staged(_in_groups(members, threshold), "counted")
         discard(groups, members)
         if _audit(vectors, nodes, counted, threshold) >= recall:
-            break
+            return counted
         nodes = nodes.withColumn("k", F.least(F.col("k") * 2, F.lit(LONGEST)).cast("int"))
+    return staged(_all_pairs(vectors, threshold), "counted")
+
+
+def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.93, recall: float = 0.999, rounds: int = 4, attempts: int = 3) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of vec_id, embedding, label."""
+    given = rows.select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    good = usable(given.filter("label IS NOT NULL"), ["vec_id", "label"], "embedding")
+    vectors = staged(good.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    size = F.size("x")
+    sizes = vectors.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    # Lengths with many vectors, the commonest first; it is searched whatever its number.
+    common = sizes.orderBy(F.desc("n"), "size").limit(1)
+    many = [r["size"] for r in common.unionByName(sizes.filter(F.col("n") > FEW)).distinct().orderBy(F.desc("n"), "size").collect()]
+    if len(many) > 1 or sizes.count() > 1:
+        found = [_searched(vectors.filter(size == n), threshold, recall, rounds, attempts) for n in many]
+        counted = staged(_all_pairs(vectors.filter(~size.isin(many)), threshold), "counted")
+        for one in found:
+            counted = counted.unionByName(one)
     else:
-        counted = staged(_all_pairs(vectors, threshold), "counted")
+        counted = _searched(vectors, threshold, recall, rounds, attempts)
     links = counted.filter("v = -1").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("other"))
     joined = components(counted.filter("v <> -1").select("u", "v")).withColumnRenamed("node", "rep")
     told = vectors.join(links, "rep", "left").join(joined, "rep", "left")

@@ -9,18 +9,14 @@ from pyspark.sql import functions as F
 
 
 def usable(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """``keys`` and ``x`` (array<double>) of rows whose vector is not null, not zero and wholly finite.
+    """``keys`` and ``x`` (array<double>) of rows whose vector is not null, not empty, not zero and wholly finite.
 
-    Vectors must have one length; the commonest counts (of equally common ones the
-    longest), and rows of another length take no part.
+    Vectors may have several lengths; those of different lengths aren't compared.
     """
     x = F.col(column).cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     some = F.exists(x, lambda v: v != 0)
-    good = rows.filter(F.col(keys[0]).isNotNull() & x.isNotNull() & ~bad & some).select(*keys, x.alias("x"))
-    sizes = good.groupBy(F.size("x").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
-    top = sizes.orderBy(F.desc("rows"), F.desc("n")).limit(1).collect()
-    return good.filter(F.size("x") == (top[0]["n"] if top else 0))
+    return rows.filter(F.col(keys[0]).isNotNull() & x.isNotNull() & ~bad & some).select(*keys, x.alias("x"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

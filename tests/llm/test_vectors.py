@@ -50,9 +50,9 @@ def test_search_over_several_shards(spark):
     ok = [(i, v.tolist(), 0) for i, v in enumerate(np.float32(x))]
     frame = spark.createDataFrame([(*r, 0, 0, 0, 0, 0) for r in ok], VECTORS)
     good = frame.select(F.col("vec_id").alias("rep"), F.col("embedding").cast("array<double>").alias("x"))
-    index = ann.build_index(good, 11, 0.95, shard_rows=300)
+    index, sizes = ann.build_index(good, 11, 0.95, shard_rows=300)
     assert index.count() == 5 and index.agg(F.min("recall")).first()[0] >= 0.9
-    found = ann.search_index(index, good.filter("rep % 100 = 0").withColumnRenamed("rep", "query_id"), 11).collect()
+    found = ann.search_index(index, sizes, good.filter("rep % 100 = 0").withColumnRenamed("rep", "query_id"), 11).collect()
     want = nearest(ok, lambda v: v % 100 == 0, 10)
     hits = sum(len({r["rep"] for r in found if r["query_id"] == q} & {v for v, _ in w}) for q, w in want.items())
     assert hits >= 0.9 * sum(map(len, want.values()))
@@ -217,3 +217,54 @@ def test_search_beside_one_long_vector(spark):
     found = ann.nearest(frame, F.col("vec_id") % 40 == 0, 10).collect()
     hits = sum(len({r["vec_id"] for r in found if r["query_id"] == q} & {v for v, _ in w}) for q, w in want.items())
     assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def several_lengths(seed):
+    """Vectors of three lengths, near copies among them, and equal beginnings across lengths."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for d, n in ((8, 400), (5, 60), (3, 3)):
+        x = np.repeat(rng.standard_normal((-(-n // 3), d)), 3, 0)[:n] + rng.standard_normal((n, d)) * 0.15
+        rows += [np.float32(v).tolist() for v in x]
+    return [(i, v, i % 2) for i, v in enumerate(rows)] + [(463, [1.0, 2.0], 1), (464, [2.0, 4.0], 1), (465, [], 1)]
+
+
+def test_near_dedup_of_several_lengths(spark, monkeypatch):
+    rows = several_lengths(21)
+    frame = spark.createDataFrame([(*r, 0, 0, 0, 0, 0) for r in rows], VECTORS)
+    want = set()
+    for d in (8, 5, 3, 2):
+        own = [r for r in rows if len(r[1]) == d]
+        want |= linked(own, own, 0.93)
+    want.add((465, 0, 465, True))
+    assert (463, 1, 463, True) in want
+    assert {tuple(r) for r in neardup.near_duplicate_vectors(frame, 0.93).collect()} == want
+    # A second length that has many vectors is searched as the commonest is.
+    monkeypatch.setattr(neardup, "FEW", 30)
+    assert {tuple(r) for r in neardup.near_duplicate_vectors(frame, 0.93).collect()} == want
+
+
+def test_search_of_several_lengths(spark):
+    rows = several_lengths(22)
+    frame = spark.createDataFrame([(*r, 0, 0, 0, 0, 0) for r in rows], VECTORS)
+    found = ann.nearest(frame, F.col("vec_id") % 8 == 0, 10).collect()
+    for d in (8, 5, 3, 2):
+        own = [r for r in rows if len(r[1]) == d]
+        want = nearest(own, lambda v: v % 8 == 0, 10)
+        got = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want}
+        assert all({len(got[q]), len(w)} == {min(10, len(own) - 1)} for q, w in want.items())
+        assert sum(len(set(got[q]) & {v for v, _ in w}) for q, w in want.items()) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_search_is_split_over_blocks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BATCH", 16)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
+    rng = np.random.default_rng(23)
+    ok = [(i, v.tolist(), 0) for i, v in enumerate(np.float32(rng.standard_normal((900, 8))))]
+    frame = spark.createDataFrame([(*r, 0, 0, 0, 0, 0) for r in ok], VECTORS)
+    want = nearest(ok, lambda v: v % 2 == 0, 5)
+    got = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 2 == 0, 5).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) >= 0.95 * 5 * len(want)
