@@ -1,7 +1,9 @@
-"""Graphs of flows between entities: cycles, ownership, paths, exposure and its change.
+"""Graphs of relations between entities: cycles, ownership, paths, exposure and its change.
 
-A relation is a flow between two nations in a year; each source keeps its two
-largest targets of a year, so paths branch by two at most.
+Entities are the suppliers. Each line of an order passes on to the next line's supplier,
+which is a relation of the week it was shipped in; all lines count. Its kind follows
+from the line's return flag and status, its amount is the discount given; an amount of
+zero isn't quantified. Exposure and its change are between nations, by year.
 """
 
 from __future__ import annotations
@@ -9,72 +11,100 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.graphs import cycles, strong_components
+from marketloom.operators.steps import written
 from marketloom.plans.catalog import query
 from marketloom.plans.risk import r6
 from marketloom.sources.tables import SQL_FLOWS, flows, load
 
-KINDS = ("lends_to", "guarantees_for", "transacts_with", "creditor_of")
-SQL_RELATIONS = f"""{SQL_FLOWS}, relations AS (
-  SELECT source, target, year, amount, CASE (source + target + year) % 4 {" ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(KINDS))} END AS kind FROM flows WHERE source <> target
-  QUALIFY row_number() OVER (PARTITION BY source, year ORDER BY amount DESC, target) <= 2
+SQL_RELATIONS = """relations AS (
+  SELECT * FROM (
+    SELECT l_suppkey AS source, lead(l_suppkey) OVER w AS target, CAST(date_trunc('week', l_shipdate) AS DATE) AS period, l_extendedprice * l_discount AS amount, l_orderkey, l_linenumber, l_linestatus = 'F' AS filed,
+      CASE WHEN l_returnflag = 'R' THEN 'lends_to' WHEN l_returnflag = 'A' THEN 'guarantees_for' WHEN l_linestatus = 'O' THEN 'transacts_with' ELSE 'creditor_of' END AS kind
+    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_returnflag, l_linestatus)
+  ) WHERE source <> target
+), edges AS (
+  SELECT period, source, target, sum(amount) AS amount, max(CAST(amount > 0 AS INT)) AS quantified, max(CAST(amount > 0 AND kind <> 'transacts_with' AS INT)) AS financing FROM relations GROUP BY ALL
 )"""
 
 
 def relations(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source", "year").orderBy(F.desc("amount"), "target")
-    f = flows(spark, d).filter("source <> target").withColumn("n", F.row_number().over(w)).filter("n <= 2")
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("source") + F.col("target") + F.col("year")) % 4 + 1)
-    return f.select("source", "target", "year", "amount", kind.alias("kind"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    kind = F.when(F.col("l_returnflag") == "R", "lends_to").when(F.col("l_returnflag") == "A", "guarantees_for").when(F.col("l_linestatus") == "O", "transacts_with").otherwise("creditor_of")
+    lines = load(spark, d, "lineitem").withColumn("target", F.lead("l_suppkey").over(w)).filter("l_suppkey <> target")
+    return lines.select(
+        F.col("l_suppkey").alias("source"), "target", F.trunc(F.col("l_shipdate").cast("date"), "week").alias("period"), (F.col("l_extendedprice") * F.col("l_discount")).alias("amount"),
+        kind.alias("kind"), "l_orderkey", "l_linenumber", (F.col("l_linestatus") == "F").alias("filed"),
+    )
+
+
+def flow_edges(spark: SparkSession, d: str) -> DataFrame:
+    """One row per period, source and target: amount, and whether some relation between them is quantified, or quantified financing."""
+    amount = F.col("amount") > 0
+    return relations(spark, d).groupBy("period", "source", "target").agg(
+        F.sum("amount").alias("amount"), F.max(amount.cast("int")).alias("quantified"), F.max((amount & (F.col("kind") != "transacts_with")).cast("int")).alias("financing")
+    )
 
 
-@query("relation_best_evidence", f"WITH {SQL_RELATIONS} SELECT source, target, year, kind, round(amount, 2) AS amount FROM relations")
+@query(
+    "relation_best_evidence",
+    f"""WITH {SQL_RELATIONS} SELECT period, source, target, kind, l_orderkey, l_linenumber, round(amount, 4) AS amount, CAST(filed AS INT) + CAST(amount > 0 AS INT) AS evidence FROM relations
+QUALIFY row_number() OVER (PARTITION BY period, source, target ORDER BY CAST(filed AS INT) + CAST(amount > 0 AS INT) DESC, amount DESC, l_orderkey, l_linenumber, kind) = 1""",
+    dates=("period",),
+)
 def relation_best_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Of the relations of a source and year, those of best evidence."""
-    return relations(spark, d).withColumn("amount", F.round("amount", 2))
-
-
-LONGEST = 6
-
-
-def paths_back(edges: DataFrame, group: str, longest: int) -> DataFrame:
-    """Simple cycles of ``edges`` (source, target, group and sums to carry) of 3 to ``longest`` nodes, each from its smallest node.
-
-    One join per step; a step only holds paths that can still be extended, and none
-    leads below its first node, so a cycle is found once.
-    """
-    e = edges.select(group, F.col("source").alias("u"), F.col("target").alias("v"), "amount", "financing")
-    walk = e.filter("u < v").select(group, F.array("u", "v").alias("path"), F.col("v").alias("at"), "amount", "financing")
-    found = None
-    for length in range(3, longest + 2):
-        step = walk.withColumnsRenamed({"amount": "had", "financing": "funded"}).join(e.withColumnRenamed("u", "at"), [group, "at"])
-        step = step.withColumns({"amount": F.least("had", "amount"), "financing": F.col("funded") + F.col("financing")})
-        first = F.col("path")[0]
-        closed = step.filter((F.col("v") == first) & (F.size("path") >= 3)).select(group, "path", "amount", "financing")
-        found = closed if found is None else found.unionByName(closed)
-        if length <= longest:
-            on = step.filter((F.col("v") > first) & ~F.array_contains("path", F.col("v")))
-            walk = on.select(group, F.array_append("path", F.col("v")).alias("path"), F.col("v").alias("at"), "amount", "financing")
-    return found
-
-
-@query("flow_cycles", f"""WITH RECURSIVE {SQL_RELATIONS}, e AS (SELECT year, source AS u, target AS v, amount, CAST(kind <> 'transacts_with' AS INT) AS financing FROM relations),
-w AS (SELECT year, [u, v] AS path, v AS at, amount, financing, false AS closed FROM e WHERE u < v
-UNION ALL SELECT w.year, CASE WHEN e.v = w.path[1] THEN w.path ELSE list_append(w.path, e.v) END, e.v, least(w.amount, e.amount), w.financing + e.financing, e.v = w.path[1] FROM w JOIN e ON e.year = w.year AND e.u = w.at
-  WHERE NOT w.closed AND ((e.v = w.path[1] AND len(w.path) >= 3) OR (e.v > w.path[1] AND NOT list_contains(w.path, e.v) AND len(w.path) < {LONGEST})))
-SELECT year, array_to_string(path, '>') AS cycle, len(path) AS nodes, round(amount, 2) AS least, financing FROM w WHERE closed AND financing >= 1""")
+    """Of all relations of a pair and period, that of best evidence: filed and quantified ones first, then the largest."""
+    r = relations(spark, d).withColumn("evidence", F.col("filed").cast("int") + (F.col("amount") > 0).cast("int"))
+    by = F.struct("evidence", "amount", -F.col("l_orderkey"), -F.col("l_linenumber"), -F.ascii("kind"), -F.length("kind"))
+    best = r.groupBy("period", "source", "target").agg(F.max_by(F.struct("kind", "l_orderkey", "l_linenumber", F.round("amount", 4).alias("amount"), "evidence"), by).alias("b"))
+    return best.select("period", "source", "target", "b.*")
+
+
+LONGEST = 8
+_WALK = f"""walk AS (SELECT period, [source, target] AS path, target AS at, [amount] AS amounts, quantified AS q, financing AS f, false AS closed FROM edges WHERE source < target
+UNION ALL SELECT w.period, CASE WHEN e.target = w.path[1] THEN w.path ELSE list_append(w.path, e.target) END, e.target, list_append(w.amounts, e.amount), w.q + e.quantified, w.f + e.financing, e.target = w.path[1]
+FROM walk w JOIN edges e ON e.period = w.period AND e.source = w.at
+WHERE NOT w.closed AND ((e.target = w.path[1] AND len(w.path) >= 3) OR (e.target > w.path[1] AND NOT list_contains(w.path, e.target) AND len(w.path) < {LONGEST}))),
+loops AS (SELECT period, array_to_string(path, '>') AS cycle, len(path) AS nodes, round(list_min(list_filter(amounts, lambda x: x > 0)), 4) AS bottleneck, q AS quantified, f AS financing FROM walk WHERE closed AND q >= 2 AND f >= 1)"""
+
+
+def loops(spark: SparkSession, d: str) -> DataFrame:
+    """period, cycle, nodes, bottleneck (the least amount above zero), quantified and financing edges of each flow that comes back."""
+    e = written(flow_edges(spark, d))
+    found = cycles(e.select(F.unix_date("period").cast("long").alias("grp"), F.col("source").alias("u"), F.col("target").alias("v")), LONGEST)
+    found = found.select(F.date_from_unix_date(F.col("grp").cast("int")).alias("period"), "path")
+    ends = F.concat(F.slice("path", 2, LONGEST), F.slice("path", 1, 1))
+    each = found.select("period", "path", F.explode(F.arrays_zip(F.col("path").alias("source"), ends.alias("target"))).alias("e")).select("period", "path", "e.source", "e.target")
+    told = each.join(e, ["period", "source", "target"]).groupBy("period", "path").agg(
+        F.round(F.min(F.when(F.col("amount") > 0, F.col("amount"))), 4).alias("bottleneck"), F.sum("quantified").alias("quantified"), F.sum("financing").alias("financing")
+    )
+    told = told.filter("quantified >= 2 AND financing >= 1")
+    return told.select("period", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"), F.size("path").cast("long").alias("nodes"), "bottleneck", "quantified", "financing", "path")
+
+
+@query("flow_cycles", f"WITH RECURSIVE {SQL_RELATIONS}, {_WALK} SELECT * FROM loops", dates=("period",))
 def flow_cycles(spark: SparkSession, d: str) -> DataFrame:
-    """Flows of one year that come back through three entities or more, with a financing edge among them."""
-    e = relations(spark, d).withColumn("financing", (F.col("kind") != "transacts_with").cast("int"))
-    c = paths_back(e, "year", LONGEST).filter("financing >= 1")
-    return c.select("year", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"), F.size("path").cast("long").alias("nodes"), F.round("amount", 2).alias("least"), "financing")
+    """Flows of one period that come back through three to eight entities, two of them quantified and one of these financing."""
+    return loops(spark, d).drop("path")
 
 
 DEEPEST = 8
-SQL_OWNS = "owns AS (SELECT DISTINCT source AS owner, target AS owned FROM relations WHERE source < target)"
+#: A stake counts as control from this share of the largest stake in an entity.
+CONTROL = 0.8
+SQL_OWNS = f"""stakes AS (SELECT source AS owner, target AS owned, sum(amount) AS stake FROM relations GROUP BY ALL HAVING sum(amount) > 0),
+owns AS (SELECT owner, owned FROM stakes QUALIFY stake >= {CONTROL} * max(stake) OVER (PARTITION BY owned))"""
+_REACH = f"r AS (SELECT owner, owned, 1 AS steps FROM owns UNION SELECT r.owner, o.owned, r.steps + 1 FROM r JOIN owns o ON o.owner = r.owned WHERE r.steps < {DEEPEST})"
+
+
+def owns(spark: SparkSession, d: str) -> DataFrame:
+    """owner and owned: the largest stakes in an entity over all periods, and those near it. Owners may own each other."""
+    stakes = relations(spark, d).groupBy(F.col("source").alias("owner"), F.col("target").alias("owned")).agg(F.sum("amount").alias("stake")).filter("stake > 0")
+    most = F.max("stake").over(Window.partitionBy("owned"))
+    return written(stakes.withColumn("most", most).filter(F.col("stake") >= CONTROL * F.col("most")).select("owner", "owned"))
 
 
 def reach(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """owner, owned and the least number of steps between them, up to ``deepest``; pairs, not paths, so it stays as small as its result."""
+    """owner, owned and the least and largest number of steps between them, up to ``deepest``; pairs, not paths, so it stays as small as its result."""
     e = edges.select(F.col("owner").alias("via"), F.col("owned").alias("next"))
     front = edges.select("owner", "owned").distinct()
     found = front.withColumn("steps", F.lit(1))
@@ -84,46 +114,108 @@ def reach(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     return found.groupBy("owner", "owned").agg(F.min("steps").alias("steps"), F.max("steps").alias("longest"))
 
 
-@query("transitive_ownership", f"""WITH RECURSIVE {SQL_RELATIONS}, {SQL_OWNS}, r AS (SELECT owner, owned, 1 AS steps FROM owns UNION SELECT r.owner, o.owned, r.steps + 1 FROM r JOIN owns o ON o.owner = r.owned WHERE r.steps < {DEEPEST})
-SELECT owner, owned, CAST(min(steps) AS INT) AS steps FROM r GROUP BY ALL""")
+@query("transitive_ownership", f"WITH RECURSIVE {SQL_RELATIONS}, {SQL_OWNS}, {_REACH} SELECT owner, owned, CAST(min(steps) AS INT) AS steps FROM r WHERE owner <> owned GROUP BY ALL")
 def transitive_ownership(spark: SparkSession, d: str) -> DataFrame:
-    return reach(_owns(spark, d)).select("owner", "owned", "steps")
+    """What each owner controls, directly or through others, over at most eight steps."""
+    return reach(owns(spark, d)).filter("owner <> owned").select("owner", "owned", "steps")
+
 
+@query("ownership_depth", f"WITH RECURSIVE {SQL_RELATIONS}, {SQL_OWNS}, {_REACH} SELECT owner, count(DISTINCT owned) FILTER (owned <> owner) AS controlled, CAST(max(steps) AS INT) AS depth, bool_or(owner = owned) AS circular FROM r GROUP BY owner")
+def ownership_depth(spark: SparkSession, d: str) -> DataFrame:
+    """How many an owner controls, the longest chain below it, up to eight, and whether a chain comes back to it."""
+    own = F.col("owner") == F.col("owned")
+    return reach(owns(spark, d)).groupBy("owner").agg(F.count_if(~own).alias("controlled"), F.max("longest").alias("depth"), F.bool_or(own).alias("circular"))
+
+
+@query(
+    "ownership_components",
+    f"""WITH RECURSIVE {SQL_RELATIONS}, {SQL_OWNS}, far AS (SELECT owner, owned FROM owns UNION SELECT f.owner, o.owned FROM far f JOIN owns o ON o.owner = f.owned),
+both_ways AS (SELECT a.owner AS entity, min(a.owned) AS component FROM far a JOIN far b ON b.owner = a.owned AND b.owned = a.owner GROUP BY ALL)
+SELECT entity, component, count(*) OVER (PARTITION BY component) AS members FROM both_ways QUALIFY members > 1""",
+)
+def ownership_components(spark: SparkSession, d: str) -> DataFrame:
+    """Entities that own each other through any number of steps: strong components of the ownership graph."""
+    c = strong_components(owns(spark, d).select(F.lit(0).cast("long").alias("grp"), F.col("owner").alias("u"), F.col("owned").alias("v")))
+    members = c.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    return c.join(members, "component").select(F.col("node").alias("entity"), "component", "members")
+
+
+@query(
+    "ownership_loops",
+    f"""WITH RECURSIVE {SQL_RELATIONS}, {SQL_OWNS}, w AS (SELECT [owner, owned] AS path, owned AS at, false AS closed FROM owns WHERE owner < owned
+UNION ALL SELECT CASE WHEN o.owned = w.path[1] THEN w.path ELSE list_append(w.path, o.owned) END, o.owned, o.owned = w.path[1] FROM w JOIN owns o ON o.owner = w.at
+  WHERE NOT w.closed AND (o.owned = w.path[1] OR (o.owned > w.path[1] AND NOT list_contains(w.path, o.owned) AND len(w.path) < {LONGEST})))
+SELECT array_to_string(path, '>') AS loop, len(path) AS nodes FROM w WHERE closed""",
+)
+def ownership_loops(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of ownership of two to eight entities that come back to where they began."""
+    found = cycles(owns(spark, d).select(F.lit(0).cast("long").alias("grp"), F.col("owner").alias("u"), F.col("owned").alias("v")), LONGEST, shortest=2)
+    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("loop"), F.size("path").cast("long").alias("nodes"))
+
+
+@query(
+    "two_hop_flows",
+    f"""WITH {SQL_RELATIONS}, o AS (SELECT s_suppkey AS k FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 0), e AS (SELECT * FROM edges WHERE quantified = 1)
+SELECT a.period, a.source, a.target AS via, b.target AS endpoint FROM e a JOIN e b ON a.target = b.source AND a.period = b.period
+WHERE b.target <> a.source AND NOT (a.source IN (SELECT k FROM o) AND a.target IN (SELECT k FROM o) AND b.target IN (SELECT k FROM o))""",
+    dates=("period",),
+)
+def two_hop_flows(spark: SparkSession, d: str) -> DataFrame:
+    """Quantified flows over one stop, within a period, that leave a group (the suppliers of one region) at some end."""
+    nations = load(spark, d, "nation").filter("n_regionkey = 0").select("n_nationkey")
+    inside = load(spark, d, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("s_suppkey").alias("k"))
+    e = flow_edges(spark, d).filter("quantified = 1").select("period", "source", "target")
+    # Whether an end lies in the group is told once an edge, before edges meet.
+    for end in ("source", "target"):
+        e = e.join(inside.select(F.col("k").alias(end), F.lit(True).alias(f"{end}_in")), end, "left")
+    e = written(e.select("period", "source", "target", (F.col("source_in").isNotNull() & F.col("target_in").isNotNull()).alias("inner")))
+    a = e.select("period", "source", F.col("target").alias("via"), F.col("inner").alias("one"))
+    b = e.select("period", F.col("source").alias("via"), F.col("target").alias("endpoint"), F.col("inner").alias("two"))
+    return a.join(b, ["period", "via"]).filter("endpoint <> source AND NOT (one AND two)").select("period", "source", "via", "endpoint")
 
-def _owns(spark: SparkSession, d: str) -> DataFrame:
-    return relations(spark, d).filter("source < target").select(F.col("source").alias("owner"), F.col("target").alias("owned")).distinct()
 
+_SUSPICIOUS = """suspicious AS (SELECT a.period, a.source, count(*) AS paths, round(sum(least(a.amount, b.amount)), 4) AS moved FROM edges a JOIN edges b ON a.target = b.source AND a.period = b.period
+  JOIN supplier s ON s.s_suppkey = a.source JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN supplier t ON t.s_suppkey = b.target JOIN nation m ON m.n_nationkey = t.s_nationkey
+  WHERE a.financing = 1 AND b.financing = 1 AND b.target <> a.source AND n.n_regionkey <> m.n_regionkey GROUP BY ALL)"""
 
-@query("ownership_depth", f"""WITH RECURSIVE {SQL_RELATIONS}, {SQL_OWNS}, r AS (SELECT owner, owned, 1 AS steps FROM owns UNION SELECT r.owner, o.owned, r.steps + 1 FROM r JOIN owns o ON o.owner = r.owned WHERE r.steps < {DEEPEST})
-SELECT owner, count(DISTINCT owned) AS controlled, CAST(max(steps) AS INT) AS depth FROM r GROUP BY owner""")
-def ownership_depth(spark: SparkSession, d: str) -> DataFrame:
-    """How many an owner controls, and the longest chain below it, up to eight."""
-    return reach(_owns(spark, d)).groupBy("owner").agg(F.count(F.lit(1)).alias("controlled"), F.max("longest").alias("depth"))
 
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    nation = load(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    return load(spark, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
 
-@query("two_hop_flows", f"""WITH {SQL_RELATIONS}, e AS (SELECT DISTINCT source, target FROM relations WHERE amount > 0), o AS (SELECT DISTINCT n_nationkey AS k FROM nation WHERE n_regionkey = 0)
-SELECT a.source, a.target AS via, b.target AS endpoint FROM e a JOIN e b ON a.target = b.source WHERE b.target <> a.source AND NOT (a.source IN (SELECT k FROM o) AND a.target IN (SELECT k FROM o) AND b.target IN (SELECT k FROM o))""")
-def two_hop_flows(spark: SparkSession, d: str) -> DataFrame:
-    """Flows over one stop that leave a group at some end."""
-    inside = load(spark, d, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("k"))
-    e = relations(spark, d).filter("amount > 0").select("source", "target").distinct()
-    a = e.select("source", F.col("target").alias("via"))
-    b = e.select(F.col("source").alias("via"), F.col("target").alias("endpoint"))
-    x = a.join(b, "via").filter("endpoint <> source")
-    for c in ("source", "via", "endpoint"):
-        x = x.join(F.broadcast(inside.select(F.col("k").alias(c), F.lit(1).alias(f"in_{c}"))), c, "left")
-    return x.filter("in_source IS NULL OR in_via IS NULL OR in_endpoint IS NULL").select("source", "via", "endpoint")
-
-
-@query("suspicious_flows", f"""WITH {SQL_RELATIONS}, e AS (SELECT DISTINCT source, target, year FROM relations WHERE amount > 0 AND kind <> 'transacts_with')
-SELECT a.year, a.source, count(*) AS paths FROM e a JOIN e b ON a.target = b.source AND a.year = b.year JOIN nation n ON n_nationkey = b.target JOIN nation m ON m.n_nationkey = a.source WHERE b.target <> a.source AND n.n_regionkey <> m.n_regionkey GROUP BY ALL""")
+
+@query("suspicious_flows", f"WITH {SQL_RELATIONS}, {_SUSPICIOUS} SELECT * FROM suspicious", dates=("period",))
 def suspicious_flows(spark: SparkSession, d: str) -> DataFrame:
-    """Financing over one stop, within a year, that ends outside the source's region."""
-    region = load(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    e = relations(spark, d).filter("amount > 0 AND kind <> 'transacts_with'").select("source", "target", "year").distinct()
-    x = e.withColumnRenamed("target", "via").join(e.select("year", F.col("source").alias("via"), F.col("target").alias("endpoint")), ["year", "via"]).filter("endpoint <> source")
-    x = x.join(F.broadcast(region.toDF("source", "home")), "source").join(F.broadcast(region.toDF("endpoint", "abroad")), "endpoint")
-    return x.filter("home <> abroad").groupBy("year", "source").agg(F.count(F.lit(1)).alias("paths"))
+    """Financing over one stop, within a period, that ends outside the source's region."""
+    region = regions(spark, d)
+    e = written(flow_edges(spark, d).filter("financing = 1").select("period", "source", "target", "amount"))
+    a = e.join(region.toDF("source", "home"), "source").select("period", "source", "home", F.col("target").alias("via"), F.col("amount").alias("one"))
+    b = e.join(region.toDF("target", "abroad"), "target").select("period", F.col("source").alias("via"), F.col("target").alias("endpoint"), "abroad", F.col("amount").alias("two"))
+    x = a.join(b, ["period", "via"]).filter("endpoint <> source AND home <> abroad")
+    return x.groupBy("period", "source").agg(F.count(F.lit(1)).alias("paths"), F.round(F.sum(F.least("one", "two")), 4).alias("moved"))
+
+
+@query(
+    "graph_assessment",
+    f"""WITH RECURSIVE {SQL_RELATIONS}, {_WALK}, {_SUSPICIOUS}, inflow AS (SELECT target AS entity, period, sum(amount) AS got FROM edges GROUP BY ALL), outflow AS (SELECT source AS entity, period, sum(amount) AS paid FROM edges GROUP BY ALL),
+members AS (SELECT period, CAST(unnest(string_split(cycle, '>')) AS BIGINT) AS entity, bottleneck FROM loops), m AS (SELECT period, entity, count(*) AS cycles, max(bottleneck) AS bottleneck FROM members GROUP BY ALL),
+g AS (SELECT entity, period, round(coalesce(got, 0), 4) AS got, round(coalesce(paid, 0), 4) AS paid, coalesce(cycles, 0) AS cycles, bottleneck, coalesce(paths, 0) AS paths
+  FROM inflow FULL JOIN outflow USING (entity, period) LEFT JOIN m USING (entity, period) LEFT JOIN (SELECT period, source AS entity, paths FROM suspicious) USING (entity, period))
+SELECT *, CASE WHEN cycles > 0 AND paths > 0 THEN 'HIGH' WHEN cycles > 0 OR paths >= 3 THEN 'ELEVATED' WHEN paths > 0 THEN 'WATCH' ELSE 'LOW' END AS verdict FROM g""",
+    dates=("period",),
+)
+def graph_assessment(spark: SparkSession, d: str) -> DataFrame:
+    """Each entity's flows in a period, the cycles it is on with the widest bottleneck, its suspicious paths, and a verdict."""
+    e = written(flow_edges(spark, d))
+    zero = F.lit(0.0)
+    sides = e.select(F.col("target").alias("entity"), "period", F.col("amount").alias("got"), zero.alias("paid")).unionByName(e.select(F.col("source").alias("entity"), "period", zero.alias("got"), F.col("amount").alias("paid")))
+    sides = sides.groupBy("entity", "period").agg(F.round(F.sum("got"), 4).alias("got"), F.round(F.sum("paid"), 4).alias("paid"))
+    on = loops(spark, d).select("period", F.explode("path").alias("entity"), "bottleneck").groupBy("entity", "period").agg(F.count(F.lit(1)).alias("cycles"), F.max("bottleneck").alias("bottleneck"))
+    bad = suspicious_flows(spark, d).select(F.col("source").alias("entity"), "period", "paths")
+    none = F.lit(0).cast("long")
+    g = sides.join(on, ["entity", "period"], "left").join(bad, ["entity", "period"], "left").withColumns({"cycles": F.coalesce("cycles", none), "paths": F.coalesce("paths", none)})
+    verdict = F.when((F.col("cycles") > 0) & (F.col("paths") > 0), "HIGH").when((F.col("cycles") > 0) | (F.col("paths") >= 3), "ELEVATED").when(F.col("paths") > 0, "WATCH").otherwise("LOW")
+    return g.select("entity", "period", "got", "paid", "cycles", "bottleneck", "paths", verdict.alias("verdict"))
 
 
 def exposure_score(ratio: Column) -> Column:
@@ -170,13 +262,17 @@ def temporal_risk(spark: SparkSession, d: str) -> DataFrame:
     return s.select("source", "year", r6(change).alias("change"), r6("growth").alias("growth"), trend.alias("trend"))
 
 
-@query("graph_slices", f"""WITH {SQL_RELATIONS}, d AS (SELECT k, year, sum(o) AS out_degree, sum(i) AS in_degree, sum(paid) AS paid, sum(got) AS got FROM (SELECT source AS k, year, 1 AS o, 0 AS i, amount AS paid, 0 AS got FROM relations UNION ALL SELECT target, year, 0, 1, 0, amount FROM relations) GROUP BY ALL)
-SELECT k AS entity, year, CAST(out_degree AS BIGINT) AS out_degree, CAST(in_degree AS BIGINT) AS in_degree, round(got - paid, 2) AS net, round(sum(got - paid) OVER (PARTITION BY k ORDER BY year), 2) AS so_far FROM d""")
+@query(
+    "graph_slices",
+    f"""WITH {SQL_RELATIONS}, d AS (SELECT k, period, sum(o) AS out_degree, sum(i) AS in_degree, sum(net) AS net FROM (SELECT source AS k, period, 1 AS o, 0 AS i, -amount AS net FROM edges UNION ALL SELECT target, period, 0, 1, amount FROM edges) GROUP BY ALL)
+SELECT k AS entity, period, CAST(out_degree AS BIGINT) AS out_degree, CAST(in_degree AS BIGINT) AS in_degree, round(net, 4) AS net, round(sum(net) OVER (PARTITION BY k ORDER BY period), 4) AS so_far FROM d""",
+    dates=("period",),
+)
 def graph_slices(spark: SparkSession, d: str) -> DataFrame:
-    """Each entity's edges and balance by year, and the balance so far."""
-    r = relations(spark, d)
+    """Each entity's edges and balance by period, and the balance so far."""
+    r = written(flow_edges(spark, d))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    sides = r.select(F.col("source").alias("entity"), "year", one.alias("o"), none.alias("i"), (-F.col("amount")).alias("net")).unionByName(r.select(F.col("target").alias("entity"), "year", none.alias("o"), one.alias("i"), F.col("amount").alias("net")))
-    g = sides.groupBy("entity", "year").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.sum("net").alias("net"))
-    total = F.sum("net").over(Window.partitionBy("entity").orderBy("year"))
-    return g.select("entity", "year", "out_degree", "in_degree", F.round("net", 2).alias("net"), F.round(total, 2).alias("so_far"))
+    sides = r.select(F.col("source").alias("entity"), "period", one.alias("o"), none.alias("i"), (-F.col("amount")).alias("net")).unionByName(r.select(F.col("target").alias("entity"), "period", none.alias("o"), one.alias("i"), F.col("amount").alias("net")))
+    g = sides.groupBy("entity", "period").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.sum("net").alias("net"))
+    total = F.sum("net").over(Window.partitionBy("entity").orderBy("period"))
+    return g.select("entity", "period", "out_degree", "in_degree", F.round("net", 4).alias("net"), F.round(total, 4).alias("so_far"))
