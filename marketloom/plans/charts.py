@@ -177,35 +177,6 @@ chart(
     {"island": f"sum(not_floor) OVER ({SERIES})"}, {"floor_streak": "CAST(sum(1 - not_floor) OVER (PARTITION BY symbol, island ORDER BY date) AS DOUBLE)"}, digits=5,
 )
 
-#: The conditions of the candle patterns. o h l c of the bar, 1 2 4 bars before; b body, r range (1 at least), u and w upper and lower wick.
-PATTERNS = {
-    "DOJI": "doji", "DRAGONFLY_DOJI": "doji AND w >= r * 0.65 AND u <= r * 0.12", "GRAVESTONE_DOJI": "doji AND u >= r * 0.65 AND w <= r * 0.12",
-    "HAMMER": "dn AND b > 0 AND w >= b * 2 AND u <= b * 0.5", "HANGING_MAN": "up AND b > 0 AND w >= b * 2 AND u <= b * 0.5", "INVERTED_HAMMER": "dn AND b > 0 AND u >= b * 2 AND w <= b * 0.5", "SHOOTING_STAR": "up AND b > 0 AND u >= b * 2 AND w <= b * 0.5",
-    "ENGULFING_BULL": "bear1 AND bull AND open <= c1 AND close >= o1 AND b > b1 * 1.05", "ENGULFING_BEAR": "bull1 AND bear AND open >= c1 AND close <= o1 AND b > b1 * 1.05",
-    "HARAMI_BULL": "bear1 AND bull AND high <= o1 AND low >= c1 AND b < b1 * 0.7", "HARAMI_BEAR": "bull1 AND bear AND high <= c1 AND low >= o1 AND b < b1 * 0.7",
-    "HARAMI_CROSS_BULL": "bear1 AND doji AND high <= o1 AND low >= c1", "HARAMI_CROSS_BEAR": "bull1 AND doji AND high <= c1 AND low >= o1",
-    "MORNING_STAR": "bear2 AND b2 > r * 0.4 AND b1 < b2 * 0.45 AND bull AND close > (o2 + c2) / 2", "MORNING_DOJI": "bear2 AND doji1 AND bull AND close > (o2 + c2) / 2",
-    "EVENING_STAR": "bull2 AND b2 > r * 0.4 AND b1 < b2 * 0.45 AND bear AND close < (o2 + c2) / 2", "EVENING_DOJI": "bull2 AND doji1 AND bear AND close < (o2 + c2) / 2",
-    "PIERCING": "bear1 AND bull AND open < l1 AND close > (o1 + c1) / 2 AND close < o1", "DARK_CLOUD": "bull1 AND bear AND open > h1 AND close < (o1 + c1) / 2 AND close > o1",
-    "MARUBOZU_WHITE": "bull AND b >= r * 0.85", "MARUBOZU_BLACK": "bear AND b >= r * 0.85",
-    "3_WHITE_SOLDIERS": "bull2 AND bull1 AND bull AND close > c1 AND c1 > c2 AND b > r * 0.5", "3_BLACK_CROWS": "bear2 AND bear1 AND bear AND close < c1 AND c1 < c2 AND b > r * 0.5",
-    "TWEEZER_BOTTOM": "dn AND bear1 AND bull AND abs(low - l1) <= r * 0.06", "TWEEZER_TOP": "up AND bull1 AND bear AND abs(high - h1) <= r * 0.06",
-    "SPINNING_WHITE": "bull AND b <= r * 0.3 AND u >= b AND w >= b", "SPINNING_BLACK": "bear AND b <= r * 0.3 AND u >= b AND w >= b", "LONG_LOWER_SHADOW": "w >= r * 0.62", "LONG_UPPER_SHADOW": "u >= r * 0.62",
-    "RISING_WINDOW": "low > h1", "FALLING_WINDOW": "high < l1", "ABANDONED_BABY_BULL": "bear2 AND doji1 AND h1 < l2 AND bull AND low > h1", "ABANDONED_BABY_BEAR": "bull2 AND doji1 AND l1 > h2 AND bear AND high < l1",
-    "DOJI_STAR_BULL": "bear1 AND doji AND high <= c1", "DOJI_STAR_BEAR": "bull1 AND doji AND low >= c1", "KICKING_BULL": "bear1 AND bull AND open >= o1 AND b >= r * 0.65", "KICKING_BEAR": "bull1 AND bear AND open <= o1 AND b >= r * 0.65",
-    "ON_NECK": "bear1 AND bull AND open < l1 AND abs(close - l1) <= r * 0.1", "UPSIDE_TASUKI": "bull2 AND bull1 AND l1 > h2 AND bear AND close < o1 AND close > h2", "DOWNSIDE_TASUKI": "bear2 AND bear1 AND h1 < l2 AND bull AND close > o1 AND close < l2",
-    "RISING_3": "c4 > o4 AND bull AND close > c4 AND bear1 AND bear2", "FALLING_3": "c4 < o4 AND bear AND close < c4 AND bull1 AND bull2",
-    "TRISTAR_BULL": "doji AND doji1 AND b2 <= greatest(1.0, h2 - l2) * 0.12 AND dn", "TRISTAR_BEAR": "doji AND doji1 AND b2 <= greatest(1.0, h2 - l2) * 0.12 AND up",
-}
-_CANDLE = (
-    {f"{c[0]}{k}": lag(c, k) for k in (1, 2, 4) for c in ("open", "high", "low", "close")} | {"b": "abs(close - open)", "r": "greatest(1.0, high - low)", "u": "high - greatest(open, close)", "w": "least(open, close) - low", "bull": "close > open", "bear": "close < open"},
-    {
-        "b1": "abs(c1 - o1)", "b2": "abs(c2 - o2)", "bull1": "c1 > o1", "bear1": "c1 < o1", "bull2": "c2 > o2", "bear2": "c2 < o2", "doji": "b <= r * 0.1", "doji1": "abs(c1 - o1) <= greatest(1.0, h1 - l1) * 0.12",
-        "dn": "CASE WHEN ema14 IS NOT NULL THEN close < ema14 ELSE close < c2 END", "up": "CASE WHEN ema14 IS NOT NULL THEN close > ema14 ELSE close > c2 END",
-    },
-)
-
-
 def sql_seeded(name: str, x: str, n: int, alpha: str, of: str = "b0") -> str:
     """The recursion of ``seeded_mean`` over column ``x`` of ``of``, as ``name`` (symbol, date, x)."""
     return f"""{name}_v AS (SELECT symbol, date, {x} AS x, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM {of} WHERE {x} IS NOT NULL),
@@ -221,15 +192,6 @@ def sql_ema(name: str, x: str, n: int, of: str = "b0") -> str:
 _B0 = f"""{SQL_BARS}, b0 AS (SELECT *, step * volume AS force, close + coalesce(close - {lag('close', 9)}, 0) AS ahead, sum(flow * volume) OVER ({SERIES}) AS adl, abs(step) AS size FROM {steps(BASE, STEP)})"""
 
 
-@query("candle_patterns_all", f"WITH RECURSIVE {_B0}, {sql_ema('e14', 'close', 14)}, j AS (SELECT bars.*, e14.x AS ema14 FROM bars LEFT JOIN e14 USING (symbol, date)) SELECT symbol, date, array_to_string(list_filter([{', '.join(f'''CASE WHEN {x} THEN '{n}' END''' for n, x in PATTERNS.items())}], lambda x: x IS NOT NULL), ',') AS patterns FROM {steps(*_CANDLE).replace('FROM bars', 'FROM j', 1)}", dates=("date",))
-def candle_patterns_all(spark: SparkSession, d: str) -> DataFrame:
-    """All patterns of each bar, in order; the trend is the close against its exponential mean of 14."""
-    b = bars(spark, d)
-    e = recursive.smoothed(b, "symbol", "date").select("symbol", "date", "ema14")
-    x = defined(b.join(e, ["symbol", "date"]), *_CANDLE)
-    return x.select("symbol", "date", F.concat_ws(",", *[F.when(F.expr(c), n) for n, c in PATTERNS.items()]).alias("patterns"))
-
-
 _MEANS = ", ".join([
     sql_ema("e20", "close", 20), sql_ema("e20b", "x", 20, "e20"), sql_ema("e20c", "x", 20, "e20b"), sql_seeded("s14", "close", 14, "1.0 / 14"), sql_ema("z20", "ahead", 20), sql_seeded("a14", "tr", 14, "1.0 / 14"), sql_ema("f13", "force", 13), sql_ema("e13", "close", 13),
     sql_ema("c3", "adl", 3), sql_ema("c10", "adl", 10), sql_ema("e12", "close", 12), sql_ema("e26", "close", 26), sql_ema("t1", "close", 15), sql_ema("t2", "x", 15, "t1"), sql_ema("t3", "x", 15, "t2"), sql_ema("m1", "step", 25), sql_ema("m2", "x", 13, "m1"), sql_ema("n1", "size", 25), sql_ema("n2", "x", 13, "n1"),

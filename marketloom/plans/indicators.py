@@ -97,10 +97,17 @@ def rsi_wilder(spark: SparkSession, d: str) -> DataFrame:
     return recursive.rsi_wilder(bars(spark, d), "symbol", "date", "close", 14).withColumn("rsi", F.round("rsi", 6))
 
 
-@query("renko_bricks")
+@query("renko_bricks", f"""WITH RECURSIVE {SQL_BARS}, r AS (SELECT symbol, date, (close - first) / (first * 0.25) AS place, first, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM (SELECT *, first(close) OVER (PARTITION BY symbol ORDER BY date) AS first FROM bars)),
+x AS (SELECT symbol, date, k, first, CAST(floor(place + 1e-9) AS BIGINT) AS high, CAST(ceil(place - 1e-9) AS BIGINT) AS low FROM r),
+e AS (SELECT symbol, date, k, first, 0::BIGINT AS top, 0::BIGINT AS bottom, 0::BIGINT AS ups, 0::BIGINT AS downs, 0::BIGINT AS had_top, 0::BIGINT AS had_bottom FROM x WHERE k = 1
+UNION ALL SELECT x.symbol, x.date, x.k, x.first, CASE WHEN x.high > e.top THEN x.high WHEN x.low < e.bottom THEN x.low + 1 ELSE e.top END, CASE WHEN x.high > e.top THEN x.high - 1 WHEN x.low < e.bottom THEN x.low ELSE e.bottom END,
+  greatest(x.high - e.top, 0), greatest(e.bottom - x.low, 0), e.top, e.bottom FROM e JOIN x ON x.symbol = e.symbol AND x.k = e.k + 1),
+b AS (SELECT symbol, date, k, first, n, CASE WHEN ups > 0 THEN had_top + n ELSE had_bottom - n END AS opened, CASE WHEN ups > 0 THEN 1 ELSE -1 END AS way FROM (SELECT *, unnest(range(ups + downs)) AS n FROM e))
+SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY k, n) - 1 AS brick, round(first * (1 + 0.25 * opened), 6) AS brick_open, round(first * (1 + 0.25 * (opened + way)), 6) AS brick_close, CAST(way AS BIGINT) AS direction FROM b""", dates=("date",))
 def renko_bricks(spark: SparkSession, d: str) -> DataFrame:
     """Bricks of a fixed share of each symbol's first close: any number of rows out for a row in."""
-    return recursive.renko(bars(spark, d), "symbol", "date", "close", 0.25)
+    b = recursive.renko(bars(spark, d), "symbol", "date", "close", 0.25)
+    return b.withColumns({c: F.round(c, 6) for c in ("brick_open", "brick_close")})
 
 
 @query("bollinger", f"""{BARS}, x AS (SELECT symbol, date, close, {guarded('avg(close)', 20, 'close')} AS m, {guarded('stddev_samp(close)', 20, 'close')} AS s FROM bars)

@@ -127,5 +127,5 @@ def test_volatility_is_at_a_likely_place(spark, small):
         assert math.isfinite(best)
         for step in np.vstack([np.eye(3), -np.eye(3)]) * 0.05:
             assert best <= loss(r, *(at + step)) + 1e-3
-        batch, _ = recursive.garch_loss(r, *at[:, None])
-        assert batch[0] == pytest.approx(best)
+        batch, _ = recursive.garch_loss(r[:, None], *at[:, None, None])
+        assert batch[0, 0] == pytest.approx(best)
