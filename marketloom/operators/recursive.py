@@ -387,6 +387,39 @@ def kagi(df: DataFrame, key: str, order: str, share: float) -> DataFrame:
     return per_event(df, key, order, ["close"], fn, "segment long, start double, end double")
 
 
+def zigzag(df: DataFrame, key: str, order: str, share: float) -> DataFrame:
+    """Turning points: highs and lows (way 1 and -1; 0 if the series never moved) from which the series came back by ``share`` or more, and its last point.
+
+    A point moves on while the series goes further its way. The first one begins at the first close.
+    """
+
+    def fn(x: dict[str, np.ndarray], sizes: np.ndarray):
+        high, low, n = x["high"], x["low"], x["close"].shape[1]
+        price, at, way = x["close"][0].copy(), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        bars, series, prices, ways = [], [], [], []
+
+        def tell(own: np.ndarray) -> None:
+            for held, new in ((bars, at[own]), (series, own), (prices, price[own]), (ways, way[own])):
+                held.append(new)
+
+        for t in range(len(high)):
+            if t:
+                up = (way >= 0) & (high[t] > price)
+                down = ~up & (way <= 0) & (low[t] < price)
+                falls = ~up & ~down & (way >= 0) & ((price - low[t]) / price >= share)
+                rises = ~up & ~down & ~falls & (way <= 0) & ((high[t] - price) / price >= share)
+                tell(np.flatnonzero(falls | rises))
+                way = np.where(up | rises, 1, np.where(down | falls, -1, way))
+                moved = up | down | falls | rises
+                price = np.where(up | rises, high[t], np.where(down | falls, low[t], price))
+                at = np.where(moved, t, at)
+            tell(np.flatnonzero(sizes == t + 1))
+        series = np.concatenate(series)
+        return np.concatenate(bars), series, {"point": numbered(series), "price": np.concatenate(prices), "way": np.concatenate(ways)}
+
+    return per_event(df, key, order, ["high", "low", "close"], fn, "point long, price double, way long")
+
+
 def garch_loss(r: np.ndarray, alpha: np.ndarray, beta: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Negative log-likelihoods, and the variance each foresees, of series (columns of ``r``, NaN after their end) under parameters (a row per series).
 
