@@ -137,7 +137,7 @@ def asof_macro_on_index(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events").withColumn("hour_", F.date_trunc("hour", "ts"))
     index = e.filter("event_type <> 'error'").groupBy("hour_").agg(F.sum("value").alias("level"))
     macro = e.filter("event_type = 'error'").groupBy("hour_").agg(F.avg("value").alias("rate"))
-    out = asof_backward(index.withColumn("series", F.lit("index")), macro.withColumn("series", F.lit("index")), ["series"], "hour_", {"rate": "rate", "hour_": "rate_hour"})
+    out = asof_backward(index.withColumn("series", F.lit("index")), macro.withColumn("series", F.lit("index")), ["series"], "hour_", {"rate": "rate", "hour_": "rate_hour"}, period=lambda t: F.date_trunc("day", t))
     return out.select("hour_", F.round("level", 4).alias("level"), F.round("rate", 6).alias("rate"), "rate_hour")
 
 
@@ -147,7 +147,7 @@ SELECT p.event_id, round(p.value, 6) AS price, round(u.value, 6) AS mark FROM p
 def asof_mark_on_trade(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events")
     marks = e.filter("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("mark"))
-    out = asof_backward(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", "value"), marks, ["user_id"], "ts", {"mark": "mark"})
+    out = asof_backward(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", "value"), marks, ["user_id"], "ts", {"mark": "mark"}, period=lambda t: F.date_trunc("month", t))
     return out.select("event_id", F.round("value", 6).alias("price"), F.round("mark", 6).alias("mark"))
 
 
