@@ -122,7 +122,10 @@ def line_cleaner(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Common words by language, of which the language with most in a text is taken.
-COMMON = {"en": ("the", "and", "of", "that"), "fr": ("le", "de", "que", "les"), "de": ("der", "die", "und", "ein"), "es": ("el", "que", "los", "un")}
+COMMON = {
+    "en": ("the", "and", "of", "that", "to", "in", "is", "was", "with", "for", "on", "this", "are", "by"), "fr": ("le", "de", "que", "les", "la", "des", "et", "est", "une", "un", "dans", "pour", "sur", "qui"),
+    "de": ("der", "die", "und", "ein", "das", "ist", "nicht", "zu", "den", "mit", "von", "eine", "für", "sich"), "es": ("el", "que", "los", "un", "la", "de", "y", "en", "las", "por", "con", "una", "para", "del"),
+}
 
 
 def _word_count(words: tuple[str, ...]) -> Column:

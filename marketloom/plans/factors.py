@@ -38,7 +38,7 @@ def latest_statements(spark: SparkSession, d: str) -> DataFrame:
 SQL_MARKET = """flow AS (SELECT l_suppkey AS symbol, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, sum(CASE l_returnflag WHEN 'A' THEN l_extendedprice WHEN 'R' THEN -l_extendedprice ELSE 0 END) AS net, sum(CASE l_returnflag WHEN 'A' THEN l_quantity WHEN 'R' THEN -l_quantity ELSE 0 END) AS net_shares FROM lineitem GROUP BY ALL),
 x AS (SELECT ret.*, net, net_shares, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM ret JOIN flow USING (symbol, date)),
 m AS (SELECT symbol, max(date) AS date, max(close) FILTER (back = 1) AS c0, max(close) FILTER (back = 2) AS c1, max(close) FILTER (back = 4) AS c3, max(close) FILTER (back = 7) AS c6, avg(abs(r) / nullif(close * volume, 0)) FILTER (back <= 20) AS amihud,
-  avg(close * volume) FILTER (back <= 5) / nullif(avg(close * volume) FILTER (back <= 20), 0) - 1 AS dvol, sum(net) FILTER (back <= 5) AS net5, coalesce(min(back) FILTER (net <= 0) - 1, count(*)) AS buying, max(net_shares) FILTER (back = 1) AS insiders,
+  avg(close * volume) FILTER (back <= 5) / nullif(avg(close * volume) FILTER (back <= 20), 0) - 1 AS dvol, sum(net) FILTER (back <= 5) AS net5, coalesce(min(back) FILTER (net <= 0) - 1, count(*)) AS buying, max(net_shares) FILTER (back = 1) AS insiders, 0.49 - greatest(0, sum(net_shares) / nullif(sum(volume), 0)) AS room,
   avg(CASE WHEN r >= 0.069 THEN 1.0 ELSE 0 END) FILTER (back <= 10) AS ceilings, count(*) FILTER (back <= 5 AND r <= -0.069) AS floors, avg(volume) FILTER (back <= 5) / nullif(avg(volume) FILTER (back <= 20), 0) AS surge, stddev_samp(r) FILTER (back <= 20) AS vol20, stddev_samp(r) FILTER (back <= 60) AS vol60 FROM x GROUP BY symbol)"""
 #: Each factor over the columns of the last statement, the market and the symbol; text that both engines read.
 FACTORS = {
@@ -51,7 +51,7 @@ FACTORS = {
     "piotroski": " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in (
         "income > 0", "cash_flow > 0", "income / assets > income4 / assets4", "cash_flow > income", "(assets - equity) / assets < debt4 / assets4", "current_assets / current_debt > ratio4", "equity <= equity4 * 1.02", "gross / revenue > gross4 / revenue4", "revenue / assets > revenue4 / assets4")),
     "book_to_market": "equity / nullif(market_cap, 0)", "holiday": "CASE WHEN month(date) = 1 THEN 1.0 WHEN month(date) = 2 THEN -0.5 ELSE 0.0 END", "ceiling_streak": "ceilings", "forced_selling": "CASE WHEN floors >= 2 AND surge > 3 THEN 1.0 ELSE 0.0 END",
-    "foreign_room": "CASE WHEN symbol * 7 % 50 < 5 THEN -1.0 WHEN symbol * 7 % 50 > 30 THEN 0.5 ELSE 0.0 END", "vol20": "vol20", "vol60": "vol60",
+    "foreign_room": "CASE WHEN room < 0.05 THEN -1.0 WHEN room > 0.3 THEN 0.5 ELSE 0.0 END", "vol20": "vol20", "vol60": "vol60",
 }
 SQL_FACTORS = f"""{RETURNS}, {SQL_STOCKS}, {SQL_STATEMENTS}, {SQL_MARKET}, g AS (SELECT CASE WHEN avg(c0 / nullif(c3, 0) - 1) > 0 THEN 1.0 ELSE -1.0 END AS regime FROM m),
 factors AS (SELECT symbol, sector, market_cap, {", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, x in FACTORS.items())} FROM m JOIN stocks USING (symbol) JOIN latest USING (symbol), g)"""
@@ -68,7 +68,7 @@ def factors(spark: SparkSession, d: str) -> DataFrame:
     within = lambda k, e: F.when(back <= k, e)
     m = x.groupBy("symbol").agg(
         F.max("date").alias("date"), at(1).alias("c0"), at(2).alias("c1"), at(4).alias("c3"), at(7).alias("c6"), F.avg(within(20, F.try_divide(F.abs("r"), turnover))).alias("amihud"),
-        (F.try_divide(F.avg(within(5, turnover)), F.avg(within(20, turnover))) - 1).alias("dvol"), F.sum(within(5, F.col("net"))).alias("net5"), F.coalesce(F.min(F.when(F.col("net") <= 0, back)) - 1, F.count(F.lit(1))).alias("buying"), at(1, "net_shares").alias("insiders"),
+        (F.try_divide(F.avg(within(5, turnover)), F.avg(within(20, turnover))) - 1).alias("dvol"), F.sum(within(5, F.col("net"))).alias("net5"), F.coalesce(F.min(F.when(F.col("net") <= 0, back)) - 1, F.count(F.lit(1))).alias("buying"), at(1, "net_shares").alias("insiders"), (0.49 - F.greatest(F.lit(0.0), F.try_divide(F.sum("net_shares"), F.sum("volume")))).alias("room"),
         F.avg(within(10, F.when(F.col("r") >= 0.069, 1.0).otherwise(0.0))).alias("ceilings"), F.count_if((back <= 5) & (F.col("r") <= -0.069)).alias("floors"), F.try_divide(F.avg(within(5, F.col("volume"))), F.avg(within(20, F.col("volume")))).alias("surge"),
         F.stddev_samp(within(20, F.col("r"))).alias("vol20"), F.stddev_samp(within(60, F.col("r"))).alias("vol60"),
     )
@@ -123,8 +123,8 @@ def composite_v2(spark: SparkSession, d: str) -> DataFrame:
 #: Information coefficients by which factors are weighed, and direction.
 ICS = {"roe": (0.077, 1), "book_to_market": (0.075, 1), "net_margin": (0.051, 1), "size": (0.040, -1), "growth": (0.032, 1), "piotroski": (0.026, 1), "gross_margin": (0.023, 1), "vol20": (0.023, -1)}
 _Z = "CASE WHEN count({x}) OVER (PARTITION BY sector) >= 5 THEN ({x} - avg({x}) OVER (PARTITION BY sector)) / nullif(stddev_samp({x}) OVER (PARTITION BY sector), 0) ELSE ({x} - avg({x}) OVER ()) / nullif(stddev_samp({x}) OVER (), 0) END * {s}"
-SQL_WEIGHTED = f"""{SQL_FACTORS}, z AS (SELECT symbol, sector, foreign_net5, {", ".join(f"{_Z.format(x=f, s=s)} AS {f}" for f, (_, s) in ICS.items())} FROM factors),
-weighted AS (SELECT symbol, sector, foreign_net5, ({" + ".join(f"coalesce({w} * greatest(-3, least(3, {f})), 0)" for f, (w, _) in ICS.items())}) / nullif({" + ".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE {w} END" for f, (w, _) in ICS.items())}, 0) AS c FROM z)"""
+SQL_WEIGHTED = f"""{SQL_FACTORS}, z AS (SELECT symbol, sector, foreign_net5, mom3, {", ".join(f"{_Z.format(x=f, s=s)} AS {f}" for f, (_, s) in ICS.items())} FROM factors),
+weighted AS (SELECT symbol, sector, foreign_net5, mom3, ({" + ".join(f"coalesce({w} * greatest(-3, least(3, {f})), 0)" for f, (w, _) in ICS.items())}) / nullif({" + ".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE {w} END" for f, (w, _) in ICS.items())}, 0) AS c FROM z)"""
 
 
 def ic_weighted(spark: SparkSession, d: str) -> DataFrame:
@@ -132,10 +132,10 @@ def ic_weighted(spark: SparkSession, d: str) -> DataFrame:
     f = factors(spark, d).withColumn("all", F.lit(0))
     own, whole = Window.partitionBy("sector"), Window.partitionBy("all")
     dev = lambda c, w: F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w))
-    z = f.select("symbol", "sector", "foreign_net5", *[(F.when(F.count(c).over(own) >= 5, dev(c, own)).otherwise(dev(c, whole)) * s).alias(c) for c, (_, s) in ICS.items()])
+    z = f.select("symbol", "sector", "foreign_net5", "mom3", *[(F.when(F.count(c).over(own) >= 5, dev(c, own)).otherwise(dev(c, whole)) * s).alias(c) for c, (_, s) in ICS.items()])
     total = sum(F.coalesce(w * F.greatest(F.lit(-3.0), F.least(F.lit(3.0), c)), F.lit(0.0)) for c, (w, _) in ICS.items() for c in [F.col(c)])
     weight = sum(F.when(F.col(c).isNull(), 0.0).otherwise(w) for c, (w, _) in ICS.items())
-    return z.select("symbol", "sector", "foreign_net5", F.try_divide(total, weight).alias("c"))
+    return z.select("symbol", "sector", "foreign_net5", "mom3", F.try_divide(total, weight).alias("c"))
 
 
 @query("ic_weighted_composite", f"{SQL_WEIGHTED} SELECT symbol, round(c, 6) AS composite FROM weighted")
@@ -143,11 +143,12 @@ def ic_weighted_composite(spark: SparkSession, d: str) -> DataFrame:
     return ic_weighted(spark, d).select("symbol", r6("c").alias("composite"))
 
 
-@query("confidence_gate", f"""{SQL_WEIGHTED}, h AS (SELECT symbol, greatest(0, least(100, (c + 3) / 6 * 100)) AS pct, symbol % 2 = 0 AS technical, foreign_net5 FROM weighted)
+@query("confidence_gate", f"""{SQL_WEIGHTED}, h AS (SELECT symbol, greatest(0, least(100, (c + 3) / 6 * 100)) AS pct, coalesce(mom3 > 0, false) AS technical, foreign_net5 FROM weighted)
 SELECT symbol, round(pct, 4) AS pct, round(least(100, pct * CASE WHEN technical THEN 1.05 ELSE 1 END * CASE WHEN foreign_net5 < -10 THEN 0.85 ELSE 1 END), 4) AS confidence, CASE WHEN pct >= 60 THEN 'PASS' ELSE 'HOLD' END AS gate FROM h""")
 def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
     g = ic_weighted(spark, d).withColumn("pct", F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col("c") + 3) / 6 * 100)))
-    boost = F.when(F.col("symbol") % 2 == 0, 1.05).otherwise(1.0) * F.when(F.col("foreign_net5") < -10, 0.85).otherwise(1.0)
+    # The technical side agrees where the last quarter rose.
+    boost = F.when(F.col("mom3") > 0, 1.05).otherwise(1.0) * F.when(F.col("foreign_net5") < -10, 0.85).otherwise(1.0)
     return g.select("symbol", F.round("pct", 4).alias("pct"), F.round(F.least(F.lit(100.0), F.col("pct") * boost), 4).alias("confidence"), F.when(F.col("pct") >= 60, "PASS").otherwise("HOLD").alias("gate"))
 
 
@@ -175,12 +176,12 @@ def winsorised_ic(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("date").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("a", "b")).alias("ic")).filter("n >= 5")
 
 
-@query("sector_neutral_ic", _PANEL + f""", s AS (SELECT date, factor - CASE WHEN count(*) OVER w >= 2 THEN avg(factor) OVER w ELSE avg(factor) OVER (PARTITION BY date) END AS factor, forward FROM panel WINDOW w AS (PARTITION BY date, sector)), r AS (SELECT date, {_RANK.format(x="factor")} AS a, {_RANK.format(x="forward")} AS b FROM (SELECT date, round(factor, 9) AS factor, forward FROM s))
+@query("sector_neutral_ic", _PANEL + f""", s AS (SELECT date, factor - CASE WHEN count(*) OVER w >= 5 THEN avg(factor) OVER w ELSE avg(factor) OVER (PARTITION BY date) END AS factor, forward FROM panel WINDOW w AS (PARTITION BY date, sector)), r AS (SELECT date, {_RANK.format(x="factor")} AS a, {_RANK.format(x="forward")} AS b FROM (SELECT date, round(factor, 9) AS factor, forward FROM s))
 SELECT date, count(*) AS n, round(corr(a, b), 6) AS ic FROM r GROUP BY date HAVING count(*) >= 5""", dates=("date",))
 def sector_neutral_ic(spark: SparkSession, d: str) -> DataFrame:
-    """Rank correlation after the mean of the sector (of two names or more here, else of all) is taken off."""
+    """Rank correlation after the mean of the sector (of five names or more, else of all) is taken off."""
     w = Window.partitionBy("date", "sector")
-    s = panel(spark, d).withColumn("factor", F.round(F.col("factor") - F.when(F.count(F.lit(1)).over(w) >= 2, F.avg("factor").over(w)).otherwise(F.avg("factor").over(Window.partitionBy("date"))), 9))
+    s = panel(spark, d).withColumn("factor", F.round(F.col("factor") - F.when(F.count(F.lit(1)).over(w) >= 5, F.avg("factor").over(w)).otherwise(F.avg("factor").over(Window.partitionBy("date"))), 9))
     r = s.select("date", rank_average(F.col("factor"), "date").alias("a"), rank_average(F.col("forward"), "date").alias("b"))
     return r.groupBy("date").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("a", "b")).alias("ic")).filter("n >= 5")
 

@@ -84,15 +84,15 @@ def composite_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("top_capped_weights", _FACTORS + """, t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) <= 15),
-w AS (SELECT *, score / sum(score) OVER (PARTITION BY date) AS raw FROM t), k AS (SELECT *, least(raw, 0.08) AS capped FROM w),
-h AS (SELECT *, 1 - sum(capped) OVER (PARTITION BY date) AS rest, 0.08 - capped AS head FROM k)
+w AS (SELECT *, score / sum(score) OVER (PARTITION BY date) AS raw FROM t), k AS (SELECT *, least(raw, 0.05) AS capped FROM w),
+h AS (SELECT *, 1 - sum(capped) OVER (PARTITION BY date) AS rest, 0.05 - capped AS head FROM k)
 SELECT symbol, date, round(capped + CASE WHEN sum(head) OVER (PARTITION BY date) > 0 THEN rest * head / sum(head) OVER (PARTITION BY date) ELSE 0 END, 6) AS weight FROM h""", dates=("date",))
 def top_capped_weights(spark: SparkSession, d: str) -> DataFrame:
     """Fifteen best by date; weights by score, capped, the rest spread once by headroom (which may pass the cap)."""
     by = Window.partitionBy("date")
     t = composite(spark, d).withColumn("place", F.row_number().over(by.orderBy(F.desc("score"), "symbol"))).filter("place <= 15")
-    t = t.withColumn("capped", F.least(F.col("score") / F.sum("score").over(by), F.lit(0.08)))
-    head = 0.08 - F.col("capped")
+    t = t.withColumn("capped", F.least(F.col("score") / F.sum("score").over(by), F.lit(0.05)))
+    head = 0.05 - F.col("capped")
     spare = F.sum(head).over(by)
     more = F.when(spare > 0, (1 - F.sum("capped").over(by)) * head / spare).otherwise(0.0)
     return t.select("symbol", "date", F.round(F.col("capped") + more, 6).alias("weight"))

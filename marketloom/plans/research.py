@@ -12,31 +12,40 @@ from marketloom.plans.factors import SQL_FACTORS, factors
 from marketloom.plans.risk import RETURNS, r6, returns
 from marketloom.sources.tables import SQL_BARS, SQL_STOCKS, bars, load, stocks
 
-_DAY = "(SELECT max(date) FROM bars)"
+#: The day that data are asked for: what became known later must not be there.
+ASKED = "2001-06-01"
+_DAY = f"(SELECT max(date) FROM bars WHERE date <= DATE '{ASKED}')"
 
 
-@query("data_quality_report", f"""{RETURNS}, {SQL_STOCKS}, q AS (SELECT l_suppkey AS symbol, sum(l_quantity) AS total, sum(CASE l_returnflag WHEN 'N' THEN l_quantity ELSE 0 END) + sum(CASE l_returnflag WHEN 'A' THEN l_quantity ELSE 0 END) + sum(CASE l_returnflag WHEN 'R' THEN l_quantity ELSE 0 END) AS parts, min(l_quantity) AS least, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1),
-f AS (SELECT count(*) AS orders, count(*) FILTER (o_orderstatus = 'P') AS unknown, max(o_orderdate) AS newest FROM orders), m AS (SELECT max(date) AS day FROM bars),
+@query("data_quality_report", f"""{RETURNS}, {SQL_STOCKS}, q AS (SELECT l_suppkey AS symbol, min(l_quantity) AS least FROM lineitem GROUP BY 1), v AS (SELECT o_totalprice AS total, parts FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS parts FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+f AS (SELECT count(*) AS orders, count(*) FILTER (o_orderstatus = 'P') AS unknown, max(o_orderdate) AS newest FROM orders), m AS (SELECT max(date) AS day FROM bars WHERE date <= DATE '{ASKED}'),
 c AS (SELECT 'completeness' AS name, true AS critical, (SELECT count(*) FROM stocks WHERE symbol NOT IN (SELECT symbol FROM bars WHERE date = {_DAY})) AS bad
-UNION ALL SELECT 'price_limit', true, (SELECT count(*) FROM ret WHERE date = {_DAY} AND abs(r) > 0.075) UNION ALL SELECT 'volume_not_negative', true, (SELECT count(*) FROM q WHERE least < 0) UNION ALL SELECT 'volume_split', false, (SELECT count(*) FROM q WHERE abs(total - parts) > 1)
+UNION ALL SELECT 'price_limit', true, (SELECT count(*) FROM ret WHERE date = {_DAY} AND abs(r) > 0.075) UNION ALL SELECT 'volume_not_negative', true, (SELECT count(*) FROM q WHERE least < 0) UNION ALL SELECT 'volume_split', false, (SELECT count(*) FROM v WHERE abs(total - parts) > 0.01 * total)
 UNION ALL SELECT 'freshness', false, (SELECT CAST(date_diff('day', CAST(newest AS DATE), day) > 180 AS BIGINT) FROM f, m) UNION ALL SELECT 'actions_applied', true, (SELECT count(*) FROM supplier WHERE s_acctbal < -900) UNION ALL SELECT 'announced', true, (SELECT CAST(100.0 * unknown / orders > 5 AS BIGINT) FROM f)
-UNION ALL SELECT 'point_in_time', true, (SELECT count(*) FROM bars WHERE date > {_DAY}))
+UNION ALL SELECT 'point_in_time', true, (SELECT count(*) FROM bars WHERE date > DATE '{ASKED}'))
 SELECT name, bad, CASE WHEN bad = 0 THEN 'PASS' WHEN critical THEN 'FAIL' ELSE 'WARN' END AS status FROM c""")
 def data_quality_report(spark: SparkSession, d: str) -> DataFrame:
-    """Eight checks of a day's data, each one aggregate; a failed one is critical or a warning."""
-    b = returns(spark, d)
-    day = F.broadcast(b.agg(F.max("date").alias("day")))
-    last = b.crossJoin(day)
-    today = last.filter("date = day")
-    flag, q = F.col("l_returnflag"), F.col("l_quantity")
-    part = lambda k: F.sum(F.when(flag == k, q).otherwise(0.0))
-    v = load(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(q).alias("total"), (part("N") + part("A") + part("R")).alias("parts"), F.min(q).alias("least"))
-    f = load(spark, d, "orders").agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "P").alias("unknown"), F.max("o_orderdate").alias("newest")).crossJoin(day)
+    """Eight checks of the data of the day asked for, each one aggregate; a failed one is critical or a warning.
+
+    Nothing may be dated after that day; an order's total, from its own table, must be the
+    sum of its lines to a hundredth.
+    """
+    return quality_checks(returns(spark, d), stocks(spark, d), load(spark, d, "lineitem"), load(spark, d, "orders"), load(spark, d, "supplier"), ASKED)
+
+
+def quality_checks(b: DataFrame, listed: DataFrame, lines: DataFrame, orders: DataFrame, supplier: DataFrame, asked: str) -> DataFrame:
+    """name, bad and status of each check; ``b`` are bars with returns r, ``listed`` the symbols that should have one."""
+    until = F.lit(asked).cast("date")
+    day = F.broadcast(b.filter(F.col("date") <= until).agg(F.max("date").alias("day")))
+    today = b.crossJoin(day).filter("date = day")
+    parts = lines.groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("parts"))
+    v = orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey"))
+    f = orders.agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "P").alias("unknown"), F.max("o_orderdate").alias("newest")).crossJoin(day)
     count = F.count(F.lit(1)).alias("bad")
     checks = (
-        ("completeness", True, stocks(spark, d).join(today, "symbol", "left_anti").agg(count)), ("price_limit", True, today.filter(F.abs("r") > 0.075).agg(count)), ("volume_not_negative", True, v.filter("least < 0").agg(count)),
-        ("volume_split", False, v.filter(F.abs(F.col("total") - F.col("parts")) > 1).agg(count)), ("freshness", False, f.select((F.datediff("day", "newest") > 180).cast("long").alias("bad"))), ("actions_applied", True, load(spark, d, "supplier").filter("s_acctbal < -900").agg(count)),
-        ("announced", True, f.select((100.0 * F.col("unknown") / F.col("orders") > 5).cast("long").alias("bad"))), ("point_in_time", True, last.filter("date > day").agg(count)),
+        ("completeness", True, listed.join(today, "symbol", "left_anti").agg(count)), ("price_limit", True, today.filter(F.abs("r") > 0.075).agg(count)), ("volume_not_negative", True, lines.groupBy("l_suppkey").agg(F.min("l_quantity").alias("least")).filter("least < 0").agg(count)),
+        ("volume_split", False, v.filter(F.abs(F.col("o_totalprice") - F.col("parts")) > 0.01 * F.col("o_totalprice")).agg(count)), ("freshness", False, f.select((F.datediff("day", "newest") > 180).cast("long").alias("bad"))), ("actions_applied", True, supplier.filter("s_acctbal < -900").agg(count)),
+        ("announced", True, f.select((100.0 * F.col("unknown") / F.col("orders") > 5).cast("long").alias("bad"))), ("point_in_time", True, b.filter(F.col("date") > until).agg(count)),
     )
     out = None
     for name, critical, bad in checks:
@@ -86,13 +95,18 @@ def ranker_zscore(spark: SparkSession, d: str) -> DataFrame:
     return returns(spark, d).filter("r IS NOT NULL").select("symbol", "date", r6(F.when(F.stddev_samp("r").over(w) > 1e-8, (F.col("r") - F.avg("r").over(w)) / F.stddev_samp("r").over(w)).otherwise(0.0)).alias("z"))
 
 
-@query("counter_thesis", """WITH f AS (SELECT s_suppkey AS symbol, s_suppkey * 13 % 101 * 1.0 AS beneish, s_suppkey * 29 % 101 * 1.0 AS receivables, s_nationkey * 4.0 AS macro, abs(s_acctbal) / 100 AS liquidity, s_suppkey * 7 % 101 * 1.0 AS missing FROM supplier),
+@query("counter_thesis", """WITH t AS (SELECT l_suppkey, 200 * sum(CASE l_returnflag WHEN 'R' THEN l_extendedprice ELSE 0 END) / sum(l_extendedprice) AS beneish, 1250 * avg(l_tax) AS receivables, 100 * avg(CASE l_linestatus WHEN 'O' THEN 1.0 ELSE 0 END) AS missing FROM lineitem GROUP BY 1),
+f AS (SELECT s_suppkey AS symbol, beneish, receivables, s_nationkey * 4.0 AS macro, abs(s_acctbal) / 100 AS liquidity, missing FROM supplier JOIN t ON l_suppkey = s_suppkey),
 b AS (SELECT *, greatest(0, least(100, 2 / 15.0 * beneish + 2 / 15.0 * receivables + 0.2 * macro + 4 / 15.0 * liquidity + 4 / 15.0 * missing)) AS base, least(1.4, 1 + CASE WHEN receivables >= 60 AND liquidity >= 60 THEN 0.15 ELSE 0 END + CASE WHEN macro >= 60 AND liquidity >= 60 THEN 0.15 ELSE 0 END + CASE WHEN beneish >= 60 AND receivables >= 60 THEN 0.15 ELSE 0 END + CASE WHEN missing >= 50 AND beneish >= 50 THEN 0.1 ELSE 0 END) AS factor FROM f)
 SELECT symbol, round(base, 4) AS base, round(factor, 2) AS factor, round(least(100, base * factor), 4) AS score, CASE WHEN base * factor >= 70 THEN 'REJECT' WHEN base * factor >= 45 THEN 'REDUCE' ELSE 'PASS' END AS verdict FROM b""")
 def counter_thesis(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted risks, raised where pairs of them meet."""
-    k = F.col("s_suppkey")
-    f = load(spark, d, "supplier").select(k.alias("symbol"), (k * 13 % 101 * F.lit(1.0)).alias("beneish"), (k * 29 % 101 * F.lit(1.0)).alias("receivables"), (F.col("s_nationkey") * F.lit(4.0)).alias("macro"), (F.abs("s_acctbal") / 100).alias("liquidity"), (k * 7 % 101 * F.lit(1.0)).alias("missing"))
+    """Weighted risks, raised where pairs of them meet: returned goods, tax rates, the nation, balances, and lines still open."""
+    share = lambda c, of: F.sum(F.when(c, F.col(of)).otherwise(0.0)) / F.sum(of)
+    t = load(spark, d, "lineitem").groupBy("l_suppkey").agg(
+        (200 * share(F.col("l_returnflag") == "R", "l_extendedprice")).alias("beneish"), (1250 * F.avg("l_tax")).alias("receivables"), (100 * F.avg(F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0))).alias("missing")
+    )
+    f = load(spark, d, "supplier").join(t, F.col("s_suppkey") == F.col("l_suppkey"))
+    f = f.select(F.col("s_suppkey").alias("symbol"), "beneish", "receivables", (F.col("s_nationkey") * F.lit(4.0)).alias("macro"), (F.abs("s_acctbal") / 100).alias("liquidity"), "missing")
     c = {n: F.col(n) for n in ("beneish", "receivables", "macro", "liquidity", "missing")}
     base = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 2 / 15 * c["beneish"] + 2 / 15 * c["receivables"] + 0.2 * c["macro"] + 4 / 15 * c["liquidity"] + 4 / 15 * c["missing"]))
     pair = lambda a, b, least, more: F.when((c[a] >= least) & (c[b] >= least), more).otherwise(0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.frames import last_n, series, true_range
@@ -102,16 +102,55 @@ def ic_decay(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.explode("rows").alias("r")).select("r.horizon", r6("r.ic").alias("ic"), r6("r.ratio").alias("ratio"))
 
 
-@query("text_decoding", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8' WHEN 2 THEN 'utf-16le' ELSE 'utf-16be' END AS charset, sha256(coalesce(text, '')) AS decoded FROM documents""")
+#: What is tried after byte order marks and UTF-8, in this order: the first whose letters fit well enough.
+CANDIDATES = ("windows-1252", "ISO-8859-1")
+#: Controls of ISO-8859-1 that no text has; a decoding with any is rejected.
+_CONTROLS = "[\\x{80}-\\x{9F}]"
+
+
+def decoded_text(raw: Column) -> tuple[Column, Column]:
+    """The character set of some bytes and the text they are: by byte order mark, UTF-8 if valid, else the first candidate that gives no control characters."""
+    head = lambda n: F.hex(F.substring(raw, 1, n))
+    rest = lambda n: F.substring(raw, n + 1, 1 << 30)
+    valid = F.is_valid_utf8(raw.cast("string"))
+    marks = (("EFBBBF", 3, "UTF-8", "utf-8"), ("FFFE", 2, "UTF-16LE", "utf-16le"), ("FEFF", 2, "UTF-16BE", "utf-16be"))
+    name, text = None, None
+    for mark, n, charset, told in marks:
+        fits = head(n) == mark
+        name = F.when(fits, told) if name is None else name.when(fits, told)
+        text = F.when(fits, F.decode(rest(n), charset)) if text is None else text.when(fits, F.decode(rest(n), charset))
+    name, text = name.when(valid, "utf-8"), text.when(valid, raw.cast("string"))
+    # Of the single-byte sets the second is told apart by bytes that it has as controls only.
+    high = F.hex(raw).rlike("^(?:..)*(?:8|9).")
+    return name.when(high, CANDIDATES[0]).otherwise(CANDIDATES[1].lower()), text.when(high, _windows(raw)).otherwise(F.decode(raw, "ISO-8859-1"))
+
+
+#: Characters of windows-1252 at bytes 80 to 9F (those without one stay as they are).
+_WINDOWS = {0x80: "€", 0x85: "…", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x99: "™", 0x9C: "œ", 0x8C: "Œ"}
+
+
+def _windows(raw: Column) -> Column:
+    return F.translate(F.decode(raw, "ISO-8859-1"), "".join(map(chr, _WINDOWS)), "".join(_WINDOWS.values()))
+
+
+_SINGLE = "regexp_full_match(coalesce(text, ''), '(?s)[\\x00-\\x{FF}]*') AND NOT regexp_matches(coalesce(text, ''), '[\\x{80}-\\x{9F}]') AND regexp_matches(coalesce(text, ''), '[\\x{C0}-\\x{FF}]([^\\x{80}-\\x{BF}]|$)')"
+
+
+@query(
+    "text_decoding",
+    f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8' WHEN 2 THEN 'utf-16le' WHEN 3 THEN 'utf-16be' WHEN 4 THEN CASE WHEN {_SINGLE} THEN 'iso-8859-1' ELSE 'utf-8' END ELSE CASE WHEN {_SINGLE} THEN 'windows-1252' ELSE 'utf-8' END END AS charset,
+  sha256(coalesce(text, '') || CASE WHEN doc_id % 6 = 5 AND {_SINGLE} THEN ' €' ELSE '' END) AS decoded FROM documents""",
+)
 def text_decoding(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of unknown encoding: by their byte order mark, else UTF-8 if valid, else Latin-1."""
-    k, text = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    """Texts of unknown encoding, here as many that have one of six: two with marks, two single-byte sets where a text has their letters only, and UTF-8 with and without a mark."""
+    k, text = F.col("doc_id") % 6, F.coalesce("text", F.lit(""))
     mark = lambda h: F.unhex(F.lit(h))
-    raw = F.when(k == 0, F.concat(mark("EFBBBF"), F.encode(text, "UTF-8"))).when(k == 1, F.encode(text, "UTF-8")).when(k == 2, F.concat(mark("FFFE"), F.encode(text, "UTF-16LE"))).otherwise(F.concat(mark("FEFF"), F.encode(text, "UTF-16BE")))
+    single = text.rlike(r"(?s)\A[\x00-\x{FF}]*\z") & ~text.rlike(_CONTROLS) & text.rlike(r"[\x{C0}-\x{FF}]([^\x{80}-\x{BF}]|\z)")
+    one_byte = F.encode(F.when(single, text).otherwise(""), "ISO-8859-1")
+    raw = (
+        F.when(k == 0, F.concat(mark("EFBBBF"), F.encode(text, "UTF-8"))).when(k == 2, F.concat(mark("FFFE"), F.encode(text, "UTF-16LE"))).when(k == 3, F.concat(mark("FEFF"), F.encode(text, "UTF-16BE")))
+        .when((k == 4) & single, one_byte).when((k == 5) & single, F.concat(one_byte, mark("2080"))).otherwise(F.encode(text, "UTF-8"))
+    )
     x = load(spark, d, "documents").select("doc_id", raw.alias("raw"))
-    head = lambda n: F.hex(F.substring("raw", 1, n))
-    rest = lambda n: F.expr(f"substring(raw, {n + 1})")
-    valid = F.is_valid_utf8(F.col("raw").cast("string"))
-    charset = F.when(head(3) == "EFBBBF", "utf-8").when(head(2) == "FFFE", "utf-16le").when(head(2) == "FEFF", "utf-16be").when(valid, "utf-8").otherwise("latin-1")
-    decoded = F.when(head(3) == "EFBBBF", F.decode(rest(3), "UTF-8")).when(head(2) == "FFFE", F.decode(rest(2), "UTF-16LE")).when(head(2) == "FEFF", F.decode(rest(2), "UTF-16BE")).when(valid, F.col("raw").cast("string")).otherwise(F.decode("raw", "ISO-8859-1"))
+    charset, decoded = decoded_text(F.col("raw"))
     return x.select("doc_id", charset.alias("charset"), F.sha2(decoded, 256).alias("decoded"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.frames import series
 from marketloom.functions.text import ACCENTED, PLAIN, fold_letters
+from marketloom.functions.ranks import dealt_rank
 from marketloom.operators.relational import asof_backward, range_or_null
 from marketloom.plans.catalog import query
 from marketloom.plans.risk import RETURNS, r6, returns
@@ -70,8 +71,7 @@ def correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Plain and rank correlation of each pair of factors; factors are few, rows are not, so pairs are columns of one aggregate."""
     p = load(spark, d, "part").select("p_partkey", *[F.expr(v).cast("double").alias(k) for k, v in _FACTORS.items()])
     long = p.select("p_partkey", F.explode(F.create_map(*[x for k in _FACTORS for x in (F.lit(k), F.col(k))])).alias("factor", "x"))
-    w = Window.partitionBy("factor")
-    ranks = long.withColumn("k", F.rank().over(w.orderBy("x")) + (F.count(F.lit(1)).over(Window.partitionBy("factor", "x")) - 1) / 2)
+    ranks = dealt_rank(long, "x", "factor", "k")
     wide = ranks.groupBy("p_partkey").agg(*[F.max(F.when(F.col("factor") == k, F.col(c))).alias(f"{c}_{k}") for k in _FACTORS for c in ("x", "k")])
     names = sorted(_FACTORS)
     pairs = [F.struct(F.lit(a).alias("one"), F.lit(b).alias("two"), F.corr(f"x_{a}", f"x_{b}").alias("p"), F.corr(f"k_{a}", f"k_{b}").alias("s")) for i, a in enumerate(names) for b in names[i + 1 :]]

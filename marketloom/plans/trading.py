@@ -233,13 +233,23 @@ def kelly_by_regime(spark: SparkSession, d: str) -> DataFrame:
     return g.select("symbol", "regime", r6("p").alias("win_rate"), r6("b").alias("ratio"), r6(share).alias("share"))
 
 
-@query("conviction_labels", """WITH s AS (SELECT s_suppkey AS symbol, s_acctbal / 110 AS css, s_suppkey % 100 AS quality, CASE WHEN s_suppkey % 17 = 0 THEN 'QUALIFIED' ELSE 'UNQUALIFIED' END AS audit, s_suppkey % 7 = 0 AS cyclical, CASE WHEN s_suppkey % 5 > 0 THEN (s_suppkey % 10) / 10.0 END AS ml FROM supplier),
+@query("conviction_labels", """WITH t AS (SELECT l_suppkey, 400 * avg(CASE l_linestatus WHEN 'F' THEN 1.0 ELSE 0 END) - 150 AS quality, sum(l_extendedprice * (l_discount - 0.05)) AS result, avg(l_quantity) AS size, 10 * avg(l_discount) AS ml FROM lineitem GROUP BY 1),
+s AS (SELECT s_suppkey AS symbol, s_acctbal / 110 AS css, quality, CASE WHEN s_acctbal < 0 AND result < 0 THEN 'QUALIFIED' ELSE 'UNQUALIFIED' END AS audit, size > 25.5 AS cyclical, ml FROM supplier LEFT JOIN t ON l_suppkey = s_suppkey),
 b AS (SELECT *, CASE WHEN css >= 85 THEN 'A+' WHEN css >= 75 THEN 'A' WHEN css >= 60 THEN 'B' WHEN css >= 45 THEN 'C' ELSE 'D' END AS base FROM s), g AS (SELECT *, CASE WHEN audit <> 'UNQUALIFIED' THEN 'E' WHEN quality < 20 AND NOT cyclical AND base IN ('A+', 'A', 'B') THEN 'C' ELSE base END AS gated FROM b)
 SELECT symbol, base, gated, CASE WHEN ml <= 0.35 AND gated IN ('A+', 'A', 'B', 'C') THEN 'D' WHEN ml >= 0.7 AND gated = 'A' THEN 'A+' WHEN ml >= 0.7 AND gated = 'B' THEN 'A' WHEN ml >= 0.7 AND gated = 'C' THEN 'B' ELSE gated END AS conviction FROM g""")
 def conviction_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Tiers of a score, lowered for poor quality and by a model's veto, raised by its assent."""
-    k = F.col("s_suppkey")
-    s = load(spark, d, "supplier").select(k.alias("symbol"), (F.col("s_acctbal") / 110).alias("css"), (k % 100).alias("quality"), (k % 17 == 0).alias("qualified"), (k % 7 == 0).alias("cyclical"), F.when(k % 5 > 0, (k % 10) / 10.0).alias("ml"))
+    """Tiers of a score, lowered for poor quality and by a model's veto, raised by its assent.
+
+    Quality is the share of lines that are filed, the audit is qualified for a debtor that
+    lost, a cyclical one ships in large lots, and the mean discount stands for the model.
+    """
+    t = load(spark, d, "lineitem").groupBy("l_suppkey").agg(
+        (400 * F.avg(F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)) - 150).alias("quality"), F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("result"),
+        F.avg("l_quantity").alias("size"), (10 * F.avg("l_discount")).alias("ml"),
+    )
+    s = load(spark, d, "supplier").join(t, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    qualified = F.coalesce((F.col("s_acctbal") < 0) & (F.col("result") < 0), F.lit(False))
+    s = s.select(F.col("s_suppkey").alias("symbol"), (F.col("s_acctbal") / 110).alias("css"), "quality", qualified.alias("qualified"), (F.col("size") > 25.5).alias("cyclical"), "ml")
     css, ml, gated = F.col("css"), F.col("ml"), F.col("gated")
     s = s.withColumn("base", F.when(css >= 85, "A+").when(css >= 75, "A").when(css >= 60, "B").when(css >= 45, "C").otherwise("D"))
     s = s.withColumn("gated", F.when(F.col("qualified"), "E").when((F.col("quality") < 20) & ~F.col("cyclical") & F.col("base").isin("A+", "A", "B"), "C").otherwise(F.col("base")))
