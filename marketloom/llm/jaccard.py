@@ -8,8 +8,8 @@
    bits: sorted paths are the trie, and a shorter prefix is a shift to the right.
 3. The prefix by which classes are matched starts at the deepest level and is
    shortened level by level until the recall of an audit meets the target. The audit
-   compares a bounded number of classes exactly with all texts and finds, for each
-   of their links, at which levels the two meet (see ``matching_depth``).
+   compares a bounded number of classes with the signatures of all, those that may link
+   exactly, and finds for each link at which levels the two meet (``matching_depth``).
 4. Classes under equal prefixes are compared by whole signatures. Pairs clearly
    below the threshold (by 4.5 deviations) are put off; a spanning forest of the
    rest is enough to find candidate groups, as connected components.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.graph import attach, components
@@ -51,6 +51,8 @@ PREFIX_BLOCK, SET_BLOCK = 512, 256
 AUDIT_LIKELY, AUDIT_ANY, AUDIT_DEPTH, AUDIT_TREES = 192, 64, 4, 8
 #: Shingles of all audited classes together.
 AUDIT_SHINGLES = 2_000_000
+#: Classes that an audited one is compared with exactly, and how far below the threshold their signatures may agree.
+AUDIT_PARTNERS, AUDIT_SLACK = 32, 0.25
 #: Bytes of text that are cut into shingles together, and whose sets are held together; a longer text is taken alone, its words part by part.
 STEP, PART = 500_000, 2_000_000
 _rng = np.random.default_rng(20240229)
@@ -152,25 +154,53 @@ def _names(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.add.reduceat(mix(sets), first).view(np.int64), np.add.reduceat(mix(sets * np.uint64(3) + np.uint64(1)), first).view(np.int64)
 
 
-def _likely(sets: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest shingles of each set, of which two sets at the threshold share one, and their owners."""
-    size = np.diff(at)
-    most = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-    place = np.arange(len(sets)) - np.repeat(at[:-1], size)
-    keep = place < np.repeat(most, size)
-    return sets[keep], np.repeat(np.arange(len(size)), size)[keep]
-
-
 def expected(j: np.ndarray, depth: int) -> np.ndarray:
     """The chance that sets of similarity ``j`` share a prefix of ``depth`` levels in some trie."""
     return 1 - (1 - j**depth) ** TREES
 
 
+def _partners(reps: DataFrame, own: np.ndarray, names: np.ndarray, least: float) -> list[tuple[int, int, int, int]]:
+    """For each audited class (row of signatures ``own``, of ``names``) up to AUDIT_PARTNERS others of alike signatures: audited class, h1, h2, rep."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Those of smallest hash for each audited class so far: own, h1, h2, rep, hash.
+        kept = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, _ = binaries(pa.chunked_array([batch.column(3)]), "u1")
+            sig = sig.reshape(batch.num_rows, -1)
+            h1, h2, rep = (batch.column(k).to_numpy() for k in range(3))
+            for i in range(0, len(sig), 128):
+                same = np.zeros((len(sig[i : i + 128]), len(own)), np.uint8)
+                # Signatures have at most 255 places, so counts fit a byte.
+                for k in range(own.shape[1]):
+                    same += sig[i : i + 128, k, None] == own[None, :, k]
+                x, y = np.nonzero(same >= least * own.shape[1])
+                x += i
+                other = (h1[x] != names[y, 0]) | (h2[x] != names[y, 1])
+                x, y = x[other], y[other]
+                if not len(x):
+                    continue
+                hashed = mix(h1[x].view(np.uint64) ^ mix(y.astype(np.uint64)))
+                kept = [np.concatenate(p) for p in zip(kept, (y, h1[x], h2[x], rep[x], hashed), strict=True)]
+                by = np.lexsort((kept[4], kept[0]))
+                by = by[np.arange(len(by)) - np.searchsorted(kept[0][by], kept[0][by]) < AUDIT_PARTNERS]
+                kept = [p[by] for p in kept]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, kept[:4]), pa.array(kept[4].view(np.int64))], names=["own", "h1", "h2", "rep", "hash"])
+
+    # Each task gives a bounded number of rows for each of a bounded number of classes.
+    pairs = reps.filter("rep IS NOT NULL").select("h1", "h2", "rep", "signature").mapInArrow(near, "own long, h1 long, h2 long, rep long, hash long")
+    few = pairs.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy("hash", "h1", "h2"))).filter(F.col("place") <= AUDIT_PARTNERS)
+    return [tuple(r) for r in few.select("own", "h1", "h2", "rep").collect()]
+
+
 def _audited(docs: DataFrame, reps: DataFrame, threshold: float, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per audited class with links: the share of links that meet at each level, and the share expected of their similarities.
 
-    The classes' shingle sets, bounded together by AUDIT_SHINGLES, are compared exactly
-    with every text, whose smallest shingles lead to the few that can link.
+    Audited classes are compared with every class's signature; texts of a bounded number of
+    those that may link (by 7.5 deviations) are read again and compared exactly, on whole
+    shingle sets.
     """
     path = F.explode(F.slice("tries", 1, AUDIT_TREES))
     short = reps.select("node", path.alias("key")).withColumn("key", F.shiftright("key", LEVEL * (DEEPEST - AUDIT_DEPTH)))
@@ -179,7 +209,7 @@ def _audited(docs: DataFrame, reps: DataFrame, threshold: float, width: int) ->
     met = short.groupBy("key").agg(F.min_by("node", order).alias("node"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = met.select("node").distinct().orderBy(order).limit(AUDIT_LIKELY)
     other = reps.select("node").orderBy(order).limit(AUDIT_ANY)
-    chosen = reps.join(F.broadcast(met.unionByName(other).distinct()), "node").filter("rep IS NOT NULL").select("rep", "h1", "h2", "n")
+    chosen = reps.join(F.broadcast(met.unionByName(other).distinct()), "node").filter("rep IS NOT NULL").select("rep", "h1", "h2", "n", "signature")
     # Only what is kept counts towards the bound: a class too large for it leaves the others' audit whole.
     rows, total = [], 0
     for r in sorted(chosen.collect(), key=lambda r: (r["n"] > AUDIT_SHINGLES // 8, r["rep"], r["h1"], r["h2"])):
@@ -188,66 +218,53 @@ def _audited(docs: DataFrame, reps: DataFrame, threshold: float, width: int) ->
             rows.append(r)
     if not rows:
         return []
-    wanted = docs.sparkSession.createDataFrame([(r["rep"], r["h1"], r["h2"]) for r in rows], "doc_id long, h1 long, h2 long")
-    texts = docs.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id")
-    held = {(r["h1"], r["h2"]): r["shingles"] for r in _sets(texts, width).join(F.broadcast(wanted.select("h1", "h2")), ["h1", "h2"]).dropDuplicates(["h1", "h2"]).collect()}
-    own = [np.frombuffer(b, "<u8") for _, b in sorted(held.items())]
-    names = np.array(sorted(held), np.int64).reshape(-1, 2)
-    if not own:
+    names = np.array([(r["h1"], r["h2"]) for r in rows], np.int64)
+    pairs = _partners(reps, np.stack([np.frombuffer(r["signature"], np.uint8) for r in rows]), names, threshold - AUDIT_SLACK)
+    if not pairs:
         return []
-    own_sets, own_at = np.concatenate(own), np.append(0, np.cumsum([len(x) for x in own]))
-    own_paths = tries(signatures(own_sets, own_at))
-    small, holder = _likely(own_sets, own_at, threshold)
-    by = np.argsort(small, kind="stable")
-    small, holder = small[by], holder[by]
-
-    own_size = np.diff(own_at)
-
-    def links(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Audited classes, similarities and common levels of the links that some texts have with them."""
-        sets, at = shingle_sets(data, offsets, width)
-        size = np.diff(at)
-        least, owner = _likely(sets, at, threshold)
-        lo, hi = np.searchsorted(small, least), np.searchsorted(small, least, "right")
-        hit = np.flatnonzero(hi > lo)
-        times = hi[hit] - lo[hit]
-        place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        pairs = np.unique(np.stack([np.repeat(owner[hit], times), holder[np.repeat(lo[hit], times) + place]], 1), axis=0)
-        a, b = size[pairs[:, 0]], own_size[pairs[:, 1]]
-        pairs = pairs[np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-6]
-        met = np.unique(pairs[:, 0])
-        for i in range(0, len(met), 128):
-            a = met[i : i + 128]
-            b = np.unique(pairs[np.isin(pairs[:, 0], a), 1])
-            part = np.concatenate([sets[at[k] : at[k + 1]] for k in a] + [own[k] for k in b])
-            sizes = np.r_[size[a], own_size[b]]
-            ends = np.append(0, np.cumsum(sizes))
-            both = _overlaps(part, ends, np.arange(len(a)), len(a) + np.arange(len(b)))
-            j = both / (sizes[: len(a), None] + sizes[None, len(a) :] - both)
-            h1, h2 = _names(part[: ends[len(a)]], ends[: len(a)])
-            same = (h1[:, None] == names[b, 0]) & (h2[:, None] == names[b, 1])
-            x, y = np.nonzero((j >= threshold - 1e-6) & ~same)
-            if len(x):
-                rows_, x_ = np.unique(x, return_inverse=True)
-                picked = np.concatenate([part[ends[k] : ends[k + 1]] for k in rows_])
-                paths = tries(signatures(picked, np.append(0, np.cumsum(sizes[rows_]))))
-                yield b[y], j[x, y], common_levels(paths[x_], own_paths[b[y]])
+    # At most AUDIT_PARTNERS + 1 for each audited class.
+    ids = sorted({r["rep"] for r in rows} | {rep for *_, rep in pairs})
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    sets = staged(_sets(docs.join(F.broadcast(wanted), "doc_id"), width).dropDuplicates(["h1", "h2"]), "audit")
+    mine = docs.sparkSession.createDataFrame([tuple(map(int, n)) for n in names], "h1 long, h2 long")
+    held = {(r["h1"], r["h2"]): np.frombuffer(r["shingles"], "<u8") for r in sets.join(F.broadcast(mine), ["h1", "h2"]).collect()}
+    own = [held.get((r["h1"], r["h2"]), np.zeros(0, np.uint64)) for r in rows]
+    sizes = np.array([len(x) for x in own])
+    paths = np.zeros((len(own), TREES), np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        paths[some] = tries(signatures(np.concatenate([own[k] for k in some]), np.append(0, np.cumsum(sizes[some]))))
+    asked: dict[tuple[int, int], list[int]] = {}
+    for k, h1, h2, _ in pairs:
+        if sizes[k]:
+            asked.setdefault((h1, h2), []).append(k)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, found, chance = (np.zeros((len(own), DEEPEST)) for _ in range(3))
-        for _, data, offsets in (p for b in lean(batches) for p in parts(b, 1, STEP)):
-            for to, similarity, level in links(data, offsets):
-                for d in range(DEEPEST):
-                    n[:, d] += np.bincount(to, minlength=len(own))
-                    found[:, d] += np.bincount(to, level > d, len(own))
-                    chance[:, d] += np.bincount(to, expected(similarity, d + 1), len(own))
+        for batch in lean(batches):
+            for h1, h2, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                set_, path = np.frombuffer(blob.as_buffer(), "<u8"), None
+                for k in asked.get((h1, h2), ()):
+                    at = np.minimum(np.searchsorted(own[k], set_), sizes[k] - 1)
+                    both = int((own[k][at] == set_).sum())
+                    similarity = both / (sizes[k] + len(set_) - both)
+                    if similarity < threshold - 1e-6:
+                        continue
+                    if path is None:
+                        path = tries(signatures(set_, np.array([0, len(set_)])))
+                    level = int(common_levels(path, paths[k : k + 1])[0])
+                    for d in range(DEEPEST):
+                        n[k, d] += 1
+                        found[k, d] += level > d
+                        chance[k, d] += expected(np.array(similarity), d + 1)
         some = np.flatnonzero(n[:, 0])
         lists = [pa.array([r.tolist() for r in m[some]], pa.list_(pa.float64())) for m in (found, chance)]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some, 0]), *lists], names=["own", "n", "found", "chance"])
 
-    seen = docs.mapInArrow(compare, "own long, n double, found array<double>, chance array<double>")
+    seen = sets.select("h1", "h2", "shingles").mapInArrow(compare, "own long, n double, found array<double>, chance array<double>")
     sums = [F.array(*[F.sum(F.col(c)[d]) for d in range(DEEPEST)]).alias(c) for c in ("found", "chance")]
     told = seen.groupBy("own").agg(F.sum("n").alias("n"), *sums).collect()
+    discard(sets)
     return [(np.array(r["found"]) / r["n"], np.array(r["chance"]) / r["n"]) for r in told]
 
 

@@ -135,7 +135,7 @@ def test_audit_compares_exactly(spark, monkeypatch):
     docs = variants(11, 40)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     signed = staged(jaccard._signed(frame, 5), "signed")
-    reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tries").alias("tries"))
+    reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("tries").alias("tries"))
     reps = staged(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
     told = jaccard._audited(frame, reps, 0.8, 5)
     links = [w for w in classes(docs) if w[2]]
