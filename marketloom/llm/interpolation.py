@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.groups import borders, runs
 from marketloom.llm.storage import staged
-from marketloom.llm.textops import LOWER, Hasher, flat, mix, split, words
+from marketloom.llm.textops import LOWER, Hasher, flat, lean, mix, split, words
 
 CHUNK = 2_000_000
 #: Tokens for each range of the hash space.
@@ -117,7 +117,7 @@ def chunks(docs: DataFrame, most: int = CHUNK) -> DataFrame:
         ids: list = []
         lengths: list = []
         parts: list[np.ndarray] = []
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = flat(batch.column(1))
             opens = True
             for part, at, i, j, ends in split(data, offsets, STEP):
@@ -193,18 +193,21 @@ def _totals(requests: DataFrame, ranges: int, deleted_too: bool, histogram: bool
     """Adds up each range over all chunks and answers each chunk; one more row per range has its totals (chunk -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["range"]):
+        for t in runs(lean(batches), ["range"]):
             at = borders(t, ["range"])
             for k in range(len(at) - 1):
                 rows = t.slice(at[k], at[k + 1] - at[k]).to_pylist()
                 hashes = [unpack_sorted(r["hashes"]) for r in rows]
                 own = [unpack(r["counts"], "<u4").astype(np.int64) for r in rows]
                 gone = [unpack(r["deleted"], "<u4").astype(np.int64) for r in rows]
+                ends = np.cumsum([0, *map(len, hashes)])
                 unique, to = np.unique(np.concatenate(hashes), return_inverse=True)
                 n = len(unique)
+                del hashes, unique
                 # Counts are far below 2**53, so the sums are exact.
                 count = np.bincount(to, np.concatenate(own), n).astype(np.int64)
                 deleted = np.bincount(to, np.concatenate(gone), n).astype(np.int64)
+                del own
                 grids: tuple[np.ndarray, ...] = (np.zeros(0, np.int64),) * 4
                 if histogram:
                     some = [g > 0 for g in gone]
@@ -215,7 +218,6 @@ def _totals(requests: DataFrame, ranges: int, deleted_too: bool, histogram: bool
                     key, place = np.unique(key, return_inverse=True)
                     held = np.bincount(place, np.concatenate(gone)[np.concatenate(some)], len(key)).astype(np.int64)
                     grids = (key >> 16, (key >> 8) & 255, key & 255, held)
-                ends = np.cumsum([0, *map(len, hashes)])
                 answers = [
                     (r["chunk"], r["range"], pack(count[to[a:b]].astype("<u8")), pack(deleted[to[a:b]].astype("<u8")) if deleted_too else b"", 0, 0, [], [], [], [])
                     for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)
@@ -239,7 +241,7 @@ def _with_answers(stored: DataFrame, number: int, *answers: DataFrame) -> DataFr
 
 
 def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk, list[list[dict]]]]:
-    for t in runs(batches, ["chunk"]):
+    for t in runs(lean(batches), ["chunk"]):
         at = borders(t, ["chunk"])
         for k in range(len(at) - 1):
             rows = t.slice(at[k], at[k + 1] - at[k]).to_pylist()
