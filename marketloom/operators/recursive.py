@@ -331,6 +331,59 @@ def adaptive(df: DataFrame, key: str, order: str) -> DataFrame:
     return per_bar(df, key, order, ["high", "low", "close", "volume"], fn, "mcginley14 double, fisher9 double, nvi double, pvi double")
 
 
+def trailing(df: DataFrame, key: str, order: str, start: float = 0.02, most: float = 0.2) -> DataFrame:
+    """A stop that trails the extreme (psar), means that adapt or are smoothed six times (vidya14, t3), and oscillators of volume force and of the relative strength."""
+
+    def stop(x: dict[str, np.ndarray]) -> np.ndarray:
+        high, low, close = x["high"], x["low"], x["close"]
+        out = np.full_like(close, np.nan)
+        if len(close) < 2:
+            return out
+        # Seen from the side of the position, prices are negated for a short one: best is where the extreme moves, worst where the stop waits.
+        side = np.where(close[1] >= close[0], 1.0, -1.0)
+        view = lambda t: (np.where(side > 0, high[t], -low[t]), np.where(side > 0, low[t], -high[t]))
+        extreme, at = view(0)
+        pace = np.full(close.shape[1], start)
+        for t in range(1, len(close)):
+            out[t] = at * side
+            best, worst = view(t)
+            hit, further = worst < at, best > extreme
+            faster = np.where(further, np.minimum(most, pace + start), pace)
+            ahead = np.maximum(extreme, best)
+            moved = at + faster * (ahead - at)
+            if t >= 2:
+                moved = np.minimum(moved, np.minimum(view(t - 1)[1], view(t - 2)[1]))
+            at, extreme, pace, side = np.where(hit, -extreme, moved), np.where(hit, -worst, ahead), np.where(hit, start, faster), np.where(hit, -side, side)
+        return np.where(np.isnan(close), np.nan, out)
+
+    def fn(x: dict[str, np.ndarray], _: np.ndarray) -> dict[str, np.ndarray]:
+        c, typical = x["close"], (x["high"] + x["low"] + x["close"]) / 3
+        step = c - before(c)
+        way = rolled(np.abs(step), 14, np.sum)
+        share = np.where(way > 0, np.abs(c - before(c, 14)) / way, 0.0) * 2 / 15
+        adapted = np.full_like(c, np.nan)
+        for t in range(14, len(c)):
+            adapted[t] = c[t] if t == 14 else adapted[t - 1] + share[t] * (c[t] - adapted[t - 1])
+        e = [ema(c, 8)]
+        for _ in range(5):
+            e.append(ema(e[-1], 8))
+        v = 0.7
+        t3 = -(v**3) * e[5] + 3 * v * v * (1 + v) * e[4] - 3 * v * (1 + v) ** 2 * e[3] + (1 + v) ** 3 * e[2]
+        trend = np.where(typical > before(typical), 1.0, -1.0)
+        trend[0] = 1.0
+        force = x["volume"] * trend * np.where(trend == before(trend), 1.4, 0.8) * np.maximum(1e-4, x["high"] - x["low"]) / np.maximum(1, c) * 100
+        force[0] = np.nan
+        klinger = ema(force, 34) - ema(force, 55)
+        gain, loss = rma(np.maximum(step, 0), 14), rma(np.maximum(-step, 0), 14)
+        rsi = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
+        top, bottom = rolled(rsi, 14, np.max), rolled(rsi, 14, np.min)
+        raw = np.where(np.isnan(top), np.nan, np.where(top > bottom, (rsi - bottom) / (top - bottom) * 100, 50.0))
+        k = rolled(raw, 3, np.mean)
+        return {"psar": stop(x), "vidya14": adapted, "t3": t3, "klinger": klinger, "klinger_signal": ema(klinger, 13), "stoch_rsi_k": k, "stoch_rsi_d": rolled(k, 3, np.mean)}
+
+    return per_bar(df, key, order, ["high", "low", "close", "volume"], fn, ", ".join(f"{n} double" for n in ("psar", "vidya14", "t3", "klinger", "klinger_signal", "stoch_rsi_k", "stoch_rsi_d")))
+
+
 def line_break(df: DataFrame, key: str, order: str, n: int = 3) -> DataFrame:
     """Lines of closes: one goes on in its direction, or turns beyond the last ``n`` lines."""
 

@@ -239,6 +239,35 @@ def chart_adaptive(spark: SparkSession, d: str) -> DataFrame:
     return s.select("symbol", "date", F.when(F.abs("mcginley14") < 1e12, F.round("mcginley14", 4)).alias("mcginley14"), r6("fisher9").alias("fisher9"), F.round("nvi", 4).alias("nvi"), F.round("pvi", 4).alias("pvi"))
 
 
+_T3 = 0.7
+_TRAILS = f"""n AS (SELECT symbol, date, high, low, close, volume, (high + low + close) / 3 AS typical, close - {lag('close')} AS step, row_number() OVER ({SERIES}) AS k, {lag('low')} AS l1, {lag('low', 2)} AS l2, {lag('high')} AS h1, {lag('high', 2)} AS h2,
+  abs(close - {lag('close', 14)}) AS far, lead(close) OVER ({SERIES}) AS next FROM bars),
+ps AS (SELECT symbol, 2::BIGINT AS k, CASE WHEN next >= close THEN 1 ELSE -1 END AS side, 0.02::DOUBLE AS pace, CASE WHEN next >= close THEN high ELSE -low END AS extreme, CASE WHEN next >= close THEN low ELSE -high END AS stop FROM n WHERE k = 1 AND next IS NOT NULL
+UNION ALL SELECT symbol, k + 1, CASE WHEN hit THEN -side ELSE side END, CASE WHEN hit THEN 0.02 ELSE faster END, CASE WHEN hit THEN -worst ELSE ahead END, CASE WHEN hit THEN -extreme ELSE least(stop + faster * (ahead - stop), w1, w2) END
+  FROM (SELECT *, worst < stop AS hit, greatest(extreme, best) AS ahead, CASE WHEN best > extreme THEN least(0.2, pace + 0.02) ELSE pace END AS faster
+    FROM (SELECT ps.*, CASE WHEN side > 0 THEN high ELSE -low END AS best, CASE WHEN side > 0 THEN low ELSE -high END AS worst, CASE WHEN ps.k >= 3 THEN CASE WHEN side > 0 THEN l1 ELSE -h1 END END AS w1, CASE WHEN ps.k >= 3 THEN CASE WHEN side > 0 THEN l2 ELSE -h2 END END AS w2 FROM ps JOIN n ON n.symbol = ps.symbol AND n.k = ps.k))),
+sh AS (SELECT *, coalesce(far / nullif(sum(abs(step)) OVER {last(14)}, 0), 0) * 2 / 15 AS share FROM n),
+vi AS (SELECT symbol, k, close AS x FROM sh WHERE k = 15 UNION ALL SELECT sh.symbol, sh.k, vi.x + sh.share * (sh.close - vi.x) FROM vi JOIN sh ON sh.symbol = vi.symbol AND sh.k = vi.k + 1),
+tr AS (SELECT *, CASE WHEN k = 1 OR typical > {lag('typical')} THEN 1 ELSE -1 END AS trend FROM n),
+fo AS (SELECT symbol, date, CASE WHEN k > 1 THEN volume * trend * CASE WHEN trend = {lag('trend')} THEN 1.4 ELSE 0.8 END * greatest(0.0001, high - low) / greatest(1, close) * 100 END AS force FROM tr),
+{sql_ema("k34", "force", 34, "fo")}, {sql_ema("k55", "force", 55, "fo")}, kl AS (SELECT symbol, date, k34.x - k55.x AS x FROM k34 JOIN k55 USING (symbol, date)), {sql_ema("ks", "x", 13, "kl")},
+{", ".join(sql_ema(f"t{i}", "close" if i == 1 else "x", 8, "bars" if i == 1 else f"t{i - 1}") for i in range(1, 7))},
+g0 AS (SELECT symbol, date, greatest(step, 0) AS up, greatest(-step, 0) AS down FROM n WHERE k > 1), {sql_seeded("gu", "up", 14, "1.0 / 14", "g0")}, {sql_seeded("gd", "down", 14, "1.0 / 14", "g0")},
+rs AS (SELECT symbol, date, CASE WHEN gd.x = 0 THEN 100 ELSE 100 - 100 / (1 + gu.x / nullif(gd.x, 0)) END AS rsi FROM gu JOIN gd USING (symbol, date)),
+hl AS (SELECT *, {roll('max', 'rsi', 14)} AS top, {roll('min', 'rsi', 14)} AS bottom FROM rs), rw AS (SELECT *, CASE WHEN top > bottom THEN (rsi - bottom) / nullif(top - bottom, 0) * 100 WHEN top = bottom THEN 50.0 END AS raw FROM hl),
+kk AS (SELECT *, {roll('avg', 'raw', 3)} AS fast FROM rw), sr AS (SELECT *, {roll('avg', 'fast', 3)} AS slow FROM kk)"""
+
+
+@query("chart_trailing", f"""WITH RECURSIVE {SQL_BARS}, {_TRAILS}
+SELECT n.symbol, n.date, round(ps.stop * ps.side, 5) AS psar, round(vi.x, 5) AS vidya14, round(-({_T3**3!r}) * t6.x + {3 * _T3**2 * (1 + _T3)!r} * t5.x - {3 * _T3 * (1 + _T3) ** 2!r} * t4.x + {(1 + _T3) ** 3!r} * t3.x, 4) AS t3, round(kl.x, 3) AS klinger, round(ks.x, 3) AS klinger_signal, round(sr.fast, 4) AS stoch_rsi_k, round(sr.slow, 4) AS stoch_rsi_d
+FROM n LEFT JOIN ps ON ps.symbol = n.symbol AND ps.k = n.k LEFT JOIN vi ON vi.symbol = n.symbol AND vi.k = n.k {" ".join(f"LEFT JOIN {t} ON {t}.symbol = n.symbol AND {t}.date = n.date" for t in ("t3", "t4", "t5", "t6", "kl", "ks", "sr"))}""", dates=("date",))
+def chart_trailing(spark: SparkSession, d: str) -> DataFrame:
+    """A trailing stop, adaptive and smoothed means, and the oscillators of volume force and relative strength."""
+    s = recursive.trailing(bars(spark, d), "symbol", "date")
+    digits = {"klinger": 3, "klinger_signal": 3, "psar": 5, "vidya14": 5}
+    return s.select("symbol", "date", *[F.round(n, digits.get(n, 4)).alias(n) for n in ("psar", "vidya14", "t3", "klinger", "klinger_signal", "stoch_rsi_k", "stoch_rsi_d")])
+
+
 def rank_correlation(x: str, n: int) -> str:
     """100 times the rank correlation of the last ``n`` values with their order; equal values share the mean of their ranks."""
     values = [lag(x, k) if k else x for k in range(n)]
