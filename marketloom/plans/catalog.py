@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
 
 
 def _register() -> None:
-    from marketloom.plans import candles, charts, documents, entities, factors, indicators, panel, ranker, regimes, relational, relations, reports, research, risk, rules, shapes, spaces, surface, trading  # noqa: F401
+    from marketloom.plans import candles, charts, documents, entities, factors, forensics, indicators, panel, ranker, regimes, relational, relations, reports, research, risk, rules, shapes, spaces, surface, trading  # noqa: F401
 
 
 _register()
