@@ -5,8 +5,6 @@ Edges are rows ``grp, u, v`` (longs). A group is a graph of its own, such as a w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,32 +60,18 @@ def components_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return nodes, nodes[np.array(comp, np.int64)] if n else nodes
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The edges of one group after the other, from batches that are sorted by group."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-        cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
-        for part in np.split(rows, cuts):
-            if held and held[-1][0, 0] != part[0, 0]:
-                whole = np.concatenate(held)
-                yield int(whole[0, 0]), whole[:, 1], whole[:, 2]
-                held = []
-            held.append(part)
-    if held:
-        whole = np.concatenate(held)
-        yield int(whole[0, 0]), whole[:, 1], whole[:, 2]
+def _in_tasks(edges: DataFrame) -> DataFrame:
+    """The nodes of each group and their strong components, a group a call.
 
+    Grouping is what guarantees that a group arrives whole: a repartition before a map over
+    batches may be left out where rows already lie by group, and these be dealt anew at run time.
+    """
 
-def _in_tasks(edges: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grp, u, v in _groups(batches):
-            node, component = components_of(u, v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), grp)), pa.array(node), pa.array(component)], names=["grp", "node", "component"])
+    def run(group: pa.Table) -> pa.Table:
+        node, component = components_of(group["u"].to_numpy(), group["v"].to_numpy())
+        return pa.table({"grp": pa.array(np.full(len(node), group["grp"][0].as_py(), np.int64)), "node": node, "component": component})
 
-    return edges.select("grp", "u", "v").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, COMPONENTS)
+    return edges.select("grp", "u", "v").groupBy("grp").applyInArrow(run, COMPONENTS)
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
@@ -157,14 +141,13 @@ def strong_components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     Groups of at most ``local`` edges are each done in a task; larger ones by joins over
     all of the cluster. Null ends and loops count for nothing, repeated edges once.
     """
-    edges = written(edges.select("grp", "u", "v").filter("u <> v").distinct())
-    sized = edges.groupBy("grp").count()
-    large = edges.join(sized.filter(F.col("count") > local), "grp", "left_semi").select("grp", "u", "v")
-    small = edges.join(sized.filter(F.col("count") <= local), "grp", "left_semi")
-    alone = _in_tasks(small)
+    edges = written(edges.select("grp", "u", "v").filter("u <> v AND grp IS NOT NULL").distinct())
+    sized = written(edges.groupBy("grp").count().filter(F.col("count") > local).select("grp"))
+    large = edges.join(sized, "grp", "left_semi").select("grp", "u", "v")
+    alone = _in_tasks(edges.join(sized, "grp", "left_anti"))
     together = alone.groupBy("grp", "component").count().filter("count > 1").drop("count")
     alone = alone.join(together, ["grp", "component"], "left_semi").select("grp", "node", "component")
-    return alone if large.isEmpty() else alone.unionByName(_spread(large))
+    return alone if sized.isEmpty() else alone.unionByName(_spread(large))
 
 
 def cycles(edges: DataFrame, longest: int, shortest: int = 3, local: int = LOCAL) -> DataFrame:

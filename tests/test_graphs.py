@@ -84,3 +84,18 @@ def test_deep_chains_need_no_recursion():
     n = 50_000
     nodes, component = graphs.components_of(np.arange(n), np.r_[np.arange(1, n), n // 2])
     assert (component[: n // 2] == nodes[: n // 2]).all() and (component[n // 2 :] == n // 2).all()
+
+
+def test_groups_stay_whole_when_joins_change_at_run_time(spark):
+    """Joins planned as sorted ones and run as broadcasts, as on large tables, must not part a group's edges."""
+    told = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for n, v in told.items():
+            spark.conf.set(n, v)
+        ids = spark.range(0, 20_000, 1, 8)
+        rings = ids.selectExpr("id % 40 AS grp", "id div 40 AS u", "(id div 40 + 1) % 500 AS v")
+        got = graphs.strong_components(rings).selectExpr("count(*)", "count(DISTINCT grp, node)", "max(component)").first()
+        assert tuple(got) == (20_000, 20_000, 0)
+    finally:
+        for n in told:
+            spark.conf.unset(n)
