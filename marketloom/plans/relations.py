@@ -104,27 +104,57 @@ def owns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reach(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """owner, owned and the least and largest number of steps between them, up to ``deepest``; pairs, not paths, so it stays as small as its result."""
-    e = edges.select(F.col("owner").alias("via"), F.col("owned").alias("next"))
-    front = edges.select("owner", "owned").distinct()
+    """owned, word, bits and steps: what each step of a walk down from the owners reaches for the first time, up to ``deepest``.
+
+    The owners of an entity are bits, 64 of them a word (owner = 64 word + bit), so a step
+    joins and adds up words instead of pairs, and passes on only what is new. Each step is
+    written, so no more than one step's shuffle is needed at a time.
+    """
+    e = written(edges.select(F.col("owner").alias("via"), F.col("owned").alias("next")).distinct())
+    bit = F.expr("shiftleft(1L, CAST(pmod(via, 64) AS INT))")
+    none = F.lit(0).cast("long")
+    front = written(e.groupBy(F.col("next").alias("owned"), F.floor(F.col("via") / 64).cast("long").alias("word")).agg(F.bit_or(bit).alias("bits")))
     found = front.withColumn("steps", F.lit(1))
     for k in range(2, deepest + 1):
-        front = front.join(e, F.col("owned") == F.col("via")).select("owner", F.col("next").alias("owned")).distinct()
+        sent = front.join(e, F.col("owned") == F.col("via")).select(F.col("next").alias("owned"), "word", "bits", none.alias("had"))
+        met = sent.unionByName(found.select("owned", "word", none.alias("bits"), F.col("bits").alias("had"))).groupBy("owned", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("had").alias("had"))
+        front = written(met.select("owned", "word", F.col("bits").bitwiseAND(F.bitwise_not("had")).alias("bits")).filter("bits <> 0"))
+        if front.isEmpty():
+            break
         found = found.unionByName(front.withColumn("steps", F.lit(k)))
-    return found.groupBy("owner", "owned").agg(F.min("steps").alias("steps"), F.max("steps").alias("longest"))
+    return found
+
+
+def pairs(found: DataFrame) -> DataFrame:
+    """owner, owned and the least number of steps between them."""
+    bits = F.expr("filter(sequence(0, 63), b -> (shiftright(bits, b) & 1) = 1)")
+    return found.select("owned", "word", "steps", F.explode(bits).alias("b")).select((F.col("word") * 64 + F.col("b")).alias("owner"), "owned", "steps")
+
+
+def depths(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+    """owner and the length of the longest walk down from it, up to ``deepest``; a row an owner and step, no pairs."""
+    above = edges.select("owner", "owned").distinct()
+    alive = written(above.select("owner").distinct())
+    found = alive.withColumn("depth", F.lit(1))
+    for k in range(2, deepest + 1):
+        alive = written(above.join(alive.withColumnRenamed("owner", "owned"), "owned", "left_semi").select("owner").distinct())
+        if alive.isEmpty():
+            break
+        found = found.unionByName(alive.withColumn("depth", F.lit(k)))
+    return found.groupBy("owner").agg(F.max("depth").alias("depth"))
 
 
 @query("transitive_ownership", f"WITH RECURSIVE {SQL_RELATIONS}, {SQL_OWNS}, {_REACH} SELECT owner, owned, CAST(min(steps) AS INT) AS steps FROM r WHERE owner <> owned GROUP BY ALL")
 def transitive_ownership(spark: SparkSession, d: str) -> DataFrame:
     """What each owner controls, directly or through others, over at most eight steps."""
-    return reach(owns(spark, d)).filter("owner <> owned").select("owner", "owned", "steps")
+    return pairs(reach(owns(spark, d))).filter("owner <> owned").select("owner", "owned", "steps")
 
 
 @query("ownership_depth", f"WITH RECURSIVE {SQL_RELATIONS}, {SQL_OWNS}, {_REACH} SELECT owner, count(DISTINCT owned) FILTER (owned <> owner) AS controlled, CAST(max(steps) AS INT) AS depth, bool_or(owner = owned) AS circular FROM r GROUP BY owner")
 def ownership_depth(spark: SparkSession, d: str) -> DataFrame:
     """How many an owner controls, the longest chain below it, up to eight, and whether a chain comes back to it."""
-    own = F.col("owner") == F.col("owned")
-    return reach(owns(spark, d)).groupBy("owner").agg(F.count_if(~own).alias("controlled"), F.max("longest").alias("depth"), F.bool_or(own).alias("circular"))
+    o, own = owns(spark, d), F.col("owner") == F.col("owned")
+    return pairs(reach(o)).groupBy("owner").agg(F.count_if(~own).alias("controlled"), F.bool_or(own).alias("circular")).join(depths(o), "owner").select("owner", "controlled", "depth", "circular")
 
 
 @query(

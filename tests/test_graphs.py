@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pytest
 
@@ -99,3 +101,25 @@ def test_groups_stay_whole_when_joins_change_at_run_time(spark):
     finally:
         for n in told:
             spark.conf.unset(n)
+
+
+def test_reach_and_depths_equal_walks_with_few_rows_for_many_owners(spark):
+    from marketloom.plans import catalog
+
+    relations = sys.modules[catalog.QUERIES["ownership_depth"].__module__.replace("catalog", "relations")]
+
+    rng = np.random.default_rng(3)
+    edges = {(int(a), int(b)) for a, b in rng.integers(-40, 300, (420, 2))} | {(k, k + 1) for k in range(1000, 1012)} | {(5, 5)}
+    frame = spark.createDataFrame(sorted(edges), "owner long, owned long")
+    front, first, longest = set(edges), {}, {}
+    for k in range(1, 9):
+        for a, b in front:
+            first.setdefault((a, b), k)
+            longest[a] = k
+        front = {(a, d) for a, b in front for c, d in edges if b == c}
+    found = relations.reach(frame)
+    got = relations.pairs(found).collect()
+    assert {tuple(r) for r in got} == {(a, b, k) for (a, b), k in first.items()} and len(got) == len(first)
+    assert {tuple(r) for r in relations.depths(frame).collect()} == set(longest.items())
+    # Owners of one entity lie in words, so there are far fewer rows than pairs.
+    assert found.count() * 3 < len(first)
