@@ -113,7 +113,7 @@ def reach(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     e = written(edges.select(F.col("owner").alias("via"), F.col("owned").alias("next")).distinct())
     bit = F.expr("shiftleft(1L, CAST(pmod(via, 64) AS INT))")
     none = F.lit(0).cast("long")
-    front = written(e.groupBy(F.col("next").alias("owned"), F.floor(F.col("via") / 64).cast("long").alias("word")).agg(F.bit_or(bit).alias("bits")))
+    front = written(e.groupBy(F.col("next").alias("owned"), F.shiftright("via", 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
     found = front.withColumn("steps", F.lit(1))
     for k in range(2, deepest + 1):
         sent = front.join(e, F.col("owned") == F.col("via")).select(F.col("next").alias("owned"), "word", "bits", none.alias("had"))
