@@ -14,6 +14,8 @@ from marketloom.operators.steps import written
 
 #: Edges of a group up to which one task finds its components; larger groups are spread.
 LOCAL = 200_000
+#: About as many of the longest paths are met in a task.
+MEETING = 1_000_000
 COMPONENTS = "grp long, node long, component long"
 
 
@@ -74,15 +76,20 @@ def _in_tasks(edges: DataFrame) -> DataFrame:
     return edges.select("grp", "u", "v").groupBy("grp").applyInArrow(run, COMPONENTS)
 
 
+def _trimmed_once(edges: DataFrame) -> DataFrame:
+    """Edges whose start some edge enters and whose end some edge leaves."""
+    heads, tails = edges.select("grp", F.col("v").alias("u")).distinct(), edges.select("grp", F.col("u").alias("v")).distinct()
+    return edges.join(heads, ["grp", "u"], "left_semi").join(tails, ["grp", "v"], "left_semi").select("grp", "u", "v")
+
+
 def trimmed(edges: DataFrame) -> DataFrame:
     """Edges that may lie on a cycle: what no edge enters, or leaves, goes, until nothing changes; a written step."""
     edges, before = written(edges), None
     while (n := edges.count()) and n != before:
         before = n
         for _ in range(3):
-            heads, tails = edges.select("grp", F.col("v").alias("u")).distinct(), edges.select("grp", F.col("u").alias("v")).distinct()
-            edges = edges.join(heads, ["grp", "u"], "left_semi").join(tails, ["grp", "v"], "left_semi")
-        edges = written(edges.select("grp", "u", "v"))
+            edges = _trimmed_once(edges)
+        edges = written(edges)
     return edges
 
 
@@ -150,35 +157,71 @@ def strong_components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     return alone if sized.isEmpty() else alone.unionByName(_spread(large))
 
 
+def _narrowed(edges: DataFrame, local: int) -> DataFrame:
+    """Edges that may lie on a cycle, a written step: within strong components in groups of at most ``local`` edges, trimmed in larger ones.
+
+    A larger group is trimmed a fixed number of times: its components would take as many
+    steps as its longest chain has nodes, and short cycles don't need them.
+    """
+    edges = written(edges.select("grp", "u", "v").filter("u <> v AND grp IS NOT NULL").distinct())
+    sized = written(edges.groupBy("grp").count().filter(F.col("count") > local).select("grp"))
+    alone = edges.join(sized, "grp", "left_anti").select("grp", "u", "v")
+    inside = _in_tasks(alone)
+    e = alone.join(inside.withColumnsRenamed({"node": "u"}), ["grp", "u"]).join(inside.withColumnsRenamed({"node": "v"}), ["grp", "v", "component"]).select("grp", "u", "v")
+    if not sized.isEmpty():
+        e = e.unionByName(_trimmed_once(_trimmed_once(edges.join(sized, "grp", "left_semi").select("grp", "u", "v"))))
+    return written(e)
+
+
 def cycles(edges: DataFrame, longest: int, shortest: int = 3, local: int = LOCAL) -> DataFrame:
     """All simple cycles of ``shortest`` to ``longest`` nodes: grp and path (its nodes in order, the smallest first).
 
-    Only edges within a strong component are looked at. A cycle is met in its middle: a
-    path of half its edges forward from its smallest node, and one of the other half
-    backward, end at the same node and share no other. So paths have half a cycle's
-    length, and each cycle is found once. No node or edge is left out.
+    A cycle is met in its middle: a path of half its edges forward from its smallest node,
+    and one of the other half backward, end at the same node and share no other. So paths
+    have half a cycle's length, and each cycle is found once. No node or edge is left out.
+    A path's nodes are columns; the longest paths, which are most of all, go into the
+    meeting's shuffle and are never written.
     """
-    inside = strong_components(edges, local)
-    e = edges.select("grp", "u", "v").filter("u <> v").distinct()
-    e = e.join(inside.withColumnsRenamed({"node": "u"}), ["grp", "u"]).join(inside.withColumnsRenamed({"node": "v"}), ["grp", "v", "component"])
-    e = written(e.select("grp", "u", "v"))
-
-    def halves(near: str, far: str) -> list[DataFrame]:
-        """Paths of 1, 2, ... edges away from their smallest node; ``near`` and ``far`` are the ends of an edge as it is walked."""
-        ways = [e.filter(F.col(far) > F.col(near)).select("grp", F.col(near).alias("first"), F.col(far).alias("at"), F.array(F.col(far)).alias("path"))]
-        on = e.select("grp", F.col(near).alias("at"), F.col(far).alias("next"))
-        for _ in range(1, (longest + 1) // 2):
-            step = ways[-1].join(on, ["grp", "at"]).filter((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next")))
-            ways.append(written(step.select("grp", "first", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"))))
+    e = _narrowed(edges, local)
+    half = (longest + 1) // 2
+    tasks = 4 * e.sparkSession.sparkContext.defaultParallelism
+
+    def halves(near: str, far: str, most: int) -> list[DataFrame]:
+        """Paths (n1, n2, ...) of 1, 2, ... edges away from their smallest node; ``near`` and ``far`` are the ends of an edge as it is walked."""
+        ways = [e.filter(F.col(far) > F.col(near)).select("grp", F.col(near).alias("first"), F.col(far).alias("n1"))]
+        for k in range(1, most):
+            at, on = f"n{k}", f"n{k + 1}"
+            # Few edges make many paths: left to the planner, they would all be made in a task or two.
+            step = ways[-1].repartition(tasks, "grp", at).join(e.select("grp", F.col(near).alias(at), F.col(far).alias(on)), ["grp", at]).filter(F.col(on) > F.col("first"))
+            for i in range(1, k):
+                step = step.filter(F.col(on) != F.col(f"n{i}"))
+            step = step.select("grp", "first", *[f"n{i}" for i in range(1, k + 2)])
+            ways.append(written(step) if k + 1 < most else step)
         return ways
 
-    forward, backward = halves("u", "v"), halves("v", "u")
+    forward, backward = halves("u", "v", half), halves("v", "u", longest // 2)
     found = None
-    for n in range(max(shortest, 2), longest + 1):
-        there, back = forward[(n + 1) // 2 - 1], backward[n // 2 - 1].withColumnRenamed("path", "other")
-        met = there.join(back, ["grp", "first", "at"])
-        own, other = F.slice("path", 1, F.size("path") - 1), F.slice("other", 1, F.size("other") - 1)
-        met = met.filter(~F.arrays_overlap(own, other))
-        met = met.select("grp", F.concat(F.array("first"), F.col("path"), F.reverse(other)).alias("path"))
+    for k in range(1, half + 1):
+        # Those of k edges meet those as long, and those of one edge less, at one time.
+        others = None
+        for n in (2 * k - 1, 2 * k):
+            if max(shortest, 2) <= n <= longest:
+                size = n - k
+                inner = [(F.col(f"n{i}") if i < size else F.lit(None).cast("long")).alias(f"o{i}") for i in range(1, k)]
+                other = backward[size - 1].select("grp", "first", F.col(f"n{size}").alias(f"n{k}"), *inner)
+                others = other if others is None else others.unionByName(other)
+        if others is None:
+            continue
+        there = forward[k - 1]
+        if k == half > 2:
+            # As many more paths than one edge shorter as these are more than those before them.
+            met_by = max(tasks, forward[k - 2].count() ** 2 // max(1, forward[k - 3].count()) // MEETING)
+            there = there.repartition(met_by, "grp", "first", f"n{k}")
+        met = there.join(others, ["grp", "first", f"n{k}"])
+        for i in range(1, k):
+            for j in range(1, k):
+                met = met.filter(~F.col(f"n{i}").eqNullSafe(F.col(f"o{j}")))
+        path = F.array_compact(F.array("first", *[f"n{i}" for i in range(1, k + 1)], *[f"o{j}" for j in range(k - 1, 0, -1)]))
+        met = met.select("grp", path.alias("path"))
         found = met if found is None else found.unionByName(met)
     return found

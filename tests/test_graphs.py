@@ -123,3 +123,18 @@ def test_reach_and_depths_equal_walks_with_few_rows_for_many_owners(spark):
     assert {tuple(r) for r in relations.depths(frame).collect()} == set(longest.items())
     # Owners of one entity lie in words, so there are far fewer rows than pairs.
     assert found.count() * 3 < len(first)
+
+
+def test_short_cycles_of_a_large_group_need_few_steps(spark, monkeypatch):
+    """A long ring in a group that is spread: steps follow the cycles' length, not the ring's."""
+    steps, plain = [], graphs.written
+
+    def counted(df):
+        steps.append(df)
+        assert len(steps) <= 20
+        return plain(df)
+
+    monkeypatch.setattr(graphs, "written", counted)
+    rows = [(0, k, (k + 1) % 300) for k in range(300)] + [(0, 5, 2), (0, 9, 8), (0, 40, 33), (0, 60, 52), (0, 900, 901)]
+    got = {tuple(r["path"]) for r in graphs.cycles(spark.createDataFrame(rows, EDGES), 8, 2, local=0).collect()}
+    assert got == {(2, 3, 4, 5), (8, 9), tuple(range(33, 41))}
