@@ -1,8 +1,9 @@
 """Tables in report texts: lines, blocks of pipe rows, and the frames their rows fill.
 
-A report's lines are rows with their number. What holds for a line (its section, the unit
-last told, its block, the block's head, the category that is open) is carried down by
-windows over the report, which share one shuffle. A row then fills a frame from its own
+A report's lines of text, and its runs of table rows, are rows with their number. What
+holds for a run (its section, the unit last told, its block, the block's head) is carried
+down by windows over the report, which share one shuffle; queries about some tables make
+rows of these only. A row then fills a frame from its own
 cells and from what is open: a statement's item and period, a counterparty with the
 category's kind of flow, a company with its share, a person with a role. Each frame has
 the number of the line that is its evidence.
@@ -54,29 +55,40 @@ def _first(rules, of: Column, pick) -> Column:
     return out
 
 
-def table_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of all pipe tables below their heads: key, line (from 1), cells, folded cells, head (folded), title, section, unit, statement, block, context.
+def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The pipe tables of reports in runs of rows: key, block, what holds for them, head (folded), and rows (line and raw) below the head.
 
-    A row begins with a pipe, or has two pipes at least (where the first was lost). ``title``
-    is the report's first heading, ``section`` the last one, ``context`` that and the line
-    before the table. Null texts have no line; rows of one key are one report, so keys
-    should be unique.
+    A row begins with a pipe, or has two pipes at least (where the first was lost). What
+    holds for rows is told by the lines between them, so a run of rows stays one value
+    while windows carry that down, and only lines of text and runs are rows there.
+    ``title`` is the report's first heading, ``section`` the last one, ``context`` that and
+    the line before the table. Null texts have no line; rows of one key are one report, so
+    keys should be unique.
     """
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw")).select(key, (F.col("line") + 1).alias("line"), F.trim("raw").alias("raw"))
+    pipes = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
+    d = docs.select(key, F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)).alias("all")).filter("all IS NOT NULL")
+    d = d.withColumn("is_row", F.transform("all", lambda x: x.startswith("|") | (pipes(x) >= 2)))
+    # A row that looks like a heading changes what holds for those after it, within its block.
+    d = d.withColumn("breaks", F.transform("all", lambda x, i: ~F.get("is_row", i) | x.startswith("#") | (i == 0) | ~F.get("is_row", F.greatest(i - 1, F.lit(0)))))
+    places = F.filter(F.transform("breaks", lambda b, i: F.when(b, i)), lambda i: i.isNotNull())
+    d = d.withColumn("at", F.array_append(places, F.size("all")))
+    each = F.transform(F.slice("at", 1, F.size("at") - 1), lambda i, k: F.struct(
+        (i + 1).alias("line"), F.get("all", i).alias("raw"), F.get("is_row", i).alias("row"), ((i > 0) & F.get("is_row", F.greatest(i - 1, F.lit(0)))).alias("after_row"),
+        F.when(F.get("is_row", i), F.transform(F.slice("all", i + 1, F.get("at", k + 1) - i), lambda x, j: F.struct((i + j + 1).alias("line"), x.alias("raw")))).alias("rows"),
+    ))
+    lines = d.select(key, F.explode(each).alias("e")).select(key, "e.*")
     lines = lines.withColumn("folded", T.fold_letters(F.col("raw")))
-    pipes = F.length("raw") - F.length(F.replace("raw", F.lit("|"), F.lit("")))
-    row = F.col("raw").startswith("|") | (pipes >= 2)
+    row = F.col("row")
     heading = F.col("raw").startswith("#")
     told = F.col("folded").rlike("don vi|dvt|unit|currency") & F.col("folded").rlike("vnd|dong") & ~row
     w = Window.partitionBy(key).orderBy("line")
     last = lambda c: F.last(c, ignorenulls=True).over(w)
     plain = ~row & (F.col("raw") != "")
     kind = _first([(p, n) for n, p in STATEMENTS], F.col("folded"), lambda v: F.lit(v[0]))
-    starts = row & ~F.coalesce(F.lag(row).over(w), F.lit(False))
     number = F.regexp_extract("folded", r"^#{1,6}\s*(?:note\s*)?([0-9]+)", 1)
     related = heading & F.col("folded").rlike("ben lien quan|related part") & F.col("folded").rlike("nghiep vu|giao dich|so du|thuyet minh|danh sach|chi tiet|transactions|balances") & ~F.col("folded").rlike(r"^#{1,3}\s*[23]\.[0-9]+\s")
     lines = lines.withColumns({
-        "row": row, "block": F.sum(starts.cast("int")).over(w), "section": last(F.when(heading, F.col("folded"))), "title": F.first(F.when(heading, F.col("folded")), ignorenulls=True).over(w),
+        "block": F.sum((row & ~F.col("after_row")).cast("int")).over(w), "section": last(F.when(heading, F.col("folded"))), "title": F.first(F.when(heading, F.col("folded")), ignorenulls=True).over(w),
         "unit": F.coalesce(last(F.when(told, T.unit_scale(F.col("raw")))), F.lit(1.0)), "statement": last(F.when(heading, F.coalesce(kind, F.lit(""))).when(plain, kind)),
         "before": last(F.when(plain, F.col("folded"))), "heading": heading, "related": related, "number": F.when(heading & (number != ""), number),
     })
@@ -84,14 +96,27 @@ def table_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = lines.withColumn("note", last(F.when(F.col("related"), F.col("number"))))
     goes_on = F.col("folded").rlike("ben lien quan|related part|giao dich|so du") | F.coalesce(F.col("number") == F.col("note"), F.lit(False))
     lines = lines.withColumn("in_note", F.coalesce(last(F.when(F.col("related"), True).when(F.col("heading") & ~goes_on, False)), F.lit(False)))
-    table = lines.filter("row AND NOT raw RLIKE '^[|: -]*-[|: -]*$'")
-    cells = F.transform(F.split(F.regexp_replace("raw", r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    table = table.withColumn("cells", cells)
+    runs = lines.filter("row").withColumn("rows", F.filter("rows", lambda r: ~r["raw"].rlike("^[|: -]*-[|: -]*$")))
     b = Window.partitionBy(key, "block").orderBy("line")
-    table = table.withColumns({"head": F.transform(F.first("cells").over(b), T.fold_letters), "place": F.row_number().over(b)})
-    folded = F.transform("cells", T.fold_letters)
-    context = F.concat_ws(" ", "section", "before")
-    return table.filter("place > 1").select(key, "line", "block", "cells", folded.alias("folded"), "head", "title", "section", "unit", "statement", "in_note", context.alias("context"))
+    runs = runs.withColumn("first", F.first(F.get("rows", F.lit(0)), ignorenulls=True).over(b))
+    below = F.filter("rows", lambda r: r["line"] > F.col("first.line"))
+    head = F.transform(_cells(F.col("first.raw")), T.fold_letters)
+    return runs.select(key, "block", below.alias("rows"), head.alias("head"), "title", "section", "unit", "statement", "in_note", F.concat_ws(" ", "section", "before").alias("context"))
+
+
+def _cells(raw: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(raw, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+
+
+def rows_of(runs: DataFrame, key: str) -> DataFrame:
+    """A row for each one of ``blocks``: also line (from 1), cells and folded cells."""
+    each = runs.select("*", F.explode("rows").alias("r")).select("*", _cells(F.col("r.raw")).alias("cells"))
+    return each.select(key, F.col("r.line").alias("line"), "block", "cells", F.transform("cells", T.fold_letters).alias("folded"), "head", "title", "section", "unit", "statement", "in_note", "context")
+
+
+def table_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of all pipe tables below their heads: key, line (from 1), cells, folded cells, head (folded), title, section, unit, statement, block, context."""
+    return rows_of(blocks(docs, key, text), key)
 
 
 def _at(head: Column, fits) -> Column:
@@ -128,13 +153,14 @@ def related_party_frames(rows: DataFrame, key: str) -> DataFrame:
     r = rows.filter("in_note").withColumns({"label": label, "amount": F.get(amounts, F.lit(0))})
     opens = F.col("label").rlike(f"^({CATEGORIES})") & ~F.col("label").rlike(NAMES)
     w = Window.partitionBy(key, "block").orderBy("line")
-    r = r.withColumns({"opens": opens, "open": F.last(F.when(opens, F.col("label")), ignorenulls=True).over(w)})
+    # The window sorts rows, so they are narrow.
+    r = r.select(key, "block", "line", "label", "amount", "section", "unit", F.get("cells", F.lit(0)).alias("party"), F.coalesce(F.get("head", F.lit(0)).rlike("ben lien quan|ten|cong ty|party|name"), F.lit(False)).alias("explicit"), opens.alias("opens"))
+    r = r.withColumn("open", F.last(F.when(F.col("opens"), F.col("label")), ignorenulls=True).over(w))
     party = (F.col("label") != "") & ~F.col("label").rlike(r"^[0-9\s./()%:-]+$") & ~F.col("label").rlike("^(tong|cong|total):?$|^tong (cong|so)")
-    explicit = F.get("head", F.lit(0)).rlike("ben lien quan|ten|cong ty|party|name")
-    r = r.filter(~F.col("opens") & party & F.col("amount").isNotNull() & (explicit & (F.length("label") >= 3) | F.col("label").rlike(NAMES)))
+    r = r.filter(~F.col("opens") & party & F.col("amount").isNotNull() & (F.col("explicit") & (F.length("label") >= 3) | F.col("label").rlike(NAMES)))
     about, balance = F.coalesce("open", "section"), F.coalesce(F.col("section"), F.lit("")).rlike("so du|balance")
     flow = F.when(balance, _first(FLOWS, about, lambda v: F.lit(v[2]))).otherwise(_first(FLOWS, about, lambda v: F.lit(v[1])))
-    return r.select(key, "line", F.get("cells", F.lit(0)).alias("party"), _first(FLOWS, about, lambda v: F.lit(v[0])).alias("relation"), flow.alias("flow"), (F.col("amount") * F.col("unit")).alias("amount"))
+    return r.select(key, "line", "party", _first(FLOWS, about, lambda v: F.lit(v[0])).alias("relation"), flow.alias("flow"), (F.col("amount") * F.col("unit")).alias("amount"))
 
 
 def percentage(raw: Column) -> Column:

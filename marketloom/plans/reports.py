@@ -18,6 +18,8 @@ from marketloom.plans.relations import CONTROL, SQL_RELATIONS, relations
 from marketloom.sources.tables import load
 
 YEARS = (2000, 1999)
+#: About as many reports are read in a task.
+REPORTS = 1000
 #: Kinds of relations as a report's categories call them.
 CATEGORY = {"lends_to": "Cho vay", "guarantees_for": "Bảo lãnh", "transacts_with": "Mua hàng", "creditor_of": "Phải thu khách hàng"}
 RELATION = {"lends_to": ("LENDS_TO", "loan"), "guarantees_for": ("GUARANTEES_FOR", "guarantee"), "transacts_with": ("TRANSACTS_WITH", "purchase"), "creditor_of": ("TRANSACTS_WITH", "receivable")}
@@ -99,7 +101,9 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
         rows("own_rows", F.lit("## 5. Danh sách công ty con"), _line("STT", "Tên công ty", "Tỷ lệ sở hữu"), F.lit("|---|---|---|")), F.array(F.lit("")),
         rows("board_rows", F.lit("## Hội đồng quản trị"), _line("Họ và tên", "Chức vụ", "Số cổ phiếu"), F.lit("|---|---|---|")),
     )
-    return written(s.select("s_suppkey", F.array_join(text, "\n").alias("text")))
+    made = written(s.select("s_suppkey", F.array_join(text, "\n").alias("text")))
+    # A task gets a bounded number of reports, so its windows' memory doesn't grow with the tables.
+    return made.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + count // REPORTS), "s_suppkey")
 
 
 def _facts_sql() -> str:
@@ -149,5 +153,5 @@ SELECT s_suppkey, relation, other, count(*) AS edges, round(sum(amount), 4) AS a
 )
 def frame_graph(spark: SparkSession, d: str) -> DataFrame:
     """The graph that all frames of a report make, parallel edges added up; every edge had its line of evidence."""
-    edges = R.frame_edges(written(R.table_rows(reports(spark, d), "s_suppkey", "text")), "s_suppkey")
+    edges = R.frame_edges(R.rows_of(written(R.blocks(reports(spark, d), "s_suppkey", "text")), "s_suppkey"), "s_suppkey")
     return edges.filter("line IS NOT NULL").groupBy("s_suppkey", "relation", "other").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("amount"), 4).alias("amount"))

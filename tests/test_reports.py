@@ -143,3 +143,20 @@ def test_companies_and_boards(spark):
     assert sorted((r["line"], r["person"], r["role"], r["shares"]) for r in people) == [(15, "Trần A", "CHAIRMAN", 1200.0), (16, "Lê B", "CEO", None)]
     edges = reports.frame_edges(rows, "doc").collect()
     assert sorted((r["line"], r["relation"]) for r in edges) == [(4, "OWNS"), (11, "INVESTS_IN"), (15, "GOVERNED_BY"), (16, "GOVERNED_BY")]
+
+
+def test_runs_of_rows_stay_together_until_they_are_chosen(spark):
+    """Windows see a row a run, not a line; a row like a heading changes the section within its block."""
+    text = "## A\n| h | x |\n|---|---|\n| 1 | 2 |\n# q | b | c\n| 3 | 4 |\n\n| k | l |\n" + "| 5 | 6 |\n" * 300
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "a")], "doc long, body string")
+    assert reports.blocks(docs, "doc", "body").count() == 3
+    got = sorted(tuple(r) for r in reports.table_rows(docs, "doc", "body").select("line", "block", "section", "head", "cells").filter("line < 10").collect())
+    assert got == [(4, 1, "## a", ["h", "x"], ["1", "2"]), (5, 1, "# q | b | c", ["h", "x"], ["# q", "b", "c"]), (6, 1, "# q | b | c", ["h", "x"], ["3", "4"]), (9, 2, "# q | b | c", ["k", "l"], ["5", "6"])]
+
+
+def test_reports_of_a_task_are_bounded(spark, small, monkeypatch):
+    from marketloom.plans import reports as plans
+
+    monkeypatch.setattr(plans, "REPORTS", 1)
+    count = spark.read.parquet(f"{small}/supplier.parquet").count()
+    assert plans.reports(spark, small).rdd.getNumPartitions() > count > 8 or count <= 8 < plans.reports(spark, small).rdd.getNumPartitions() + 1
