@@ -4,7 +4,7 @@ Two strings are similar if one minus their edit distance over the longer one's l
 at least a share. Within distance k they share all but k q of their q-grams (with their
 number of occurrence), so in any fixed order of grams the first k q + 1 of each have one
 in common. Grams are ordered from rare to frequent, so those first ones are rare; pairs
-that share one, and whose lengths fit, are compared exactly.
+that share one, and whose lengths fit, meet by both, and are compared exactly.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.steps import written
+
 Q = 2
 #: Below this share a string's grams may be too few for the filter to be exact.
 LOWEST = 0.7
@@ -26,12 +28,17 @@ def grams(x: Column) -> Column:
     return F.transform(ordered, lambda g, i: F.concat(g, (i - F.array_position(ordered, g).cast("int") + 1).cast("string")))
 
 
-def _firsts(rows: DataFrame, key: str, text: str, least: float, counts: DataFrame) -> DataFrame:
+def _firsts(rows: DataFrame, text: str, least: float, counts: DataFrame) -> DataFrame:
     """The rarest grams of each string, as many as a similar one must share one of."""
-    each = rows.select(key, text, F.explode(grams(F.col(text))).alias("gram")).join(counts, "gram")
-    w = Window.partitionBy(key).orderBy("n", "gram")
+    each = rows.select(text, F.explode(grams(F.col(text))).alias("gram")).join(counts, "gram")
+    w = Window.partitionBy(text).orderBy("n", "gram")
     furthest = F.floor(F.length(text) * (1 - least) / least + 1e-9)
-    return each.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= Q * furthest + 1).select(key, text, "gram")
+    return each.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= Q * furthest + 1).select(text, "gram")
+
+
+def _fitting(lengths: DataFrame, others: DataFrame, least: float) -> DataFrame:
+    """Lengths of the one side and those of the other that a similar string may have; both are distinct lengths, so few."""
+    return lengths.crossJoin(others).filter(F.least("m", "n") >= F.greatest("m", "n") * least - 1e-9)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -46,14 +53,19 @@ def similar(left: DataFrame, right: DataFrame, a: str, b: str, least: float) ->
     """
     if not LOWEST <= least <= 1:
         raise ValueError(f"the least similarity must lie between {LOWEST} and 1")
-    one = left.select(F.col(a).alias("a")).filter("length(a) > 0").distinct()
-    two = right.select(F.col(b).alias("b")).filter("length(b) > 0").distinct()
+    one = written(left.select(F.col(a).alias("a")).filter("length(a) > 0").distinct())
+    two = written(right.select(F.col(b).alias("b")).filter("length(b) > 0").distinct())
+    # Strings meet by gram and length: those whose lengths can't fit never do, however frequent their grams are.
+    lengths = _fitting(one.select(F.length("a").alias("m")).distinct(), two.select(F.length("b").alias("n")).distinct(), least)
+    lengths = written(lengths)
+    # A few strings make many pairs, so they are dealt over all tasks.
+    tasks = 2 * one.sparkSession.sparkContext.defaultParallelism
+    one = one.join(lengths.select("m").distinct(), F.length("a") == F.col("m"), "left_semi").repartition(tasks, "a")
+    two = two.join(lengths.select("n").distinct(), F.length("b") == F.col("n"), "left_semi").repartition(tasks, "b")
     counts = one.select(F.explode(grams(F.col("a"))).alias("gram")).unionByName(two.select(F.explode(grams(F.col("b"))).alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    one = one.withColumn("a_key", F.col("a"))
-    two = two.withColumn("b_key", F.col("b"))
-    met = _firsts(one, "a_key", "a", least, counts).drop("a_key").join(_firsts(two, "b_key", "b", least, counts).drop("b_key"), "gram")
-    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    met = met.filter(short >= long * least - 1e-9).select("a", "b").distinct()
+    counts = written(counts)
+    firsts = _firsts(one, "a", least, counts).withColumn("m", F.length("a")).join(lengths, "m").drop("m")
+    met = firsts.repartition(tasks, "gram", "n").join(_firsts(two, "b", least, counts).withColumn("n", F.length("b")), ["gram", "n"]).select("a", "b").distinct()
     told = met.withColumn("similarity", similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least - 1e-9)
     return told.select(F.col("a").alias(a), F.col("b").alias(b), "similarity")
 

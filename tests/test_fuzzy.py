@@ -56,3 +56,19 @@ def test_names_within_texts(spark):
     got = fuzzy.held(spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(n,) for n in names], "n string"), "t", "n").collect()
     want = {(t, n) for t in filter(None, texts) for n in filter(None, names) if f" {n} " in f" {t} "}
     assert sorted(map(tuple, got)) == sorted(want) and len(want) >= 7
+
+
+def test_strings_without_a_fitting_length_never_meet(spark, monkeypatch):
+    """Long texts made of the names' own grams have no name of a fitting length, so their grams aren't looked at."""
+    given, plain = [], fuzzy._firsts
+
+    def seen(rows, *more):
+        given.append(rows.count())
+        return plain(rows, *more)
+
+    monkeypatch.setattr(fuzzy, "_firsts", seen)
+    names, texts = [f"ring {k}" for k in range(10, 40)], [f"ring {k} " * 6 for k in range(10, 40)]
+    a = spark.createDataFrame([(x,) for x in [*texts, "ring 10"]], "a string")
+    got = fuzzy.similar(a, spark.createDataFrame([(x,) for x in names], "b string"), "a", "b", 0.9).collect()
+    assert [tuple(r) for r in got] == [("ring 10", "ring 10", 1.0)]
+    assert given == [1, 30]
