@@ -4,10 +4,11 @@ A group (a date's cross-section) is one row of a written table: its items, their
 as bin numbers, and their grades. The unit of a task is a group, as ranks are within
 groups; groups are spread over all tasks and stay where they are from tree to tree.
 
-For a tree, every task scores its groups by the trees so far and pulls each item up or
+For a tree, every task adds the last tree to its groups' scores and pulls each item up or
 down: pairs of an item among the ``TOP`` of a group and any other, of different grades,
 weigh as much as the discounted gain that changing them would move. So a group gives at
-most TOP pairs an item. Splits are found on histograms: sums of pulls and of their
+most TOP pairs an item. Scores and pulls are written, once a tree, beside the groups; the
+step before is deleted. Splits are found on histograms: sums of pulls and of their
 curvatures by node, feature and bin, which are added up in each task, and whose size
 depends on the trees' depth and the features only; these sums, and nothing of the rows,
 go to the driver.
@@ -26,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.operators.steps import written
+from marketloom.operators.steps import discard, written
 
 TOP, BINS = 30, 32
 #: Stands for no grade.
 NONE = 255
-#: Items whose pairs with the top are weighed at once.
-CHUNK = 50_000
+#: Items whose pairs with the top are weighed at once; the arrays of so many stay in a core's cache.
+CHUNK = 1000
+#: A table of groups is dealt over at least so many tasks, so that few groups share one.
+DEALT = 64
 
 
 @dataclass
@@ -81,7 +84,7 @@ def pulls(score: np.ndarray, grade: np.ndarray, top: int = TOP) -> tuple[np.ndar
         return up, bend
     s, g = score[known], gain(grade[known])
     order = np.argsort(-s, kind="stable")
-    s, g, y = s[order], g[order], grade[known][order].astype(int)
+    s, g = s[order], g[order]
     weight = 1 / np.log2(np.arange(len(s)) + 2)
     best = (np.sort(g)[::-1][:top] * weight[:top]).sum()
     if best <= 0:
@@ -90,14 +93,20 @@ def pulls(score: np.ndarray, grade: np.ndarray, top: int = TOP) -> tuple[np.ndar
     a, b = np.zeros(len(s)), np.zeros(len(s))
     for i in range(0, len(s), CHUNK):
         some = slice(i, min(i + CHUNK, len(s)))
-        # Each pair once: an item among the first with one ranked after it.
-        pair = (np.arange(first)[:, None] < np.arange(len(s))[None, some]) & (y[:first, None] != y[None, some])
-        moved = np.abs(g[:first, None] - g[None, some]) * np.abs(weight[:first, None] - weight[None, some]) / best
-        sign = np.where(y[:first, None] > y[None, some], 1.0, -1.0)
-        wrong = 1 / (1 + np.exp(np.clip(sign * (s[:first, None] - s[None, some]), -50, 50)))
-        force, curve = np.where(pair, wrong * moved, 0.0), np.where(pair, wrong * (1 - wrong) * moved, 0.0)
-        a[:first] += (sign * force).sum(1)
-        a[some] -= (sign * force).sum(0)
+        # Each pair once: an item among the first with one ranked after it. Weights fall by rank, so other pairs lose nothing.
+        lost = np.maximum(weight[:first, None] - weight[None, some], 0) / best
+        ahead = g[:first, None] - g[None, some]
+        wrong = s[:first, None] - s[None, some]
+        wrong *= np.sign(ahead)
+        np.exp(np.clip(wrong, -50, 50, out=wrong), out=wrong)
+        wrong += 1
+        np.reciprocal(wrong, out=wrong)
+        lost *= wrong
+        lost *= ahead
+        a[:first] += lost.sum(1)
+        a[some] -= lost.sum(0)
+        curve = np.abs(lost, out=lost)
+        curve *= np.subtract(1, wrong, out=wrong)
         b[:first] += curve.sum(1)
         b[some] += curve.sum(0)
     up[known[order]], bend[known[order]] = a, b
@@ -147,12 +156,26 @@ def grouped(rows: DataFrame, group: str, item: str, features: list[str], grade:
             yield close(pa.concat_tables(held))
 
     spark = rows.sparkSession
-    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(DEALT, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = rows.select(group, item, *features, grade).repartition(n, group).sortWithinPartitions(group, item)
     return written(at.mapInArrow(run, f"{group} {kinds[group]}, items array<{kinds[item]}>, x binary, y binary"))
 
 
-def _histogram(groups: DataFrame, trees: list[Tree], growing: Tree, level: int, width: int, bins: int, top: int) -> np.ndarray:
+def _pulled(state: DataFrame, last: Tree | None, width: int, top: int) -> DataFrame:
+    """The written groups with scores that have the last tree added (``s``), pulls (``a``) and curvatures (``b``), eight bytes an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = np.frombuffer(batch["x"][k].as_buffer(), np.uint8).reshape(-1, width), np.frombuffer(batch["y"][k].as_buffer(), np.uint8)
+                s = np.zeros(len(y)) if last is None else np.frombuffer(batch["s"][k].as_buffer()) + last.value[last.place(x)]
+                own = [batch["x"].slice(k, 1), batch["y"].slice(k, 1)]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array([v.tobytes()], pa.binary()) for v in (s, *pulls(s, y, top))]], names=["x", "y", "s", "a", "b"])
+
+    return written(state.mapInArrow(run, "x binary, y binary, s binary, a binary, b binary"))
+
+
+def _histogram(pulled: DataFrame, growing: Tree, level: int, width: int, bins: int) -> np.ndarray:
     """Sums of pulls and curvatures by node of a level, feature and bin."""
     nodes = 1 << level
     size = nodes * width * bins
@@ -160,9 +183,8 @@ def _histogram(groups: DataFrame, trees: list[Tree], growing: Tree, level: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size))
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width), np.frombuffer(y.as_buffer(), np.uint8)
-                both = pulls(scored(trees, x), y, top)
+            for x, *both in zip(*batch.columns, strict=True):
+                x, both = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width), [np.frombuffer(v.as_buffer()) for v in both]
                 at = growing.place(x, level) * width * bins
                 for f in range(width):
                     index = at + f * bins + x[:, f]
@@ -170,17 +192,21 @@ def _histogram(groups: DataFrame, trees: list[Tree], growing: Tree, level: int,
                         total[k] += np.bincount(index, both[k], size)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["h"])
 
-    told = groups.select("x", "y").mapInArrow(run, "h binary").collect()
+    told = pulled.select("x", "a", "b").mapInArrow(run, "h binary").collect()
     return sum((np.frombuffer(r["h"]) for r in told), np.zeros(2 * size)).reshape(2, nodes, width, bins)
 
 
 def fit(groups: DataFrame, width: int, trees: int = 15, depth: int = 3, rate: float = 0.2, least: float = 1e-3, ridge: float = 1e-2, bins: int = BINS, top: int = TOP) -> list[Tree]:
     """Boosted trees over the ``grouped`` table; ``least`` is the least curvature of a leaf."""
     made: list[Tree] = []
+    pulled = None
     for _ in range(trees):
+        before, pulled = pulled, _pulled(groups.select("x", "y") if pulled is None else pulled.select("x", "y", "s"), made[-1] if made else None, width, top)
+        if before is not None:
+            discard(before)
         tree = Tree(np.full((1 << depth) - 1, -1), np.zeros((1 << depth) - 1, np.int64), np.zeros(1 << depth))
         for level in range(depth):
-            pull, curve = _histogram(groups, made, tree, level, width, bins, top)
+            pull, curve = _histogram(pulled, tree, level, width, bins)
             left, below = pull.cumsum(2), curve.cumsum(2)
             all_, whole = left[:, :1, -1:], below[:, :1, -1:]
             better = left**2 / (below + ridge) + (all_ - left) ** 2 / (whole - below + ridge) - all_**2 / (whole + ridge)
@@ -198,6 +224,8 @@ def fit(groups: DataFrame, width: int, trees: int = 15, depth: int = 3, rate: fl
         made.append(tree)
         if not tree.value.any():
             break
+    if pulled is not None:
+        discard(pulled)
     return made
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.frames import series
 from marketloom.functions.ranks import rank_average, rank_pct
+from marketloom.operators.steps import written
 from marketloom.plans.catalog import query
 from marketloom.plans.risk import RETURNS, r6, returns
 from marketloom.sources.tables import SQL_BARS, SQL_STOCKS, bars, load, stocks
@@ -272,20 +273,26 @@ _FORGE = {
 }
 
 
-@query("feature_forge", RETURNS + f""", mk AS (SELECT date, avg(r) AS m FROM ret GROUP BY date), j AS (SELECT ret.*, m, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM ret JOIN mk USING (date)), k AS (SELECT * FROM j WHERE r > -1)
-SELECT symbol, date, {", ".join(f"round({x}, 6) AS {n}" for n, x in _FORGE.items())} FROM k WINDOW w5 AS (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING), w20 AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)""", dates=("date",))
-def feature_forge(spark: SparkSession, d: str) -> DataFrame:
-    """Features of a bar for models: returns, shape, volume and the market beside it."""
-    rows = returns(spark, d)
+def forged(rows: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """Features of written bars with returns, and ``more``, which is taken from all bars; the market's mean is told to all tasks, a row a date."""
+    more = more or {}
     w = series("symbol", "date")
-    j = rows.join(rows.groupBy("date").agg(F.avg("r").alias("m")), "date").withColumn("prev", F.lag("close").over(w)).filter("r > -1")
+    m = rows.groupBy("date").agg(F.avg("r").alias("m"))
+    j = rows.withColumns(more).join(F.broadcast(m), "date").withColumn("prev", F.lag("close").over(w)).filter("r > -1")
     w5, w20, r, m = w.rowsBetween(-4, 0), w.rowsBetween(-19, 0), F.col("r"), F.col("m")
     spread = F.col("high") - F.col("low")
     out = {
         "ret1": r, "ret5": _product(r, w5), "vol20": F.stddev_samp("r").over(w20), "skew": F.avg(r * r * r).over(w20), "range20": (F.max("high").over(w20) - F.min("low").over(w20)) / F.col("close"), "volume_z": F.try_divide(F.col("volume") - F.avg("volume").over(w20), F.stddev_samp("volume").over(w20)),
         "gap": F.try_divide("open", "prev") - 1, "body": F.try_divide(F.col("close") - F.col("open"), spread), "upper": F.try_divide(F.col("high") - F.greatest("open", "close"), spread), "beta20": F.try_divide(F.covar_samp("r", "m").over(w20), F.var_samp("m").over(w20)), "relative": r - m, "up_share": F.avg(F.when(r > 0, 1.0).otherwise(0.0)).over(w20),
     }
-    return j.select("symbol", "date", *[r6(x).alias(n) for n, x in out.items()])
+    return j.select("symbol", "date", *[r6(x).alias(n) for n, x in out.items()], *more)
+
+
+@query("feature_forge", RETURNS + f""", mk AS (SELECT date, avg(r) AS m FROM ret GROUP BY date), j AS (SELECT ret.*, m, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM ret JOIN mk USING (date)), k AS (SELECT * FROM j WHERE r > -1)
+SELECT symbol, date, {", ".join(f"round({x}, 6) AS {n}" for n, x in _FORGE.items())} FROM k WINDOW w5 AS (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING), w20 AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)""", dates=("date",))
+def feature_forge(spark: SparkSession, d: str) -> DataFrame:
+    """Features of a bar for models: returns, shape, volume and the market beside it."""
+    return forged(written(returns(spark, d)))
 
 
 @query("hybrid_rank_stack", _PANEL + f""", k2 AS (SELECT symbol, date, factor, forward, {_RANK.format(x="factor")} AS a FROM panel), z AS (SELECT symbol, date, (a - avg(a) OVER w) / nullif(stddev_samp(a) OVER w, 0) AS rank_z, (factor - avg(factor) OVER w) / nullif(stddev_samp(factor) OVER w, 0) AS mom_z, avg(CASE WHEN factor > -0.5 THEN 1.0 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY date ROWS 9 PRECEDING) AS survival FROM k2 WINDOW w AS (PARTITION BY date))

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.frames import series
+from marketloom.functions.ranks import above, quantiles
 from marketloom.operators import ranking
 from marketloom.operators.steps import written
 from marketloom.plans.catalog import query
-from marketloom.plans.factors import _FORGE, feature_forge
-from marketloom.plans.panel import quantile_bucket
-from marketloom.plans.risk import r6
-from marketloom.sources.tables import bars
+from marketloom.plans.factors import _FORGE, forged
+from marketloom.plans.risk import r6, returns
 
 FEATURES = [*_FORGE, "momentum", "reversal"]
 #: The share of dates that is learned from; the date after them is left out, as its grades look beyond it.
@@ -22,12 +21,13 @@ TRAIN = 0.7
 def graded(spark: SparkSession, d: str) -> DataFrame:
     """symbol, date, features, forward (the next bar's return) and grade (fifths of it within the date, 4 the best)."""
     w = series("symbol", "date")
-    b = bars(spark, d).select(
-        "symbol", "date", (F.lead("close").over(w) / F.col("close") - 1).alias("forward"), F.try_divide("close", F.lag("close", 6).over(w)).alias("momentum"),
-        (F.col("close") / F.avg("close").over(w.rowsBetween(-11, 0)) - 1).alias("reversal"),
-    )
-    rows = b.join(feature_forge(spark, d), ["symbol", "date"])
-    return quantile_bucket(rows, "forward", "date", 5, "grade").select("symbol", "date", *FEATURES, "forward", "grade")
+    more = {
+        "forward": F.lead("close").over(w) / F.col("close") - 1, "momentum": F.try_divide("close", F.lag("close", 6).over(w)),
+        "reversal": F.col("close") / F.avg("close").over(w.rowsBetween(-11, 0)) - 1,
+    }
+    rows = written(forged(written(returns(spark, d)), more).filter("symbol IS NOT NULL"))
+    fifths = quantiles(rows, "forward", "date", 5)
+    return above(rows.join(F.broadcast(fifths), "date"), "forward", "grade").select("symbol", "date", *FEATURES, "forward", "grade")
 
 
 def parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,8 +41,7 @@ def parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def learned(spark: SparkSession, d: str) -> tuple[DataFrame, list[ranking.Tree]]:
     """Scores of the later dates' symbols, and the trees."""
-    early, late = parts(written(graded(spark, d)))
-    early = written(early)
+    early, late = parts(graded(spark, d))
     cuts = ranking.cuts_of(early, FEATURES)
     trees = ranking.fit(ranking.grouped(early, "date", "symbol", FEATURES, "grade", cuts), len(FEATURES))
     later = ranking.grouped(late, "date", "symbol", FEATURES, "grade", cuts)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 
+from marketloom.functions import ranks
 from marketloom.operators import ranking
+from marketloom.operators.steps import written
 from marketloom.plans import catalog, ranker
+from marketloom.sources import tables
 
 
 def plain_pulls(score, grade, top):
@@ -69,6 +74,48 @@ def test_first_split_is_the_best_of_all(spark):
     assert tree.value == pytest.approx([pull[s].sum() / (curve[s].sum() + 1e-2) for s in (low, ~low)])
 
 
+def test_a_tree_pulls_once_and_leaves_no_step(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(g, i, float(rng.standard_normal()), float(rng.standard_normal()), int(rng.integers(0, 5))) for g in range(12) for i in range(45)]
+    frame = spark.createDataFrame(rows, "g long, i long, a double, b double, y int")
+    groups = ranking.grouped(frame, "g", "i", ["a", "b"], "y", ranking.cuts_of(frame, ["a", "b"]))
+    steps = []
+
+    def noted(df):
+        steps.append(written(df))
+        return steps[-1]
+
+    monkeypatch.setattr(ranking, "written", noted)
+    trees = ranking.fit(groups, 2, trees=3, depth=2)
+    assert len(trees) == len(steps) == 3
+    assert not any(os.path.exists(s._written_at.removeprefix("file:")) for s in steps)
+    # The pulls that a tree is grown from are those of all trees before it.
+    held = ranking._pulled(groups.select("x", "y"), None, 2, ranking.TOP)
+    for k in range(2):
+        held = ranking._pulled(held.select("x", "y", "s"), trees[k], 2, ranking.TOP)
+    for r in held.collect():
+        x, y = np.frombuffer(r["x"], np.uint8).reshape(-1, 2), np.frombuffer(r["y"], np.uint8)
+        score = ranking.scored(trees[:2], x)
+        assert (np.frombuffer(r["s"]) == score).all()
+        assert all((np.frombuffer(r[c]) == v).all() for c, v in zip("ab", ranking.pulls(score, y), strict=True))
+
+
+@pytest.mark.parametrize("frame", [ranker.graded, catalog.QUERIES["feature_forge"]])
+def test_bars_are_made_once(spark, small, monkeypatch, frame):
+    read, load = [], tables.load
+    monkeypatch.setattr(tables, "load", lambda s, d, name: read.append(name) or load(s, d, name))
+    rows = frame(spark, small)
+    assert read == ["lineitem"]
+    assert rows.count() and not any("lineitem" in f for f in rows.inputFiles())
+
+
+def test_told_borders_give_the_same_buckets(spark):
+    rows = [(g, k, None if k % 5 == 0 else float(k * 7 % 11)) for g in range(3) for k in range(23 * g + 1)]
+    frame = spark.createDataFrame(rows, "g long, k long, x double")
+    told = ranks.above(frame.join(ranks.quantiles(frame, "x", "g", 5), "g"), "x", "q")
+    assert sorted(told.select("g", "k", "q").collect()) == sorted(ranks.quantile_bucket(frame, "x", "g", 5, "q").select("g", "k", "q").collect())
+
+
 def test_held_out_dates_are_ordered_better_than_by_momentum(spark, medium):
     rows = ranker.graded(spark, medium).collect()
     told = {(str(r["date"]), r["symbol"]): r for r in rows}
