@@ -8,11 +8,14 @@ zero isn't quantified. Exposure and its change are between nations, by year.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators.graphs import cycles, strong_components
-from marketloom.operators.steps import written
+from marketloom.operators.steps import discard, written
 from marketloom.plans.catalog import query
 from marketloom.plans.risk import r6
 from marketloom.sources.tables import SQL_FLOWS, flows, load
@@ -103,32 +106,80 @@ def owns(spark: SparkSession, d: str) -> DataFrame:
     return written(stakes.withColumn("most", most).filter(F.col("stake") >= CONTROL * F.col("most")).select("owner", "owned"))
 
 
-def reach(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """owned, word, bits and steps: what each step of a walk down from the owners reaches for the first time, up to ``deepest``.
+#: Longs of a row of ``reach``, and about as many rows as a step of it passes on at most.
+WIDE, PASSED = 16, 12_000_000
+_WORDS = [f"w{i}" for i in range(WIDE)]
+
 
-    The owners of an entity are bits, 64 of them a word (owner = 64 word + bit), so a step
-    joins and adds up words instead of pairs, and passes on only what is new. Each step is
-    written, so no more than one step's shuffle is needed at a time.
+def reaches(edges: DataFrame, deepest: int = DEEPEST, passed: int = PASSED) -> Iterator[list[DataFrame]]:
+    """owner, block, w0, w1, ... and steps: what each step of a walk down from the owners reaches for the first time, up to ``deepest``.
+
+    The owned are bits, 64 of them a word and WIDE words a row (owned = 64 WIDE block +
+    64 word + bit), so a step joins and adds up rows of many pairs, and only what is new
+    goes on. Blocks don't meet, so they are walked in rounds, as many of them at a time as
+    pass on about ``passed`` rows a step, by the rounds before. A round is a list of written
+    steps, made when it is asked for; who doesn't need them any more discards them.
     """
-    e = written(edges.select(F.col("owner").alias("via"), F.col("owned").alias("next")).distinct())
-    bit = F.expr("shiftleft(1L, CAST(pmod(via, 64) AS INT))")
+    e = written(edges.select("owner", "owned").distinct())
+    place = F.shiftright("owned", 6).bitwiseAND(WIDE - 1)
+    bit = F.expr("shiftleft(1L, CAST(owned & 63 AS INT))")
+    block = F.shiftright("owned", 6 + (WIDE - 1).bit_length())
     none = F.lit(0).cast("long")
-    front = written(e.groupBy(F.col("next").alias("owned"), F.shiftright("via", 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
-    found = front.withColumn("steps", F.lit(1))
-    for k in range(2, deepest + 1):
-        sent = front.join(e, F.col("owned") == F.col("via")).select(F.col("next").alias("owned"), "word", "bits", none.alias("had"))
-        met = sent.unionByName(found.select("owned", "word", none.alias("bits"), F.col("bits").alias("had"))).groupBy("owned", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("had").alias("had"))
-        front = written(met.select("owned", "word", F.col("bits").bitwiseAND(F.bitwise_not("had")).alias("bits")).filter("bits <> 0"))
-        if front.isEmpty():
-            break
-        found = found.unionByName(front.withColumn("steps", F.lit(k)))
-    return found
+    words = [F.bit_or(F.when(place == i, bit).otherwise(none)).alias(w) for i, w in enumerate(_WORDS)]
+    first = written(e.groupBy("owner", block.alias("block")).agg(*words).withColumn("steps", F.lit(1)))
+    n, owners = e.agg(F.count(F.lit(1)), F.count_distinct("owner")).first()
+    blocks = first.select("block").distinct().count()
+    parts = max(1, min(blocks, -(-n * blocks // passed)))
+    part = F.pmod(F.hash("block"), F.lit(parts))
+    begin, take, most = 0, 1, 1
+    while begin < parts:
+        found = [first.filter(part.between(begin, begin + take - 1))]
+        front = found[0]
+        for k in range(2, deepest + 1):
+            sent = front.join(e.toDF("above", "owner"), "owner").select(F.col("above").alias("owner"), "block", *_WORDS, F.lit(False).alias("had"))
+            for before in found:
+                sent = sent.unionByName(before.select("owner", "block", *_WORDS, F.lit(True).alias("had")))
+            # Dealt first: added up where they are made, rows would become no fewer and need much memory.
+            told = [F.bit_or(F.when(F.col("had") == had, F.col(w)).otherwise(none)).alias(f"{w}_{had}") for w in _WORDS for had in (False, True)]
+            met = sent.repartition("owner", "block").groupBy("owner", "block").agg(*told)
+            met = met.select("owner", "block", *[F.col(f"{w}_False").bitwiseAND(F.bitwise_not(f"{w}_True")).alias(w) for w in _WORDS])
+            front = written(met.filter(f"({' | '.join(_WORDS)}) <> 0").withColumn("steps", F.lit(k)))
+            rows = front.count()
+            if not rows:
+                discard(front)
+                break
+            found.append(front)
+            most = max(most, rows // take)
+        yield found
+        begin += take
+        take = max(1, passed * owners // (most * max(1, n)))
+    discard(e)
+
+
+def reach(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+    """All rounds of ``reaches``."""
+    return reduce(DataFrame.unionByName, [step for found in reaches(edges, deepest) for step in found])
 
 
 def pairs(found: DataFrame) -> DataFrame:
     """owner, owned and the least number of steps between them."""
-    bits = F.expr("filter(sequence(0, 63), b -> (shiftright(bits, b) & 1) = 1)")
-    return found.select("owned", "word", "steps", F.explode(bits).alias("b")).select((F.col("word") * 64 + F.col("b")).alias("owner"), "owned", "steps")
+    words = found.select("owner", "steps", "block", F.posexplode(F.array(*_WORDS)).alias("i", "bits")).filter("bits <> 0")
+    each = words.select("owner", "steps", (F.col("block") * (64 * WIDE) + F.col("i") * 64).alias("at"), "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b"))
+    return each.filter("(shiftright(bits, b) & 1) = 1").select("owner", (F.col("at") + F.col("b")).alias("owned"), "steps")
+
+
+def controlled(edges: DataFrame, deepest: int = DEEPEST, passed: int = PASSED) -> DataFrame:
+    """owner, controlled (how many others it reaches) and circular (whether it reaches itself); rows of ``reaches`` are counted, no pairs made."""
+    word = F.element_at(F.array(*_WORDS), (F.shiftright("owner", 6).bitwiseAND(WIDE - 1) + 1).cast("int"))
+    own = F.when(F.col("block") == F.shiftright("owner", 6 + (WIDE - 1).bit_length()), F.call_function("shiftright", word, F.col("owner").bitwiseAND(63).cast("int")).bitwiseAND(1)).otherwise(F.lit(0).cast("long"))
+    bits = reduce(Column.__add__, [F.bit_count(w) for w in _WORDS])
+    parts = []
+    for found in reaches(edges, deepest, passed):
+        of = reduce(DataFrame.unionByName, found).select("owner", bits.alias("bits"), own.alias("own"))
+        parts.append(written(of.groupBy("owner").agg(F.sum("bits").alias("bits"), F.sum("own").alias("own"))))
+        discard(*found[1:])
+    of = reduce(DataFrame.unionByName, parts).groupBy("owner").agg(F.sum("bits").alias("bits"), F.sum("own").alias("own"))
+    return of.select("owner", (F.col("bits") - F.col("own")).alias("controlled"), (F.col("own") > 0).alias("circular"))
 
 
 def depths(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
@@ -153,8 +204,8 @@ def transitive_ownership(spark: SparkSession, d: str) -> DataFrame:
 @query("ownership_depth", f"WITH RECURSIVE {SQL_RELATIONS}, {SQL_OWNS}, {_REACH} SELECT owner, count(DISTINCT owned) FILTER (owned <> owner) AS controlled, CAST(max(steps) AS INT) AS depth, bool_or(owner = owned) AS circular FROM r GROUP BY owner")
 def ownership_depth(spark: SparkSession, d: str) -> DataFrame:
     """How many an owner controls, the longest chain below it, up to eight, and whether a chain comes back to it."""
-    o, own = owns(spark, d), F.col("owner") == F.col("owned")
-    return pairs(reach(o)).groupBy("owner").agg(F.count_if(~own).alias("controlled"), F.bool_or(own).alias("circular")).join(depths(o), "owner").select("owner", "controlled", "depth", "circular")
+    o = owns(spark, d)
+    return controlled(o).join(depths(o), "owner").select("owner", "controlled", "depth", "circular")
 
 
 @query(

@@ -125,6 +125,45 @@ def test_reach_and_depths_equal_walks_with_few_rows_for_many_owners(spark):
     assert found.count() * 3 < len(first)
 
 
+def test_what_owners_control_is_counted_in_rounds_of_wide_rows(spark):
+    from marketloom.plans import catalog
+
+    relations = sys.modules[catalog.QUERIES["ownership_depth"].__module__.replace("catalog", "relations")]
+    rng = np.random.default_rng(5)
+    edges = {(int(a), int(b)) for a, b in rng.integers(-300, 4000, (900, 2)) // 3 * 3} | {(k, k + 3) for k in range(0, 2400, 3)}
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    far = {}
+    for a in after:
+        front = far[a] = set(after[a])
+        for _ in range(4):
+            front = {c for b in front for c in after.get(b, ())} - far[a]
+            far[a] = far[a] | front
+    frame = spark.createDataFrame(sorted(edges), "owner long, owned long")
+    rounds = list(relations.reaches(frame, 5, passed=1500))
+    rows = [sum(step.count() for step in found) for found in rounds]
+    assert len(rounds) > 2 and sum(rows) * 3 < 5 * sum(map(len, far.values()))
+    got = relations.controlled(frame, 5, passed=1500).collect()
+    assert {tuple(r) for r in got} == {(a, len(x - {a}), a in x) for a, x in far.items()} and len(got) == len(far)
+    none = frame.filter("owner IS NULL")
+    assert relations.controlled(none).collect() == [] and relations.pairs(relations.reach(none)).collect() == []
+
+
+def test_shuffles_of_a_written_step_leave_no_files(spark):
+    from pathlib import Path
+
+    from marketloom.operators import steps
+
+    def files():
+        return {f for f in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+
+    before = files()
+    out = steps.written(spark.range(0, 100_000, 1, 4).selectExpr("id % 7 AS k").groupBy("k").count().repartition(3, "count"))
+    left = files() - before
+    assert not left and out.count() == 7
+
+
 def test_short_cycles_of_a_large_group_need_few_steps(spark, monkeypatch):
     """A long ring in a group that is spread: steps follow the cycles' length, not the ring's."""
     steps, plain = [], graphs.written
