@@ -150,6 +150,27 @@ def test_what_owners_control_is_counted_in_rounds_of_wide_rows(spark):
     assert relations.controlled(none).collect() == [] and relations.pairs(relations.reach(none)).collect() == []
 
 
+def test_a_step_reaches_a_thousand_entities_in_a_row(spark):
+    """Pairs of owner and owned grow with the square of the entities; a row holds all that one owner reaches in a step."""
+    from marketloom.plans import catalog
+
+    relations = sys.modules[catalog.QUERIES["transitive_ownership"].__module__.replace("catalog", "relations")]
+    n = 700
+    u, v = np.random.default_rng(11).integers(0, n, (2, 6 * n))
+    steps, front = np.zeros((n, n), int), np.eye(n, dtype=bool)
+    edge = np.zeros((n, n), int)
+    edge[u, v] = 1
+    for k in range(1, 9):
+        front = (front @ edge > 0) & (steps == 0)
+        steps[front] = k
+    found = relations.reach(spark.createDataFrame(list(zip(u.tolist(), v.tolist(), strict=True)), "owner long, owned long"))
+    assert found.count() <= n * steps.max() and (steps > 0).sum() > 100 * found.count()
+    got = np.array(relations.pairs(found).collect())
+    again = np.zeros((n, n), int)
+    again[got[:, 0], got[:, 1]] = got[:, 2]
+    assert (again == steps).all() and len(got) == (steps > 0).sum()
+
+
 def test_shuffles_of_a_written_step_leave_no_files(spark):
     from pathlib import Path
 
