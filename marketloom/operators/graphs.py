@@ -5,17 +5,21 @@ Edges are rows ``grp, u, v`` (longs). A group is a graph of its own, such as a w
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.operators.steps import written
+from marketloom.operators.steps import discard, written
 
 #: Edges of a group up to which one task finds its components; larger groups are spread.
 LOCAL = 200_000
 #: About as many of the longest paths are met in a task.
 MEETING = 1_000_000
+#: About as many of the longest paths, of both sides, are made at a time.
+HALVES = 150_000_000
 COMPONENTS = "grp long, node long, component long"
 
 
@@ -173,22 +177,52 @@ def _narrowed(edges: DataFrame, local: int) -> DataFrame:
     return written(e)
 
 
-def cycles(edges: DataFrame, longest: int, shortest: int = 3, local: int = LOCAL) -> DataFrame:
+def _walks(e: DataFrame, near: str, far: str, most: int) -> float:
+    """How many walks of ``most`` edges there are, by counts and without walking them."""
+    ends = e.groupBy("grp", near).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    for _ in range(most - 1):
+        ends = e.join(ends.withColumnRenamed(near, far), ["grp", far]).groupBy("grp", near).agg(F.sum("n").alias("n"))
+    return ends.agg(F.sum("n")).first()[0] or 0.0
+
+
+def cycles(edges: DataFrame, longest: int, shortest: int = 3, local: int = LOCAL, halves: int = HALVES) -> DataFrame:
     """All simple cycles of ``shortest`` to ``longest`` nodes: grp and path (its nodes in order, the smallest first).
 
     A cycle is met in its middle: a path of half its edges forward from its smallest node,
     and one of the other half backward, end at the same node and share no other. So paths
     have half a cycle's length, and each cycle is found once. No node or edge is left out.
     A path's nodes are columns; the longest paths, which are most of all, go into the
-    meeting's shuffle and are never written.
+    meeting's shuffle and are never written. Where there are more than about ``halves`` of
+    them, smallest nodes take turns: what a round finds is written, and its paths and shuffles go.
     """
     e = _narrowed(edges, local)
     half = (longest + 1) // 2
+    # One in half + 1 begins with its smallest node, more or less.
+    expected = (_walks(e, "u", "v", half) + _walks(e, "v", "u", longest // 2)) / (half + 1)
+    if expected <= halves:
+        return _met(e, F.lit(True), longest, shortest)[0]
+    parts = math.ceil(min(expected / halves, e.select("grp", "u").distinct().count()))
+    found, begin, take = None, 0, 1
+    while begin < parts:
+        turn = F.pmod(F.xxhash64("grp", "first"), F.lit(parts)).between(begin, begin + take - 1)
+        met, steps, made = _met(e, turn, longest, shortest)
+        met = written(met)
+        discard(*steps)
+        found = met if found is None else found.unionByName(met)
+        begin += take
+        take = max(1, int(take * halves / max(1.0, made)))
+    return found
+
+
+def _met(e: DataFrame, turn: Column, longest: int, shortest: int) -> tuple[DataFrame, list[DataFrame], float]:
+    """The cycles whose smallest node has its turn, the written steps that they are read from, and about how many of the longest paths are made."""
+    half = (longest + 1) // 2
     tasks = 4 * e.sparkSession.sparkContext.defaultParallelism
+    steps: list[DataFrame] = []
 
     def halves(near: str, far: str, most: int) -> list[DataFrame]:
         """Paths (n1, n2, ...) of 1, 2, ... edges away from their smallest node; ``near`` and ``far`` are the ends of an edge as it is walked."""
-        ways = [e.filter(F.col(far) > F.col(near)).select("grp", F.col(near).alias("first"), F.col(far).alias("n1"))]
+        ways = [e.filter(F.col(far) > F.col(near)).select("grp", F.col(near).alias("first"), F.col(far).alias("n1")).filter(turn)]
         for k in range(1, most):
             at, on = f"n{k}", f"n{k + 1}"
             # Few edges make many paths: left to the planner, they would all be made in a task or two.
@@ -196,11 +230,18 @@ def cycles(edges: DataFrame, longest: int, shortest: int = 3, local: int = LOCAL
             for i in range(1, k):
                 step = step.filter(F.col(on) != F.col(f"n{i}"))
             step = step.select("grp", "first", *[f"n{i}" for i in range(1, k + 2)])
-            ways.append(written(step) if k + 1 < most else step)
+            if k + 1 < most:
+                step = written(step)
+                steps.append(step)
+            ways.append(step)
         return ways
 
+    def longest_of(ways: list[DataFrame]) -> float:
+        """As many more paths than one edge shorter as these are more than those before them."""
+        return ways[-2].count() ** 2 / max(1, ways[-3].count()) if len(ways) > 2 else 0.0
+
     forward, backward = halves("u", "v", half), halves("v", "u", longest // 2)
-    found = None
+    most, found = longest_of(forward), None
     for k in range(1, half + 1):
         # Those of k edges meet those as long, and those of one edge less, at one time.
         others = None
@@ -212,16 +253,16 @@ def cycles(edges: DataFrame, longest: int, shortest: int = 3, local: int = LOCAL
                 others = other if others is None else others.unionByName(other)
         if others is None:
             continue
-        there = forward[k - 1]
+        # Where these are sorted, the key that differs most comes first.
+        there, keys = forward[k - 1], [f"n{k}", "first", "grp"]
         if k == half > 2:
-            # As many more paths than one edge shorter as these are more than those before them.
-            met_by = max(tasks, forward[k - 2].count() ** 2 // max(1, forward[k - 3].count()) // MEETING)
-            there = there.repartition(met_by, "grp", "first", f"n{k}")
-        met = there.join(others, ["grp", "first", f"n{k}"])
+            # So few paths meet in a task that one side of them can be hashed, and no side need be sorted.
+            there, others = there.repartition(max(tasks, int(most) // MEETING), *keys), others.hint("shuffle_hash")
+        met = there.join(others, keys)
         for i in range(1, k):
             for j in range(1, k):
                 met = met.filter(~F.col(f"n{i}").eqNullSafe(F.col(f"o{j}")))
         path = F.array_compact(F.array("first", *[f"n{i}" for i in range(1, k + 1)], *[f"o{j}" for j in range(k - 1, 0, -1)]))
         met = met.select("grp", path.alias("path"))
         found = met if found is None else found.unionByName(met)
-    return found
+    return found, steps, most + longest_of(backward)

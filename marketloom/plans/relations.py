@@ -99,11 +99,25 @@ owns AS (SELECT owner, owned FROM stakes QUALIFY stake >= {CONTROL} * max(stake)
 _REACH = f"r AS (SELECT owner, owned, 1 AS steps FROM owns UNION SELECT r.owner, o.owned, r.steps + 1 FROM r JOIN owns o ON o.owner = r.owned WHERE r.steps < {DEEPEST})"
 
 
+#: Tasks that the owners of one entity are dealt to.
+DEALT = 16
+
+
 def owns(spark: SparkSession, d: str) -> DataFrame:
-    """owner and owned: the largest stakes in an entity over all periods, and those near it. Owners may own each other."""
-    stakes = relations(spark, d).groupBy(F.col("source").alias("owner"), F.col("target").alias("owned")).agg(F.sum("amount").alias("stake")).filter("stake > 0")
-    most = F.max("stake").over(Window.partitionBy("owned"))
-    return written(stakes.withColumn("most", most).filter(F.col("stake") >= CONTROL * F.col("most")).select("owner", "owned"))
+    """owner and owned: the largest stakes in an entity over all periods, and those near it. Owners may own each other.
+
+    Relations are written, so that their lines' shuffle goes, and are dealt once: a stake
+    far from the largest of its share of the owners is far from the largest of all, and
+    few are left to be compared with the others.
+    """
+    r = written(relations(spark, d).select(F.col("source").alias("owner"), F.col("target").alias("owned"), "amount"))
+    dealt = r.withColumn("share", F.pmod(F.xxhash64("owner"), F.lit(DEALT))).repartition("owned", "share")
+    near = dealt.groupBy("owner", "owned", "share").agg(F.sum("amount").alias("stake")).filter("stake > 0")
+    for by in (["owned", "share"], ["owned"]):
+        near = near.withColumn("most", F.max("stake").over(Window.partitionBy(*by))).filter(F.col("stake") >= CONTROL * F.col("most")).drop("most")
+    out = written(near.select("owner", "owned"))
+    discard(r)
+    return out
 
 
 #: Longs of a row of ``reach``, and about as many rows as a step of it passes on at most.

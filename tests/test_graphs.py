@@ -125,6 +125,33 @@ def test_reach_and_depths_equal_walks_with_few_rows_for_many_owners(spark):
     assert found.count() * 3 < len(first)
 
 
+def test_cycles_found_in_rounds_leave_no_paths_behind(spark, monkeypatch):
+    """Where half paths are many, their smallest nodes take turns; of a turn only what it found stays."""
+    from pathlib import Path
+
+    from marketloom.operators.steps import folder
+
+    turns, plain = [], graphs._met
+
+    def counted(*told):
+        turns.append(told)
+        return plain(*told)
+
+    monkeypatch.setattr(graphs, "_met", counted)
+    rows = [r for r in random_edges(7) if r[0] != 3] + [(3, 4 * k, 4 * ((k + j) % 30)) for k in range(30) for j in (1, 2)]
+    steps, shuffles = Path(folder(spark)), Path(spark.conf.get("spark.local.dir"))
+    before = set(steps.iterdir())
+    frame = spark.createDataFrame(rows, EDGES)
+    got = graphs.cycles(frame, 6, 2, halves=120)
+    # The edges three times, as they are narrowed, and what each turn found.
+    assert len(turns) > 2 and len(set(steps.iterdir()) - before) <= 3 + len(turns)
+    made = [f for f in shuffles.rglob("shuffle_*.data")]
+    got = [(r["grp"], tuple(r["path"])) for r in got.collect()]
+    assert len(got) == len(set(got)) and set(got) == walked(rows, 6, 2)
+    # Its shuffles went before: reading what was found needs none.
+    assert len([f for f in shuffles.rglob("shuffle_*.data") if f not in made]) == 0
+
+
 def test_what_owners_control_is_counted_in_rounds_of_wide_rows(spark):
     from marketloom.plans import catalog
 
